@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OPEN: list[scratch] = []
+_PATHS: dict[int, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for scratch tables, from the session's settings."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,19 +32,40 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     path = f"{shared_dir(spark)}/leadmill/{uuid.uuid4().hex}/{name}"
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    _PATHS[id(table)] = path
+    if _OPEN:
+        _OPEN[-1].paths.append(path)
+    return table
+
+
+class scratch:
+    """A block of work: tables written inside it are deleted at its end, but for those given to ``keep``.
+
+    A kept table belongs to the block around this one, if there is one. Only tables whose readers
+    have all been written by then may be left to deletion.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def __enter__(self) -> scratch:
+        _OPEN.append(self)
+        return self
 
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(_PATHS[id(table)])
+        return table
 
-def drop(*tables: DataFrame) -> None:
-    """Delete scratch tables whose every reader has been written already."""
-    for df in tables:
-        spark = df.sparkSession
-        for file in df.inputFiles():
-            if "/leadmill/" not in file:
+    def __exit__(self, *failure) -> None:
+        _OPEN.remove(self)
+        for path in self.paths:
+            if path in self.kept:
+                if _OPEN:
+                    _OPEN[-1].paths.append(path)
                 continue
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            break
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def collected_if_small(df: DataFrame, limit: int) -> DataFrame:
