@@ -1,15 +1,82 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
+last return the columns of ``documents``, with n_chars following the text.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leadmill import storage
+from leadmill.llm import decontamination, minhash, packing, suffix_dedup, toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go."""
+    docs = _columns(docs)
+    scored = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = storage.materialise(scored.where("predicted = 1").select(F.col("doc_id").alias("rejected_id")), "rejected")
+    return docs.join(storage.collected_if_small(rejected, 4_000_000), docs["doc_id"].eqNullSafe(F.col("rejected_id")), "left_anti")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    docs = _columns(docs)
+    with storage.scratch(spark) as made:
+        groups = minhash.near_duplicates(docs, size=5, percent=80)
+        gone = made.keep(storage.materialise(groups.where("not kept").select(F.col("doc_id").alias("gone_id")), "gone"))
+    return docs.join(storage.collected_if_small(gone, 4_000_000), docs["doc_id"] == F.col("gone_id"), "left_anti")
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that start anywhere else too are cut out; documents stay, with what is left of them."""
+    out = suffix_dedup.deduplicated(_columns(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    docs = _columns(docs)
+    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = storage.materialise(found.where("contaminated").select(F.col("doc_id").alias("leak_id")), "leaks")
+    return docs.join(storage.collected_if_small(leaks, 4_000_000), docs["doc_id"].eqNullSafe(F.col("leak_id")), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of at most 1024, each window near the corpus's mixture of sources."""
+    import public_tokenizers
+
+    return packing.pack(_columns(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Learned scores, suffix sorting and tokenisation are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each keeps is written once and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    base = f"{storage.shared_dir(spark)}/leadmill/{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        path = f"{base}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

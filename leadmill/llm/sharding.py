@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from leadmill.storage import materialise
+from leadmill.storage import materialise, scratch
 
 _TIE_BITS = 24
 
@@ -89,6 +89,18 @@ def _deal_large(sizes: list[int], shards: int, total: int) -> tuple[list[int], l
 
 def shard_by_bytes(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 32, sample_per_range: int = 16, rounds: int = 6) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
+    with scratch(docs.sparkSession) as made:
+        table = made.keep(_places(docs, shards, ranges_per_shard, sample_per_range, rounds))
+    # Records of one shard are consecutive in ``at``; its large records come before them.
+    first = table.groupBy("shard").agg(F.min(F.when(F.col("at") > 0, F.col("at"))).alias("first"), F.count(F.when(F.col("at") < 0, 1)).alias("n_large"))
+    slot_large = Window.partitionBy("shard").orderBy(F.col("at").desc())
+    light_slots = table.where("at > 0").join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("first") + F.col("n_large")).alias("slot"))
+    large_slots = table.where("at < 0").select("doc_id", "size", "text_crc32", "shard", (F.row_number().over(slot_large) - 1).cast("long").alias("slot"))
+    return light_slots.unionByName(large_slots)
+
+
+def _places(docs: DataFrame, shards: int, ranges_per_shard: int, sample_per_range: int, rounds: int) -> DataFrame:
+    """Each record's shard and place ``at``; large records have negative places."""
     spark = docs.sparkSession
     keys = materialise(record_keys(docs), "shard_keys")
     total, count = keys.agg(F.sum("size"), F.count(F.lit(1))).first()
@@ -132,10 +144,4 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, ranges_per_shard: int = 32
     caps = np.cumsum(room)[:-1].tolist()
     shard = F.size(F.filter(F.array(*map(F.lit, caps)), lambda c: c <= middle)) if caps else F.lit(0)
     placed = placed.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), (F.col("rows_before") + F.col("nth")).alias("at"))
-    table = materialise(placed.unionByName(dealt), "shard_places")
-    # Records of one shard are consecutive in ``at``; its large records come before them.
-    first = table.groupBy("shard").agg(F.min(F.when(F.col("at") > 0, F.col("at"))).alias("first"), F.count(F.when(F.col("at") < 0, 1)).alias("n_large"))
-    slot_large = Window.partitionBy("shard").orderBy(F.col("at").desc())
-    light_slots = table.where("at > 0").join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("first") + F.col("n_large")).alias("slot"))
-    large_slots = table.where("at < 0").select("doc_id", "size", "text_crc32", "shard", (F.row_number().over(slot_large) - 1).cast("long").alias("slot"))
-    return light_slots.unionByName(large_slots)
+    return materialise(placed.unionByName(dealt), "shard_places")

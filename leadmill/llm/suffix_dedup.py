@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.induced_sort import suffix_order
-from leadmill.storage import collected_if_small, materialise
+from leadmill.storage import collected_if_small, materialise, scratch
 
 LENGTH, KMER = 400, 64
 SHARD_BYTES = 4 << 20
@@ -263,7 +263,9 @@ _REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept
 
 
 def _removed(docs: DataFrame, columns: list[str]) -> DataFrame:
-    rows, spans = repeated_spans(docs)
+    with scratch(docs.sparkSession) as made:
+        rows, spans = repeated_spans(docs)
+        made.keep(spans)
     joined = rows.select(*columns, "bytes", "digest").join(collected_if_small(spans, 300_000), "digest", "left").select(*columns, "bytes", "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*columns).schema.fields)
     return joined.mapInArrow(_remove, f"{fields}, {_REMOVED}")
@@ -283,6 +285,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     own = {c: f"own_{i}" for i, c in enumerate(kept)}
     held = docs.select("text", F.col("doc_id"), F.struct(*(F.col(c).alias(own[c]) for c in kept)).alias("held"), F.col("text").isNull().alias("no_text"))
     out = _removed(held, ["held", "no_text"])
+
     @F.pandas_udf("string")
     def decoded(kept):
         return kept.map(lambda b: b.decode("utf-8", "ignore"))
