@@ -5,6 +5,452 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from leadmill.functions import facts, texts, urls
+from leadmill.operators import activity, dedupe, gate, leads, pages, scoring, security, store
+from leadmill.sources.fixtures import LEADS_SQL, table
+from leadmill.sources.fixtures import leads as lead_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+AS_OF = "2024-01-31 00:00:00"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its oracle where there is one."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+_ACTIONABLE = "merge_status = 'NONE' AND NOT archived"
+_READY = "coalesce(website_status = 'FOUND' AND audit_status = 'SUCCESS' AND lighthouse_status = 'SUCCESS' AND visual_status = 'SUCCESS' AND score_status = 'SUCCESS', FALSE)"
+_FAILED = "(website_status = 'FAILED' OR audit_status = 'FAILED' OR score_status = 'FAILED' OR coalesce(visual_status = 'FAILED', FALSE) OR coalesce(lighthouse_status = 'FAILED', FALSE))"
+
+
+@query(f"WITH {LEADS_SQL} SELECT id, company_name, city, lead_score, lead_score_v2, TRUE AS ready_for_review FROM leads WHERE {_ACTIONABLE} AND {_READY} ORDER BY lead_score DESC NULLS FIRST, lead_score_v2 DESC NULLS FIRST, id LIMIT 50")
+def lead_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.lead_page(lead_table(spark, sf_dir), leads.LeadFilter()).select("id", "company_name", "city", "lead_score", "lead_score_v2", "ready_for_review")
+
+
+@query(f"WITH {LEADS_SQL} SELECT id, company_name, phone, business_score FROM leads WHERE {_ACTIONABLE} AND website_status = 'FOUND' AND NOT {_READY} AND business_score >= 20 AND lead_score_v2 BETWEEN 10 AND 90 AND (contains(lower(company_name), '1') OR contains(lower(website), '1') OR contains(lower(phone), '1') OR contains(lower(address), '1')) AND (contains(lower(company_name), 'st') OR contains(lower(website), 'st') OR contains(lower(phone), 'st') OR contains(lower(address), 'st')) ORDER BY business_score ASC NULLS LAST, lead_score_v2 DESC NULLS FIRST, id LIMIT 200 OFFSET 5")
+def lead_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = leads.LeadFilter(text="1, ST", qualification="PENDING", min_business=20, min_v2=10, max_v2=90, sort="biz_asc", limit=500, offset=5)
+    return leads.lead_page(lead_table(spark, sf_dir), p).select("id", "company_name", "phone", "business_score")
+
+
+@query(f"""WITH {LEADS_SQL} SELECT count(*) AS total, count(*) FILTER (website_status = 'FOUND') AS with_website,
+  count(*) FILTER (website_status IN ('UNKNOWN', 'NOT_FOUND')) AS without_website, count(*) FILTER (enrichment_status = 'SUCCESS') AS enriched,
+  count(*) FILTER (audit_status = 'SUCCESS') AS audited, count(*) FILTER (lighthouse_status = 'SUCCESS') AS lighthoused,
+  count(*) FILTER (visual_status = 'SUCCESS') AS ai_analyzed, count(*) FILTER (score_status = 'SUCCESS') AS scored,
+  count(*) FILTER ({_READY}) AS ready_for_review, count(*) FILTER (website_status = 'FOUND' AND NOT {_READY}) AS qualification_pending,
+  count(*) FILTER ({_FAILED}) AS qualification_failed, count(*) FILTER ({_READY} AND manual_review_status = 'GOOD') AS good,
+  count(*) FILTER (redesign_stage = 'SELECTED_FOR_REDESIGN') AS selected, count(*) FILTER (has_site) AS generated,
+  count(*) FILTER (manual_review_status = 'GOOD' AND redesign_stage <> 'NOT_SELECTED') AS ready_for_generation, count(*) FILTER ({_FAILED}) AS failed
+  FROM leads WHERE {_ACTIONABLE}""")
+def lead_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.funnel(lead_table(spark, sf_dir))
+
+
+@query(f"""WITH {LEADS_SQL} SELECT count(*) AS total, count(*) FILTER (website_status = 'FOUND') AS with_website, count(*) FILTER (website_status <> 'FOUND') AS without_website,
+  count(*) FILTER (ineligibility_reason = 'NO_WEBSITE') AS no_website, count(*) FILTER (ineligibility_reason = 'AGGREGATOR') AS aggregator,
+  count(*) FILTER (ineligibility_reason = 'DIRECTORY') AS directory, count(*) FILTER (ineligibility_reason = 'GOVERNMENT') AS government,
+  count(*) FILTER (ineligibility_reason = 'SOCIAL_NETWORK') AS social, count(*) FILTER (ineligibility_reason = 'MARKETPLACE') AS marketplace,
+  count(*) FILTER (ineligibility_reason = 'MAP_PROVIDER') AS map_provider,
+  count(*) FILTER (ineligibility_reason IN ('BLACKLISTED_DOMAIN', 'OTHER_NON_COMPANY_SITE', 'INVALID_URL', 'SEARCH_ENGINE')) AS other_ineligible,
+  count(*) FILTER (enrichment_status = 'SUCCESS') AS enriched, count(*) FILTER (audit_status = 'SUCCESS') AS audited,
+  count(*) FILTER (lighthouse_status IS NOT NULL) AS lighthoused, count(*) FILTER (visual_status = 'SUCCESS') AS ai_analyzed,
+  count(*) FILTER (lead_score_v2 IS NOT NULL) AS scored, count(*) FILTER (manual_review_status = 'GOOD') AS good,
+  count(*) FILTER (redesign_stage = 'SELECTED_FOR_REDESIGN') AS selected, count(*) FILTER (has_site) AS generated, count(*) FILTER (audit_status = 'FAILED') AS failed
+  FROM leads WHERE id IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')""")
+def run_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("id"))
+    return leads.run_funnel(lead_table(spark, sf_dir), run)
+
+
+@query(f"SELECT event_type AS provider, count(*) AS runs FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND ts <= TIMESTAMP '{AS_OF}' GROUP BY 1")
+def recent_runs_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.recent_counts(table(spark, sf_dir, "events").withColumnRenamed("event_type", "provider"), _as_of())
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    severity = F.when(F.col("value") >= 80, "CRITICAL").when(F.col("value") >= 60, "HIGH").when(F.col("value") >= 30, "MEDIUM").otherwise("LOW")
+    status = F.when(F.col("event_id") % 4 == 0, "RESOLVED").when(F.col("event_id") % 4 == 1, "FIXING").otherwise("OPEN")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("canonical_id"), severity.alias("severity"), status.alias("status"), F.col("event_type").alias("scanner"))
+
+
+_FINDINGS_SQL = """findings AS (SELECT event_id AS id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS canonical_id,
+  CASE WHEN value >= 80 THEN 'CRITICAL' WHEN value >= 60 THEN 'HIGH' WHEN value >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  CASE event_id % 4 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'FIXING' ELSE 'OPEN' END AS status, event_type AS scanner FROM events)"""
+
+
+@query(f"WITH {_FINDINGS_SQL} SELECT severity, status, count(*) AS n FROM findings GROUP BY ALL")
+def severity_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return security.counts_by(_findings(spark, sf_dir), "severity", "status")
+
+
+@query(f"""WITH {_FINDINGS_SQL}, one AS (SELECT *, row_number() OVER (PARTITION BY coalesce(CAST(canonical_id AS VARCHAR), '#' || CAST(id AS VARCHAR)) ORDER BY id) AS rn FROM findings),
+  c AS (SELECT count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (severity = 'INFO') AS info FROM one WHERE rn = 1 AND status IN ('OPEN', 'FIXING'))
+  SELECT *, CASE WHEN critical > 0 THEN 'FAIL' WHEN high > 0 THEN 'WARN' ELSE 'PASS' END AS gate FROM c""")
+def security_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return security.gate_status(security.gate_counts(_findings(spark, sf_dir)))
+
+
+@query("""SELECT s_suppkey, s_name, coalesce(a.n, 0) AS line_items, coalesce(b.n, 0) AS returned FROM supplier
+  LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) a ON a.l_suppkey = s_suppkey
+  LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) b ON b.l_suppkey = s_suppkey""")
+def child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey")
+    return store.child_counts(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", line_items=lines, returned=lines.where("l_returnflag = 'R'"))
+
+
+@query("""SELECT c_custkey, c_name, count(o_orderkey) AS n_children, min(CASE WHEN rn = 1 THEN o_orderkey END) AS latest,
+  coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) FILTER (rn IS NOT NULL), '') AS keys FROM customer
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) o ON o_custkey = c_custkey AND rn <= 5 GROUP BY 1, 2""")
+def latest_child_per_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    out = store.latest_children(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders, "c_custkey", [F.col("o_orderdate").desc(), F.col("o_orderkey").asc()], 5, ["o_orderkey"])
+    return out.select("c_custkey", "c_name", F.size("children").cast("long").alias("n_children"), F.get("children", 0)["o_orderkey"].alias("latest"), F.array_join(F.transform("children", lambda c: c["o_orderkey"].cast("string")), ",").alias("keys"))
+
+
+_TRACKING_SQL = "'^(?i:utm_|fbclid$|gclid$|yclid$|dclid$|mc_cid$|mc_eid$|igshid$|_ga$|_gl$|spm$|ref$|ref_|source$|campaign|medium$|sourceid$|from$|openstat|roistat|ymclid|erid$)'"
+
+
+@query(f"""WITH parts AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host,
+    coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/{{2,}}', '/', 'g'), '(.)/$', '\\1'), ''), '/') AS path,
+    list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(split_part(p, '=', 1), {_TRACKING_SQL})) AS query FROM pages),
+  named AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, array_to_string(list_sort(query), '&') AS q FROM parts)
+  SELECT page_id, 'https://' || host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url, host AS canonical_host, domain AS registrable_domain, domain || path AS url_key FROM named""")
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("c"))
+    return rows.select("page_id", F.col("c.url").alias("canonical_url"), F.col("c.host").alias("canonical_host"), F.col("c.domain").alias("registrable_domain"), F.col("c.url_key").alias("url_key"))
+
+
+_POLICY_SQL = ", ".join(f"({i}, '{kind}', '{name}', '{reason}', '{kind}:{name} ({category})')" for i, (kind, name, reason, category) in enumerate(urls.POLICY))
+_SITES_SQL = """sites AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://www.shop.deal.by/x' WHEN 1 THEN 'vk.com/club' WHEN 2 THEN 'm.vk.com' WHEN 3 THEN '' WHEN 4 THEN 'localhost' ELSE url END AS website FROM pages)"""
+
+
+@query(f"""WITH {_SITES_SQL}, policy(ord, kind, name, reason, rule) AS (VALUES {_POLICY_SQL}),
+  hosts AS (SELECT *, nullif(regexp_replace(lower(regexp_extract(CASE WHEN contains(website, '://') THEN website ELSE 'https://' || website END, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', ''), '') AS h FROM sites),
+  good AS (SELECT page_id, website, CASE WHEN contains(h, '.') THEN h END AS domain FROM hosts),
+  hit AS (SELECT domain, arg_min(reason, ord) AS reason, arg_min(rule, ord) AS rule FROM (SELECT DISTINCT domain FROM good WHERE domain IS NOT NULL) JOIN policy ON domain = name OR (kind = 'suffix' AND suffix(domain, '.' || name)) GROUP BY 1)
+  SELECT page_id, CASE WHEN website = '' THEN NULL WHEN regexp_matches(website, '^https?://') THEN website ELSE 'https://' || website END AS canonical_url, g.domain AS canonical_domain,
+    (CASE WHEN website = '' THEN 'NO_WEBSITE' WHEN g.domain IS NULL THEN 'INVALID_URL' ELSE reason END) IS NULL AS eligible,
+    CASE WHEN website = '' THEN 'NO_WEBSITE' WHEN g.domain IS NULL THEN 'INVALID_URL' ELSE reason END AS reason, rule AS matched_rule FROM good g LEFT JOIN hit ON hit.domain = g.domain""")
+def site_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.col("page_id") % 6
+    website = F.when(rest == 0, "https://www.shop.deal.by/x").when(rest == 1, "vk.com/club").when(rest == 2, "m.vk.com").when(rest == 3, "").when(rest == 4, "localhost").otherwise(F.col("url"))
+    return urls.eligibility(table(spark, sf_dir, "pages").select("page_id", website.alias("website")), "page_id", "website")
+
+
+@query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>')) AS a FROM pages),
+  h AS (SELECT page_id, trim(regexp_extract(a, '(?i)href="([^"]*)"', 1)) AS href FROM a)
+  SELECT class, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, CASE WHEN href = '' THEN 'EMPTY' WHEN href = '#' THEN 'PLACEHOLDER' WHEN regexp_matches(href, '^(?i:javascript:|vbscript:|data:|file:)') THEN 'BAD_PROTOCOL'
+    WHEN regexp_matches(href, '^(tel:|mailto:|sms:)') THEN 'VALID_ACTION' WHEN regexp_matches(href, '^(https?:)?//') THEN 'EXTERNAL' WHEN prefix(href, '/#') THEN 'VALID_HOME_ANCHOR' WHEN prefix(href, '#') THEN 'ANCHOR' ELSE 'UNKNOWN' END AS class FROM h) GROUP BY 1""")
+def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages.links(table(spark, sf_dir, "pages")).withColumn("class", pages.link_class(F.col("href"), F.lit(None).cast("boolean")))
+    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("id"), *((k * m % 101).alias(c) for c, m in (("performance", 7), ("seo", 11), ("accessibility", 13), ("best_practices", 17))),
+        F.col("c_name").alias("company_name"), F.when(k % 3 != 0, "x").alias("website"), F.when(k % 4 != 0, "1").alias("phone"), F.col("c_mktsegment").alias("address"), (k % 5 != 0).alias("has_crawl"),
+        F.when(k % 6 != 0, F.concat(F.lit("Customer site "), "c_name")).alias("title"), F.when(k % 7 == 0, "A description long enough to count").alias("meta_description"), F.when(k % 2 == 0, "Hi").otherwise("Welcome").alias("h1"), F.when(k % 3 == 0, "width").alias("viewport"),
+        F.array((F.lit(2015) + k % 12).cast("int")).alias("footer_years"), F.when(k % 4 != 1, _as_of() - F.make_dt_interval(days=(k % 1500).cast("int"))).alias("latest_content_date"), (k % 2 == 1).alias("has_news"),
+        *((k % m).alias(c) for c, m in (("n_forms", 2), ("n_buttons", 3), ("n_links", 60), ("n_tel", 3), ("n_mailto", 4), ("n_social", 5))),
+    )
+
+
+_SCORE_SQL = f"""base AS (SELECT c_custkey AS k, c_custkey * 7 % 101 AS perf, c_custkey * 11 % 101 AS seo, c_custkey * 13 % 101 AS acc, c_custkey * 17 % 101 AS bp, c_custkey % 5 <> 0 AS crawl,
+    CASE WHEN c_custkey % 6 <> 0 THEN 'Customer site ' || c_name END AS title, CASE WHEN c_custkey % 2 = 0 THEN 'Hi' ELSE 'Welcome' END AS h1, c_name, 2015 + c_custkey % 12 AS fy,
+    CASE WHEN c_custkey % 4 <> 1 THEN c_custkey % 1500 END AS age FROM customer),
+  tok AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(c_name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS ta,
+    list_distinct(list_filter(string_split(regexp_replace(lower(coalesce(title, '') || ' ' || h1), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS tb FROM base),
+  sim AS (SELECT *, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0.0 ELSE len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb))) END AS sim,
+    CAST(perf AS DOUBLE) * 0.55 + CAST(seo AS DOUBLE) * 0.2::DOUBLE + CAST(acc AS DOUBLE) * 0.15::DOUBLE + CAST(bp AS DOUBLE) * 0.1::DOUBLE AS lh FROM tok),
+  pts AS (SELECT *, CASE WHEN crawl THEN
+      (CASE WHEN k % 3 > 0 THEN 2 ELSE 0 END) + (CASE WHEN k % 4 > 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 5 > 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 2 > 0 THEN 2 ELSE 0 END)
+      + (CASE WHEN fy >= 2024 THEN 3 WHEN fy = 2023 THEN 2 ELSE 0 END) + (CASE WHEN age <= 120 THEN 3 WHEN age <= 365 THEN 2 ELSE 0 END) + (CASE WHEN k % 2 = 1 THEN 1 ELSE 0 END)
+      - (CASE WHEN title IS NULL THEN 6 ELSE 0 END) - (CASE WHEN k % 7 = 0 THEN 0 ELSE 6 END) - (CASE WHEN h1 = 'Hi' THEN 4 ELSE 0 END) - (CASE WHEN k % 3 = 0 THEN 0 ELSE 8 END)
+      - (CASE WHEN k % 60 < 5 THEN 3 ELSE 0 END) - (CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 2 ELSE 0 END) - (CASE WHEN fy <= 2019 THEN 2 ELSE 0 END) - (CASE WHEN age >= 1095 THEN 2 ELSE 0 END) ELSE 0 END AS web,
+    (CASE WHEN k % 3 <> 0 THEN 15 ELSE 0 END) + (CASE WHEN k % 4 <> 0 THEN 25 ELSE 0 END) + 20 + CASE WHEN crawl THEN
+      (CASE WHEN k % 3 > 0 THEN 10 ELSE 0 END) + (CASE WHEN k % 4 > 0 THEN 8 ELSE 0 END) + (CASE WHEN k % 5 > 0 THEN 7 ELSE 0 END) + (CASE WHEN k % 2 > 0 THEN 5 ELSE 0 END)
+      + (CASE WHEN k % 60 >= 15 THEN 5 ELSE 0 END) + (CASE WHEN k % 60 >= 40 THEN 5 ELSE 0 END) + (CASE WHEN sim >= 0.12 THEN 10 ELSE 0 END) + (CASE WHEN sim >= 0.2 THEN 5 ELSE 0 END)
+      + (CASE WHEN fy >= 2023 THEN 5 ELSE 0 END) + (CASE WHEN age <= 365 THEN 5 ELSE 0 END) + (CASE WHEN k % 2 = 1 THEN 2 ELSE 0 END) ELSE 0 END AS biz FROM sim),
+  out AS (SELECT k, perf, seo, acc, bp, CAST(greatest(0, least(100, floor(lh + web + 0.5))) AS INT) AS q, CAST(greatest(0, least(100, biz)) AS INT) AS b FROM pts)"""
+
+
+@query(f"WITH {_SCORE_SQL} SELECT k AS id, q AS website_quality_score, b AS business_score, CAST(floor((100 - q) * b / 100 + 0.5) AS INT) AS lead_score, CASE WHEN perf < 40 THEN 'performance' WHEN (seo + acc + bp) / 3 < 70 THEN 'quality' ELSE 'unknown' END AS primary_weakness FROM out")
+def lead_score_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.lead_score_v1(_crawled(spark, sf_dir), _as_of()).select("id", "website_quality_score", "business_score", "lead_score", "primary_weakness")
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, CAST(100 - c_custkey * 7 % 101 AS INT) AS t, CAST(100 - c_custkey * 11 % 101 AS INT) AS v, c_custkey * 13 % 101 AS b, c_custkey * 17 % 101 AS p FROM customer),
+  o AS (SELECT *, CAST(floor(CAST(v AS DOUBLE) * 0.65::DOUBLE + CAST(t AS DOUBLE) * 0.2::DOUBLE + CAST(p AS DOUBLE) * 0.15::DOUBLE + 0.5) AS INT) AS r FROM s)
+  SELECT id, r AS redesign_opportunity, CAST(floor(r * b / 100 + 0.5) AS INT) AS lead_score_v2, concat_ws('; ', CASE WHEN b >= 60 THEN 'active-looking business' END, CASE WHEN v >= 60 THEN 'visually outdated or weak design' END,
+    CASE WHEN t >= 60 THEN 'technical issues / low lighthouse' END, CASE WHEN p >= 70 THEN 'high redesign potential' END) AS reasons FROM o""")
+def lead_score_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), *((k * m % 101).alias(c) for c, m in (("technical_quality", 7), ("visual_quality", 11), ("business_confidence", 13), ("redesign_potential", 17))))
+    return scoring.lead_score_v2(rows).select("id", "redesign_opportunity", "lead_score_v2", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads with shared domains, shared phones and related names."""
+    k = F.col("s_suppkey")
+    names = F.when(k % 4 == 0, "Nordic Design Studio LLC").when(k % 4 == 1, "Nordic Studio").when(k % 4 == 2, "Harbour Works").otherwise(F.col("s_name"))
+    website = F.when(k % 3 == 0, F.concat(F.lit("https://www.site"), (k % 40).cast("string"), F.lit(".example.com/")))
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("id"), names.alias("company_name"), F.when(k % 3 == 0, F.concat(F.lit("https://www.site"), (k % 40).cast("string"), F.lit(".com/"))).alias("website"), F.concat(F.lit("80-29"), F.lpad((k % 25).cast("string"), 7, "5")).alias("phone"),
+        F.when(k % 5 != 0, "a street").alias("address"), F.array().cast("array<string>").alias("categories"), (k % 30 == 0).alias("has_site"), (k % 17 == 0).alias("has_active_runs"),
+        F.when(k % 6 == 0, "GOOD").when(k % 6 == 1, "BAD").otherwise("UNREVIEWED").alias("manual_review_status"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(k * 7 % 1000).cast("int"))).alias("created_at"), F.lit("NONE").alias("merge_status"), website.isNotNull().alias("_w"),
+    ).drop("_w")
+
+
+_ORGS_SQL = """orgs AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'nordic design studio' WHEN 1 THEN 'nordic studio' WHEN 2 THEN 'harbour works' ELSE trim(regexp_replace(regexp_replace(lower(s_name), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) END AS org,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'site' || CAST(s_suppkey % 40 AS VARCHAR) || '.com' END AS domain, '37529' || lpad(CAST(s_suppkey % 25 AS VARCHAR), 7, '5') AS digits,
+    s_suppkey % 30 = 0 AS has_site, s_suppkey % 17 = 0 AS runs, CASE s_suppkey % 6 WHEN 0 THEN 3 WHEN 1 THEN 0 ELSE 1 END AS rank,
+    1 + (CASE WHEN s_suppkey % 5 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END) AS filled, s_suppkey * 7 % 1000 AS made FROM supplier),
+  dom AS (SELECT domain FROM orgs WHERE domain IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+  left_ AS (SELECT * FROM orgs WHERE domain IS NULL OR domain NOT IN (SELECT domain FROM dom)),
+  grp AS (SELECT id, domain AS group_key, 'DOMAIN' AS kind FROM orgs WHERE domain IN (SELECT domain FROM dom)
+    UNION ALL SELECT id, 'phone:' || digits, 'PHONE_NAME' FROM left_ a WHERE EXISTS (SELECT 1 FROM left_ b WHERE b.id <> a.id AND b.digits = a.digits AND (a.org = b.org OR
+      CASE WHEN least(len(list_distinct(string_split(a.org, ' '))), len(list_distinct(string_split(b.org, ' ')))) < 2 THEN contains(a.org, b.org) OR contains(b.org, a.org)
+      WHEN len(list_distinct(string_split(a.org, ' '))) <= len(list_distinct(string_split(b.org, ' '))) THEN list_has_all(string_split(b.org, ' '), string_split(a.org, ' ')) ELSE list_has_all(string_split(a.org, ' '), string_split(b.org, ' ')) END)))"""
+
+
+@query(f"WITH {_ORGS_SQL} SELECT id, group_key, kind FROM grp")
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.duplicate_groups(_organisations(spark, sf_dir)).select("id", "group_key", "kind")
+
+
+@query(f"""WITH {_ORGS_SQL}, m AS (SELECT g.group_key, g.kind, o.* FROM grp g JOIN orgs o USING (id)),
+  n AS (SELECT a.*, EXISTS (SELECT 1 FROM m b WHERE b.group_key = a.group_key AND b.id <> a.id AND (a.org = b.org OR
+      CASE WHEN least(len(list_distinct(string_split(a.org, ' '))), len(list_distinct(string_split(b.org, ' ')))) < 2 THEN contains(a.org, b.org) OR contains(b.org, a.org)
+      WHEN len(list_distinct(string_split(a.org, ' '))) <= len(list_distinct(string_split(b.org, ' '))) THEN list_has_all(string_split(b.org, ' '), string_split(a.org, ' ')) ELSE list_has_all(string_split(a.org, ' '), string_split(b.org, ' ')) END)) AS named,
+      row_number() OVER (PARTITION BY group_key ORDER BY has_site DESC, rank DESC, filled DESC, made, id) AS rn FROM m a),
+  p AS (SELECT group_key, kind, count(*) AS members, min(CASE WHEN rn = 1 THEN id END) AS first, list_sort(list(id)) AS ids,
+    CASE WHEN count(*) FILTER (has_site) > 1 THEN 'CONFLICTING_GENERATED_SITES' WHEN count(*) FILTER (runs) > 1 THEN 'MULTIPLE_ACTIVE_FACTORY_RUNS' WHEN count(DISTINCT org) > 1 AND NOT bool_and(named) THEN 'DIFFERENT_ORGANISATIONS_SAME_DOMAIN' END AS block_reason FROM n GROUP BY 1, 2),
+  q AS (SELECT *, CASE WHEN block_reason IS DISTINCT FROM 'DIFFERENT_ORGANISATIONS_SAME_DOMAIN' THEN first END AS survivor_id FROM p)
+  SELECT group_key, kind, members, survivor_id, array_to_string(CASE WHEN survivor_id IS NULL THEN ids ELSE list_filter(ids, lambda x: x <> first) END, ',') AS merge_ids, block_reason IS NOT NULL AS blocked, block_reason FROM q""")
+def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.merge_plan(_organisations(spark, sf_dir)).withColumn("merge_ids", F.array_join(F.transform("merge_ids", lambda i: i.cast("string")), ","))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    return table(spark, sf_dir, "pages").select(k.alias("ord"), F.concat(F.when(k % 9 == 0, "Ресторан ").when(k % 9 == 1, "Company ").otherwise("Ремонт "), (k % 30).cast("string")).alias("company_name"), F.when(k % 11 != 0, F.concat(F.lit("https://www.firm"), (k % 60).cast("string"), F.lit(".example.by/"), k.cast("string"))).when(k % 2 == 0, "https://vk.com/x").alias("website"), F.when(k % 3 != 0, F.concat(F.lit("+37529"), (k % 45).cast("string"))).alias("phone"), F.concat(F.lit("street "), (k % 20).cast("string")).alias("address"), F.array().cast("array<string>").alias("categories"))
+
+
+@query()
+def discovery_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(spark, sf_dir).withColumn("website", F.regexp_replace("website", r"(firm\d+)\.example\.by", "$1.by"))
+    return gate.run_gate(rows, "подряд ремонт").select("ord", "domain", "decision", "reason", "of")
+
+
+@query()
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.run_counters(discovery_gate(spark, sf_dir))
+
+
+@query("""SELECT reason_bucket, count(*) AS n FROM (SELECT CASE page_id % 5 WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'DIRECTORY' WHEN 2 THEN 'DUPLICATE' WHEN 3 THEN 'GOVERNMENT' ELSE 'UNCERTAIN_RELEVANCE' END AS reason_bucket FROM pages) GROUP BY 1""")
+def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.col("page_id") % 5
+    rows = table(spark, sf_dir, "pages").select(F.when(rest == 0, "ACCEPT").otherwise("REJECT").alias("decision"), F.when(rest == 1, "AGGREGATOR").when(rest == 2, "DUPLICATE_ORGANISATION").when(rest == 3, "GOVERNMENT").when(rest == 4, "UNCERTAIN_RELEVANCE").alias("reason"))
+    return gate.reason_histogram(rows)
+
+
+_NORM = "trim(regexp_replace({0}, '[\\s\\x{{A0}}]+', ' ', 'g'))"
+_SENTENCES_SQL = f"""raw AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\n+', chr(1), 'g'), '([.!?…])[ \\t\\r\\f\\x{{A0}}]+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '\\n+', chr(1), 'g'), '([.!?…])[ \\t\\r\\f\\x{{A0}}]+', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM documents),
+  sent AS (SELECT doc_id, lower({_NORM.format('s')}) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord FROM raw WHERE length({_NORM.format('s')}) >= 8)"""
+
+
+@query(f"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents),
+  kept AS (SELECT doc_id, ord, lower({_NORM.format('l')}) AS line FROM lines WHERE {_NORM.format('l')} <> ''), w AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM kept)
+  SELECT doc_id, CAST(ord AS INT) AS ord, line FROM w WHERE line = before""")
+def adjacent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.adjacent_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_SENTENCES_SQL} SELECT doc_id, s AS sentence, count(*) AS occurrences, CAST(min(ord) AS INT) AS first_at FROM sent GROUP BY 1, 2 HAVING count(*) > 1 AND (length(s) >= 20 OR count(*) >= 3)")
+def repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.repeated_sentences(table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH {_SENTENCES_SQL}, l AS (SELECT *, lead(s, 1) OVER w AS s2, lead(s, 2) OVER w AS s3 FROM sent WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+  runs AS (SELECT doc_id, ord, 3 AS run_length, s || ' ' || s2 || ' ' || s3 AS run FROM l UNION ALL SELECT doc_id, ord, 2, s || ' ' || s2 FROM l),
+  f AS (SELECT doc_id, run_length, run, count(*) AS occurrences, min(ord) AS first_at FROM runs WHERE run IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+  SELECT doc_id, run_length, occurrences, CAST(first_at AS INT) AS first_at, run FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY run_length DESC, first_at) AS n FROM f) WHERE n = 1""")
+def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.repeated_runs(table(spark, sf_dir, "documents"))
+
+
+_PROBE_SQL = """probe AS (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"a": 1, "b": 2, "c": 3' WHEN 2 THEN 'see dataLayer here' WHEN 3 THEN 'write to mail@example.com today' WHEN 4 THEN 'var x = f(); g(); h();' ELSE 'plain words about ' || event_type END AS text FROM events)"""
+
+
+@query(f"""WITH {_PROBE_SQL}, r AS (SELECT id, CASE WHEN length(trim(text)) < 6 THEN NULL WHEN length(trim(text)) >= 8 AND regexp_matches(trim(text), '(?s)^[\\[{{].*[\\]}}]$') AND json_valid(trim(text)) THEN 'json-payload'
+    WHEN regexp_matches(trim(text), '^[\\[{{<]') AND len(regexp_extract_all(text, '"[A-Za-z0-9_.-]+"\\s*:')) >= 3 THEN 'config-kv-density' WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])dataLayer($|[^A-Za-z0-9_])') THEN 'config-key-vocabulary'
+    WHEN regexp_matches(text, 'mail@example\\.(com|ru|net)') THEN 'placeholder-contact' WHEN regexp_matches(text, '(^|[^A-Za-z0-9_])var\\s+[A-Za-z0-9_]+\\s*=') AND len(regexp_extract_all(text, '[{{}}();]')) >= 4 THEN 'code-fragment' END AS rule FROM probe)
+  SELECT id, rule IS NOT NULL AS technical, rule, CASE rule WHEN 'json-payload' THEN 0.97::DOUBLE WHEN 'config-kv-density' THEN 0.9::DOUBLE WHEN 'config-key-vocabulary' THEN 0.9::DOUBLE WHEN 'placeholder-contact' THEN 0.75::DOUBLE WHEN 'code-fragment' THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM r""")
+def technical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = F.col("event_id") % 6
+    text = F.when(rest == 0, F.col("props")).when(rest == 1, '{"a": 1, "b": 2, "c": 3').when(rest == 2, "see dataLayer here").when(rest == 3, "write to mail@example.com today").when(rest == 4, "var x = f(); g(); h();").otherwise(F.concat(F.lit("plain words about "), "event_type"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), texts.technical_payload(text).alias("v")).select("id", "v.*")
+
+
+_FACTS_SQL = r"""cand AS (SELECT doc_id, 'PHONE' AS kind, list_distinct(regexp_extract_all(text, '\+?[0-9][0-9 ()\-]{6,}[0-9]')) AS raws FROM documents
+    UNION ALL SELECT doc_id, 'EMAIL', list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) FROM documents),
+  one AS (SELECT doc_id, kind, unnest(raws) AS raw FROM cand),
+  d AS (SELECT *, regexp_replace(raw, '\s+', ' ', 'g') AS v, length(regexp_replace(raw, '[^0-9]', '', 'g')) AS digits, split_part(raw, '@', 1) AS local, split_part(raw, '@', 2) AS domain FROM one),
+  e AS (SELECT *, regexp_replace(local, '^[0-9][0-9._-]{3,}([A-Za-z])', '\1') AS rest FROM d),
+  f AS (SELECT *, CASE WHEN kind = 'PHONE' THEN CASE WHEN regexp_matches(v, '(^|[^0-9])(18|19|20)[0-9]{2}\s*[-–—]\s*(18|19|20)[0-9]{2}([^0-9]|$)') THEN 'YEAR_RANGE'
+      WHEN len(regexp_extract_all(v, '[0-9][0-9\s()\-]{5,}[0-9]')) > 1 THEN 'CONCATENATED' WHEN digits < 7 THEN 'TOO_FEW_DIGITS' WHEN digits > 15 THEN 'TOO_MANY_DIGITS' WHEN digits = 9 AND NOT regexp_matches(v, '[+()]') THEN 'AMBIGUOUS_NINE_DIGIT' END
+    ELSE CASE WHEN regexp_matches(raw, '(?i)\.(png|jpe?g|gif|svg|webp|css|js|woff2?|ico)$') THEN 'IMAGE_FILENAME' WHEN regexp_matches(local, '^[0-9._-]+$') THEN 'NUMERIC_LOCAL' WHEN rest <> local AND length(rest) < 2 THEN 'NOISY_PREFIX'
+      WHEN regexp_matches(domain, '(?i)^(example|test|email|domain|your-?mail|sample|placeholder)\.[a-z]{2,}$') THEN 'PLACEHOLDER' END END AS reason FROM e)"""
+
+
+@query(f"WITH {_FACTS_SQL} SELECT doc_id, kind, raw, CASE WHEN kind = 'PHONE' THEN v ELSE lower(rest || '@' || domain) END AS value FROM f WHERE reason IS NULL")
+def fact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.gate(facts.candidates(table(spark, sf_dir, "documents"))).where("ok").select("doc_id", "kind", "raw", "value")
+
+
+@query(f"WITH {_FACTS_SQL} SELECT kind, reason, count(*) AS n FROM f WHERE reason IS NOT NULL GROUP BY ALL")
+def fact_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.gate(facts.candidates(table(spark, sf_dir, "documents"))).where("not ok").groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tag_sql(tag: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1), '<[^>]*>', '', 'g'), '[\\s\\x{{A0}}]+', ' ', 'g'))"
+
+
+def _n_sql(pattern: str) -> str:
+    return f"CAST(len(regexp_extract_all(html, '{pattern}')) AS BIGINT)"
+
+
+@query(f"""SELECT page_id, {_tag_sql('title')} AS title, {_tag_sql('h1')} AS h1, regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1) AS lang,
+  {_n_sql('(?i)<form[\\s>]')} AS n_forms, {_n_sql('(?i)<button[\\s>]')} AS n_buttons, {_n_sql('(?i)<a\\s')} AS n_links, {_n_sql('(?i)<img[\\s>]')} AS n_images, {_n_sql('(?i)href="tel:')} AS n_tel, {_n_sql('(?i)href="mailto:')} AS n_mailto,
+  list_max(list_transform(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1), lambda y: CAST(y AS INT))) AS latest_year, regexp_matches(html, '(?i)href="[^"]*(news|blog)') AS has_news FROM pages""")
+def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.signals(table(spark, sf_dir, "pages")).drop("url")
+
+
+@query(f"""SELECT page_id, {_tag_sql('title')} AS title, {_tag_sql('h1')} AS h1,
+  array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<li(?:\\s[^>]*)?>(.*?)</li>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[\\s\\x{{A0}}]+', ' ', 'g'))), lambda x: x <> ''), '|') AS items FROM pages""")
+def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.documents(table(spark, sf_dir, "pages")).select("page_id", "title", "h1", F.array_join("items", "|").alias("items"))
+
+
+@query()
+def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.documents(table(spark, sf_dir, "pages"))
+
+
+@query()
+def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.classify(pages.documents(table(spark, sf_dir, "pages")))
+
+
+@query()
+def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.backlinks(table(spark, sf_dir, "pages"))
+
+
+@query()
+def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("url", F.when(F.col("page_id") % 3 == 0, "nav").otherwise("body").alias("source"), (F.col("page_id") % 4).cast("int").alias("depth"), F.col("page_id").alias("ord"))
+    return pages.crawl_plan(rows, budget=40)
+
+
+@query("""SELECT s AS sentence_start, count(DISTINCT source) AS n_values, min(source) AS low, max(source) AS high FROM (SELECT substr(text, 1, 20) AS s, source FROM documents) GROUP BY 1 HAVING count(DISTINCT source) > 1""")
+def editorial_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.substring("text", 1, 20).alias("sentence_start"), "source")
+    return store.conflicting_values(rows, "sentence_start", "source")
+
+
+@query(f"""WITH {_SENTENCES_SQL}, lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents),
+  kept AS (SELECT doc_id, ord, lower({_NORM.format('l')}) AS line FROM lines WHERE {_NORM.format('l')} <> ''), w AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM kept),
+  rep AS (SELECT doc_id, s FROM sent GROUP BY 1, 2 HAVING count(*) > 1 AND (length(s) >= 20 OR count(*) >= 3))
+  SELECT doc_id, 'repeated-sentence' AS kind, count(*) AS n FROM rep GROUP BY 1 UNION ALL SELECT doc_id, 'adjacent-duplicate', count(*) FROM w WHERE line = before GROUP BY 1""")
+def qa_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = texts.repeated_sentences(docs).select("doc_id", F.lit("repeated-sentence").alias("kind")).unionByName(texts.adjacent_duplicates(docs).select("doc_id", F.lit("adjacent-duplicate").alias("kind")))
+    return rows.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", level.alias("level"), F.col("event_type").alias("module"))
+
+
+_EVENTS_SQL = "ev AS (SELECT event_id, ts, user_id, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END AS level, event_type AS module FROM events)"
+
+
+@query(f"WITH {_EVENTS_SQL} SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-20' AND level IN ('WARN', 'ERROR') ORDER BY ts DESC, event_id DESC LIMIT 200")
+def activity_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.page(_events(spark, sf_dir), F.lit("2024-01-20").cast("timestamp"), "WARN")
+
+
+@query(f"WITH {_EVENTS_SQL} SELECT * FROM ev WHERE NOT ((level = 'INFO' AND ts < TIMESTAMP '2024-01-28') OR (level IN ('WARN', 'ERROR') AND ts < TIMESTAMP '2024-01-24')) ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def activity_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.retained(_events(spark, sf_dir), _as_of(), most=1000)
+
+
+@query(f"WITH {_EVENTS_SQL} SELECT user_id, event_id, ts, level, module FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM ev) WHERE n = 1")
+def entity_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.latest_per_entity(_events(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT quality = 1 AS e, n_chars > 200 AS f FROM labels JOIN documents USING (doc_id)), c AS (SELECT count(*) AS n, count(*) FILTER (e AND f) AS tp, count(*) FILTER (NOT e AND f) AS fp, count(*) FILTER (e AND NOT f) AS fn, count(*) FILTER (e = f) AS r FROM v),
+  p AS (SELECT *, CASE WHEN n > 0 THEN r / n ELSE 0.0::DOUBLE END AS accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS re FROM c)
+  SELECT n, tp, fp, fn, accuracy, pr AS precision, re AS recall, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0::DOUBLE END AS f1 FROM p""")
+def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return store.quality(rows, F.col("quality") == 1, F.col("n_chars") > 200)
+
+
+@query("""WITH routes AS (SELECT DISTINCT page_id % 20 AS route FROM pages), views(viewport) AS (VALUES ('mobile'), ('tablet'), ('desktop')), present AS (SELECT DISTINCT page_id % 20 AS route, CASE page_id % 7 WHEN 0 THEN 'mobile' WHEN 1 THEN 'tablet' ELSE 'desktop' END AS viewport FROM pages WHERE page_id % 3 = 0)
+  SELECT route, viewport FROM routes, views EXCEPT SELECT route, viewport FROM present""")
+def coverage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    rows = table(spark, sf_dir, "pages")
+    views = spark.createDataFrame([("mobile",), ("tablet",), ("desktop",)], "viewport string")
+    present = rows.where(k % 3 == 0).select((k % 20).alias("route"), F.when(k % 7 == 0, "mobile").when(k % 7 == 1, "tablet").otherwise("desktop").alias("viewport"))
+    return store.missing_combinations([rows.select((k % 20).alias("route")).distinct(), views], present)
+
+
+@query("""SELECT o_custkey AS id, version, o_orderkey AS ord FROM (SELECT o_custkey, o_orderkey, 10 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version FROM orders WHERE o_custkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) FROM orders WHERE o_custkey % 2 <> 0)""")
+def sequential_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit(10).alias("version"))
+    return store.next_versions(old, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ord")), "id").select("id", "version", "ord")
+
+
+@query("""SELECT coalesce(c_custkey, k) AS c_custkey, coalesce(n, c_name) AS c_name, CASE WHEN c_custkey IS NULL THEN 'created' WHEN k IS NULL THEN 'kept' ELSE 'updated' END AS action FROM customer
+  FULL JOIN (SELECT c_custkey + 50 AS k, CASE WHEN c_custkey % 3 > 0 THEN c_name || '!' END AS n FROM customer) ON k = c_custkey""")
+def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    new = old.select((F.col("c_custkey") + 50).alias("c_custkey"), F.when(F.col("c_custkey") % 3 > 0, F.concat("c_name", F.lit("!"))).alias("c_name"))
+    return store.upsert(old, new, ["c_custkey"])
+
+
+@query("""SELECT l_partkey % 50 AS media_id, count(*) + coalesce(max(p.n), 0) AS uses FROM lineitem LEFT JOIN (SELECT p_partkey % 50 AS m, count(*) AS n FROM part GROUP BY 1) p ON p.m = l_partkey % 50 GROUP BY 1""")
+def media_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.usage([table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("media_id")), table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("media_id"))])
+
+
+@query(f"""WITH {_FINDINGS_SQL}, seen AS (SELECT DISTINCT id FROM findings WHERE id % 3 = 0) SELECT f.id, CASE WHEN s.id IS NOT NULL AND status = 'RESOLVED' THEN 'OPEN' WHEN s.id IS NULL AND scanner = 'error' AND status IN ('OPEN', 'FIXING') THEN 'RESOLVED' ELSE status END AS status FROM findings f LEFT JOIN seen s ON s.id = f.id""")
+def finding_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _findings(spark, sf_dir).withColumn("fingerprint", F.col("id").cast("string"))
+    return security.reconcile(found, found.where("id % 3 = 0").select("fingerprint", "id", "severity"), "error", ok=True).select("id", "status")
