@@ -27,7 +27,7 @@ TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 512}
 # A control string is an opener and one of these tails. Text gets one more "~" between the two, so
 # what was escaped already stays apart from what was not, and no control string is left.
 _OPENER = r"(<|\[)"
-_TAIL = r"(?=\||/?s>|/?INST\]|/?SYS>|<SYS>)"
+_TAIL = r"(?=\||/?s>|/?INST\]|/?SYS>)"
 
 
 def escape(text: Column) -> Column:
