@@ -12,9 +12,9 @@ from leadmill.functions.compat import one_space, yes
 
 # Contexts and forms that the cascades look for.
 YEAR_RANGE = r"(^|[^0-9])(18|19|20)[0-9]{2}\s*[-–—]\s*(18|19|20)[0-9]{2}([^0-9]|$)"
-REGISTRATION = r"(?i)(унп|инн|огрн|окпо|registration|tax id|vat)"
-BANK = r"(?i)(р/с|расчетный счет|расчётный счёт|iban|bic|swift|банк)"
-EMPLOYEES = r"(?i)(сотрудник|работник|employees|staff|специалист)"
+REGISTRATION = r"(?iu)(унп|инн|огрн|окпо|registration|tax id|vat)"
+BANK = r"(?iu)(р/с|расчетный счет|расчётный счёт|iban|bic|swift|банк)"
+EMPLOYEES = r"(?iu)(сотрудник|работник|employees|staff|специалист)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 ASSET = r"(?i)\.(png|jpe?g|gif|svg|webp|css|js|woff2?|ico)$"
 PLACEHOLDER_DOMAIN = r"(?i)^(example|test|email|domain|your-?mail|sample|placeholder)\.[a-z]{2,}$"
