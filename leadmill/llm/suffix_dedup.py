@@ -33,8 +33,8 @@ from leadmill.llm.induced_sort import suffix_order
 from leadmill.storage import collected_if_small, materialise, scratch
 
 LENGTH, KMER = 400, 64
-SHARD_BYTES = 4 << 20
-MEMORY = 64 << 20
+SHARD_BYTES = 1 << 20
+MEMORY = 16 << 20
 HOT = 2000
 OFFSETS = 32  # places of the minimizer that a hot one's strings are dealt by
 _B, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -111,10 +111,17 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield low, len(sizes)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that few texts are Python objects at a time."""
     for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         texts = batch.column("bytes").to_pylist()
-        for low, high in _groups([len(t) for t in texts], 2 << 20):
+        for low, high in _groups([len(t) for t in texts], 1 << 19):
             text, first, count, place, key, spelled = segments(*_laid(texts[low:high]))
             at = pa.array(text + low)
             yield pa.RecordBatch.from_arrays([batch.column("digest").take(at), batch.column("doc_id").take(at), *map(pa.array, (first, count, place, key.view(np.int64), spelled.view(np.int64)))], names=["digest", "doc_id", "first", "count", "place", "key", "spelled"])
@@ -122,7 +129,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted segments; those of a hot minimizer cut by the place of the minimizer."""
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         for text, digest, wanted in zip(batch.column("bytes").to_pylist(), batch.column("digest").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             for w in wanted:
@@ -134,7 +141,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     high = min(count, w["place"] - dealt * OFFSETS + 1) if w["hot"] else count
                     rows.append((w["key"], dealt, digest, first, low, w["spelled"], text[first + low : first + high - 1 + LENGTH]))
                     low = high
-            if len(rows) >= 2000:
+            if len(rows) >= 1000:
                 yield _fetched(rows)
                 rows = []
         if rows:
@@ -186,7 +193,7 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(key, spelled, low + a, low + b) for (key, spelled, low, _), starts in zip(held, repeats([h[3] for h in held]), strict=True) for a, b in _runs(starts)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["key", "spelled", "start", "stop"])
 
-    for batch in batches:
+    for batch in _slices(batches, 1000):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             key, dealt, digest, first, low, spelled, piece = row
             if (key, dealt, digest, first, low) == seen:  # one text that two rows with one id and text brought
@@ -235,7 +242,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if number <= 500_000:
         wanted = F.broadcast(wanted)
     pieces = single.join(wanted, ["digest", "doc_id"]).select("bytes", "digest", "wanted").mapInArrow(_fetch, _FETCHED)
-    shards = max(1, int((amount or 0) // (2 * SHARD_BYTES)) + 1)
+    shards = max(1, int((amount or 0) // (4 * SHARD_BYTES)) + 1)
     ordered = pieces.repartition(shards, "key", "dealt").sortWithinPartitions("key", "dealt", "digest", "first", "low")
     by_sort = ordered.mapInArrow(_sort_shards, "key long, spelled long, start long, stop long")
     as_whole = classes.where("twice").select("key", "spelled", F.lit(0).cast("long").alias("start"), (F.col("count") - 1).alias("stop"))
@@ -246,7 +253,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         kept_rest = batch.drop_columns(["bytes", "spans"])
         out = []
         for text, spans in zip(batch.column("bytes").to_pylist(), batch.column("spans").to_pylist(), strict=True):
