@@ -7,8 +7,9 @@
    pairs; the hub is the member that meets most others over all bands, as the origin of copies does.
 3. Candidates are scored on the packed bits: bits in common, less those that agree by chance,
    ``(m - 2**-b) / (1 - 2**-b)``. Only what lies 4.5 standard errors under the threshold is left out.
-4. Links are confirmed on full sets, first those to hubs. Then, in buckets that still hold several
-   components, members are held against each other across components, by finer buckets where one is large.
+4. Links are confirmed on full sets, first those to hubs. Buckets that still hold several components
+   get more hubs, in growing numbers, while that joins components; then all their pairs of members of
+   different components are met, in blocks where a bucket is large. No pair that shares a band is left out.
 
 At a similarity of 0.8 a pair shares no band with chance 3e-6.
 
@@ -32,7 +33,8 @@ from leadmill.storage import collected_if_small, materialise, scratch
 BANDS, ROWS, BITS = 24, 4, 2
 HASHES = 512  # the first BANDS * ROWS of them make the bands; all serve the estimate
 WORDS64 = HASHES * BITS // 64
-LARGE_BUCKET = 1000
+LARGE_BUCKET = 1000  # members of a block; larger buckets are dealt into several
+FIRST_HUBS = 16
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -232,33 +234,55 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     tried = confirmed(stars)
     links = tried.where("linked").select("a", "b")
     found = components(links)
-    rest = _within_buckets(shared, found, same.select("id", "bits", "bands", "n"), sized, margin)
-    more = confirmed(ends(rest).distinct().join(ends(tried), ["a", "b"], "left_anti")).where("linked").select("a", "b")
+    known = same.select("id", "bits", "bands", "n")
+    step = FIRST_HUBS
+    while True:
+        # Some more hubs in each bucket with many members to settle, as long as that joins components.
+        mixed = _mixed(shared, found)
+        many = mixed.where(F.col("minors") > step)
+        if not many.limit(1).count():
+            break
+        share = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        chosen = F.col("minor") & (share < step / F.col("minors"))
+        pairs = ends(_across(many, chosen, F.least("minors", F.lit(step)), known, sized, margin)).distinct()
+        now = confirmed(pairs.join(ends(tried), ["a", "b"], "left_anti"))
+        more = now.where("linked").select("a", "b")
+        tried, step = tried.unionByName(now), 8 * step
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        found = components(links)
+    # Then all pairs of different components, each in the first bucket that its members share.
+    rest = ends(_across(mixed, F.col("minor"), F.col("minors"), known, sized, margin, once=True))
+    more = confirmed(rest.join(ends(tried), ["a", "b"], "left_anti")).where("linked").select("a", "b")
     if more.limit(1).count():
         found = components(links.unionByName(more))
     return table, same, found
 
 
-def _within_buckets(shared: DataFrame, found: DataFrame, bits: DataFrame, sized: Column, margin: float) -> DataFrame:
-    """Pairs of different components from buckets that hold several, where the bits allow a link."""
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the bucket's size. ``minor``: not of
+    its largest component; every pair of different components has such a member. ``minors``: their number."""
     named = shared.join(found, "id", "left").select("band", "hash", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    named = materialise(named.join(mixed.select("band", "hash", "size"), ["band", "hash"]), "mixed_buckets")
-    # A pair is met once, in the first bucket that its members share. In a large bucket they must share
-    # a second one as well, and are met there; what is still large links to two of its members only.
-    large = named.where(F.col("size") > LARGE_BUCKET).select("band", "hash", "id", "component")
-    second = named.select("id", F.col("band").alias("band2"), F.col("hash").alias("hash2"))
-    finer = large.join(second, "id").where("band2 > band").select("band", "band2", F.xxhash64("band", "hash", "band2", "hash2").alias("key"), "id", "component")
-    sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("component", "id")).alias("least"), F.max(F.struct("component", "id")).alias("most")).where("least.component <> most.component")
-    finer = finer.join(sizes, "key")
-    hubs = finer.where(F.col("size") > LARGE_BUCKET)
-    hubs = hubs.select("id", "component", F.explode(F.array("least", "most")).alias("hub")).where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-    small = named.where(F.col("size") <= LARGE_BUCKET).select("band", F.lit(-1).alias("band2"), F.xxhash64("band", "hash").alias("key"), "id", "component")
-    small = small.unionByName(finer.where(F.col("size") <= LARGE_BUCKET).select("band", "band2", "key", "id", "component")).join(bits, "id")
-    other = small.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"), F.col("n").alias("m"))
-    equal = F.zip_with("bands", "bands_b", lambda x, y: x == y)
-    first = F.array_position(equal, True) - 1
-    met = (first == F.col("band")) & ((F.col("band2") < 0) | (F.array_position(F.slice(equal, F.col("band") + 2, BANDS), True) + F.col("band") == F.col("band2")))
-    close = F.expr("id < b and component <> component_b") & sized & (estimate(F.col("bits"), F.col("bits_b")) >= margin) & met
-    pairs = small.join(other, "key").where(close).select(F.col("id").alias("a"), "b")
-    return pairs.unionByName(hubs)
+    parts = named.groupBy("band", "hash", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("band", "hash").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = mixed.select("band", "hash", "size", (F.col("size") - F.col("main.n")).alias("minors"), F.col("main.component").alias("main"))
+    return materialise(named.join(mixed, ["band", "hash"]).withColumn("minor", F.col("component") != F.col("main")).drop("main"), "mixed_buckets")
+
+
+def _across(mixed: DataFrame, chosen: Column, number: Column, known: DataFrame, sized: Column, margin: float, once: bool = False) -> DataFrame:
+    """Pairs of a chosen member (about ``number`` in a bucket) and any of another component in its
+    bucket, where the bits allow a link. Both sides are dealt into blocks of about LARGE_BUCKET
+    members and every two blocks meet, so no pair is left out and no bucket lies in one task.
+    With ``once``, a pair is taken only in the first bucket that it shares."""
+    rows = mixed.withColumn("chosen", chosen).withColumns({"heads": F.ceil(number / LARGE_BUCKET), "blocks": F.ceil(F.col("size") / LARGE_BUCKET)}).join(known, "id")
+    dealt = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    one = rows.where("chosen").withColumn("i", dealt("heads")).withColumn("j", every("blocks"))
+    one = one.select("band", "hash", "i", "j", F.col("id").alias("a"), "component", "bits", "bands", "n")
+    other = rows.withColumn("i", every("heads")).withColumn("j", dealt("blocks"))
+    other = other.select("band", "hash", "i", "j", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("bits").alias("bits_b"), F.col("bands").alias("bands_b"), F.col("n").alias("m"), "chosen")
+    close = F.expr("component <> component_b and (not chosen or a < b)") & sized & (estimate(F.col("bits"), F.col("bits_b")) >= margin)
+    if once:
+        close &= F.array_position(F.zip_with("bands", "bands_b", lambda x, y: x == y), True) - 1 == F.col("band")
+    return one.join(other, ["band", "hash", "i", "j"]).where(close).select("a", "b")
