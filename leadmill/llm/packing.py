@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 from leadmill.storage import collected_if_small, materialise
 
 MAX_QUEUES = 4096
+END_OF_TEXT = 50256
 _TOKENS = "doc_id long, queue string, slice int, local_start long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 _ENCODERS: dict[str, object] = {}
@@ -38,7 +39,8 @@ _ENCODERS: dict[str, object] = {}
 
 def encoder(path: str):
     """A function from a list of texts to arrays of ids. The path names the vocabulary: a
-    ``.json`` of tokenizers, or a ``.tiktoken`` file of ranks, which gives the same ids faster."""
+    ``.json`` of tokenizers, read at its defaults, or a ``.tiktoken`` file of ranks, for which
+    ``<|endoftext|>`` in a text is the one token ``END_OF_TEXT`` too, as the ``.json`` has it."""
     if path not in _ENCODERS:
         if path.endswith(".tiktoken"):
             import base64
@@ -48,13 +50,12 @@ def encoder(path: str):
 
             with open(path, "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            own = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[path] = lambda texts: [np.asarray(own.encode_ordinary(t), dtype=np.uint32) for t in texts]
+            own = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": END_OF_TEXT})
+            _ENCODERS[path] = lambda texts: [np.asarray(own.encode(t, allowed_special="all"), dtype=np.uint32) for t in texts]
         else:
             from tokenizers import Tokenizer
 
             one = Tokenizer.from_file(path)
-            one.encode_special_tokens = True
             _ENCODERS[path] = lambda texts: [np.asarray(e.ids, dtype=np.uint32) for e in one.encode_batch_fast(texts, add_special_tokens=False)]
     return _ENCODERS[path]
 

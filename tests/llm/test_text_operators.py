@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from leadmill.llm import chat_format, decontamination, html_extract, html_pages, packing, quality_rules, token_counts, toxicity
 from leadmill.llm.html_blocks import leaf_blocks
@@ -106,6 +107,15 @@ def test_ranks_file_gives_the_ids_of_tokenizers():
     assert [x.tolist() for x in fast] == [x.tolist() for x in slow]
 
 
+def test_encoders_give_the_ids_of_an_unmodified_tokenizer():
+    texts = ["<|endoftext|> end", "a<|endoftext|><|endoftext|>b", " <|endoftext|>\n", "<|endoftext|", "<|EndOfText|>", "it's  1234 <|endoftext|>DON'T", "", "caf\u00e9 \U0001f600"]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [50256, 886]
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
+        assert [x.tolist() for x in packing.encoder(public_tokenizers.path(name))(texts)] == expected
+
+
 def test_packing_is_gapless_and_keeps_the_mixture(spark, odd_docs, no_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [r.asDict() for r in packing.pack(odd_docs, path).collect()]
