@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _columns(docs)
     scored = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rejected = storage.materialise(scored.where("predicted = 1").select(F.col("doc_id").alias("rejected_id")), "rejected")
-    return docs.join(storage.collected_if_small(rejected, 4_000_000), docs["doc_id"].eqNullSafe(F.col("rejected_id")), "left_anti")
+    return docs.join(storage.broadcast_if_small(rejected), docs["doc_id"].eqNullSafe(F.col("rejected_id")), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     with storage.scratch(spark) as made:
         groups = minhash.near_duplicates(docs, size=5, percent=80)
         gone = made.keep(storage.materialise(groups.where("not kept").select(F.col("doc_id").alias("gone_id")), "gone"))
-    return docs.join(storage.collected_if_small(gone, 4_000_000), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(storage.broadcast_if_small(gone), docs["doc_id"] == F.col("gone_id"), "left_anti")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     docs = _columns(docs)
     found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = storage.materialise(found.where("contaminated").select(F.col("doc_id").alias("leak_id")), "leaks")
-    return docs.join(storage.collected_if_small(leaks, 4_000_000), docs["doc_id"].eqNullSafe(F.col("leak_id")), "left_anti")
+    return docs.join(storage.broadcast_if_small(leaks), docs["doc_id"].eqNullSafe(F.col("leak_id")), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Shared scratch tables: how a job cuts its lineage so that it survives a lost executor.
 
 A table goes to the folder that the cluster names in ``spark.checkpoint.dir``. Only where that
-setting is missing (tests, a laptop) a local folder is made and set.
+setting is missing and the master is local (tests, a laptop) a local folder is made and set.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for scratch tables, from the session's settings."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "leadmill-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -68,8 +70,24 @@ class scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def collected_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; beyond that the plain frame."""
+def _bytes(df: DataFrame):
+    """Bytes of a row's values; 8 for one of fixed width."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    total = F.lit(0)
+    for field in df.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            total = total + F.coalesce(F.octet_length(F.to_json(column)), F.lit(0))
+        else:
+            total = total + 8
+    return F.coalesce(F.sum(total.cast("long") + 16), F.lit(0))
+
+
+def broadcast_if_small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its values take at most ``most`` bytes; beyond that the plain frame."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.agg(_bytes(df)).first()[0] <= most else df
