@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leadmill.storage import collected_if_small, materialise
+from leadmill.storage import broadcast_if_small, materialise
 
 MAX_QUEUES = 4096
 END_OF_TEXT = 50256
@@ -193,5 +193,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, grain: int = 128,
     rounds = Rounds(lengths, [(targets or {}).get(q, n / max(1, sum(lengths))) for q, n in totals], window, grain)
     before = Window.partitionBy("queue").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.select("queue", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    placed = tokens.join(collected_if_small(starts, 1_000_000), ["queue", "slice"])
+    placed = tokens.join(broadcast_if_small(starts), ["queue", "slice"])
     return placed.select("doc_id", "queue", (F.col("before") + F.col("local_start")).alias("start"), "n", "ids").mapInArrow(_pack(rounds, names), PIECES)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.folds import HELD_OUT, fold
-from leadmill.storage import collected_if_small, materialise
+from leadmill.storage import broadcast_if_small, materialise
 
 TRAINING_ROWS = 20_000
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -179,7 +179,7 @@ def rules_from_labels(statistics: DataFrame, labels: DataFrame) -> list[Rule]:
     share = min(1.0, TRAINING_ROWS / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     passed = statistics.where(~base_failed())
-    rows = passed.join(collected_if_small(known, 1_000_000), "doc_id").select(*(c.alias(k) for k, c in features().items()), (F.col("quality") == 0).alias("bad"), F.xxhash64("doc_id").alias("at")).orderBy("at").toArrow()  # about TRAINING_ROWS rows
+    rows = passed.join(broadcast_if_small(known), "doc_id").select(*(c.alias(k) for k, c in features().items()), (F.col("quality") == 0).alias("bad"), F.xxhash64("doc_id").alias("at")).orderBy("at").toArrow()  # about TRAINING_ROWS rows
     return learn_rules({k: rows[k].to_numpy() for k in features()}, rows["bad"].to_numpy(zero_copy_only=False).astype(bool))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.induced_sort import suffix_order
-from leadmill.storage import collected_if_small, materialise, scratch
+from leadmill.storage import broadcast_if_small, materialise, scratch
 
 LENGTH, KMER = 400, 64
 SHARD_BYTES = 1 << 20
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = ids.where(F.col("n") >= LENGTH).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("one"), F.first("n").alias("n")).where("copies > 1")
     copies = materialise(copies, "equal_texts")
     single = rows.where(F.length("bytes") >= LENGTH).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "digest", "bytes")
-    single = single.join(collected_if_small(copies.select("digest", "one"), 1_000_000), "digest", "left").where("one is null or one = doc_id").drop("one")
+    single = single.join(broadcast_if_small(copies.select("digest", "one")), "digest", "left").where("one is null or one = doc_id").drop("one")
     cut = materialise(single.mapInArrow(_cut, "digest binary, doc_id long, first long, count long, place long, key long, spelled long"), "segments")
     # A class is all segments with the same bytes; its first stands for it.
     site = F.struct("digest", "doc_id", "first")
@@ -273,7 +273,7 @@ def _removed(docs: DataFrame, columns: list[str]) -> DataFrame:
     with scratch(docs.sparkSession) as made:
         rows, spans = repeated_spans(docs)
         made.keep(spans)
-    joined = rows.select(*columns, "bytes", "digest").join(collected_if_small(spans, 300_000), "digest", "left").select(*columns, "bytes", "spans")
+    joined = rows.select(*columns, "bytes", "digest").join(broadcast_if_small(spans), "digest", "left").select(*columns, "bytes", "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*columns).schema.fields)
     return joined.mapInArrow(_remove, f"{fields}, {_REMOVED}")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.folds import HELD_OUT, fold
-from leadmill.storage import collected_if_small, materialise, scratch
+from leadmill.storage import broadcast_if_small, materialise, scratch
 
 MODEL_SIZE = 400_000
 CALIBRATION_ROWS = 20_000
@@ -214,7 +214,7 @@ def _fitted(rows: DataFrame, labels: DataFrame):
     classes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
         return None
-    labelled = rows.join(collected_if_small(known, 4_000_000), "doc_id")
+    labelled = rows.join(broadcast_if_small(known), "doc_id")
     share = min(0.25, CALIBRATION_ROWS / sum(classes.values()))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
     model = rows.sparkSession.sparkContext.broadcast(beginnings_model(rows, labelled.where(~chosen)))

@@ -107,25 +107,11 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
         n += 1
     rows += [(n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "two words"), (n + 4, "TWO  words")]
     for large in (200, 3):
-        monkeypatch.setattr(minhash, "LARGE_BUCKET", large)
+        monkeypatch.setattr(minhash, "BLOCK_ROWS", large)
         found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
         assert found == _groups(rows, 4, 80)
 
 
-def test_pairs_in_a_bucket_over_the_limit_are_all_met(spark):
-    # All members share all bands, so every bucket is over the limit. The links are pairs of equal
-    # bits, neither of which is a bucket's first, last or hub; others are too far apart.
-    rng, n = random.Random(3), 2 * (minhash.LARGE_BUCKET // 2 + 30)
-    bits = [[rng.getrandbits(64) - (1 << 63) for _ in range(minhash.WORDS64)] for _ in range(n // 2)]
-    bands = [4, 5, 6]
-    known = spark.createDataFrame([(i, bits[i % (n // 2)], bands, 100) for i in range(n)], "id long, bits array<long>, bands array<long>, n long")
-    shared = known.select("id", F.posexplode("bands").alias("band", "hash"))
-    mixed = minhash._mixed(shared, spark.createDataFrame([(0, 0), (1, 0)], "id long, component long"))
-    pairs = minhash._across(mixed, F.col("minor"), F.col("minors"), known, F.expr("n = m"), 0.7, once=True)
-    found = [(min(p), max(p)) for p in pairs.collect()]
-    assert sorted(found) == [(i, i + n // 2) for i in range(n // 2)]
-
-
 def test_near_duplicates_in_large_buckets_of_several_components(spark, monkeypatch):
     # More members than the limit share bands; most are too far from the hub and from each other.
     rng = random.Random(5)
@@ -142,8 +128,7 @@ def test_near_duplicates_in_large_buckets_of_several_components(spark, monkeypat
     rng.shuffle(rows)
     rows = [(i, text) for i, (_, text) in enumerate(rows)]
     # One band hash for all: every bucket holds all representatives.
-    monkeypatch.setattr(minhash, "LARGE_BUCKET", 5)
-    monkeypatch.setattr(minhash, "FIRST_HUBS", 2, raising=False)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 5)
     real = minhash.signatures
     monkeypatch.setattr(minhash, "signatures", lambda docs, size: real(docs, size).withColumn("bands", F.array_repeat(F.lit(7).cast("long"), minhash.BANDS)))
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
@@ -163,7 +148,7 @@ def test_estimate_is_near_the_similarity(spark):
 def test_near_duplicates_of_odd_rows(spark, odd_docs, no_docs):
     found = minhash.near_duplicates(odd_docs)
     rows = {r.doc_id: r for r in found.collect()}
-    assert set(rows) == {1, 2, 3, 4, 5, 6, 7, 8, 9} and rows[5].component_id == 4 and not rows[5].kept and rows[1].kept and rows[3].n_shingles == 0
+    assert set(rows) == {None, 1, 2, 3, 4, 5, 6, 7, 8, 9} and rows[None].kept and rows[None].component_id is None and rows[5].component_id == 4 and not rows[5].kept and rows[1].kept and rows[3].n_shingles == 0
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
