@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,63 @@ def test_blocks_survive_broken_markup():
     assert leaf_blocks(None) == [] and leaf_blocks("<script>x") == []
 
 
+def _plain_ratios(words, texts, labelled, discount=0.75):
+    """Log ratios of whole words by plain counting, from the definition."""
+    grams = set()
+    for text in texts:
+        x = ["", *(c if c.isalpha() else "" for c in (text or "").lower()), ""]
+        x = [c for i, c in enumerate(x) if i == 0 or c or x[i - 1]]
+        grams |= {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    chance = {}
+    for n in (2, 3, 4):
+        types = Counter(g[1:] for g in {g[-n - 1 :] for g in grams})
+        total, kinds = Counter(), Counter()
+        for g, c in types.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        for g, c in types.items():
+            chance[g] = (c - discount + discount * kinds[g[:-1]] * chance.get(g[1:], 1e-3)) / total[g[:-1]]
+    counts = {}
+    for text, toxic in labelled:
+        for word in set(re.findall(r"[^\W\d_]+", text.lower())):
+            for i in range(1, len(word) + 2):
+                counts.setdefault((word + "$")[:i], [0, 0])[toxic] += 1
+    out = []
+    for word in words:
+        ratio = 0.0
+        for i in range(1, len(word) + 2):
+            begin = (word + "$")[:i]
+            after = [v for b, v in counts.items() if len(b) == i and b[:-1] == begin[:-1]]
+            gram = tuple(["", *("" if c == "$" else c for c in begin)][-4:])
+            p = []
+            for kind in (1, 0):
+                total, kinds = sum(v[kind] for v in after), sum(v[kind] > 0 for v in after)
+                left = discount * kinds / total if total else 1.0
+                own = max(0.0, counts.get(begin, [0, 0])[kind] - discount) / total if total else 0.0
+                p.append((left, own + left * chance.get(gram, 1e-3)))
+            if begin not in counts:
+                ratio += math.log(p[0][0] / p[1][0])
+                break
+            ratio += math.log(p[0][1] / p[1][1])
+        out.append(ratio)
+    return out
+
+
+def test_toxicity_model_against_plain_counts(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(("ba", "zu", "éin", "t", "k")) for _ in range(rng.randint(1, 5)))
+    texts = [" ".join(word() + rng.choice(("", ",", "7")) for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["", "Ba"]
+    labelled = [(t, int(i % 3 == 0)) for i, t in enumerate(texts[:25])]
+    model = toxicity.beginnings_model(spark.createDataFrame([(t,) for t in texts + [None]], "text string"), spark.createDataFrame(labelled, "text string, toxic int"))
+    words = [word() for _ in range(60)] + ["q", "zuq", "ba" * 300]
+    laid = toxicity.Laid([" ".join(words)])
+    assert np.allclose(model.word_ratios(laid, np.arange(len(words))), _plain_ratios(words, texts, labelled), atol=1e-5)
+    ratios = dict(zip(words, _plain_ratios(words, texts, labelled)))
+    features = toxicity.text_features([" ".join(words[:9]), None, words[0]], model)
+    own = sorted((ratios[w] for w in set(words[:9])), reverse=True)
+    assert np.allclose(features, [(sum(own) / len(own), sum(own[: toxicity.PEAK_WORDS]) / toxicity.PEAK_WORDS), (0, 0), (ratios[words[0]], ratios[words[0]] / toxicity.PEAK_WORDS)], atol=1e-5)
+
+
 def test_toxicity_generalises_and_survives_odd_rows(spark, odd_docs, no_docs):
     rng = random.Random(3)
     words = ["".join(rng.choice(["ba", "co", "di", "fu", "ge", "ho"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
