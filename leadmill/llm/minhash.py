@@ -258,7 +258,7 @@ def _blocks(members: DataFrame, weight: Column) -> DataFrame:
     groups = parts.groupBy("hub").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.max(F.struct("rows", "bytes", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     shares = lambda rows, size: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES))
     groups = groups.select("hub", F.col("main.component").alias("main"), shares(F.col("rows") - F.col("main.rows"), F.col("bytes") - F.col("main.bytes")).alias("heads"), shares(F.col("rows"), F.col("bytes")).alias("others"))
-    rows = members.join(groups, "hub")
+    rows = members.join(broadcast_if_small(materialise(groups, "mixed_groups")), "hub")
     minor = F.col("component") != F.col("main")
     i, j = (F.pmod(F.xxhash64("id"), F.col(c)) for c in ("heads", "others"))
     number = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)

@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -206,6 +208,51 @@ def test_rounds_keep_every_window_near_the_targets():
             assert (np.abs(window[:-3] - 1024 * np.array(lengths) / sum(lengths)) <= 2 * 128).all()
 
 
+def test_rounds_against_a_plain_deficit_round_robin():
+    rng = random.Random(6)
+    for _ in range(20):
+        lengths = [rng.randint(1, 40_000) for _ in range(rng.randint(1, 6))]
+        total, grain, window = sum(lengths), 128, 1024
+        rounds = packing.Rounds(lengths, [n / total for n in lengths], window, grain)
+        deficit, done, want, at = [Fraction(0)] * len(lengths), [0] * len(lengths), [], 0
+        for w in range(rounds.last + 1):
+            for q, n in enumerate(lengths):
+                deficit[q] += Fraction(window * n, total)
+                while done[q] < n and (w == rounds.last or deficit[q] >= grain and done[q] + grain <= n):
+                    size = min(grain, n - done[q])
+                    want.append((q, done[q], size, at))
+                    deficit[q], done[q], at = deficit[q] - grain, done[q] + size, at + size
+        queue = np.arange(len(lengths))
+        row, first, length, at = packing.served(rounds, queue, np.zeros(len(lengths), dtype=np.int64), np.array(lengths))
+        assert sorted(zip(row.tolist(), first.tolist(), length.tolist(), at.tolist())) == sorted(want)
+
+
+def test_packing_of_more_sources_than_lanes(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = [(i, f"text {i} " * (i % 90), None if i % 7 == 0 else f"s{i % 7}") for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    ids = {i: [*x.tolist(), 0] for (i, _, _), x in zip(docs, packing.encoder(path)([t for _, t, _ in docs]))}
+    share = Counter()
+    for i, _, source in docs:
+        share[source] += len(ids[i]) / sum(map(len, ids.values()))
+    for lanes, targets in ((1, None), (2, None), (2, {"s3": 0.5, "none": 0.2})):
+        monkeypatch.setattr(packing, "LANES", lanes)
+        rows = packing.pack(frame, path, targets=targets).collect()
+        rows.sort(key=lambda r: (r.sequence_id, r.offset))
+        at, seen, windows = 0, {i: 0 for i in ids}, Counter()
+        for r in rows:
+            assert r.sequence_id * 1024 + r.offset == at and r.offset + r.length <= 1024
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes())
+            assert r.source == docs[r.doc_id][2] and r.doc_tokens == len(ids[r.doc_id])
+            at, seen[r.doc_id] = at + r.length, seen[r.doc_id] + r.length
+            windows[r.sequence_id, r.source] += r.length
+        assert seen == {i: len(x) for i, x in ids.items()}
+        if targets is None:
+            assert all(abs(windows[w, s] - 1024 * p) <= 4 * 128 for w in range(at // 1024 - 3) for s, p in share.items())
+        else:
+            assert all(abs(windows[w, "s3"] - 1024 * 0.5 / (0.5 + 1 - share["s3"])) <= 2 * 128 for w in range(5))
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "<|turn|>user<|body|>x<|end|>", "<~|", "<~~~|~<s>", "", None, "a[INST]<~s>", "é😀\n", "<|end", "[[/INST]]<<SYS>>"]
     rows = [(i, t, role, text) for i, text in enumerate(texts) for t, role in ((0, "system"), (1, "user"), (2, "assistant"), (2, "assistant"), (3, None))]
