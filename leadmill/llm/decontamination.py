@@ -1,113 +1,133 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a mask over ``SPAN`` tokens; the tokens at its 0s are ignored, so a seed still hits
+A seed is a mask over some consecutive tokens; the tokens at its 0s are ignored, so a seed still hits
 where some of them have been replaced. Hashes of the benchmark's seeds are joined with those of
 each document, and around a hit the two texts are laid side by side (same offset, no gaps): the
 document is contaminated if some aligned stretch of ``min(STRETCH, item length)`` tokens or more,
 has ``LEAST_SAME`` of its tokens equal.
 
-The benchmark is the stated query set: it is dealt into blocks of at most ``BLOCK_TOKENS`` tokens,
-and each block is held against all documents, which stay where they are. Documents are never
-shuffled or collected.
+No such stretch is missed: it holds one of STRETCH to 2 * STRETCH - 1 tokens that is as alike, and
+whichever tokens of that are replaced, one of ``MASKS`` hits (for items under STRETCH tokens, one of
+``SHORT_MASKS``); tests count this through.
 
-Tokens are runs of letters and digits, lower-cased. Items with fewer tokens than a mask spans use
-one contiguous seed of their whole length; items with fewer than ``LEAST_TOKENS`` tokens are no
-evidence and match nothing. Null and empty texts and items match nothing; equal items count once
-(the smallest id stands for them); repeated rows are judged each; other columns are ignored.
+The benchmark is the stated query set: it is dealt into blocks of at most ``BLOCK_TOKENS`` tokens,
+and each block's seeds are sent to all tasks, which join them with the seeds of their documents.
+Documents are never shuffled or collected. Findings of several blocks meet by the digest of the text,
+so the number of blocks changes no result.
+
+Tokens are runs of letters and digits, lower-cased. Items of ``LEAST_TOKENS`` to ``WHOLE`` tokens
+match only as a whole, by a contiguous seed of their length; items with fewer tokens are no evidence
+and match nothing. Null and empty texts and items match nothing; equal items count once (the
+smallest id stands for them); repeated rows are judged each by their own text; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks; the contiguous one serves short items.
-MASKS = ("111011011", "110110111", "101111101", "111100111", "11111")
-SPAN = 9
+from leadmill.llm.hashing import Running, mix
+from leadmill.llm.slices import by_bytes
+from leadmill.storage import broadcast_if_small, materialise
+
+#: Fixed masks for items of STRETCH tokens or more, and for those of more than WHOLE.
+MASKS = ("111011", "10010111", "111000101", "11111")
+SHORT_MASKS = ("111011", "11001011", "11111", "100100111", "110101001")
 STRETCH = 16
 LEAST_SAME = 0.75
-LEAST_TOKENS = 5
-BLOCK_TOKENS = 1_000_000
+LEAST_TOKENS, WHOLE = 5, 8
+BLOCK_TOKENS = 500_000
 _TOKEN = re.compile(r"[^\W_]+")
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_LUT: list[np.ndarray] = []
 
 
 def tokens_of(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-def _seed(ids: np.ndarray, mask: str, kind: int) -> np.ndarray:
-    """Hash of the tokens at a mask's 1s, for each position at which the mask fits."""
-    n = max(0, len(ids) - len(mask) + 1)
-    out = np.full(n, np.uint64(kind + 1))
+def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token of some texts, in order, and the number of its text."""
+    if not _LUT:
+        lut = np.zeros(sys.maxunicode + 1, dtype=bool)
+        lut[: 0x33480] = [chr(c).isalnum() for c in range(0x33480)]  # none beyond
+        _LUT.append(lut)
+    texts = ["\0" + (t or "").lower() + "\0" for t in texts]
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    own = _LUT[0][points]
+    starts, stops = np.flatnonzero(own[1:] & ~own[:-1]) + 1, np.flatnonzero(own[:-1] & ~own[1:]) + 1
+    ends = np.cumsum([len(t) for t in texts])
+    return Running(points).of(starts, stops), np.searchsorted(ends, starts, side="right")
+
+
+def _seeds(tokens: np.ndarray, at: np.ndarray, mask: str) -> np.ndarray:
+    """Hash of the tokens at a mask's 1s, for some positions."""
+    out = np.full(len(at), np.uint64(int(mask, 2) | 1 << len(mask)))
     for i, bit in enumerate(mask):
         if bit == "1":
-            out = (out ^ ids[i : i + n].astype(np.uint64)) * _FACTOR
-            out ^= out >> np.uint64(29)
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + tokens[at + i])
     return out
 
 
 class Block:
-    """Some items of the benchmark, their words numbered from 1, and their seeds in hash order."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.number: dict[str, int] = {}
-        self.items = [(item, np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], dtype=np.int64)) for item, words in items]
-        self.masks = [*MASKS, *("1" * n for n in range(LEAST_TOKENS, SPAN))]
-        hashes, places = [], []
-        for at, (_, ids) in enumerate(self.items):
-            for kind, mask in enumerate(self.masks):
-                if kind >= len(MASKS) and len(ids) != len(mask) or kind < len(MASKS) and len(ids) < SPAN:
-                    continue
-                seeds = _seed(ids, mask, kind)
-                hashes.append(seeds)
-                places.append(np.column_stack([np.full(len(seeds), at), np.arange(len(seeds))]))
-        hashes = np.concatenate(hashes or [np.zeros(0, dtype=np.uint64)])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.places = hashes[order], np.concatenate(places or [np.zeros((0, 2), dtype=np.int64)])[order]
-
-    def hits(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """(item, offset of the item's start in the document) of every seed that both have."""
-        found: list[np.ndarray] = []
-        known = ids > 0
-        if known.sum() < LEAST_TOKENS or not len(self.hashes):
-            return set()
-        for kind, mask in enumerate(self.masks):
-            n = len(ids) - len(mask) + 1
+    """Some items of the benchmark, as hashes of tokens laid end to end, and their seeds in hash order."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.ids = [item for item, _ in items]
+        self.sizes = np.array([len(t) for _, t in items], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.tokens = np.concatenate([t for _, t in items])
+        self.words = np.unique(self.tokens)
+        parts: dict[str, list] = {}
+        for at, size in enumerate(self.sizes.tolist()):
+            for mask in MASKS if size >= STRETCH else SHORT_MASKS if size > WHOLE else ("1" * size,):
+                places = np.arange(size - len(mask) + 1)
+                if len(places):
+                    parts.setdefault(mask, []).append((_seeds(self.tokens, self.begins[at] + places, mask), np.full(len(places), at, dtype=np.int32), places.astype(np.int32)))
+        self.seeds = {}
+        for mask, found in parts.items():
+            hashes, item, place = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            self.seeds[mask] = hashes[order], item[order], place[order]
+
+    def hits(self, tokens: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, where the item would start) of every seed that both have, each once."""
+        known = self.words[np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)] == tokens
+        found = [np.zeros((3, 0), dtype=np.int64)]
+        for mask, (hashes, item, place) in self.seeds.items():
+            n = len(tokens) - len(mask) + 1
             if n <= 0:
                 continue
-            whole = np.ones(n, dtype=bool)
+            whole = text[:n] == text[len(mask) - 1 :]
             for i, bit in enumerate(mask):
                 if bit == "1":
                     whole &= known[i : i + n]
             at = np.flatnonzero(whole)
-            if not len(at):
-                continue
-            seeds = _seed(ids, mask, kind)[at]
-            low, high = np.searchsorted(self.hashes, seeds), np.searchsorted(self.hashes, seeds, side="right")
+            seeds = _seeds(tokens, at, mask)
+            low, high = np.searchsorted(hashes, seeds), np.searchsorted(hashes, seeds, side="right")
             count = high - low
-            if not count.any():
-                continue
             row = np.repeat(np.arange(len(at)), count)
-            place = np.repeat(low, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            item, offset = self.places[place].T
-            found.append(np.unique(np.column_stack([item, at[row] - offset]), axis=0))
-        return {(int(i), int(o)) for rows in found for i, o in rows}
-
-    def overlap(self, ids: np.ndarray, item: int, offset: int) -> int:
+            own = np.repeat(low, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            found.append(np.stack([text[at[row]], item[own].astype(np.int64), at[row] - place[own]]))
+        text, item, start = np.concatenate(found, axis=1)
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        new = np.ones(len(text), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+        return text[new], item[new], start[new]
+
+    def overlap(self, tokens: np.ndarray, item: int, start: int, low: int, high: int) -> int:
         """Equal tokens in the best aligned stretch that is long and similar enough; else 0."""
-        own = self.items[item][1]
-        low, high = max(0, -offset), min(len(own), len(ids) - offset)
-        need = min(STRETCH, len(own))
+        need, begin = min(STRETCH, int(self.sizes[item])), int(self.begins[item])
         if high - low < need:
             return 0
-        same = own[low:high] == ids[low + offset : high + offset]
+        same = self.tokens[begin + low : begin + high] == tokens[start + low : start + high]
         # Of a stretch from i to j, above[j] - above[i] >= 0 says that LEAST_SAME of it is equal.
         above = np.concatenate([[0.0], np.cumsum(same - LEAST_SAME)])
         least = np.minimum.accumulate(above[: len(above) - need])
@@ -115,48 +135,76 @@ class Block:
         if gain.max() < -1e-9:
             return 0
         end = int(gain.argmax()) + need
-        start = int(above[: end - need + 1].argmin())
-        return int(same[start:end].sum())
-
-    def best(self, text: str | None) -> tuple[int, int, int] | None:
-        """(number of items found, the item that shares most, equal tokens), or nothing."""
-        words = tokens_of(text)
-        ids = np.fromiter(map(self.number.get, words, repeat(0)), dtype=np.int64, count=len(words))
-        found: dict[int, int] = {}
-        for item, offset in self.hits(ids):
-            same = self.overlap(ids, item, offset)
+        first = int(above[: end - need + 1].argmin())
+        return int(same[first:end].sum())
+
+    def best(self, texts: list[str | None]) -> list[tuple[int, int, int] | None]:
+        """For each text: number of items found, the item that shares most, equal tokens; or nothing."""
+        tokens, text = token_hashes(texts)
+        out: list[tuple[int, int, int] | None] = [None] * len(texts)
+        if not len(tokens):
+            return out
+        own, item, start = self.hits(tokens, text)
+        cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+        low, high = np.maximum(0, cuts[own] - start), np.minimum(self.sizes[item], cuts[own + 1] - start)
+        need = np.minimum(STRETCH, self.sizes[item])
+        enough = np.zeros(len(own), dtype=bool)
+        for i in range(0, len(own), 4096):  # a stretch that will do has this many equal tokens in all
+            size = (high - low)[i : i + 4096]
+            row = np.repeat(np.arange(len(size)), size)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low[i : i + 4096][row]
+            same = self.tokens[self.begins[item[i : i + 4096]][row] + nth] == tokens[start[i : i + 4096][row] + nth]
+            enough[i : i + 4096] = np.bincount(row, weights=same, minlength=len(size)) >= LEAST_SAME * need[i : i + 4096]
+        found: dict[int, dict[int, int]] = {}
+        for i in np.flatnonzero(enough).tolist():
+            same = self.overlap(tokens, int(item[i]), int(start[i]), int(low[i]), int(high[i]))
             if same:
-                found[item] = max(found.get(item, 0), same)
-        if not found:
-            return None
-        same, item = max((same, -self.items[item][0]) for item, same in found.items())
-        return len(found), -item, same
+                items = found.setdefault(int(own[i]), {})
+                items[int(item[i])] = max(items.get(int(item[i]), 0), same)
+        for row, items in found.items():
+            same, one = max((same, -self.ids[i]) for i, same in items.items())
+            out[row] = len(items), -one, same
+        return out
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
     """The benchmark's distinct items, block by block; no more than a block is on the driver at a time."""
-    items = benchmark.where("text is not null").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).orderBy("item_id")
+    items = benchmark.where("text is not null").groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id")).orderBy("item_id", "text")
     held, size = [], 0
     for row in items.toLocalIterator():
-        words = tokens_of(row["text"])
+        words, _ = token_hashes([row["text"]])
         if len(words) < LEAST_TOKENS:
             continue
         if held and size + len(words) > BLOCK_TOKENS:
             yield Block(held)
             held, size = [], 0
-        held.append((row["item_id"], words))
+        held.append((row["item_id"] if row["item_id"] is not None else -1, words))
         size += len(words)
     if held:
         yield Block(held)
 
 
 def _search(shared):
+    """Findings of a block beside the first columns of the rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        for batch in batches:
-            found = [block.best(t) for t in batch.column(1).to_pylist()]
+        for batch in by_bytes(batches, "text"):
+            found = shared.value.best(batch.column("text").to_pylist())
             columns = [[f and f[i] for f in found] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "items", "item_id", "same"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "items", "item_id", "same"])
+
+    return run
+
+
+def _digests(shared, nth: int):
+    """Findings of a block as (digest of the text, number of the block, finding), one for each text of a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            texts = list({t for t in batch.column("text").to_pylist() if t})
+            rows = [(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest(), nth, *f) for t, f in zip(texts, shared.value.best(texts)) if f]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), *(pa.int64(),) * 4), strict=True)], names=["digest", "block", "items", "item_id", "same"])
 
     return run
 
@@ -164,16 +212,19 @@ def _search(shared):
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items (benchmark items found), item_id (the one that shares most), n_same."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, items long, item_id long, same long"
-    parts = [rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(b)), schema) for b in blocks(benchmark)]
-    if not parts:
-        parts = [rows.select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("items", "item_id", "same")))]
-    found = parts[0]
-    if len(parts) > 1:  # a row has one line from each block
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        copies = F.count(F.lit(1)) / len(parts)
-        best = F.max(F.when(F.col("same") > 0, F.struct("same", (-F.col("item_id")).alias("item"))))
-        found = found.groupBy("doc_id").agg(copies.cast("int").alias("copies"), F.sum("items").alias("items"), best.alias("best"))
-        found = found.select(F.explode(F.array_repeat(F.struct("doc_id", "items", (-F.col("best.item")).alias("item_id"), F.col("best.same").alias("same")), F.col("copies"))).alias("r")).select("r.*")
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
+    if not shared:
+        found = rows.select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("items", "item_id", "same")))
+    elif len(shared) == 1:
+        found = rows.mapInArrow(_search(shared[0]), "doc_id long, items long, item_id long, same long")
+    else:
+        every = None
+        for nth, one in enumerate(shared):
+            part = rows.select("text").mapInArrow(_digests(one, nth), "digest binary, block long, items long, item_id long, same long")
+            every = part if every is None else every.unionByName(part)
+        best = F.max(F.struct("same", (-F.col("item_id")).alias("item"), "items"))
+        every = every.groupBy("digest", "block").agg(best.alias("best"), F.max("items").alias("items")).groupBy("digest").agg(F.sum("items").alias("items"), F.max("best").alias("best"))
+        every = every.select("digest", "items", (-F.col("best.item")).alias("item_id"), F.col("best.same").alias("same"))
+        texts = rows.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
+        found = texts.join(broadcast_if_small(materialise(every, "findings")), "digest", "left").select("doc_id", "items", "item_id", "same")
     return found.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), "item_id", F.coalesce("same", F.lit(0)).cast("long").alias("n_same"))

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -332,12 +333,61 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontamination.contamination(no_docs, benchmark).count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 30)
-    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(5)]
-    docs = spark.createDataFrame([(i, t) for i, t in items] + [(7, items[1][1] + " " + items[3][1]), (7, items[1][1] + " " + items[3][1]), (8, "clean")], "doc_id long, text string")
-    found = decontamination.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert len(found) == 8 and sorted(r.n_items for r in found if r.doc_id == 8) == [0] and {r.item_id for r in found if r.doc_id == 7} == {1}
+def _plain_overlap(text, item):
+    """Equal tokens of the best aligned stretch that is long and similar enough, by trying every one."""
+    x, y = decontamination.tokens_of(text), decontamination.tokens_of(item)
+    if len(y) < decontamination.LEAST_TOKENS:
+        return 0
+    need, share = min(decontamination.STRETCH, len(y)), 1 if len(y) <= decontamination.WHOLE else decontamination.LEAST_SAME
+    best = 0
+    for start in range(need - len(y), len(x) - need + 1):
+        same = [0 <= start + i < len(x) and x[start + i] == y[i] for i in range(len(y))]
+        low, high = max(0, -start), min(len(y), len(x) - start)
+        for i in range(low, high):
+            for j in range(i + need, high + 1):
+                if sum(same[i:j]) >= share * (j - i):
+                    best = max(best, sum(same[i:j]))
+    return best
+
+
+def test_decontamination_against_trying_every_alignment(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(40)}"
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((16, 17, 22, 30, 9, 12, 15, 6, 8, 4, 16))]
+    docs = [(None, "w1 w2"), (3, None), (3, "")]
+    for i in range(120):
+        copy = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, len(copy) // 3)):
+            copy[rng.randrange(len(copy))] = word()
+        copy = copy[rng.randint(0, 3) :]
+        docs.append((i // 2 if i % 9 else None, " ".join([word() for _ in range(rng.randint(0, 12))] + copy + [word() for _ in range(rng.randint(0, 12))])))
+    benchmark, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs + docs[-3:], "doc_id long, text string")
+    want = []
+    for doc_id, text in docs + docs[-3:]:
+        found = [n for n in (_plain_overlap(text, item) for _, item in items) if n]
+        want.append((doc_id, bool(found), len(found)))
+    for most in (decontamination.BLOCK_TOKENS, 40):
+        monkeypatch.setattr(decontamination, "BLOCK_TOKENS", most)
+        rows = decontamination.contamination(table, benchmark).collect()
+        assert Counter((r.doc_id, r.contaminated, r.n_items) for r in rows) == Counter(want)
+        shown = Counter((r.doc_id, r.item_id, r.n_same) for r in rows)
+        assert most == 40 and shown == before or most != 40
+        before = shown
+    assert sum(c for _, c, _ in want) > 30
+
+
+def test_masks_hit_whatever_tokens_are_replaced():
+    def missed(n, masks):
+        left = np.array([(1 << n) - 1 - sum(1 << i for i in gone) for gone in combinations(range(n), n // 4)], dtype=np.uint32)
+        for mask in masks:
+            bits = np.uint32(int(mask, 2))
+            for shift in range(n - len(mask) + 1):
+                left = left[(left >> np.uint32(shift)) & bits != bits]
+        return len(left)
+
+    # A stretch of other lengths from STRETCH on holds one of these that is as alike.
+    assert [missed(n, decontamination.MASKS) for n in (16, 20, 24)] == [0, 0, 0]
+    assert [missed(n, decontamination.SHORT_MASKS) for n in range(9, 16)] == [0] * 7
 
 
 def test_hash_of_kept_bytes_is_plain_sha():
