@@ -1,17 +1,21 @@
 """Suffix sorting of one shard by external induced sorting, with common prefixes carried along.
 
 Suffixes of type S (smaller than the next suffix) whose left neighbour is of type L are the seeds.
-Their substrings are sorted by a first induction and named; the string of names is one level of
-recursion. A second induction starts from the sorted seeds: scanning the suffixes in rising
-order, each one's left neighbour, if of type L, goes to the queue of its first symbol; scanning
-in falling order does the same for type S. A queue holds tuples (position, common prefix with the
-tuple before it); the common prefix of two induced suffixes is one more than the smallest between
-those that induced them. Queues are served by symbol, the smallest (or largest) first, so they
-are one monotone priority queue; what exceeds ``memory`` bytes goes to files in the task's own
-temporary folder, which is deleted afterwards.
+Their substrings are sorted by a first induction and named; where names repeat, the string of names is
+sorted by the same procedure, one level of recursion down. A second induction starts from the sorted
+seeds: scanning the suffixes in rising order, each one's left neighbour, if of type L, goes to the queue
+of its first symbol; scanning in falling order does the same for type S. A queue holds tuples (position,
+common prefix with the tuple before it); the common prefix of two induced suffixes is one more than the
+smallest between those that induced them. Queues are served by symbol, the smallest (or largest)
+first, so they are one monotone priority queue.
+
+What a shard needs lies on disk once it is larger than ``memory``: queues write their tuples to files, and
+the text, the types, the names and the result are arrays mapped from files in a temporary folder of the
+task, which is deleted afterwards. They are worked on in slices of a share of ``memory``. Large alphabets,
+those of names, are served some symbols at a time.
 
 Only the first ``depth`` symbols of suffixes matter to the caller: common prefixes stop there, and
-suffixes that agree that far may come in any order.
+suffixes that agree that far may come in any order. Symbols are compared themselves, never hashes.
 """
 
 from __future__ import annotations
@@ -19,201 +23,435 @@ from __future__ import annotations
 import os
 import tempfile
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 
-_B = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+class Disk:
+    """Arrays and queues of one shard: in memory while small, else in files of a folder."""
+
+    def __init__(self, folder: str, memory: int):
+        self.folder, self.memory, self.files = folder, memory, 0
+        self.slice = min(1 << 16, max(256, memory // 128))  # rows that are worked on at a time
+        self.group = min(1 << 15, self.slice)  # suffixes of a bucket of several symbols
+
+    def path(self) -> str:
+        self.files += 1
+        return os.path.join(self.folder, str(self.files))
+
+    def array(self, n: int, dtype) -> np.ndarray:
+        if n * np.dtype(dtype).itemsize <= self.memory // 8:
+            return np.zeros(n, dtype=dtype)
+        return np.memmap(self.path(), dtype=dtype, mode="w+", shape=(n,)).view(np.ndarray)
+
+    def slices(self, n: int) -> Iterator[tuple[int, int]]:
+        for low in range(0, n, self.slice):
+            yield low, min(n, low + self.slice)
 
 
 class BucketQueue:
-    """A monotone priority queue: arrays of (position, common prefix) tuples, kept by first symbol."""
+    """A monotone priority queue: arrays of (position, common prefix) tuples, kept by bucket."""
 
-    def __init__(self, folder: str, memory: int):
-        self.folder, self.memory, self.held = folder, memory, 0
+    def __init__(self, disk: Disk):
+        self.disk, self.held, self.file, self.end = disk, 0, None, 0
         self.rows: dict[int, list[np.ndarray]] = defaultdict(list)
-        self.files: dict[int, str] = {}
+        self.stored: dict[int, list[tuple[int, int]]] = defaultdict(list)  # (first row in the file, rows)
 
-    def push(self, symbol: int, tuples: np.ndarray) -> None:
-        self.rows[symbol].append(tuples)
-        self.held += tuples.nbytes
-        if self.held > self.memory:
+    def push(self, bucket: int, tuples: np.ndarray) -> None:
+        self.rows[bucket].append(tuples)
+        self.held += len(tuples)
+        if 8 * self.held > self.disk.memory // 4:
+            if self.file is None:
+                self.file = open(self.disk.path(), "w+b")  # noqa: SIM115
+            self.file.seek(8 * self.end)
             for key, parts in self.rows.items():
-                name = self.files.setdefault(key, os.path.join(self.folder, f"{id(self)}-{key}"))
-                with open(name, "ab") as file:
-                    for part in parts:
-                        file.write(np.ascontiguousarray(part).tobytes())
+                size = sum(map(len, parts))
+                self.file.write(np.concatenate(parts).tobytes())
+                self.stored[key].append((self.end, size))
+                self.end += size
             self.rows.clear()
             self.held = 0
 
-    def pop(self, symbol: int) -> np.ndarray:
-        """All tuples of a symbol, in the order in which they came."""
-        parts = self.rows.pop(symbol, [])
-        self.held -= sum(p.nbytes for p in parts)
-        if symbol in self.files:
-            name = self.files.pop(symbol)
-            parts.insert(0, np.fromfile(name, dtype=np.int32).reshape(-1, 2))
-            os.remove(name)
-        return np.concatenate(parts) if parts else np.zeros((0, 2), dtype=np.int32)
-
-
-class PrefixHashes:
-    """Hashes of any substring, from running sums modulo 2 ** 64."""
-
-    def __init__(self, text: np.ndarray):
-        n = len(text) + 1
-        up = np.full(n, _B)
-        up[0] = 1
-        self.total = np.zeros(n, dtype=np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * np.cumprod(up)[: n - 1], out=self.total[1:])
-        up[1:] = _INV
-        self.down = np.cumprod(up)
-
-    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        end = np.minimum(start + length, len(self.total) - 1)
-        return (self.total[end] - self.total[start]) * self.down[start]
-
-    def common_prefix(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-        """Length of the common prefix of pairs of suffixes, up to ``depth``, by bisection."""
-        most = np.minimum(depth, len(self.total) - 1 - np.maximum(a, b))
-        low, high = np.zeros(len(a), dtype=np.int64), most.astype(np.int64)
-        for _ in range(int(depth).bit_length()):
-            middle = (low + high + 1) // 2
-            same = self.of(a, middle) == self.of(b, middle)
-            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-        return low.astype(np.int32)
-
-
-def _is_small(text: np.ndarray) -> np.ndarray:
-    """Type S of each suffix; the last symbol must be the smallest and stand once."""
-    ends = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]]))
-    small = np.concatenate([text[ends[:-1]] < text[ends[:-1] + 1], [True]])
-    return np.repeat(small, np.diff(ends, prepend=-1))
+    def pop(self, bucket: int, back: bool = False) -> Iterator[np.ndarray]:
+        """All tuples of a bucket in slices, in the order in which they came, or from the last to the first."""
+        own = self.rows.pop(bucket, [])
+        self.held -= sum(map(len, own))
+        parts = [*self.stored.pop(bucket, []), *own]
+        most, held, size = self.disk.slice, [], 0
+        for part in reversed(parts) if back else parts:
+            rows = part[1] if isinstance(part, tuple) else len(part)
+            for low in range(0, rows, most):
+                high = min(rows, low + most)
+                if back:
+                    low, high = rows - high, rows - low
+                if isinstance(part, tuple):
+                    self.file.seek(8 * (part[0] + low))
+                    one = np.frombuffer(self.file.read(8 * (high - low)), dtype=np.int32).reshape(-1, 2)
+                else:
+                    one = part[low:high]
+                held.append(one[::-1] if back else one)
+                size += len(one)
+                if size >= most:
+                    yield np.concatenate(held)
+                    held, size = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+            os.remove(self.file.name)
+
+
+def _padded(disk: Disk, n: int, dtype) -> np.ndarray:
+    """An array of n symbols with room behind it for reading eight bytes at once."""
+    return disk.array(n + 8, dtype)
+
+
+def common_prefix(text: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Equal symbols of pairs of suffixes of a padded text, up to ``most``, compared eight bytes at a time."""
+    step = 8 // text.itemsize
+    words = np.ndarray((n,), dtype="<u8", buffer=text.data, strides=(text.itemsize,))
+    out = np.zeros(len(a), dtype=np.int64)
+    most = np.minimum(most, n - np.maximum(a, b))
+    live = np.flatnonzero(most > 0)
+    while len(live):
+        differ = words[a[live] + out[live]] ^ words[b[live] + out[live]]
+        # The lowest bit that differs tells how many whole symbols agree.
+        low = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        same = np.where(differ == 0, step, low // (8 * text.itemsize))
+        out[live] = np.minimum(out[live] + same, most[live])
+        live = live[(same == step) & (out[live] < most[live])]
+    return out
+
+
+class _Level:
+    """A text of one level of the recursion: symbols, types, seeds, and its buckets of symbols."""
+
+    def __init__(self, text: np.ndarray, n: int, symbols: int, disk: Disk):
+        self.text, self.n, self.symbols, self.disk = text, n, symbols, disk
+        self.small = disk.array(n, bool)
+        later = True  # the last symbol is the smallest and stands once
+        for low, high in reversed(list(disk.slices(n))):
+            here = text[low:high]
+            after = text[low + 1 : high + 1]
+            known = np.where(here < after, 1, np.where(here > after, 0, -1)).astype(np.int8)
+            if high == n:
+                known[-1] = 1
+            at = np.where(known >= 0, np.arange(high - low), high - low)
+            at = np.minimum.accumulate(at[::-1])[::-1]
+            self.small[low:high] = np.append(known == 1, later)[at]
+            later = bool(self.small[low])
+        count = sum(len(part) for part in self._seed_slices())
+        self.seeds = disk.array(count, np.int32)
+        at = 0
+        for part in self._seed_slices():
+            self.seeds[at : at + len(part)] = part
+            at += len(part)
+        self._deal()
+
+    def _seed_slices(self) -> Iterator[np.ndarray]:
+        for low, high in self.disk.slices(self.n):
+            left = np.append(True if low == 0 else self.small[low - 1], self.small[low : high - 1])
+            yield np.flatnonzero(self.small[low:high] & ~left) + low
+
+    def _deal(self) -> None:
+        """Symbols to buckets: one for each of a small alphabet; else some at a time, frequent ones alone."""
+        if self.symbols <= 512:
+            self.bucket, self.alone = np.arange(self.symbols), np.ones(self.symbols, dtype=bool)
+            return
+        counts = np.zeros(self.symbols, dtype=np.int64)
+        for low, high in self.disk.slices(self.n):
+            part = self.text[low:high]
+            first = int(part.min())
+            own = np.bincount(part - first)
+            counts[first : first + len(own)] += own
+        often = counts > self.disk.group // 16
+        often[0] = True  # the last symbol's suffix is induced by none
+        share = np.cumsum(np.where(often, 0, counts)) // self.disk.group
+        new = np.ones(self.symbols, dtype=bool)
+        new[1:] = (share[1:] != share[:-1]) | often[1:] | often[:-1]
+        self.bucket = np.cumsum(new) - 1
+        self.alone = np.zeros(int(self.bucket[-1]) + 1, dtype=bool)
+        self.alone[self.bucket[often]] = True
+        self.alone |= np.bincount(self.bucket) == 1
+
+    def queue(self, parts: Iterator[np.ndarray]) -> BucketQueue:
+        """A queue of tuples that are dealt by first symbol."""
+        out = BucketQueue(self.disk)
+        for part in parts:
+            bucket = self.bucket[self.text[part[:, 0]]]
+            order = np.argsort(bucket, kind="stable")
+            part, bucket = part[order], bucket[order]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(part) else []
+            for low, high in zip(cuts, [*cuts[1:], len(part)]):
+                out.push(int(bucket[low]), part[low:high])
+        return out
 
 
 class _Spread:
-    """Sends tuples' left neighbours to their queues, with common prefixes if they are wanted."""
+    """Sends tuples' left neighbours of one type to their queues, with common prefixes if they are wanted."""
+
+    def __init__(self, level: _Level, small: bool, queue: BucketQueue, depth: int):
+        self.level, self.small, self.queue, self.depth = level, small, queue, depth
+        # Smallest common prefix since a symbol's last tuple; -1: it has none yet.
+        self.since = np.full(level.symbols if depth else 0, -1, dtype=np.int32)
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, queue: BucketQueue, symbols: int, depth: int):
-        self.text, self.wanted, self.queue, self.depth = text, wanted, queue, depth
-        self.since = np.full(symbols, -1, dtype=np.int32)  # smallest common prefix since a symbol's last tuple; -1: it has none yet
+    def left(self, at: np.ndarray) -> np.ndarray:
+        """Rows whose left neighbour is induced."""
+        return np.flatnonzero((at > 0) & (self.level.small[at - 1] == self.small))
 
-    def __call__(self, tuples: np.ndarray, own: int) -> np.ndarray:
-        """Returns the induced tuples that belong to the very bucket being served."""
+    def __call__(self, tuples: np.ndarray, own: int = -1) -> np.ndarray:
+        """Returns the induced tuples that belong to the very bucket being served, ``own``."""
         at, prefix = tuples[:, 0], tuples[:, 1]
-        left = at - 1
-        rows = np.flatnonzero((at > 0) & self.wanted[left])
-        target = self.text[left[rows]]
-        order = np.argsort(target, kind="stable")
-        rows, target = rows[order], target[order]
-        same = np.zeros((0, 2), dtype=np.int32)
-        before = self.since.copy()
-        if self.depth and len(prefix):
+        rows = self.left(at)
+        target = self.level.text[at[rows] - 1].astype(np.int64)
+        bucket = self.level.bucket[target]
+        order = np.argsort(bucket, kind="stable")
+        rows, target, bucket = rows[order], target[order], bucket[order]
+        out = np.zeros((len(rows), 2), dtype=np.int32)
+        out[:, 0] = at[rows] - 1
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(rows) else np.zeros(0, dtype=np.int64)
+        ends = np.append(cuts[1:], len(rows))
+        if self.depth and len(tuples):  # buckets are single symbols then
+            before = self.since.copy()
             np.minimum(self.since, prefix.min(), out=self.since)
-        if not len(rows):
-            return same
-        cuts = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
-        for low, high in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
-            symbol, own_rows = int(target[low]), rows[low:high]
-            out = np.empty((high - low, 2), dtype=np.int32)
-            out[:, 0] = left[own_rows]
-            if self.depth:
+            for low, high in zip(cuts, ends):
+                symbol, own_rows = int(target[low]), rows[low:high]
                 between = np.minimum.reduceat(prefix, np.concatenate([[0], own_rows + 1])[: len(own_rows) + (own_rows[-1] + 1 < len(prefix))])
                 found = between[: len(own_rows)]
                 found[0] = min(found[0], before[symbol])
-                out[:, 1] = np.minimum(found + 1, self.depth)
+                out[low:high, 1] = np.minimum(found + 1, self.depth)
                 self.since[symbol] = between[-1] if len(between) > len(own_rows) else self.depth
+        same = out[:0]
+        for low, high in zip(cuts, ends):
+            if bucket[low] == own:
+                same = out[low:high]
             else:
-                out[:, 1] = 0
-            if symbol == own:
-                same = out
-            else:
-                self.queue.push(symbol, out)
+                self.queue.push(int(bucket[low]), out[low:high])
         return same
 
 
-def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, prefix: np.ndarray, symbols: int, folder: str, memory: int, hashes: PrefixHashes | None, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes in order, from seeds in order; and each one's common prefix with the one before."""
-    between = lambda a, b: hashes.common_prefix(a.astype(np.int64), b.astype(np.int64), depth)[0] if depth else 0
-    first = text[seeds]
-    starts = np.searchsorted(first, np.arange(symbols + 1))
-    rising, falling, larges = BucketQueue(folder, memory), BucketQueue(folder, memory), BucketQueue(folder, memory)
-    spread = _Spread(text, ~small, rising, symbols, depth)
-    for c in range(symbols):
-        part, last = rising.pop(c), None
-        while len(part):
-            larges.push(c, part)
-            last, part = part[-1:, 0], spread(part, c)
-        low, high = starts[c], starts[c + 1]
-        if low < high:
-            own = np.column_stack([seeds[low:high], prefix[low:high]]).astype(np.int32)
-            own[0, 1] = 0 if last is None else between(last, own[:1, 0])
-            spread(own, -1)
-    out_at, out_prefix = [], []
-    spread = _Spread(text, small, falling, symbols, depth)
-    for c in range(symbols - 1, -1, -1):
-        parts, part = [], falling.pop(c)
-        if c == 0:  # the last symbol, which no suffix induces
-            parts.append(np.array([[len(text) - 1, 0]], dtype=np.int32))
-        while len(part):
-            parts.append(part)
-            part = spread(part, c)
-        large = larges.pop(c)
-        if len(large):
-            back = large[::-1].copy()
-            back[1:, 1] = large[1:, 1][::-1]  # from the left neighbour's to the right neighbour's view
-            back[0, 1] = between(large[-1:, 0], parts[-1][-1:, 0]) if parts else 0
-            spread(back, -1)
-        s = np.concatenate(parts) if parts else np.zeros((0, 2), dtype=np.int32)
-        at = np.concatenate([large[:, 0], s[::-1, 0]])
-        lcp = np.zeros(len(at), dtype=np.int32)
-        lcp[: len(large)] = large[:, 1]
-        if len(s):
-            lcp[len(large) + 1 :] = s[1:, 1][::-1]
-            if len(large):
-                lcp[len(large)] = back[0, 1]
-        if len(at):
-            lcp[0] = 0
-        out_at.append(at)
-        out_prefix.append(lcp)
-    return np.concatenate(out_at[::-1]), np.concatenate(out_prefix[::-1])
-
-
-def _by_names(names: np.ndarray, rounds: int) -> np.ndarray:
-    """Ranks of the suffixes of a string of names by prefix doubling: the level under the induction."""
-    rank, step = names.astype(np.int64), 1
-    for _ in range(rounds):
-        after = np.zeros(len(rank), dtype=np.int64)
-        after[:-step] = rank[step:] + 1
-        found, rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)
-        step *= 2
-        if len(found) == len(rank) or step >= len(rank):
+def _runs_on(level: _Level, tuples: np.ndarray, depth: int) -> np.ndarray:
+    """All that tuples of one symbol induce in their own bucket, where they start with ``depth`` of it or more."""
+    at = tuples[:, 0].astype(np.int64)
+    out = []
+    while len(at):
+        at = at[at > 0] - 1
+        at = at[(level.text[at] == level.text[at + 1])]
+        out.append(at)
+    at = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+    return np.column_stack([at, np.full(len(at), depth)]).astype(np.int32)
+
+
+def _served(level: _Level, spread: _Spread, queue: BucketQueue, bucket: int, depth: int, far: int) -> Iterator[np.ndarray]:
+    """The tuples of a bucket of one symbol, in order, while they induce; those that they induce in it follow."""
+    waves = BucketQueue(level.disk)
+    source, generation = queue.pop(bucket), 0
+    while True:
+        some = False
+        for part in source:
+            some = True
+            yield part
+            if generation < far:
+                waves.push(generation + 1, spread(part, bucket))
+            else:  # a run of more than ``far`` equal symbols: its further suffixes agree as far as anyone asks
+                rest = _runs_on(level, part, depth)
+                spread(part, bucket)
+                for low in range(0, len(rest), level.disk.slice):
+                    yield rest[low : low + level.disk.slice]
+                    spread(rest[low : low + level.disk.slice], bucket)
+        if not some or generation >= far:
+            waves.close()
+            return
+        generation += 1
+        source = waves.pop(generation)
+
+
+def _group(level: _Level, spread: _Spread, arrived: np.ndarray, fixed: np.ndarray, falling: bool) -> np.ndarray:
+    """All tuples of a bucket of several symbols in order of service. ``arrived`` were induced from
+    outside; ``fixed`` (seeds, or type L when falling) stand behind the induced ones of their symbol."""
+    at = np.concatenate([arrived, fixed])[:, 0].astype(np.int64)
+    if not len(at):
+        return np.zeros((0, 2), dtype=np.int32)
+    bucket = level.bucket[level.text[at[0]]]
+    first, last = np.searchsorted(level.bucket, bucket), np.searchsorted(level.bucket, bucket, side="right")
+
+    def key(at: np.ndarray, kind: int) -> np.ndarray:
+        symbol = level.text[at].astype(np.int64)
+        return ((last - symbol if falling else symbol - first) << 41) | (kind << 40)
+
+    begun = len(at)
+    keys = [key(at[: len(arrived)], 0), key(at[len(arrived) :], 1)]
+    found, by, new, base = [at], [], at, 0
+    while len(new):  # all that the bucket induces in itself
+        rows = spread.left(new)
+        left = new[rows] - 1
+        inside = level.bucket[level.text[left]] == bucket
+        by.append(rows[inside] + base)
+        base, new = base + len(new), left[inside]
+        found.append(new)
+        keys.append(key(new, 0))
+    at, by, keys = np.concatenate(found), np.concatenate(by), np.concatenate(keys)
+    place = np.arange(len(at)) + np.where(np.arange(len(at)) < begun, 0, 1 << 38)
+    order = np.argsort(keys | place, kind="stable")
+    rank = np.empty(len(at), dtype=np.int64)
+    while len(by):
+        # What is induced from within follows what is from outside, in the order of what induced it.
+        rank[order] = np.arange(len(at))
+        place[begun:] = (1 << 38) + rank[by]
+        again = order[np.argsort((keys | place)[order], kind="stable")]
+        if (again == order).all():
             break
-    return rank
+        order = again
+    return np.column_stack([at[order], np.zeros(len(at))]).astype(np.int32)
+
+
+def _all(queue: BucketQueue, bucket: int, back: bool = False) -> np.ndarray:
+    return np.concatenate([np.zeros((0, 2), dtype=np.int32), *queue.pop(bucket, back)])
+
+
+def _induce(level: _Level, seeds: BucketQueue, depth: int, far: int) -> Iterator[np.ndarray]:
+    """All suffixes from the last to the first, with the common prefix of each with the one before it in
+    rising order, from seeds that lie in the queue in order. Without ``depth``, no prefixes."""
+    disk = level.disk
+    first = lambda a, b: int(common_prefix(level.text, level.n, np.array([a], dtype=np.int64), np.array([b], dtype=np.int64), np.array([depth]))[0]) if depth else 0
+    rising, falling, larges = BucketQueue(disk), BucketQueue(disk), BucketQueue(disk)
+    spread = _Spread(level, False, rising, depth)
+    buckets = len(level.alone)
+    for g in range(buckets):
+        if not level.alone[g]:
+            own = _all(seeds, g)
+            done = _group(level, spread, _all(rising, g), own, False)
+            large = done[~level.small[done[:, 0]]]
+            if len(large):
+                larges.push(g, large)
+            spread(done, g)
+            continue
+        last = None
+        for part in _served(level, spread, rising, g, depth, far):
+            larges.push(g, part)
+            last = int(part[-1, 0])
+        for part in seeds.pop(g):
+            if last is not None:
+                part[0, 1] = first(last, int(part[0, 0]))
+                last = None
+            spread(part)
+    spread = _Spread(level, True, falling, depth)
+    for g in range(buckets - 1, -1, -1):
+        if not level.alone[g]:
+            done = _group(level, spread, _all(falling, g), _all(larges, g, True), True)
+            if len(done):
+                spread(done, g)
+                yield done
+            continue
+        # Falling tuples hold the prefix with the one before them in service, the next greater suffix;
+        # the result wants the one with the next smaller, so each waits for the tuple that follows.
+        held = None
+
+        def turned(part: np.ndarray) -> np.ndarray:
+            nonlocal held
+            rows = part if held is None else np.concatenate([held, part])
+            out = rows[:-1].copy()
+            out[:, 1] = rows[1:, 1]
+            held = rows[-1:].copy()
+            return out
+
+        if g == 0:  # the last symbol, which no suffix induces
+            held = np.array([[level.n - 1, 0]], dtype=np.int32)
+        for part in _served(level, spread, falling, g, depth, far):
+            yield turned(part)
+        after = None
+        for part in larges.pop(g, True):
+            # From the prefix with the smaller neighbour to that with the greater one.
+            back = part.copy()
+            back[1:, 1] = part[:-1, 1]
+            back[0, 1] = after if after is not None else first(int(part[0, 0]), int(held[0, 0])) if held is not None else 0
+            after = int(part[-1, 1])
+            spread(back)
+            yield turned(back)
+        if held is not None:
+            held[:, 1] = 0
+            yield held
+    for queue in (rising, falling, larges, seeds):
+        queue.close()
+
+
+def _sorted_seeds(level: _Level, depth: int, far: int) -> np.ndarray:
+    """The level's seeds in order of their suffixes: names of their substrings, then the order of the names."""
+    disk, n, text, seeds = level.disk, level.n, level.text, level.seeds
+    count = len(seeds)
+    if count <= 1:
+        return seeds
+    as_tuples = lambda low, high: np.column_stack([seeds[low:high], np.zeros(high - low)]).astype(np.int32)
+    is_seed = disk.array(n, bool)
+    size = disk.array(n, np.int32)  # of a seed's substring, which ends with the next seed's first symbol
+    for low, high in disk.slices(count):
+        is_seed[seeds[low:high]] = True
+        size[seeds[low:high]] = np.diff(np.append(seeds[low:high], seeds[high] if high < count else n - 1)) + 1
+    order, end = disk.array(count, np.int32), count
+    for part in _induce(level, level.queue(as_tuples(*s) for s in disk.slices(count)), 0, far):
+        own = part[is_seed[part[:, 0]], 0]
+        order[end - len(own) : end] = own[::-1]
+        end -= len(own)
+    names, last, name = disk.array(n, np.int32), None, -1
+    for low, high in disk.slices(count):
+        here = order[low:high].astype(np.int64)
+        before = np.append(here[0] if last is None else last, here[:-1])
+        long = size[here]
+        same = (size[before] == long) & (common_prefix(text, n, before, here, long) >= long)
+        if last is None:
+            same[0] = False
+        name_of = np.cumsum(~same) + name
+        names[here] = name_of
+        last, name = int(here[-1]), int(name_of[-1])
+    deeper = (depth + 1) // 2  # seeds are at least two symbols apart
+    if name + 1 == count or deeper <= 1:
+        return order
+    reduced = _padded(disk, count, np.int32)
+    for low, high in disk.slices(count):
+        reduced[low:high] = names[seeds[low:high]]
+    below = _Level(reduced, count, name + 1, disk)
+    ranked, end = disk.array(count, np.int32), count
+    for part in _induce(below, below.queue(np.column_stack([s, np.zeros(len(s))]).astype(np.int32) for s in _in_slices(disk, _sorted_seeds(below, deeper, deeper))), 0, deeper):
+        ranked[end - len(part) : end] = seeds[part[::-1, 0]]
+        end -= len(part)
+    return ranked
+
+
+def _in_slices(disk: Disk, x: np.ndarray) -> Iterator[np.ndarray]:
+    for low, high in disk.slices(len(x)):
+        yield x[low:high]
+
+
+def suffixes(text: np.ndarray, n: int, symbols: int, depth: int, disk: Disk) -> Iterator[np.ndarray]:
+    """Suffixes of a padded ``text`` of n symbols, from the last to the first in order of their first
+    ``depth`` symbols, as slices of (position, common prefix, at most ``depth``, with the one before in
+    rising order). The text must end in a single 0; there are at most 512 symbols. Between slices, and
+    between symbols, prefixes are 0 or more as they are: nothing is cut."""
+    level = _Level(text, n, symbols, disk)
+    ranked = _sorted_seeds(level, depth, depth)
+
+    def seeded() -> Iterator[np.ndarray]:
+        last = None
+        for part in _in_slices(disk, ranked):
+            here = part.astype(np.int64)
+            before = np.append(here[0] if last is None else last, here[:-1])
+            prefix = common_prefix(text, n, before, here, np.full(len(here), depth))
+            if last is None:
+                prefix[0] = 0
+            last = int(here[-1])
+            yield np.column_stack([here, prefix]).astype(np.int32)
+
+    yield from _induce(level, level.queue(seeded()), depth, depth)
 
 
-def suffix_order(text: np.ndarray, symbols: int, depth: int, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of ``text`` in order of their first ``depth`` symbols, and each one's common prefix
-    (at most ``depth``) with the one before. ``text`` must end in a single 0."""
-    small = _is_small(text)
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    hashes = PrefixHashes(text)
+def suffix_order(text: np.ndarray, symbols: int, depth: int, memory: int = 256 << 20) -> tuple[np.ndarray, np.ndarray, int]:
+    """All of ``suffixes`` in rising order: positions, common prefixes, and how many files were used."""
     with tempfile.TemporaryDirectory(prefix="induced") as folder:
-        if len(seeds) > 1:
-            by_symbol = seeds[np.argsort(text[seeds], kind="stable")]
-            order, _ = _induce(text, small, by_symbol, np.zeros(len(seeds), dtype=np.int32), symbols, folder, memory, None, 0)
-            is_seed = np.zeros(len(text), dtype=bool)
-            is_seed[seeds] = True
-            order = order[is_seed[order]]  # sorted by their substrings up to the next seed
-            length = np.empty(len(text), dtype=np.int32)
-            length[seeds] = np.append(np.diff(seeds), 0) + 1
-            spelled = hashes.of(order, length[order])
-            new = np.concatenate([[False], (spelled[1:] != spelled[:-1]) | (length[order][1:] != length[order][:-1])])
-            names = np.empty(len(text), dtype=np.int64)
-            names[order] = np.cumsum(new)
-            rank = _by_names(names[seeds], int(depth).bit_length())
-            seeds = seeds[np.argsort(rank, kind="stable")]
-        prefix = np.zeros(len(seeds), dtype=np.int32)
-        if len(seeds) > 1:
-            prefix[1:] = hashes.common_prefix(seeds[:-1].astype(np.int64), seeds[1:].astype(np.int64), depth)
-        return _induce(text, small, seeds, prefix, symbols, folder, memory, hashes, depth)
+        disk = Disk(folder, memory)
+        own = _padded(disk, len(text), text.dtype)
+        own[: len(text)] = text
+        found = np.concatenate([part[::-1] for part in suffixes(own, len(text), symbols, depth, disk)][::-1])
+        return found[:, 0].copy(), found[:, 1].copy(), disk.files

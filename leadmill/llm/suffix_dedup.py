@@ -1,20 +1,20 @@
 """Removal of repeated passages by suffix sorting: external induced sorting of shards.
 
-A byte goes if a string of ``LENGTH`` bytes covers it that also starts anywhere else. Strings are
+A byte goes if a string of ``length`` bytes covers it that also starts anywhere else. Strings are
 judged on the input; matches never cross documents.
 
 Equal strings must meet in one shard, so each string is dealt by its minimizer: of its ``KMER``-byte
 pieces, the one of the smallest hash. Consecutive strings with one minimizer form a segment. Only
-keys and hashes of segments are shuffled at first. A segment whose bytes stand elsewhere as a whole is
-repeated and needs no sorting; one whose minimizer stands nowhere else cannot repeat; what remains,
-different segments with one minimizer, is fetched and dealt into shards, and each shard's suffixes
-are put in order by ``induced_sort``, whose queues go to disk beyond ``MEMORY``. Neighbours with a
-common prefix of LENGTH bytes are repeats. A minimizer with more than ``HOT`` different segments is
-dealt again by the place of the minimizer in the string, which equal strings share.
+keys and 128-bit digests of segments are shuffled at first. A segment that is the only one with its
+minimizer, and stands once, cannot repeat; all others are fetched, those that stand several times as two
+copies, dealt into shards by minimizer, and each shard's suffixes are put in order by ``induced_sort``.
+Neighbours with a common prefix of ``length`` bytes are repeats; nothing else is. A minimizer with more
+than ``HOT`` different segments is dealt further by the strings' second minimizer, which equal strings
+share too. A shard's text goes to disk as it arrives, and a shard larger than ``MEMORY`` is sorted there.
 
-Equal texts are one text that stands several times: all its strings repeat.
+Equal texts are fetched as one text that stands twice.
 
-Defined results: a null text is empty; texts under LENGTH bytes keep all; repeated rows count as
+Defined results: a null text is empty; texts under ``length`` bytes keep all; repeated rows count as
 copies of each other; null ids are allowed; an empty table gives no rows; extra columns are kept
 by ``deduplicated`` and ignored by ``removals``.
 """
@@ -22,6 +22,8 @@ by ``deduplicated`` and ignored by ``removals``.
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,29 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.induced_sort import suffix_order
+from leadmill.llm.hashing import mix, powers
+from leadmill.llm.induced_sort import Disk, suffixes
+from leadmill.llm.slices import by_bytes
 from leadmill.storage import broadcast_if_small, materialise, scratch
 
 LENGTH, KMER = 400, 64
-SHARD_BYTES = 1 << 20
-MEMORY = 16 << 20
-HOT = 2000
-OFFSETS = 32  # places of the minimizer that a hot one's strings are dealt by
-_B, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(20, int(n).bit_length())
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)])) for b in (_B, _INV)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+SHARD_BYTES = 4 << 20
+MEMORY = 4 << 20
+HOT = 500
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,148 +53,200 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: text, first start (in its text), number of starts, place of the
-    minimizer after the first start, key of the minimizer, hash of the segment's bytes."""
-    begins = np.concatenate([[0], ends[:-1]])
-    none = (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=np.uint64),) * 2
-    if len(data) < LENGTH:
-        return none
-    up, down = _powers(len(data) + 1)
+def piece_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the KMER bytes that begin at each place."""
+    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    pieces = _mix((total[KMER:] - total[:-KMER]) * down[: len(data) - KMER + 1])
+    return mix((total[KMER:] - total[:-KMER]) * down[: len(data) - KMER + 1])
+
+
+def minimizers(pieces: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of every ``width`` hashes, the leftmost of equal ones."""
     at = np.arange(len(pieces), dtype=np.uint64)
     bits = np.uint64(max(1, int(len(pieces)).bit_length()))
-    # Hash first, then place: the leftmost of equal pieces is the minimizer.
-    least = _sliding_min(((pieces >> bits) << bits) | at, LENGTH - KMER + 1)
-    least = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    text = np.repeat(np.arange(len(ends)), np.maximum(0, ends - begins - LENGTH + 1))
+    least = _sliding_min(((pieces >> bits) << bits) | at, width)
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end: text, first start (in its text), number of starts, place of the
+    minimizer after the first start, key of the minimizer."""
+    begins = np.concatenate([[0], ends[:-1]])
+    if len(data) < length:
+        return (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=np.uint64),)
+    pieces = piece_hashes(data)
+    least = minimizers(pieces, length - KMER + 1)
+    starts = np.maximum(0, ends - begins - length + 1)
+    text = np.repeat(np.arange(len(ends)), starts)
     if not len(text):
-        return none
-    start = begins[text] + np.arange(len(text)) - np.repeat(np.cumsum(np.maximum(0, ends - begins - LENGTH + 1)) - np.maximum(0, ends - begins - LENGTH + 1), np.maximum(0, ends - begins - LENGTH + 1))
+        return (text,) * 4 + (np.zeros(0, dtype=np.uint64),)
+    start = begins[text] + np.arange(len(text)) - np.repeat(np.cumsum(starts) - starts, starts)
     piece = least[start]
     new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])])
     heads = np.flatnonzero(new)
     count = np.diff(np.append(heads, len(text)))
     first, text, piece = start[heads], text[heads], piece[heads]
-    last = first + count - 1 + LENGTH
-    spelled = _mix((total[last] - total[first]) * down[first] + count.astype(np.uint64))
-    return text, first - begins[text], count, piece - first, pieces[piece], spelled
-
-
-def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([len(t) for t in texts])
-
-
-def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts with about ``most`` bytes."""
-    low, held = 0, 0
-    for i, size in enumerate(sizes):
-        held += size
-        if held >= most:
-            yield low, i + 1
-            low, held = i + 1, 0
-    if low < len(sizes):
-        yield low, len(sizes)
-
-
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """Batches in slices, so that few texts are Python objects at a time."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, rows):
-            yield batch.slice(low, rows)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        texts = batch.column("bytes").to_pylist()
-        for low, high in _groups([len(t) for t in texts], 1 << 19):
-            text, first, count, place, key, spelled = segments(*_laid(texts[low:high]))
-            at = pa.array(text + low)
-            yield pa.RecordBatch.from_arrays([batch.column("digest").take(at), batch.column("doc_id").take(at), *map(pa.array, (first, count, place, key.view(np.int64), spelled.view(np.int64)))], names=["digest", "doc_id", "first", "count", "place", "key", "spelled"])
-
-
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted segments; those of a hot minimizer cut by the place of the minimizer."""
-    for batch in _slices(batches):
-        rows = []
-        for text, digest, wanted in zip(batch.column("bytes").to_pylist(), batch.column("digest").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            for w in wanted:
-                first, count = w["first"], w["count"]
-                low = 0
-                while low < count:
-                    # Strings whose minimizer lies ``place - low`` bytes after their start.
-                    dealt = (w["place"] - low) // OFFSETS if w["hot"] else 0
-                    high = min(count, w["place"] - dealt * OFFSETS + 1) if w["hot"] else count
-                    rows.append((w["key"], dealt, digest, first, low, w["spelled"], text[first + low : first + high - 1 + LENGTH]))
-                    low = high
-            if len(rows) >= 1000:
-                yield _fetched(rows)
-                rows = []
+    return text, first - begins[text], count, piece - first, pieces[piece]
+
+
+def _digests(pieces: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), dtype=np.int64).reshape(-1, 2)
+
+
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "bytes"):
+            texts = batch.column("bytes").to_pylist()
+            whole = b"".join(texts)
+            ends = np.cumsum([len(t) for t in texts])
+            text, first, count, place, key = segments(np.frombuffer(whole, dtype=np.uint8), ends, length)
+            low = np.concatenate([[0], ends[:-1]]).astype(np.int64)[text] + first
+            spelled = _digests([whole[i:j] for i, j in zip(low.tolist(), (low + count - 1 + length).tolist(), strict=True)])
+            at = pa.array(text)
+            columns = [batch.column(c).take(at) for c in ("digest", "doc_id", "several")]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c.astype(np.int32)) for c in (first, count, place)), *map(pa.array, (key.view(np.int64), spelled[:, 0], spelled[:, 1]))], names=["digest", "doc_id", "several", "first", "count", "place", "key", "a", "b"])
+
+    return run
+
+
+_FETCHED = "key long, dealt long, a long, b long, low int, twice boolean, piece binary"
+
+
+def _second(piece: bytes, key: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of a piece by their second minimizer: where each run of one begins, and its hash."""
+    hashes = piece_hashes(np.frombuffer(piece, dtype=np.uint8))
+    hashes[hashes == np.int64(key).view(np.uint64)] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    least = minimizers(hashes, length - KMER + 1)
+    heads = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    return heads, hashes[least[heads]].view(np.int64)
+
+
+def _fetch(length: int):
+    """Bytes of the wanted segments; those of a hot minimizer cut by the second minimizer."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+    names = [c.split()[0] for c in _FETCHED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        for batch in by_bytes(batches, "bytes"):
+            for text, wanted in zip(batch.column("bytes").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                for w in wanted:
+                    whole = text[w["first"] : w["first"] + w["count"] - 1 + length]
+                    heads, dealt = _second(whole, w["key"], length) if w["hot"] else (np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
+                    stops = np.append(heads[1:], w["count"]) - 1 + length
+                    for low, high, key in zip(heads.tolist(), stops.tolist(), dealt.tolist(), strict=True):
+                        rows.append((w["key"], key, w["a"], w["b"], low, w["twice"], whole[low:high]))
+                        held += high - low
+                    if held > 1 << 20:
+                        yield out()
+                        rows, held = [], 0
         if rows:
-            yield _fetched(rows)
-
-
-_FETCHED = "key long, dealt long, digest binary, first long, low long, spelled long, piece binary"
-
-
-def _fetched(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "dealt", "digest", "first", "low", "spelled", "piece"])
-
-
-def repeats(pieces: list[bytes], memory: int = MEMORY) -> list[np.ndarray]:
-    """For each piece: the starts of its strings of LENGTH bytes that also start elsewhere in the shard."""
-    sizes = np.array([len(p) for p in pieces])
-    ends = np.cumsum(sizes + 1)
-    text = np.ones(ends[-1] + 1, dtype=np.uint16)
-    text[-1] = 0
-    for piece, end in zip(pieces, ends, strict=True):
-        text[end - 1 - len(piece) : end - 1] = np.frombuffer(piece, dtype=np.uint8).astype(np.uint16) + 2
-    order, prefix = suffix_order(text, 258, LENGTH, memory)
-    hit = prefix >= LENGTH
-    hit[:-1] |= hit[1:].copy()
-    found = np.sort(order[hit].astype(np.int64))
-    piece = np.searchsorted(ends, found, side="right")
-    start = found - (ends - sizes - 1)[piece.clip(0, len(sizes) - 1)]
-    inside = start + LENGTH <= sizes[piece.clip(0, len(sizes) - 1)]
-    piece, start = piece[inside], start[inside]
-    cuts = np.searchsorted(piece, np.arange(len(pieces) + 1))
-    return [start[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
-    """Runs (first, last) of consecutive numbers."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True))
-
-
-def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of (key, dealt, digest, first); whole groups are sorted some SHARD_BYTES at a time."""
-    held: list[tuple] = []
-    size, group, seen = 0, None, None
-
-    def shard() -> pa.RecordBatch:
-        out = [(key, spelled, low + a, low + b) for (key, spelled, low, _), starts in zip(held, repeats([h[3] for h in held]), strict=True) for a, b in _runs(starts)]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["key", "spelled", "start", "stop"])
-
-    for batch in _slices(batches, 1000):
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key, dealt, digest, first, low, spelled, piece = row
-            if (key, dealt, digest, first, low) == seen:  # one text that two rows with one id and text brought
+            yield out()
+
+    return run
+
+
+class Shard:
+    """Pieces that are sorted together. Their text is written to a file as they come."""
+
+    def __init__(self, folder: str, length: int, memory: int):
+        self.length, self.memory = length, memory
+        self.folder = tempfile.mkdtemp(dir=folder)
+        self.file = open(os.path.join(self.folder, "text"), "wb")  # noqa: SIM115
+        self.sizes: list[np.ndarray] = []
+        self.bytes, self.files = 0, 0
+
+    def add(self, pieces: pa.Array) -> None:
+        size = np.diff(np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset : pieces.offset + len(pieces) + 1])
+        low = int(np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset])
+        data = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)[low : low + int(size.sum())]
+        out = np.ones(len(data) + len(size), dtype=np.uint16)  # 1 stands behind each piece
+        out[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.uint16) + 2
+        self.file.write(out.tobytes())
+        self.sizes.append(size.astype(np.int64))
+        self.bytes += len(data)
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Piece, first and last of each run of starts whose strings also start elsewhere in the shard."""
+        self.file.write(np.zeros(9, dtype=np.uint16).tobytes())  # the end, and room for reading eight bytes at once
+        self.file.close()
+        sizes = np.concatenate(self.sizes)
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        n = int(sizes.sum()) + len(sizes) + 1
+        text = np.memmap(self.file.name, dtype=np.uint16, mode="r").view(np.ndarray)
+        disk = Disk(self.folder, self.memory)
+        hit, carried = disk.array(n, bool), False
+        for part in suffixes(text, n, 258, self.length, disk):  # from the last suffix to the first
+            if not len(part):
                 continue
-            seen = (key, dealt, digest, first, low)
-            if size >= SHARD_BYTES and (key, dealt) != group:
-                yield shard()
-                held, size = [], 0
-            group = (key, dealt)
-            held.append((key, spelled, low, piece))
-            size += len(piece)
-    if held:
-        yield shard()
+            found = part[:, 1] >= self.length
+            hit[part[found | np.append(carried, found[:-1]), 0]] = True
+            carried = bool(found[-1])
+        self.files = disk.files
+        for low, high in disk.slices(len(sizes)):
+            at = np.flatnonzero(hit[begins[low] : begins[high - 1] + sizes[high - 1]]) + begins[low]
+            piece = np.searchsorted(begins, at, side="right") - 1
+            start = at - begins[piece]
+            inside = start + self.length <= sizes[piece]
+            piece, start = piece[inside], start[inside]
+            if len(piece):
+                new = np.append(True, (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1))
+                yield piece[new], start[new], start[np.append(new[1:], True)]
+
+
+def _sort_shards(length: int, shard_bytes: int, memory: int):
+    """Rows come in order of (key, dealt, a, b, low); whole groups (key, dealt) are sorted, about
+    ``shard_bytes`` at a time, larger ones each as one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory(prefix="suffixes") as folder:
+            shard, about, last, seen = None, [], None, None
+
+            def done() -> Iterator[pa.RecordBatch]:
+                key, a, b, low, shown = (np.concatenate(c) for c in zip(*about, strict=True))
+                for piece, start, stop in shard.repeats():
+                    own = shown[piece]
+                    piece, start, stop = piece[own], start[own], stop[own]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[piece], a[piece], b[piece], low[piece] + start, low[piece] + stop)], names=["key", "a", "b", "start", "stop"])
+
+            for batch in by_bytes(batches, "piece", 1 << 20, 4096):
+                key, dealt, a, b, low = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "dealt", "a", "b", "low"))
+                group = np.append(last is None or (key[0], dealt[0]) != last, (key[1:] != key[:-1]) | (dealt[1:] != dealt[:-1]))
+                # One text that two rows with one id and text brought stands once.
+                fresh = np.append(True, group[1:] | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (low[1:] != low[:-1]))
+                fresh[0] = (key[0], dealt[0], a[0], b[0], low[0]) != seen
+                last, seen = (key[-1], dealt[-1]), (key[-1], dealt[-1], a[-1], b[-1], low[-1])
+                sizes = np.cumsum(np.diff(np.frombuffer(batch.column("piece").buffers()[1], dtype=np.int32)[batch.column("piece").offset :][: batch.num_rows + 1]))
+                heads = np.flatnonzero(group).tolist()
+                cuts, since = [0], 0
+                for at in heads:  # a group that would begin beyond the shard's bytes begins a new one
+                    held = (shard.bytes if shard and len(cuts) == 1 else 0) + (int(sizes[at - 1]) if at else 0) - since
+                    if held >= shard_bytes:
+                        cuts.append(at)
+                        since = int(sizes[at - 1]) if at else 0
+                for i, (first, stop) in enumerate(zip(cuts, [*cuts[1:], batch.num_rows])):
+                    if i and shard:
+                        yield from done()
+                        shard, about = None, []
+                    own = np.flatnonzero(fresh[first:stop]) + first
+                    if not len(own):
+                        continue
+                    times = 1 + batch.column("twice").to_numpy(zero_copy_only=False)[own].astype(np.int64)
+                    rows = np.repeat(own, times)
+                    if shard is None:
+                        shard = Shard(folder, length, memory)
+                    shard.add(batch.column("piece").take(pa.array(rows)))
+                    about.append((key[rows], a[rows], b[rows], low[rows], np.append(True, rows[1:] != rows[:-1])))
+            if shard:
+                yield from done()
+
+    return run
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -219,71 +259,65 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """The documents with ``bytes`` and ``digest``; and for each digest with repeats its spans of bytes."""
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     rows = docs.withColumns({"bytes": text, "digest": F.unhex(F.md5(text))})
-    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "digest", F.length("bytes").alias("n"))
-    copies = ids.where(F.col("n") >= LENGTH).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("one"), F.first("n").alias("n")).where("copies > 1")
-    copies = materialise(copies, "equal_texts")
-    single = rows.where(F.length("bytes") >= LENGTH).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "digest", "bytes")
-    single = single.join(broadcast_if_small(copies.select("digest", "one")), "digest", "left").where("one is null or one = doc_id").drop("one")
-    cut = materialise(single.mapInArrow(_cut, "digest binary, doc_id long, first long, count long, place long, key long, spelled long"), "segments")
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    single = rows.where(F.length("bytes") >= length).select(doc_id.alias("doc_id"), "digest", "bytes")
+    copies = single.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")).where("copies > 1").select("digest", "one")
+    single = single.join(broadcast_if_small(materialise(copies, "equal_texts")), "digest", "left").where("one is null or one = doc_id").withColumn("several", F.col("one").isNotNull()).drop("one")
+    cut = materialise(single.mapInArrow(_cut(length), "digest binary, doc_id long, several boolean, first int, count int, place int, key long, a long, b long"), "segments")
     # A class is all segments with the same bytes; its first stands for it.
     site = F.struct("digest", "doc_id", "first")
-    classes = cut.groupBy("key", "spelled").agg(F.min(site).alias("one"), F.max(site).alias("other"), F.first("count").alias("count"), F.first("place").alias("place"))
-    classes = classes.select("key", "spelled", "one", "count", "place", (F.struct("one.digest", "one.first") != F.struct("other.digest", "other.first")).alias("twice"))
+    classes = cut.groupBy("key", "a", "b").agg(F.min(site).alias("one"), F.max(site).alias("other"), F.max("several").alias("several"), F.first("count").alias("count"), F.first("place").alias("place"))
+    classes = classes.select("key", "a", "b", "one", "count", (F.col("several") | (F.struct("one.digest", "one.first") != F.struct("other.digest", "other.first"))).alias("twice"))
     classes = materialise(classes, "classes")
-    several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    unsorted = classes.join(several, "key").select("key", "spelled", "one.digest", "one.doc_id", "one.first", "count", "place", (F.col("kinds") > HOT).alias("hot"))
-    unsorted = materialise(unsorted, "unsorted")
-    amount, number = unsorted.agg(F.sum(F.col("count") + LENGTH), F.count(F.lit(1))).first()
-    wanted = unsorted.groupBy("digest", "doc_id").agg(F.collect_list(F.struct("first", "count", "place", "key", "spelled", "hot")).alias("wanted"))
-    if number <= 500_000:
-        wanted = F.broadcast(wanted)
-    pieces = single.join(wanted, ["digest", "doc_id"]).select("bytes", "digest", "wanted").mapInArrow(_fetch, _FETCHED)
-    shards = max(1, int((amount or 0) // (4 * SHARD_BYTES)) + 1)
-    ordered = pieces.repartition(shards, "key", "dealt").sortWithinPartitions("key", "dealt", "digest", "first", "low")
-    by_sort = ordered.mapInArrow(_sort_shards, "key long, spelled long, start long, stop long")
-    as_whole = classes.where("twice").select("key", "spelled", F.lit(0).cast("long").alias("start"), (F.col("count") - 1).alias("stop"))
-    found = materialise(by_sort.unionByName(as_whole), "repeated_strings")
-    spans = cut.join(found, ["key", "spelled"]).select("digest", F.struct((F.col("first") + F.col("start")).alias("low"), (F.col("first") + F.col("stop") + LENGTH).alias("high")).alias("span"))
-    spans = spans.unionByName(copies.select("digest", F.struct(F.lit(0).cast("long").alias("low"), F.col("n").cast("long").alias("high")).alias("span")))
+    kinds = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any")).where("kinds > 1 or any").drop("any")
+    unsorted = materialise(classes.join(kinds, "key").select("key", "a", "b", "one.digest", "one.doc_id", "one.first", "count", "twice", (F.col("kinds") > HOT).alias("hot")), "unsorted")
+    amount = unsorted.agg(F.sum((F.col("count") + length) * F.when(F.col("twice"), 2).otherwise(1))).first()[0]
+    wanted = materialise(unsorted.groupBy("digest", "doc_id").agg(F.collect_list(F.struct("first", "count", "key", "a", "b", "hot", "twice")).alias("wanted")), "wanted")
+    pieces = single.join(broadcast_if_small(wanted), ["digest", "doc_id"]).select("bytes", "wanted").mapInArrow(_fetch(length), _FETCHED)
+    shards = max(1, int((amount or 0) // (3 * SHARD_BYTES)) + 1)
+    ordered = pieces.repartition(shards, "key", "dealt").sortWithinPartitions("key", "dealt", "a", "b", "low")
+    found = materialise(ordered.mapInArrow(_sort_shards(length, SHARD_BYTES, MEMORY), "key long, a long, b long, start long, stop long"), "repeated_strings")
+    spans = cut.join(broadcast_if_small(found), ["key", "a", "b"]).select("digest", F.struct((F.col("first") + F.col("start")).alias("low"), (F.col("first") + F.col("stop") + length).alias("high")).alias("span"))
     return rows, materialise(spans.groupBy("digest").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in by_bytes(batches, "bytes"):
         kept_rest = batch.drop_columns(["bytes", "spans"])
         out = []
         for text, spans in zip(batch.column("bytes").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             gone = _merged([(s["low"], s["high"]) for s in spans or []])
             edges = [0, *(e for span in gone for e in span), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept))
+            out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
         columns = list(zip(*out, strict=True)) or [()] * 5
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([*kept_rest.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept_rest.schema.names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([*kept_rest.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept_rest.schema.names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-_REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
+_REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
-def _removed(docs: DataFrame, columns: list[str]) -> DataFrame:
+def _removed(docs: DataFrame, columns: list[str], length: int) -> DataFrame:
     with scratch(docs.sparkSession) as made:
-        rows, spans = repeated_spans(docs)
+        rows, spans = repeated_spans(docs, length)
         made.keep(spans)
     joined = rows.select(*columns, "bytes", "digest").join(broadcast_if_small(spans), "digest", "left").select(*columns, "bytes", "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*columns).schema.fields)
     return joined.mapInArrow(_remove, f"{fields}, {_REMOVED}")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``."""
-    return _removed(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and shortened (something was removed) for each row of ``docs``."""
+    out = _removed(docs.select("doc_id", "text"), ["doc_id"], length)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("shortened"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` (doc_id, text and others) with the repeated passages cut out of ``text``.
 
     A character that a cut goes through is dropped; a null text stays null.
@@ -291,11 +325,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
     own = {c: f"own_{i}" for i, c in enumerate(kept)}
     held = docs.select("text", F.col("doc_id"), F.struct(*(F.col(c).alias(own[c]) for c in kept)).alias("held"), F.col("text").isNull().alias("no_text"))
-    out = _removed(held, ["held", "no_text"])
-
-    @F.pandas_udf("string")
-    def decoded(kept):
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    text = F.when(~F.col("no_text"), decoded("kept_bytes"))
+    out = _removed(held, ["held", "no_text"], length)
+    text = F.when(~F.col("no_text"), F.col("kept_text"))
     return out.select(*(text.alias("text") if c == "text" else F.col("held")[own[c]].alias(c) for c in docs.columns))

@@ -9,18 +9,41 @@ from pyspark.sql import functions as F
 from leadmill.llm import components, induced_sort, minhash, sharding, suffix_dedup
 
 
+def _assert_sorted(text, depth, order, prefix):
+    cut = [tuple(text[i : i + depth]) for i in range(len(text))]
+    assert sorted(order.tolist()) == list(range(len(text)))
+    for a, b, n in zip(order, order[1:], prefix[1:]):
+        assert cut[a] <= cut[b]
+        same = next((i for i, (x, y) in enumerate(zip(cut[a], cut[b])) if x != y), min(len(cut[a]), len(cut[b])))
+        assert n == same
+
+
 def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(0)
-    for k in range(150):
+    for k in range(300):
         depth = int(rng.choice([3, 5, 20]))
         text = np.append(rng.integers(1, int(rng.integers(2, 6)), int(rng.integers(1, 60))), 0).astype(np.uint16)
-        order, prefix = induced_sort.suffix_order(text, 8, depth, memory=64 if k % 2 else 1 << 20)
-        cut = [tuple(text[i : i + depth]) for i in range(len(text))]
-        assert sorted(order.tolist()) == list(range(len(text)))
-        for a, b, n in zip(order, order[1:], prefix[1:]):
-            assert cut[a] <= cut[b]
-            same = next((i for i, (x, y) in enumerate(zip(cut[a], cut[b])) if x != y), min(len(cut[a]), len(cut[b])))
-            assert n == same
+        order, prefix, _ = induced_sort.suffix_order(text, 8, depth, memory=64 if k % 2 else 1 << 20)
+        _assert_sorted(text, depth, order, prefix)
+
+
+def test_a_shard_of_many_times_the_memory_is_sorted_on_disk(monkeypatch):
+    rng = np.random.default_rng(1)
+    base = rng.integers(1, 30, 700)
+    parts = [np.full(500, 3), np.tile([4, 5], 200), np.tile([7, 3, 9], 150), np.tile(base[:9], 40)]
+    for _ in range(40):
+        at = int(rng.integers(0, 600))
+        parts += [base[at : at + int(rng.integers(1, 300))], rng.integers(1, 30, int(rng.integers(0, 40)))]
+    text = np.append(np.concatenate(parts), 0).astype(np.uint16)
+    levels, real = [], induced_sort._Level
+    monkeypatch.setattr(induced_sort, "_Level", lambda text, n, symbols, disk: levels.append(n) or real(text, n, symbols, disk))
+    memory = 1024
+    assert 2 * len(text) > 8 * memory
+    order, prefix, files = induced_sort.suffix_order(text, 32, 100, memory)
+    _assert_sorted(text, 100, order, prefix)
+    assert files > 10 and len(levels) > 2 and levels == sorted(levels, reverse=True)  # on disk, and several levels of recursion
+    whole, _, none = induced_sort.suffix_order(text, 32, 100, 1 << 24)
+    assert none == 0 and len(whole) == len(order)
 
 
 def _removed(texts, length):
@@ -46,9 +69,11 @@ def test_repeated_passages_against_brute_force(spark, monkeypatch):
     texts += [filler(rng.randint(0, 400)) + passage[rng.randint(0, 250) :] + filler(30) for _ in range(12)]
     docs = spark.createDataFrame([(i if i != 5 else None, t) for i, t in enumerate(texts)] + [(50, None)], "doc_id long, text string")
     want = {i if i != 5 else None: row for i, row in enumerate(_removed([t.encode() for t in texts], 400))} | {50: (0, 0, 0, hashlib.sha256(b"").hexdigest())}
-    for hot in (suffix_dedup.HOT, 1):
+    for hot, memory, shard in ((suffix_dedup.HOT, suffix_dedup.MEMORY, suffix_dedup.SHARD_BYTES), (1, 4096, 3000), (0, 1 << 20, 9000)):
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
-        assert {r[0]: tuple(r[1:]) for r in suffix_dedup.removals(docs).collect()} == want
+        monkeypatch.setattr(suffix_dedup, "MEMORY", memory)
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+        assert {r[0]: tuple(r[1:5]) for r in suffix_dedup.removals(docs).collect()} == want
 
 
 def test_deduplicated_keeps_columns_and_odd_rows(spark, odd_docs, no_docs):
