@@ -7,7 +7,8 @@ Equal strings must meet in one shard, so each string is dealt by its minimizer:
 pieces, the one of the smallest hash. Consecutive strings with one minimizer form a segment. Only
 keys and 128-bit digests of segments are shuffled at first. A segment that is the only one with its
 minimizer, and stands once, cannot repeat; all others are fetched, those that stand several times as two
-copies, dealt into shards by minimizer, and each shard's suffixes are put in order by ``induced_sort``.
+copies (neighbours whose minimizers have no other segment as one piece), dealt into shards by minimizer,
+and each shard's suffixes are put in order by ``induced_sort``.
 Neighbours with a common prefix of ``length`` bytes are repeats; nothing else is. A minimizer with more
 than ``HOT`` different segments is dealt further by the strings' second minimizer, which equal strings
 share too. A shard's text goes to disk as it arrives, and a shard larger than ``MEMORY`` is sorted there.
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +112,9 @@ def _cut(length: int):
     return run
 
 
-_FETCHED = "key long, dealt long, a long, b long, low int, twice boolean, piece binary"
+_MEMBER = "struct<key: long, a: long, b: long, low: int, count: int>"
+_FETCHED = f"key long, dealt long, a long, b long, low int, twice boolean, piece binary, members array<{_MEMBER}>"
+_MEMBER_TYPE = pa.struct([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("low", pa.int32()), ("count", pa.int32())])
 
 
 def _second(piece: bytes, key: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,33 +127,47 @@ def _second(piece: bytes, key: int, length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _fetch(length: int):
-    """Bytes of the wanted segments; those of a hot minimizer cut by the second minimizer."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-    names = [c.split()[0] for c in _FETCHED.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes of the wanted segments, and which strings of which classes they are. Those of a hot minimizer
+    are cut by the second minimizer; neighbours that are ``alone`` with theirs are one piece."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(_MEMBER_TYPE))
+    names = ["key", "dealt", "a", "b", "low", "twice", "piece", "members"]
+
+    def pieces(text: bytes, wanted: list[dict]) -> Iterator[tuple]:
+        wanted = sorted(wanted, key=lambda w: w["first"])
+        for i, w in enumerate(wanted):
+            first, stop = w["first"], w["first"] + w["count"]
+            if w["hot"]:
+                whole = text[first : stop - 1 + length]
+                heads, dealt = _second(whole, w["key"], length)
+                for low, high, key in zip(heads.tolist(), [*heads[1:].tolist(), w["count"]], dealt.tolist(), strict=True):
+                    yield w["key"], key, w["a"], w["b"], low, w["twice"], whole[low : high - 1 + length], [(w["key"], w["a"], w["b"], low, high - low)]
+                continue
+            before = wanted[i - 1] if i else None
+            if before and w["alone"] and before["alone"] and before["first"] + before["count"] == first:
+                run.append(w)
+            else:
+                run = [w]
+            after = wanted[i + 1] if i + 1 < len(wanted) else None
+            if not (after and w["alone"] and after["alone"] and after["first"] == stop):
+                one = run[0]
+                yield one["key"], 0, one["a"], one["b"], 0, one["twice"], text[one["first"] : stop - 1 + length], [(m["key"], m["a"], m["b"], 0, m["count"]) for m in run]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for batch in by_bytes(batches, "bytes"):
             for text, wanted in zip(batch.column("bytes").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                for w in wanted:
-                    whole = text[w["first"] : w["first"] + w["count"] - 1 + length]
-                    heads, dealt = _second(whole, w["key"], length) if w["hot"] else (np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
-                    stops = np.append(heads[1:], w["count"]) - 1 + length
-                    for low, high, key in zip(heads.tolist(), stops.tolist(), dealt.tolist(), strict=True):
-                        rows.append((w["key"], key, w["a"], w["b"], low, w["twice"], whole[low:high]))
-                        held += high - low
-                    if held > 1 << 20:
-                        yield out()
-                        rows, held = [], 0
+                for row in pieces(text, wanted):
+                    rows.append(row)
+                    held += len(row[6])
+                if held > 1 << 20:
+                    yield out()
+                    rows, held = [], 0
         if rows:
             yield out()
 
-    return run
+    return work
 
 
 class Shard:
@@ -166,23 +184,24 @@ class Shard:
         size = np.diff(np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset : pieces.offset + len(pieces) + 1])
         low = int(np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset])
         data = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)[low : low + int(size.sum())]
-        out = np.ones(len(data) + len(size), dtype=np.uint16)  # 1 stands behind each piece
-        out[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.uint16) + 2
+        # UTF-8 has no bytes over 0xF4: each is one higher here, 0xFF stands behind each piece and 0 at the end.
+        out = np.full(len(data) + len(size), 0xFF, dtype=np.uint8)
+        out[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data + 1
         self.file.write(out.tobytes())
         self.sizes.append(size.astype(np.int64))
         self.bytes += len(data)
 
     def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Piece, first and last of each run of starts whose strings also start elsewhere in the shard."""
-        self.file.write(np.zeros(9, dtype=np.uint16).tobytes())  # the end, and room for reading eight bytes at once
+        self.file.write(bytes(9))  # the end, and room for reading eight bytes at once
         self.file.close()
         sizes = np.concatenate(self.sizes)
         begins = np.cumsum(sizes + 1) - sizes - 1
         n = int(sizes.sum()) + len(sizes) + 1
-        text = np.memmap(self.file.name, dtype=np.uint16, mode="r").view(np.ndarray)
+        text = np.memmap(self.file.name, dtype=np.uint8, mode="r").view(np.ndarray)
         disk = Disk(self.folder, self.memory)
         hit, carried = disk.array(n, bool), False
-        for part in suffixes(text, n, 258, self.length, disk):  # from the last suffix to the first
+        for part in suffixes(text, n, 256, self.length, disk):  # from the last suffix to the first
             if not len(part):
                 continue
             found = part[:, 1] >= self.length
@@ -209,11 +228,21 @@ def _sort_shards(length: int, shard_bytes: int, memory: int):
             shard, about, last, seen = None, [], None, None
 
             def done() -> Iterator[pa.RecordBatch]:
-                key, a, b, low, shown = (np.concatenate(c) for c in zip(*about, strict=True))
+                shown, many = (np.concatenate(c) for c in zip(*((x, n) for x, n, _ in about), strict=True))
+                member = pa.concat_arrays([m for _, _, m in about])
+                key, a, b, low, count = (member.field(i).to_numpy().astype(np.int64) for i in range(5))
+                begins = np.cumsum(many) - many  # a piece's first member
+                ends = np.cumsum(count)
+                offset = ends - count - np.repeat((ends - count)[begins], many)  # of a member's first string in its piece
+                place = np.repeat(np.arange(len(many)), many) * (1 << 40) + offset
                 for piece, start, stop in shard.repeats():
                     own = shown[piece]
                     piece, start, stop = piece[own], start[own], stop[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[piece], a[piece], b[piece], low[piece] + start, low[piece] + stop)], names=["key", "a", "b", "start", "stop"])
+                    one, last = (np.searchsorted(place, piece * (1 << 40) + x, side="right") - 1 for x in (start, stop))
+                    run = np.repeat(np.arange(len(piece)), last - one + 1)
+                    at = one[run] + np.arange(len(run)) - np.repeat(np.cumsum(last - one + 1) - (last - one + 1), last - one + 1)
+                    first, final = np.maximum(start[run] - offset[at], 0), np.minimum(stop[run] - offset[at], count[at] - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key[at], a[at], b[at], low[at] + first, low[at] + final)], names=["key", "a", "b", "start", "stop"])
 
             for batch in by_bytes(batches, "piece", 1 << 20, 4096):
                 key, dealt, a, b, low = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", "dealt", "a", "b", "low"))
@@ -242,7 +271,8 @@ def _sort_shards(length: int, shard_bytes: int, memory: int):
                     if shard is None:
                         shard = Shard(folder, length, memory)
                     shard.add(batch.column("piece").take(pa.array(rows)))
-                    about.append((key[rows], a[rows], b[rows], low[rows], np.append(True, rows[1:] != rows[:-1])))
+                    members = batch.column("members").take(pa.array(rows))
+                    about.append((np.append(True, rows[1:] != rows[:-1]), pc.list_value_length(members).to_numpy().astype(np.int64), members.flatten()))
             if shard:
                 yield from done()
 
@@ -274,9 +304,9 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     classes = classes.select("key", "a", "b", "one", "count", (F.col("several") | (F.struct("one.digest", "one.first") != F.struct("other.digest", "other.first"))).alias("twice"))
     classes = materialise(classes, "classes")
     kinds = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any")).where("kinds > 1 or any").drop("any")
-    unsorted = materialise(classes.join(kinds, "key").select("key", "a", "b", "one.digest", "one.doc_id", "one.first", "count", "twice", (F.col("kinds") > HOT).alias("hot")), "unsorted")
-    amount = unsorted.agg(F.sum((F.col("count") + length) * F.when(F.col("twice"), 2).otherwise(1))).first()[0]
-    wanted = materialise(unsorted.groupBy("digest", "doc_id").agg(F.collect_list(F.struct("first", "count", "key", "a", "b", "hot", "twice")).alias("wanted")), "wanted")
+    unsorted = materialise(classes.join(kinds, "key").select("key", "a", "b", "one.digest", "one.doc_id", "one.first", "count", "twice", (F.col("kinds") > HOT).alias("hot"), (F.col("kinds") == 1).alias("alone")), "unsorted")
+    amount = unsorted.agg(F.sum((F.col("count") + F.when(F.col("alone"), 0).otherwise(length)) * F.when(F.col("twice"), 2).otherwise(1))).first()[0]
+    wanted = materialise(unsorted.groupBy("digest", "doc_id").agg(F.collect_list(F.struct("first", "count", "key", "a", "b", "hot", "twice", "alone")).alias("wanted")), "wanted")
     pieces = single.join(broadcast_if_small(wanted), ["digest", "doc_id"]).select("bytes", "wanted").mapInArrow(_fetch(length), _FETCHED)
     shards = max(1, int((amount or 0) // (3 * SHARD_BYTES)) + 1)
     ordered = pieces.repartition(shards, "key", "dealt").sortWithinPartitions("key", "dealt", "a", "b", "low")
