@@ -41,6 +41,12 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return table
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class scratch:
     """A block of work: tables written inside it are deleted at its end, but for those given to ``keep``.
 
@@ -66,8 +72,7 @@ class scratch:
                 if _OPEN:
                     _OPEN[-1].paths.append(path)
                 continue
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove(self.spark, path)
 
 
 def _bytes(df: DataFrame):
