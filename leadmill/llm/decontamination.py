@@ -209,22 +209,45 @@ def _digests(shared, nth: int):
     return run
 
 
+def _found_in_blocks(rows: DataFrame, shared: list) -> DataFrame:
+    """(digest, items, item_id, same) of the texts in which some block found something."""
+    every = None
+    for nth, one in enumerate(shared):
+        part = rows.select("text").mapInArrow(_digests(one, nth), "digest binary, block long, items long, item_id long, same long")
+        every = part if every is None else every.unionByName(part)
+    best = F.max(F.struct("same", (-F.col("item_id")).alias("item"), "items"))
+    every = every.groupBy("digest", "block").agg(best.alias("best"), F.max("items").alias("items")).groupBy("digest").agg(F.sum("items").alias("items"), F.max("best").alias("best"))
+    return materialise(every.select("digest", "items", (-F.col("best.item")).alias("item_id"), F.col("best.same").alias("same")), "findings")
+
+
+def _digest():
+    return F.unhex(F.md5(F.encode("text", "UTF-8")))
+
+
+def _broadcast(docs: DataFrame, benchmark: DataFrame) -> list:
+    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items (benchmark items found), item_id (the one that shares most), n_same."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
+    shared = _broadcast(docs, benchmark)
     if not shared:
         found = rows.select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("items", "item_id", "same")))
     elif len(shared) == 1:
         found = rows.mapInArrow(_search(shared[0]), "doc_id long, items long, item_id long, same long")
     else:
-        every = None
-        for nth, one in enumerate(shared):
-            part = rows.select("text").mapInArrow(_digests(one, nth), "digest binary, block long, items long, item_id long, same long")
-            every = part if every is None else every.unionByName(part)
-        best = F.max(F.struct("same", (-F.col("item_id")).alias("item"), "items"))
-        every = every.groupBy("digest", "block").agg(best.alias("best"), F.max("items").alias("items")).groupBy("digest").agg(F.sum("items").alias("items"), F.max("best").alias("best"))
-        every = every.select("digest", "items", (-F.col("best.item")).alias("item_id"), F.col("best.same").alias("same"))
-        texts = rows.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"))
-        found = texts.join(broadcast_if_small(materialise(every, "findings")), "digest", "left").select("doc_id", "items", "item_id", "same")
+        every = _found_in_blocks(rows, shared)
+        found = rows.select("doc_id", _digest().alias("digest")).join(broadcast_if_small(every), "digest", "left").select("doc_id", "items", "item_id", "same")
     return found.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), "item_id", F.coalesce("same", F.lit(0)).cast("long").alias("n_same"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text and any others) in which nothing of the benchmark is found."""
+    shared = _broadcast(docs, benchmark)
+    if not shared:
+        return docs
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    every = _found_in_blocks(rows, shared).select("digest")
+    held = docs.withColumn("own_digest", _digest())
+    return held.join(broadcast_if_small(every), held["own_digest"] == every["digest"], "left_anti").drop("own_digest")

@@ -195,12 +195,12 @@ def text_features(texts: list[str | None], model: Model) -> np.ndarray:
     return np.column_stack([mean, np.bincount(text[top], weights=ratio[top], minlength=laid.n) / PEAK_WORDS])
 
 
-def _featurise(shared, weights=None):
+def _featurise(shared, weights=None, with_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             x = text_features(batch.column("text").to_pylist(), shared.value)
             out = {"mean": x[:, 0], "peak": x[:, 1]} if weights is None else {"score": 1 / (1 + np.exp(-np.clip(x @ weights[:2] + weights[2], -30, 30)))}
-            kept = batch.drop_columns(["text"])
+            kept = batch if with_text else batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, out.values())], names=[*kept.schema.names, *out])
 
     return run
@@ -231,6 +231,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that score below ``threshold``, each judged by its own text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        fitted = _fitted(rows, labels)
+    if fitted is None:
+        return docs
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    held = docs.select(F.col("text").cast("string").alias("text"), F.struct(*(F.col(c).alias(n) for c, n in own.items())).alias("held"))
+    scored = held.mapInArrow(_featurise(*fitted, with_text=True), f"text string, held {held.schema['held'].dataType.simpleString()}, score double").where(F.col("score") < threshold)
+    return scored.select(*("text" if c == "text" else F.col("held")[own[c]].alias(c) for c in docs.columns))
+
+
 def _fitted(rows: DataFrame, labels: DataFrame):
     """The broadcast model and the curve's weights; nothing if the labels are of one kind."""
     known = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
