@@ -43,7 +43,10 @@ class Disk:
     def array(self, n: int, dtype) -> np.ndarray:
         if n * np.dtype(dtype).itemsize <= self.memory // 8:
             return np.zeros(n, dtype=dtype)
-        return np.memmap(self.path(), dtype=dtype, mode="w+", shape=(n,)).view(np.ndarray)
+        path = self.path()
+        out = np.memmap(path, dtype=dtype, mode="w+", shape=(n,)).view(np.ndarray)
+        os.remove(path)  # its space is freed with the array
+        return out
 
     def slices(self, n: int) -> Iterator[tuple[int, int]]:
         for low in range(0, n, self.slice):
@@ -63,7 +66,9 @@ class BucketQueue:
         self.held += len(tuples)
         if 8 * self.held > self.disk.memory // 4:
             if self.file is None:
-                self.file = open(self.disk.path(), "w+b")  # noqa: SIM115
+                path = self.disk.path()
+                self.file = open(path, "w+b")  # noqa: SIM115
+                os.remove(path)  # its space is freed when it is closed
             self.file.seek(8 * self.end)
             for key, parts in self.rows.items():
                 size = sum(map(len, parts))
@@ -101,7 +106,6 @@ class BucketQueue:
     def close(self) -> None:
         if self.file:
             self.file.close()
-            os.remove(self.file.name)
 
 
 def _padded(disk: Disk, n: int, dtype) -> np.ndarray:
@@ -412,6 +416,7 @@ def _sorted_seeds(level: _Level, depth: int, far: int) -> np.ndarray:
     reduced = _padded(disk, count, np.int32)
     for low, high in disk.slices(count):
         reduced[low:high] = names[seeds[low:high]]
+    del names, size, is_seed, order
     below = _Level(reduced, count, name + 1, disk)
     ranked, end = disk.array(count, np.int32), count
     for part in _induce(below, below.queue(np.column_stack([s, np.zeros(len(s))]).astype(np.int32) for s in _in_slices(disk, _sorted_seeds(below, deeper, deeper))), 0, deeper):
