@@ -117,16 +117,25 @@ def common_prefix(text: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, most:
     """Equal symbols of pairs of suffixes of a padded text, up to ``most``, compared eight bytes at a time."""
     step = 8 // text.itemsize
     words = np.ndarray((n,), dtype="<u8", buffer=text.data, strides=(text.itemsize,))
+    a, b = a.astype(np.int64), b.astype(np.int64)
     out = np.zeros(len(a), dtype=np.int64)
     most = np.minimum(most, n - np.maximum(a, b))
     live = np.flatnonzero(most > 0)
+    at, by, left = a[live], b[live] - a[live], most[live]
+    done = 0
     while len(live):
-        differ = words[a[live] + out[live]] ^ words[b[live] + out[live]]
+        differ = words[at] ^ words[at + by]
+        on = differ == 0
         # The lowest bit that differs tells how many whole symbols agree.
-        low = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64)
-        same = np.where(differ == 0, step, low // (8 * text.itemsize))
-        out[live] = np.minimum(out[live] + same, most[live])
-        live = live[(same == step) & (out[live] < most[live])]
+        off = np.flatnonzero(~on)
+        x = differ[off]
+        same = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) // (8 * text.itemsize) + done
+        out[live[off]] = np.minimum(same, left[off])
+        done += step
+        end = on & (left <= done)
+        out[live[end]] = left[end]
+        on &= ~end
+        live, at, by, left = live[on], at[on] + step, by[on], left[on]
     return out
 
 
@@ -163,7 +172,7 @@ class _Level:
     def _deal(self) -> None:
         """Symbols to buckets: one for each of a small alphabet; else some at a time, frequent ones alone."""
         if self.symbols <= 512:
-            self.bucket, self.alone = np.arange(self.symbols), np.ones(self.symbols, dtype=bool)
+            self.bucket, self.alone = np.arange(self.symbols, dtype=np.uint16), np.ones(self.symbols, dtype=bool)
             return
         counts = np.zeros(self.symbols, dtype=np.int64)
         for low, high in self.disk.slices(self.n):
@@ -180,6 +189,8 @@ class _Level:
         self.alone = np.zeros(int(self.bucket[-1]) + 1, dtype=bool)
         self.alone[self.bucket[often]] = True
         self.alone |= np.bincount(self.bucket) == 1
+        if len(self.alone) <= 1 << 16:  # short keys are sorted by radix
+            self.bucket = self.bucket.astype(np.uint16)
 
     def queue(self, parts: Iterator[np.ndarray]) -> BucketQueue:
         """A queue of tuples that are dealt by first symbol."""

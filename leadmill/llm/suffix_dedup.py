@@ -13,7 +13,8 @@ Neighbours with a common prefix of ``length`` bytes are repeats; nothing else is
 than ``HOT`` different segments is dealt further by the strings' second minimizer, which equal strings
 share too. A shard's text goes to disk as it arrives, and a shard larger than ``MEMORY`` is sorted there.
 
-Equal texts are fetched as one text that stands twice.
+Of a group of equal texts only the first is fetched. Texts are shuffled twice at any size: to meet the
+list of their segments to fetch, and to meet their repeated spans.
 
 Defined results: a null text is empty; texts under ``length`` bytes keep all; repeated rows count as
 copies of each other; null ids are allowed; an empty table gives no rows; extra columns are kept
@@ -39,7 +40,7 @@ from leadmill.llm.slices import by_bytes
 from leadmill.storage import broadcast_if_small, materialise, scratch
 
 LENGTH, KMER = 400, 64
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
 MEMORY = 4 << 20
 HOT = 500
 
@@ -72,24 +73,24 @@ def minimizers(pieces: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: text, first start (in its text), number of starts, place of the
-    minimizer after the first start, key of the minimizer."""
+    """Of texts laid end to end: text, first start (in its text), number of starts, key of the
+    minimizer."""
     begins = np.concatenate([[0], ends[:-1]])
     if len(data) < length:
-        return (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=np.uint64),)
+        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
     pieces = piece_hashes(data)
     least = minimizers(pieces, length - KMER + 1)
     starts = np.maximum(0, ends - begins - length + 1)
     text = np.repeat(np.arange(len(ends)), starts)
     if not len(text):
-        return (text,) * 4 + (np.zeros(0, dtype=np.uint64),)
+        return (text,) * 3 + (np.zeros(0, dtype=np.uint64),)
     start = begins[text] + np.arange(len(text)) - np.repeat(np.cumsum(starts) - starts, starts)
     piece = least[start]
     new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])])
     heads = np.flatnonzero(new)
     count = np.diff(np.append(heads, len(text)))
     first, text, piece = start[heads], text[heads], piece[heads]
-    return text, first - begins[text], count, piece - first, pieces[piece]
+    return text, first - begins[text], count, pieces[piece]
 
 
 def _digests(pieces: list[bytes]) -> np.ndarray:
@@ -102,12 +103,12 @@ def _cut(length: int):
             texts = batch.column("bytes").to_pylist()
             whole = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts])
-            text, first, count, place, key = segments(np.frombuffer(whole, dtype=np.uint8), ends, length)
+            text, first, count, key = segments(np.frombuffer(whole, dtype=np.uint8), ends, length)
             low = np.concatenate([[0], ends[:-1]]).astype(np.int64)[text] + first
             spelled = _digests([whole[i:j] for i, j in zip(low.tolist(), (low + count - 1 + length).tolist(), strict=True)])
             at = pa.array(text)
-            columns = [batch.column(c).take(at) for c in ("digest", "doc_id", "several")]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c.astype(np.int32)) for c in (first, count, place)), *map(pa.array, (key.view(np.int64), spelled[:, 0], spelled[:, 1]))], names=["digest", "doc_id", "several", "first", "count", "place", "key", "a", "b"])
+            columns = [batch.column(c).take(at) for c in ("digest", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c.astype(np.int32)) for c in (first, count)), *map(pa.array, (key.view(np.int64), spelled[:, 0], spelled[:, 1]))], names=["digest", "doc_id", "first", "count", "key", "a", "b"])
 
     return run
 
@@ -294,21 +295,18 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     rows = docs.withColumns({"bytes": text, "digest": F.unhex(F.md5(text))})
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    single = rows.where(F.length("bytes") >= length).select(doc_id.alias("doc_id"), "digest", "bytes")
-    copies = single.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")).where("copies > 1").select("digest", "one")
-    single = single.join(broadcast_if_small(materialise(copies, "equal_texts")), "digest", "left").where("one is null or one = doc_id").withColumn("several", F.col("one").isNotNull()).drop("one")
-    cut = materialise(single.mapInArrow(_cut(length), "digest binary, doc_id long, several boolean, first int, count int, place int, key long, a long, b long"), "segments")
+    whole = rows.where(F.length("bytes") >= length).select(doc_id.alias("doc_id"), "digest", "bytes")
+    cut = materialise(whole.mapInArrow(_cut(length), "digest binary, doc_id long, first int, count int, key long, a long, b long"), "segments")
     # A class is all segments with the same bytes; its first stands for it.
     site = F.struct("digest", "doc_id", "first")
-    classes = cut.groupBy("key", "a", "b").agg(F.min(site).alias("one"), F.max(site).alias("other"), F.max("several").alias("several"), F.first("count").alias("count"), F.first("place").alias("place"))
-    classes = classes.select("key", "a", "b", "one", "count", (F.col("several") | (F.struct("one.digest", "one.first") != F.struct("other.digest", "other.first"))).alias("twice"))
+    classes = cut.groupBy("key", "a", "b").agg(F.min(site).alias("one"), (F.count(F.lit(1)) > 1).alias("twice"), F.first("count").alias("count"))
     classes = materialise(classes, "classes")
     kinds = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any")).where("kinds > 1 or any").drop("any")
     unsorted = materialise(classes.join(kinds, "key").select("key", "a", "b", "one.digest", "one.doc_id", "one.first", "count", "twice", (F.col("kinds") > HOT).alias("hot"), (F.col("kinds") == 1).alias("alone")), "unsorted")
     amount = unsorted.agg(F.sum((F.col("count") + F.when(F.col("alone"), 0).otherwise(length)) * F.when(F.col("twice"), 2).otherwise(1))).first()[0]
     wanted = materialise(unsorted.groupBy("digest", "doc_id").agg(F.collect_list(F.struct("first", "count", "key", "a", "b", "hot", "twice", "alone")).alias("wanted")), "wanted")
-    pieces = single.join(broadcast_if_small(wanted), ["digest", "doc_id"]).select("bytes", "wanted").mapInArrow(_fetch(length), _FETCHED)
-    shards = max(1, int((amount or 0) // (4 * SHARD_BYTES)) + 1)
+    pieces = whole.join(wanted, ["digest", "doc_id"]).select("bytes", "wanted").mapInArrow(_fetch(length), _FETCHED)
+    shards = max(1, int((amount or 0) // (3 * SHARD_BYTES)) + 1)
     ordered = pieces.repartition(shards, "key", "dealt").sortWithinPartitions("key", "dealt", "a", "b", "low")
     found = materialise(ordered.mapInArrow(_sort_shards(length, SHARD_BYTES, MEMORY), "key long, a long, b long, start long, stop long"), "repeated_strings")
     spans = cut.join(broadcast_if_small(found), ["key", "a", "b"]).select("digest", F.struct((F.col("first") + F.col("start")).alias("low"), (F.col("first") + F.col("stop") + length).alias("high")).alias("span"))
@@ -336,7 +334,7 @@ def _removed(docs: DataFrame, columns: list[str], length: int) -> DataFrame:
     with scratch(docs.sparkSession) as made:
         rows, spans = repeated_spans(docs, length)
         made.keep(spans)
-    joined = rows.select(*columns, "bytes", "digest").join(broadcast_if_small(spans), "digest", "left").select(*columns, "bytes", "spans")
+    joined = rows.select(*columns, "bytes", "digest").join(spans, "digest", "left").select(*columns, "bytes", "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*columns).schema.fields)
     return joined.mapInArrow(_remove, f"{fields}, {_REMOVED}")
 
