@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from leadmill.functions.compat import one_space, yes
 from leadmill.operators.store import weighted_vote
+from leadmill.storage import materialise, scratch
 
 # What a catalogue entry says, marks of chrome in titles, patterns of leaks.
 CATALOGUE = r"(?iu)(площадь|м2|м²|цен|стоимост|price|area|срок|размер|этаж)"
@@ -106,16 +107,21 @@ def resolve_routes(routes: DataFrame, entities: DataFrame, pages: DataFrame, hin
     return rows.select("site", "asked").join(best, ["site", "asked"], "left").select("site", F.col("asked").alias("path"), F.coalesce("hit.kind", F.lit("NOT_FOUND")).alias("kind"), "hit.target")
 
 
-def pruned_menu(items: DataFrame, depth: int = 6) -> DataFrame:
+def pruned_menu(items: DataFrame) -> DataFrame:
     """Menu rows (id, parent_id, href, visible, sort_order) that a header shows.
 
-    An item with no way to go survives only above one that has; levels are settled from below, ``depth`` of them.
+    An item with no way to go survives only above one that has. Levels are settled from below, one
+    written table a level, until none has a new parent.
     """
     rows = items.where(F.coalesce("visible", F.lit(True))).withColumn("routable", (F.coalesce("href", F.lit("")) != "") & (F.col("href") != "#"))
-    alive = rows.where("routable").select("id")
-    for _ in range(depth):
-        parents = rows.join(alive, "id", "left_semi").select(F.col("parent_id").alias("id")).where("id is not null")
-        alive = alive.unionByName(rows.join(parents, "id", "left_semi").select("id")).distinct()
+    with scratch(items.sparkSession) as made:
+        links = materialise(rows.select("id", "parent_id", "routable"), "menu_links")
+        alive = new = materialise(links.where("routable").select("id", "parent_id"), "alive")
+        while new.limit(1).count():
+            above = new.select(F.col("parent_id").alias("id")).where("id is not null").distinct().join(alive, "id", "left_anti")
+            new = materialise(links.select("id", "parent_id").join(above, "id", "left_semi"), "alive")
+            alive = alive.unionByName(new)
+        alive = made.keep(materialise(alive.select("id"), "alive"))
     return rows.join(alive, "id", "left_semi").withColumn("href", F.when(F.col("routable"), F.col("href")).otherwise("")).drop("routable")
 
 

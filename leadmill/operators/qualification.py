@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leadmill.functions.compat import yes
 
@@ -90,10 +89,10 @@ def stage_rows(leads: DataFrame) -> DataFrame:
         "ai": F.coalesce("visual_status", F.lit("PENDING")),
         "scoring": F.coalesce("score_status", F.lit("PENDING")),
     }
-    rows = leads.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(s).alias("stage"), status[s].alias("status")) for i, s in enumerate(STAGES)))).alias("s")).select("id", "s.*")
-    before = Window.partitionBy("id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = F.collect_list(F.when(~F.col("status").isin("SUCCESS", "SKIPPED", "FOUND"), F.col("stage"))).over(before)
-    rows = rows.withColumn("open", open_)
+    stages = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(s).alias("stage"), status[s].alias("status")) for i, s in enumerate(STAGES)))
+    # All stages of a lead are in its row, so what is open before one is found there too.
+    before = lambda s: F.transform(F.filter("stages", lambda x: (x["ord"] < s["ord"]) & ~x["status"].isin("SUCCESS", "SKIPPED", "FOUND")), lambda x: x["stage"])
+    rows = leads.select("id", stages.alias("stages")).select("id", F.explode(F.transform("stages", lambda s: F.struct(s["ord"].alias("ord"), s["stage"].alias("stage"), s["status"].alias("status"), before(s).alias("open")))).alias("s")).select("id", "s.*")
     waits = (F.col("status") == "PENDING") & (F.size("open") > 0)
     return rows.select("id", "ord", "stage", F.when(waits, "WAITING").otherwise(F.col("status")).alias("status"), F.when(waits, F.col("open")).otherwise(F.array().cast("array<string>")).alias("waiting_for"))
 
