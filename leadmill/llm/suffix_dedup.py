@@ -3,15 +3,18 @@
 A byte goes if a string of ``length`` bytes covers it that also starts anywhere else. Strings are
 judged on the input; matches never cross documents.
 
-Equal strings must meet in one shard, so each string is dealt by its minimizer: of its ``KMER``-byte
-pieces, the one of the smallest hash. Consecutive strings with one minimizer form a segment. Only
-keys and 128-bit digests of segments are shuffled at first. A segment that is the only one with its
-minimizer, and stands once, cannot repeat; all others are fetched, those that stand several times as two
-copies (neighbours whose minimizers have no other segment as one piece), dealt into shards by minimizer,
-and each shard's suffixes are put in order by ``induced_sort``.
-Neighbours with a common prefix of ``length`` bytes are repeats; nothing else is. A minimizer with more
-than ``HOT`` different segments is dealt further by the strings' second minimizer, which equal strings
-share too. A shard's text goes to disk as it arrives, and a shard larger than ``MEMORY`` is sorted there.
+Equal strings must meet in one shard. Each string has a minimizer: of its ``KMER``-byte pieces, the one
+of the smallest hash. Consecutive strings with one minimizer form a segment. Of the bytes before and
+behind the minimizer a string holds ``(length - KMER) / 2`` on one side at least; the strings of a segment
+that hold them before it are its left side, the others its right side, and equal strings are on the same
+side with the same minimizer and the same half. Only keys, hashes of halves and 128-bit digests of segments
+are shuffled at first. A side that shares minimizer and half with no other segment cannot repeat, unless the
+whole segment stands several times. What is left is fetched: sides that meet others, and segments that stand
+several times as two copies (neighbours as one piece). These are dealt into shards by minimizer and half, and
+each shard's suffixes are put in order by ``induced_sort``. Neighbours with a common prefix of ``length`` bytes
+are repeats; nothing else is. A half that more than ``HOT`` segments share is dealt further by the strings'
+second minimizer, which equal strings share too. A shard's text goes to disk as it arrives, and a shard
+larger than ``MEMORY`` is sorted there.
 
 Of a group of equal texts only the first is fetched. Texts are shuffled twice at any size: to meet the
 list of their segments to fetch, and to meet their repeated spans.
@@ -40,8 +43,8 @@ from leadmill.llm.slices import by_bytes
 from leadmill.storage import broadcast_if_small, materialise, scratch
 
 LENGTH, KMER = 400, 64
-SHARD_BYTES = 2 << 20
-MEMORY = 4 << 20
+SHARD_BYTES = 4 << 20
+MEMORY = 8 << 20
 HOT = 500
 
 
@@ -56,7 +59,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def piece_hashes(data: np.ndarray) -> np.ndarray:
+def _piece_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the KMER bytes that begin at each place."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -73,24 +76,30 @@ def minimizers(pieces: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: text, first start (in its text), number of starts, key of the
-    minimizer."""
+    """Of texts laid end to end: text, first start (in its text), number of starts, number of those on the left
+    side, key of the minimizer, hashes of the halves before and behind it (0 where no string holds it)."""
     begins = np.concatenate([[0], ends[:-1]])
-    if len(data) < length:
-        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
-    pieces = piece_hashes(data)
-    least = minimizers(pieces, length - KMER + 1)
     starts = np.maximum(0, ends - begins - length + 1)
     text = np.repeat(np.arange(len(ends)), starts)
     if not len(text):
-        return (text,) * 3 + (np.zeros(0, dtype=np.uint64),)
+        return (text,) * 4 + (np.zeros(0, dtype=np.uint64),) * 3
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    pieces = mix((total[KMER:] - total[:-KMER]) * down[: len(data) - KMER + 1])
+    least = minimizers(pieces, length - KMER + 1)
     start = begins[text] + np.arange(len(text)) - np.repeat(np.cumsum(starts) - starts, starts)
     piece = least[start]
     new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])])
     heads = np.flatnonzero(new)
     count = np.diff(np.append(heads, len(text)))
     first, text, piece = start[heads], text[heads], piece[heads]
-    return text, first - begins[text], count, pieces[piece]
+    half = (length - KMER) // 2
+    left = np.clip(piece - half - first + 1, 0, count)
+    spelled = lambda i, j: mix((total[j] - total[i]) * down[i])
+    before = np.where(left > 0, spelled(np.maximum(piece - half, 0), piece), np.uint64(0))
+    behind = np.where(left < count, spelled(np.minimum(piece + KMER, len(data)), np.minimum(piece + KMER + half, len(data))), np.uint64(0))
+    return text, first - begins[text], count, left, pieces[piece], before, behind
 
 
 def _digests(pieces: list[bytes]) -> np.ndarray:
@@ -103,16 +112,17 @@ def _cut(length: int):
             texts = batch.column("bytes").to_pylist()
             whole = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts])
-            text, first, count, key = segments(np.frombuffer(whole, dtype=np.uint8), ends, length)
+            text, first, count, left, key, *halves = segments(np.frombuffer(whole, dtype=np.uint8), ends, length)
             low = np.concatenate([[0], ends[:-1]]).astype(np.int64)[text] + first
             spelled = _digests([whole[i:j] for i, j in zip(low.tolist(), (low + count - 1 + length).tolist(), strict=True)])
             at = pa.array(text)
-            columns = [batch.column(c).take(at) for c in ("digest", "doc_id")]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c.astype(np.int32)) for c in (first, count)), *map(pa.array, (key.view(np.int64), spelled[:, 0], spelled[:, 1]))], names=["digest", "doc_id", "first", "count", "key", "a", "b"])
+            columns = [*(batch.column(c).take(at) for c in ("digest", "doc_id")), *(pa.array(c.astype(np.int32)) for c in (first, count, left)), *(pa.array(c.view(np.int64)) for c in (key, *halves)), pa.array(spelled[:, 0]), pa.array(spelled[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SEGMENT.split(", ")])
 
     return run
 
 
+_SEGMENT = "digest binary, doc_id long, first int, count int, left int, key long, before long, behind long, a long, b long"
 _MEMBER = "struct<key: long, a: long, b: long, low: int, count: int>"
 _FETCHED = f"key long, dealt long, a long, b long, low int, twice boolean, piece binary, members array<{_MEMBER}>"
 _MEMBER_TYPE = pa.struct([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("low", pa.int32()), ("count", pa.int32())])
@@ -120,7 +130,7 @@ _MEMBER_TYPE = pa.struct([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64
 
 def _second(piece: bytes, key: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Strings of a piece by their second minimizer: where each run of one begins, and its hash."""
-    hashes = piece_hashes(np.frombuffer(piece, dtype=np.uint8))
+    hashes = _piece_hashes(np.frombuffer(piece, dtype=np.uint8))
     hashes[hashes == np.int64(key).view(np.uint64)] = np.uint64(0xFFFFFFFFFFFFFFFF)
     least = minimizers(hashes, length - KMER + 1)
     heads = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
@@ -128,30 +138,31 @@ def _second(piece: bytes, key: int, length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _fetch(length: int):
-    """Bytes of the wanted segments, and which strings of which classes they are. Those of a hot minimizer
-    are cut by the second minimizer; neighbours that are ``alone`` with theirs are one piece."""
+    """Bytes of the wanted strings, and which strings of which classes they are. Those of a hot half are cut by
+    the second minimizer; neighbouring segments that stand ``twice`` are one piece."""
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(_MEMBER_TYPE))
     names = ["key", "dealt", "a", "b", "low", "twice", "piece", "members"]
 
     def pieces(text: bytes, wanted: list[dict]) -> Iterator[tuple]:
-        wanted = sorted(wanted, key=lambda w: w["first"])
-        for i, w in enumerate(wanted):
-            first, stop = w["first"], w["first"] + w["count"]
-            if w["hot"]:
-                whole = text[first : stop - 1 + length]
-                heads, dealt = _second(whole, w["key"], length)
-                for low, high, key in zip(heads.tolist(), [*heads[1:].tolist(), w["count"]], dealt.tolist(), strict=True):
-                    yield w["key"], key, w["a"], w["b"], low, w["twice"], whole[low : high - 1 + length], [(w["key"], w["a"], w["b"], low, high - low)]
-                continue
-            before = wanted[i - 1] if i else None
-            if before and w["alone"] and before["alone"] and before["first"] + before["count"] == first:
+        run: list[dict] = []
+        for w in sorted(wanted, key=lambda w: w["first"]):
+            if w["twice"]:
+                if run and run[-1]["first"] + run[-1]["high"] != w["first"]:
+                    yield copied(text, run)
+                    run = []
                 run.append(w)
-            else:
-                run = [w]
-            after = wanted[i + 1] if i + 1 < len(wanted) else None
-            if not (after and w["alone"] and after["alone"] and after["first"] == stop):
-                one = run[0]
-                yield one["key"], 0, one["a"], one["b"], 0, one["twice"], text[one["first"] : stop - 1 + length], [(m["key"], m["a"], m["b"], 0, m["count"]) for m in run]
+                continue
+            at = w["first"]
+            whole = text[at + w["low"] : at + w["high"] - 1 + length]
+            heads, dealt = _second(whole, w["key"], length) if w["hot"] else (np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
+            for low, high, key in zip(heads.tolist(), [*heads[1:].tolist(), w["high"] - w["low"]], dealt.tolist(), strict=True):
+                yield w["group"], key, w["a"], w["b"], w["low"] + low, False, whole[low : high - 1 + length], [(w["key"], w["a"], w["b"], w["low"] + low, high - low)]
+        if run:
+            yield copied(text, run)
+
+    def copied(text: bytes, run: list[dict]) -> tuple:
+        one, last = run[0], run[-1]
+        return one["group"], 0, one["a"], one["b"], 0, True, text[one["first"] : last["first"] + last["high"] - 1 + length], [(m["key"], m["a"], m["b"], 0, m["high"]) for m in run]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -296,17 +307,22 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     rows = docs.withColumns({"bytes": text, "digest": F.unhex(F.md5(text))})
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     whole = rows.where(F.length("bytes") >= length).select(doc_id.alias("doc_id"), "digest", "bytes")
-    cut = materialise(whole.mapInArrow(_cut(length), "digest binary, doc_id long, first int, count int, key long, a long, b long"), "segments")
+    cut = materialise(whole.mapInArrow(_cut(length), _SEGMENT), "segments")
     # A class is all segments with the same bytes; its first stands for it.
     site = F.struct("digest", "doc_id", "first")
-    classes = cut.groupBy("key", "a", "b").agg(F.min(site).alias("one"), (F.count(F.lit(1)) > 1).alias("twice"), F.first("count").alias("count"))
+    classes = cut.groupBy("key", "a", "b").agg(F.min(site).alias("one"), (F.count(F.lit(1)) > 1).alias("twice"), *(F.first(c).alias(c) for c in ("count", "left", "before", "behind")))
     classes = materialise(classes, "classes")
-    kinds = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any")).where("kinds > 1 or any").drop("any")
-    unsorted = materialise(classes.join(kinds, "key").select("key", "a", "b", "one.digest", "one.doc_id", "one.first", "count", "twice", (F.col("kinds") > HOT).alias("hot"), (F.col("kinds") == 1).alias("alone")), "unsorted")
-    amount = unsorted.agg(F.sum((F.col("count") + F.when(F.col("alone"), 0).otherwise(length)) * F.when(F.col("twice"), 2).otherwise(1))).first()[0]
-    wanted = materialise(unsorted.groupBy("digest", "doc_id").agg(F.collect_list(F.struct("first", "count", "key", "a", "b", "hot", "twice", "alone")).alias("wanted")), "wanted")
+    zero = F.lit(0)
+    side = lambda n, half, low, high: F.struct(F.lit(n).alias("side"), F.col(half).alias("half"), low.alias("low"), high.alias("high"))
+    sides = classes.select("key", "a", "b", "one", F.explode(F.array(side(0, "before", zero, F.col("left")), side(1, "behind", F.col("left"), F.col("count")))).alias("s")).select("key", "a", "b", "one", "s.*").where("low < high")
+    met = sides.groupBy("key", "side", "half").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = sides.join(met, ["key", "side", "half"]).select("key", "a", "b", "one", "low", "high", F.xxhash64("key", "side", "half").alias("group"), F.lit(False).alias("twice"), (F.col("n") > HOT).alias("hot"))
+    copied = classes.where("twice").select("key", "a", "b", "one", zero.alias("low"), F.col("count").alias("high"), F.xxhash64("key", "a", "b").alias("group"), "twice", F.lit(False).alias("hot"))
+    unsorted = materialise(shared.unionByName(copied), "unsorted")
+    amount = unsorted.agg(F.sum(F.when(F.col("twice"), 2 * F.col("high")).otherwise(F.col("high") - F.col("low") + length))).first()[0]
+    wanted = unsorted.groupBy("one.digest", "one.doc_id").agg(F.collect_list(F.struct("one.first", "low", "high", "key", "group", "a", "b", "hot", "twice")).alias("wanted"))
     pieces = whole.join(wanted, ["digest", "doc_id"]).select("bytes", "wanted").mapInArrow(_fetch(length), _FETCHED)
-    shards = max(1, int((amount or 0) // (3 * SHARD_BYTES)) + 1)
+    shards = max(1, int((amount or 0) // (2 * SHARD_BYTES)) + 1)
     ordered = pieces.repartition(shards, "key", "dealt").sortWithinPartitions("key", "dealt", "a", "b", "low")
     found = materialise(ordered.mapInArrow(_sort_shards(length, SHARD_BYTES, MEMORY), "key long, a long, b long, start long, stop long"), "repeated_strings")
     spans = cut.join(broadcast_if_small(found), ["key", "a", "b"]).select("digest", F.struct((F.col("first") + F.col("start")).alias("low"), (F.col("first") + F.col("stop") + length).alias("high")).alias("span"))
