@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leadmill.functions.compat import one_space, yes
 
 LEAST_SENTENCE = 8
+# How a warranty's length is claimed.
+WARRANTY = (r"(?iu)гаранти[0-9A-Za-z_]*[^.\n]{0,40}?([0-9]+)\s*(лет|года|год|months?|месяц[0-9A-Za-z_]*)", r"(?iu)гаранти[0-9A-Za-z_]*\s+до\s+([0-9]+)\s*(лет|года|год)")
 
 
 def sentences(text: Column) -> Column:
@@ -22,10 +23,15 @@ def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(key, F.posexplode(sentences(F.col(text))).alias("ord", "sentence"))
 
 
+def _again(items: Column) -> Column:
+    """Some item stands twice in an array; texts without repeats are passed over where they lie."""
+    return F.size(F.array_distinct(items)) < F.size(items)
+
+
 def repeated_sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sentences that a text says again: 20 characters or longer twice, any three times. Case is ignored."""
-    rows = sentence_rows(docs, key).select(key, "ord", F.lower("sentence").alias("sentence"))
-    found = rows.groupBy(key, "sentence").agg(F.count(F.lit(1)).alias("occurrences"), F.min("ord").alias("first_at"))
+    rows = docs.select(key, F.transform(sentences(F.col("text")), F.lower).alias("s")).where(_again(F.col("s")))
+    found = rows.select(key, F.posexplode("s").alias("ord", "sentence")).groupBy(key, "sentence").agg(F.count(F.lit(1)).alias("occurrences"), F.min("ord").alias("first_at"))
     return found.where("occurrences > 1 and (length(sentence) >= 20 or occurrences >= 3)")
 
 
@@ -34,20 +40,24 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Of a text's repeated runs of the greater length, the one that begins first is reported.
     """
-    order = Window.partitionBy(key).orderBy("ord")
-    rows = sentence_rows(docs, key).select(key, "ord", F.lower("sentence").alias("s"))
-    rows = rows.withColumns({"s2": F.lead("s", 1).over(order), "s3": F.lead("s", 2).over(order)})
-    runs = rows.select(key, "ord", F.explode(F.array(F.struct(F.lit(3).alias("run_length"), F.concat("s", F.lit(" "), "s2", F.lit(" "), "s3").alias("run")), F.struct(F.lit(2).alias("run_length"), F.concat("s", F.lit(" "), "s2").alias("run")))).alias("r")).select(key, "ord", "r.*").where("run is not null")
+    joined = lambda a, b: F.concat(a, F.lit(" "), b)
+    later = lambda n: F.slice("s", n + 1, F.greatest(F.size("s") - n, F.lit(0)))
+    rows = docs.select(key, F.transform(sentences(F.col("text")), F.lower).alias("s"))
+    rows = rows.withColumn("two", F.zip_with("s", later(1), joined)).where(_again(F.array_compact("two")))
+    rows = rows.select(key, "two", F.zip_with("two", later(2), joined).alias("three"))
+    runs = rows.select(key, F.explode(F.array(F.struct(F.lit(3).alias("run_length"), F.col("three").alias("runs")), F.struct(F.lit(2).alias("run_length"), F.col("two").alias("runs")))).alias("r"))
+    runs = runs.select(key, "r.run_length", F.posexplode("r.runs").alias("ord", "run")).where("run is not null")
     found = runs.groupBy(key, "run_length", "run").agg(F.count(F.lit(1)).alias("occurrences"), F.min("ord").alias("first_at")).where("occurrences > 1")
-    best = Window.partitionBy(key).orderBy(F.desc("run_length"), "first_at")
-    return found.withColumn("n", F.row_number().over(best)).where("n = 1").select(key, "run_length", "occurrences", "first_at", "run")
+    best = found.groupBy(key).agg(F.min_by(F.struct("run_length", "occurrences", "first_at", "run"), F.struct(-F.col("run_length"), "first_at")).alias("r"))
+    return best.select(key, "r.*")
 
 
 def adjacent_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Lines equal to the line before them, case and white space aside; empty lines do not count."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "line")).withColumn("line", F.lower(one_space(F.col("line")))).where("line <> ''")
-    before = F.lag("line").over(Window.partitionBy(key).orderBy("ord"))
-    return lines.withColumn("before", before).where("line = before").select(key, "ord", "line")
+    """Lines equal to the line before them, case and white space aside; empty lines do not count. No shuffle."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("ord"), F.lower(one_space(x)).alias("line")))
+    rows = docs.select(key, F.filter(lines, lambda x: x["line"] != "").alias("l"))
+    same = F.zip_with("l", F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))), lambda a, b: F.when(a["line"] == b["line"], b))
+    return rows.select(key, F.explode(F.array_compact(same)).alias("r")).select(key, "r.ord", "r.line")
 
 
 # Vocabularies of machine text.
@@ -85,3 +95,13 @@ def slug(text: Column) -> Column:
 def first_sentences(text: Column, n: int, most: int) -> Column:
     """The first n sentences, joined, cut to ``most`` characters."""
     return F.substring(F.array_join(F.slice(sentences(text), 1, n), " "), 1, most)
+
+
+def duration_conflicts(docs: DataFrame) -> DataFrame:
+    """duration, claims, documents, first_doc: what whole texts (doc_id, text) say of warranties, where the corpus holds
+    more than one duration; no rows where all agree. Counted by duration; one number a claim is all that is shuffled."""
+    found = F.concat(*(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(1)) for pattern in WARRANTY))
+    claims = docs.select("doc_id", F.explode(found).alias("n"))
+    groups = claims.groupBy(F.col("n").try_cast("long").alias("duration")).agg(F.count(F.lit(1)).alias("claims"), F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+    several = groups.agg((F.count(F.lit(1)) > 1).alias("several"))  # one row
+    return groups.crossJoin(F.broadcast(several)).where("several").drop("several")

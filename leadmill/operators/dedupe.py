@@ -1,18 +1,18 @@
 """Duplicate organisations: groups, survivor choice, merge plan and its application.
 
 Groups form by registered domain first; leads outside those form groups by phone, of members that
-have some namesake among them. "Same organisation" is not transitive and is applied pairwise,
-within a group only, by a join on the group's key.
+have some namesake among them. "Same organisation" is not transitive and is applied pairwise, within a
+group only, to names that share something rare. A plan is written once, as its readers join it with itself.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from leadmill.functions import urls
 from leadmill.functions.compat import SPACE, yes
+from leadmill.storage import materialise
 
 # Legal forms. The Cyrillic ones are stripped in "fixed" mode only, because an ASCII
 # word boundary never matches beside a Cyrillic letter.
@@ -45,12 +45,30 @@ def same_org(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & ((a == b) | by_words)
 
 
+def _alike(names: DataFrame, key: str) -> DataFrame:
+    """(key, org): distinct names of a key that are the same organisation as another one of it.
+
+    Candidates share something rare, so no group is joined with itself. Of two names with several words the
+    smaller one's words are all in the other, so its rarest word is; a name of one word is contained as text, so its
+    first three letters are.
+    """
+    names = materialise(names.where("org <> ''").select(key, "org", F.array_distinct(F.split("org", " ")).alias("words")), "names")  # read five times
+    words = names.where(F.size("words") > 1).select(key, "org", "words", F.explode("words").alias("word"))
+    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = words.join(counts, [key, "word"]).groupBy(key, "org").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.first("words").alias("small"))
+    by_word = rarest.join(words.select(key, "word", F.col("org").alias("other"), "words"), [key, "word"]).where((F.col("org") != F.col("other")) & (F.size(F.array_except("small", "words")) == 0)).select(key, "org", "other")
+    single = names.where(F.size("words") == 1).select(key, "org", F.substring("org", 1, 3).alias("part"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("org") - n + 1)), lambda i: F.substr("org", i, n))))
+    held = names.join(single.select(key).distinct(), key, "left_semi").select(key, F.col("org").alias("other"), F.explode(F.array_distinct(parts)).alias("part"))
+    by_text = single.join(held, [key, "part"]).where((F.col("org") != F.col("other")) & F.contains("other", "org")).select(key, "org", "other")
+    pairs = by_word.unionByName(by_text)
+    return pairs.select(key, "org").unionByName(pairs.select(key, F.col("other").alias("org"))).distinct()
+
+
 def with_namesake(members: DataFrame, key: str) -> DataFrame:
-    """Adds ``has_namesake``: another member of the key is the same organisation. Equal names are
-    settled by counting; only distinct names of one key are compared with each other."""
-    names = members.groupBy(key, "org").agg(F.count(F.lit(1)).alias("copies"))
-    other = names.select(key, F.col("org").alias("other"))
-    alike = names.join(other, key).where((F.col("org") != F.col("other")) & same_org(F.col("org"), F.col("other"))).select(key, "org").distinct().withColumn("alike", F.lit(True))
+    """Adds ``has_namesake``: another member of the key is the same organisation. Equal names are settled by counting."""
+    names = materialise(members.groupBy(key, "org").agg(F.count(F.lit(1)).alias("copies")), "name_counts")
+    alike = _alike(names, key).withColumn("alike", F.lit(True))
     names = names.join(alike, [key, "org"], "left").select(key, "org", (yes(F.col("alike")) | ((F.col("copies") > 1) & (F.col("org") != ""))).alias("has_namesake"))
     return members.join(names, [key, "org"])
 
@@ -66,14 +84,14 @@ def duplicate_groups(leads: DataFrame, mode: str = "strict") -> DataFrame:
     return by_domain.unionByName(by_phone)
 
 
-def survivor_order() -> list[Column]:
-    """Has a site, review rank, completeness, oldest, smallest id."""
+def survivor_order() -> Column:
+    """A struct that is smallest for the survivor: has a site, review rank, completeness, oldest, smallest id."""
     filled = lambda name: F.when(F.length(F.coalesce(F.col(name), F.lit(""))) > 0, 1).otherwise(0)
     complete = filled("phone") + filled("address") + filled("website") + F.when(F.size(F.coalesce("categories", F.array().cast("array<string>"))) > 0, 1).otherwise(0)
     rank = F.lit(1)
     for status, value in REVIEW_RANK.items():
         rank = F.when(F.col("manual_review_status") == status, value).otherwise(rank)
-    return [yes(F.col("has_site")).desc(), rank.desc(), complete.desc(), F.col("created_at").asc(), F.col("id").asc()]
+    return F.struct((~yes(F.col("has_site"))).alias("no_site"), (-rank).alias("rank"), (-complete).alias("complete"), "created_at", "id")
 
 
 def merge_plan(leads: DataFrame, mode: str = "strict") -> DataFrame:
@@ -82,22 +100,21 @@ def merge_plan(leads: DataFrame, mode: str = "strict") -> DataFrame:
     Checked in this order: several members with a site, several with active runs, members with no namesake.
     """
     groups = duplicate_groups(leads, mode)
-    members = groups.select("id", "group_key", "kind", "org").join(leads, "id")
+    members = materialise(groups.select("id", "group_key", "kind", "org").join(leads, "id"), "group_members")
     members = with_namesake(members, "group_key")
-    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("group_key").orderBy(*survivor_order())))
-    plan = ranked.groupBy("group_key", "kind").agg(
+    plan = members.groupBy("group_key", "kind").agg(
         F.count(F.lit(1)).alias("members"),
         F.count_if(yes(F.col("has_site"))).alias("sites"),
         F.count_if(yes(F.col("has_active_runs"))).alias("runs"),
         F.count_distinct("org").alias("orgs"),
         F.bool_and("has_namesake").alias("all_named"),
-        F.min_by("id", "rank").alias("first"),
+        F.min_by("id", survivor_order()).alias("first"),
         F.array_sort(F.collect_list("id")).alias("ids"),
     )
     reason = F.when(F.col("sites") > 1, "CONFLICTING_GENERATED_SITES").when(F.col("runs") > 1, "MULTIPLE_ACTIVE_FACTORY_RUNS").when((F.col("orgs") > 1) & ~F.col("all_named"), "DIFFERENT_ORGANISATIONS_SAME_DOMAIN")
     plan = plan.withColumn("block_reason", reason).withColumn("survivor_id", F.when(yes(F.col("block_reason") == "DIFFERENT_ORGANISATIONS_SAME_DOMAIN"), None).otherwise(F.col("first")))
     merge = F.when(F.col("survivor_id").isNull(), F.col("ids")).otherwise(F.array_remove("ids", F.col("first")))
-    return plan.select("group_key", "kind", "members", "survivor_id", merge.alias("merge_ids"), F.col("block_reason").isNotNull().alias("blocked"), "block_reason")
+    return materialise(plan.select("group_key", "kind", "members", "survivor_id", merge.alias("merge_ids"), F.col("block_reason").isNotNull().alias("blocked"), "block_reason"), "merge_plan")
 
 
 def apply_merge(leads: DataFrame, plan: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:

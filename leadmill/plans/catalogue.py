@@ -374,10 +374,16 @@ def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.crawl_plan(rows, budget=40)
 
 
-@query("""SELECT s AS sentence_start, count(DISTINCT source) AS n_values, min(source) AS low, max(source) AS high FROM (SELECT substr(text, 1, 20) AS s, source FROM documents) GROUP BY 1 HAVING count(DISTINCT source) > 1""")
+_CLAIMS = ("", " Гарантия на все работы 5 лет.", " гарантия составляет 24 месяца, и ещё гаранти до 5 года", " Гарантия. 7 лет", " Garantie 3 months", " ГАРАНТИИ 3 years, гарантия: 12 months")
+_CLAIM_SQL = "[" + ", ".join(f"'{c}'" for c in _CLAIMS) + "]"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text || {_CLAIM_SQL}[1 + doc_id % 6] AS text FROM documents),
+  c AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?i)гаранти[0-9A-Za-z_]*[^.\n]{{0,40}}?([0-9]+)\s*(лет|года|год|months?|месяц[0-9A-Za-z_]*)', 1), regexp_extract_all(text, '(?i)гаранти[0-9A-Za-z_]*\s+до\s+([0-9]+)\s*(лет|года|год)', 1))) AS n FROM d),
+  g AS (SELECT CAST(n AS BIGINT) AS duration, count(*) AS claims, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM c GROUP BY 1) SELECT * FROM g WHERE (SELECT count(*) FROM g) > 1""")
 def editorial_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.substring("text", 1, 20).alias("sentence_start"), "source")
-    return store.conflicting_values(rows, "sentence_start", "source")
+    claim = F.get(F.array(*map(F.lit, _CLAIMS)), (F.col("doc_id") % len(_CLAIMS)).cast("int"))
+    return texts.duration_conflicts(table(spark, sf_dir, "documents").select("doc_id", F.concat("text", claim).alias("text")))
 
 
 @query(f"""WITH {_SENTENCES_SQL}, lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents),

@@ -119,12 +119,12 @@ def test_relevance(spark):
 
 
 def test_search_and_filters(spark):
-    schema = "id long, company_name string, website string, phone string, address string, website_status string, audit_status string, score_status string, lighthouse_status string, visual_status string, enrichment_status string, manual_review_status string, redesign_stage string, merge_status string, archived boolean, lead_score long, lead_score_v2 long, business_score long, website_quality_score long, created_at timestamp"
+    schema = "id long, company_name string, website string, phone string, address string, website_status string, audit_status string, score_status string, lighthouse_status string, visual_status string, enrichment_status string, manual_review_status string, redesign_stage string, merge_status string, archived boolean, lead_score long, lead_score_v2 long, business_score long, website_quality_score long, created_at timestamp, has_site boolean"
     ready = ("FOUND", "SUCCESS", "SUCCESS", "SUCCESS", "SUCCESS", "SUCCESS", "GOOD", "NOT_SELECTED", "NONE", False)
     day = datetime(2024, 1, 1)
     rows = [
-        (1, "50% Off Shop", "a.by", "1", "Minsk", *ready, 10, 1, 5, 50, day), (2, "Other", None, None, None, *ready, None, 2, 5, 50, day), (3, "Failed", "f.by", None, "Minsk", "FOUND", "FAILED", *ready[2:], 90, 3, 5, 50, day),
-        (4, "Missing report", "m.by", None, None, "FOUND", "SUCCESS", "SUCCESS", None, "SUCCESS", *ready[5:], 20, 4, 5, 50, day), (5, "Gone", "g.by", None, None, *ready[:8], "MERGED", False, 99, 5, 5, 50, day),
+        (1, "50% Off Shop", "a.by", "1", "Minsk", *ready, 10, 1, 5, 50, day, True), (2, "Other", None, None, None, *ready, None, 2, 5, 50, day, False), (3, "Failed", "f.by", None, "Minsk", "FOUND", "FAILED", *ready[2:], 90, 3, 5, 50, day, None),
+        (4, "Missing report", "m.by", None, None, "FOUND", "SUCCESS", "SUCCESS", None, "SUCCESS", *ready[5:], 20, 4, 5, 50, day, False), (5, "Gone", "g.by", None, None, *ready[:8], "MERGED", False, 99, 5, 5, 50, day, True),
     ]
     table = spark.createDataFrame(rows, schema)
     ids = lambda **p: [r.id for r in leads.lead_page(table, leads.LeadFilter(**p)).collect()]
@@ -134,7 +134,7 @@ def test_search_and_filters(spark):
     assert ids(qualification="FAILED", text="minsk") == [3] and ids(qualification="FAILED", text="minsk", compat=True, include_excluded=True) == [3, 1]
     assert ids(min_lead=5) == [1] and ids(limit=0) == [2] and ids(sort="company_asc") == [1, 2] and ids(offset=1) == [1]
     f = leads.funnel(table).first()
-    assert (f.total, f.ready_for_review, f.qualification_pending, f.failed) == (4, 2, 2, 1)
+    assert (f.total, f.ready_for_review, f.qualification_pending, f.failed, f.generated) == (4, 2, 2, 1, 1)
 
 
 def test_scores(spark):
