@@ -3,9 +3,10 @@
 A byte goes if a string of ``length`` bytes covers it that also starts anywhere else. Strings are
 judged on the input; matches never cross documents.
 
-Equal strings must meet in one shard. Each string has a minimizer: of its ``KMER``-byte pieces, the one
+Equal strings must meet in one shard. Each string has a minimizer: of its pieces of an eighth of
+its bytes, the one
 of the smallest hash. Consecutive strings with one minimizer form a segment. Of the bytes before and
-behind the minimizer a string holds ``(length - KMER) / 2`` on one side at least; the strings of a segment
+behind the minimizer a string holds half of what is left of it on one side at least; the strings of a segment
 that hold them before it are its left side, the others its right side, and equal strings are on the same
 side with the same minimizer and the same half. Only keys, hashes of halves and 128-bit digests of segments
 are shuffled at first. A side that shares minimizer and half with no other segment cannot repeat, unless the
@@ -16,7 +17,7 @@ are repeats; nothing else is. A half that more than ``HOT`` segments share is de
 second minimizer, which equal strings share too. A shard's text goes to disk as it arrives, and a shard
 larger than ``MEMORY`` is sorted there.
 
-Of a group of equal texts only the first is fetched. Texts are shuffled twice at any size: to meet the
+Of a class of equal segments only the first is fetched. Texts are shuffled twice at any size: to meet the
 list of their segments to fetch, and to meet their repeated spans.
 
 Defined results: a null text is empty; texts under ``length`` bytes keep all; repeated rows count as
@@ -42,7 +43,7 @@ from leadmill.llm.induced_sort import Disk, suffixes
 from leadmill.llm.slices import by_bytes
 from leadmill.storage import broadcast_if_small, materialise, scratch
 
-LENGTH, KMER = 400, 64
+LENGTH = 400
 SHARD_BYTES = 4 << 20
 MEMORY = 8 << 20
 HOT = 500
@@ -59,12 +60,16 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _piece_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the KMER bytes that begin at each place."""
+def _running(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[KMER:] - total[:-KMER]) * down[: len(data) - KMER + 1])
+    return total, down
+
+
+def _piece_hashes(total: np.ndarray, down: np.ndarray, kmer: int) -> np.ndarray:
+    """Hash of the ``kmer`` bytes that begin at each place."""
+    return mix((total[kmer:] - total[:-kmer]) * down[: len(total) - kmer])
 
 
 def minimizers(pieces: np.ndarray, width: int) -> np.ndarray:
@@ -77,29 +82,28 @@ def minimizers(pieces: np.ndarray, width: int) -> np.ndarray:
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of texts laid end to end: text, first start (in its text), number of starts, number of those on the left
-    side, key of the minimizer, hashes of the halves before and behind it (0 where no string holds it)."""
+    side, key of the minimizer, 32 bits each of the hashes of the halves before and behind it (0 where no string holds it)."""
     begins = np.concatenate([[0], ends[:-1]])
     starts = np.maximum(0, ends - begins - length + 1)
     text = np.repeat(np.arange(len(ends)), starts)
     if not len(text):
-        return (text,) * 4 + (np.zeros(0, dtype=np.uint64),) * 3
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    pieces = mix((total[KMER:] - total[:-KMER]) * down[: len(data) - KMER + 1])
-    least = minimizers(pieces, length - KMER + 1)
+        return (text,) * 4 + (np.zeros(0, dtype=np.uint64),) * 2
+    kmer = length // 8
+    half = (length - kmer) // 2
+    total, down = _running(data)
+    pieces = _piece_hashes(total, down, kmer)
+    least = minimizers(pieces, length - kmer + 1)
     start = begins[text] + np.arange(len(text)) - np.repeat(np.cumsum(starts) - starts, starts)
     piece = least[start]
     new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])])
     heads = np.flatnonzero(new)
     count = np.diff(np.append(heads, len(text)))
     first, text, piece = start[heads], text[heads], piece[heads]
-    half = (length - KMER) // 2
     left = np.clip(piece - half - first + 1, 0, count)
     spelled = lambda i, j: mix((total[j] - total[i]) * down[i])
     before = np.where(left > 0, spelled(np.maximum(piece - half, 0), piece), np.uint64(0))
-    behind = np.where(left < count, spelled(np.minimum(piece + KMER, len(data)), np.minimum(piece + KMER + half, len(data))), np.uint64(0))
-    return text, first - begins[text], count, left, pieces[piece], before, behind
+    behind = np.where(left < count, spelled(np.minimum(piece + kmer, len(data)), np.minimum(piece + kmer + half, len(data))), np.uint64(0))
+    return text, first - begins[text], count, left, pieces[piece], (before >> np.uint64(32)) << np.uint64(32) | behind >> np.uint64(32)
 
 
 def _digests(pieces: list[bytes]) -> np.ndarray:
@@ -112,17 +116,17 @@ def _cut(length: int):
             texts = batch.column("bytes").to_pylist()
             whole = b"".join(texts)
             ends = np.cumsum([len(t) for t in texts])
-            text, first, count, left, key, *halves = segments(np.frombuffer(whole, dtype=np.uint8), ends, length)
+            text, first, count, left, key, halves = segments(np.frombuffer(whole, dtype=np.uint8), ends, length)
             low = np.concatenate([[0], ends[:-1]]).astype(np.int64)[text] + first
             spelled = _digests([whole[i:j] for i, j in zip(low.tolist(), (low + count - 1 + length).tolist(), strict=True)])
             at = pa.array(text)
-            columns = [*(batch.column(c).take(at) for c in ("digest", "doc_id")), *(pa.array(c.astype(np.int32)) for c in (first, count, left)), *(pa.array(c.view(np.int64)) for c in (key, *halves)), pa.array(spelled[:, 0]), pa.array(spelled[:, 1])]
+            columns = [batch.column("doc").take(at), pa.array(first.astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (count << 32 | left, halves, key)), pa.array(spelled[:, 0]), pa.array(spelled[:, 1])]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SEGMENT.split(", ")])
 
     return run
 
 
-_SEGMENT = "digest binary, doc_id long, first int, count int, left int, key long, before long, behind long, a long, b long"
+_SEGMENT = "doc binary, first int, size long, halves long, key long, a long, b long"
 _MEMBER = "struct<key: long, a: long, b: long, low: int, count: int>"
 _FETCHED = f"key long, dealt long, a long, b long, low int, twice boolean, piece binary, members array<{_MEMBER}>"
 _MEMBER_TYPE = pa.struct([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("low", pa.int32()), ("count", pa.int32())])
@@ -130,9 +134,10 @@ _MEMBER_TYPE = pa.struct([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64
 
 def _second(piece: bytes, key: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Strings of a piece by their second minimizer: where each run of one begins, and its hash."""
-    hashes = _piece_hashes(np.frombuffer(piece, dtype=np.uint8))
+    kmer = length // 8
+    hashes = _piece_hashes(*_running(np.frombuffer(piece, dtype=np.uint8)), kmer)
     hashes[hashes == np.int64(key).view(np.uint64)] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    least = minimizers(hashes, length - KMER + 1)
+    least = minimizers(hashes, length - kmer + 1)
     heads = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     return heads, hashes[least[heads]].view(np.int64)
 
@@ -301,32 +306,34 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with ``bytes`` and ``digest``; and for each digest with repeats its spans of bytes."""
+def repeated_spans(docs: DataFrame, length: int, made: scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``bytes`` and ``doc``, a digest of id and text; and for each doc with repeats its spans of bytes."""
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    rows = docs.withColumns({"bytes": text, "digest": F.unhex(F.md5(text))})
-    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    whole = rows.where(F.length("bytes") >= length).select(doc_id.alias("doc_id"), "digest", "bytes")
+    rows = docs.withColumns({"bytes": text, "doc": F.unhex(F.md5(F.concat(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"), F.encode(F.lit(" "), "UTF-8"), text)))})
+    whole = rows.where(F.length("bytes") >= length).select("doc", "bytes")
     cut = materialise(whole.mapInArrow(_cut(length), _SEGMENT), "segments")
-    # A class is all segments with the same bytes; its first stands for it.
-    site = F.struct("digest", "doc_id", "first")
-    classes = cut.groupBy("key", "a", "b").agg(F.min(site).alias("one"), (F.count(F.lit(1)) > 1).alias("twice"), *(F.first(c).alias(c) for c in ("count", "left", "before", "behind")))
+    # A class is all segments with the same bytes; the first of them stands for it, as doc and place in one.
+    site = F.concat("doc", F.unhex(F.lpad(F.hex("first"), 8, "0")))
+    classes = cut.groupBy("key", "a", "b").agg(F.min(site).alias("one"), (F.count(F.lit(1)) > 1).alias("twice"), F.first("size").alias("size"), F.first("halves").alias("halves"))
     classes = materialise(classes, "classes")
-    zero = F.lit(0)
-    side = lambda n, half, low, high: F.struct(F.lit(n).alias("side"), F.col(half).alias("half"), low.alias("low"), high.alias("high"))
-    sides = classes.select("key", "a", "b", "one", F.explode(F.array(side(0, "before", zero, F.col("left")), side(1, "behind", F.col("left"), F.col("count")))).alias("s")).select("key", "a", "b", "one", "s.*").where("low < high")
-    met = sides.groupBy("key", "side", "half").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = sides.join(met, ["key", "side", "half"]).select("key", "a", "b", "one", "low", "high", F.xxhash64("key", "side", "half").alias("group"), F.lit(False).alias("twice"), (F.col("n") > HOT).alias("hot"))
-    copied = classes.where("twice").select("key", "a", "b", "one", zero.alias("low"), F.col("count").alias("high"), F.xxhash64("key", "a", "b").alias("group"), "twice", F.lit(False).alias("hot"))
+    count, left, zero = F.shiftright("size", 32).cast("int"), F.col("size").bitwiseAND(0xFFFFFFFF).cast("int"), F.lit(0)
+    side = lambda n, half, low, high: F.struct(F.xxhash64("key", F.lit(n), half).alias("group"), low.alias("low"), high.alias("high"))
+    sides = F.filter(F.array(side(0, F.shiftright("halves", 32), zero, left), side(1, F.col("halves").bitwiseAND(0xFFFFFFFF), left, count)), lambda s: s["low"] < s["high"])
+    met = classes.select(F.explode(F.transform(sides, lambda s: s["group"])).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(met.select("group", (F.col("n") > HOT).alias("hot")), "met")
+    shared = classes.select("key", "a", "b", "one", F.inline(sides)).join(broadcast_if_small(met), "group").select("key", "a", "b", "one", "low", "high", "group", F.lit(False).alias("twice"), "hot")
+    copied = classes.where("twice").select("key", "a", "b", "one", zero.alias("low"), count.alias("high"), F.xxhash64("key", "a", "b").alias("group"), "twice", F.lit(False).alias("hot"))
     unsorted = materialise(shared.unionByName(copied), "unsorted")
+    made.drop(classes)
     amount = unsorted.agg(F.sum(F.when(F.col("twice"), 2 * F.col("high")).otherwise(F.col("high") - F.col("low") + length))).first()[0]
-    wanted = unsorted.groupBy("one.digest", "one.doc_id").agg(F.collect_list(F.struct("one.first", "low", "high", "key", "group", "a", "b", "hot", "twice")).alias("wanted"))
-    pieces = whole.join(wanted, ["digest", "doc_id"]).select("bytes", "wanted").mapInArrow(_fetch(length), _FETCHED)
+    first = F.conv(F.hex(F.substring("one", 17, 4)), 16, 10).cast("int").alias("first")
+    wanted = unsorted.groupBy(F.substring("one", 1, 16).alias("doc")).agg(F.collect_list(F.struct(first, "low", "high", "key", "group", "a", "b", "hot", "twice")).alias("wanted"))
+    pieces = whole.join(wanted, "doc").select("bytes", "wanted").mapInArrow(_fetch(length), _FETCHED)
     shards = max(1, int((amount or 0) // (2 * SHARD_BYTES)) + 1)
     ordered = pieces.repartition(shards, "key", "dealt").sortWithinPartitions("key", "dealt", "a", "b", "low")
     found = materialise(ordered.mapInArrow(_sort_shards(length, SHARD_BYTES, MEMORY), "key long, a long, b long, start long, stop long"), "repeated_strings")
-    spans = cut.join(broadcast_if_small(found), ["key", "a", "b"]).select("digest", F.struct((F.col("first") + F.col("start")).alias("low"), (F.col("first") + F.col("stop") + length).alias("high")).alias("span"))
-    return rows, materialise(spans.groupBy("digest").agg(F.collect_set("span").alias("spans")), "spans")
+    spans = cut.join(broadcast_if_small(found), ["key", "a", "b"]).select("doc", F.struct((F.col("first") + F.col("start")).alias("low"), (F.col("first") + F.col("stop") + length).alias("high")).alias("span"))
+    return rows, materialise(spans.groupBy("doc").agg(F.collect_set("span").alias("spans")), "spans")
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,9 +355,9 @@ _REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept
 
 def _removed(docs: DataFrame, columns: list[str], length: int) -> DataFrame:
     with scratch(docs.sparkSession) as made:
-        rows, spans = repeated_spans(docs, length)
+        rows, spans = repeated_spans(docs, length, made)
         made.keep(spans)
-    joined = rows.select(*columns, "bytes", "digest").join(spans, "digest", "left").select(*columns, "bytes", "spans")
+    joined = rows.select(*columns, "bytes", "doc").join(spans, "doc", "left").select(*columns, "bytes", "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*columns).schema.fields)
     return joined.mapInArrow(_remove, f"{fields}, {_REMOVED}")
 
