@@ -65,6 +65,12 @@ class scratch:
         self.kept.add(_PATHS[id(table)])
         return table
 
+    def drop(self, table: DataFrame) -> None:
+        """Deletes a table before the end of the block, as all its readers have been written."""
+        path = _PATHS[id(table)]
+        self.paths.remove(path)
+        remove(self.spark, path)
+
     def __exit__(self, *failure) -> None:
         _OPEN.remove(self)
         for path in self.paths:
