@@ -172,8 +172,9 @@ def classify(docs: DataFrame) -> DataFrame:
         bonus = F.when(deep, 10).otherwise(0) + F.when(F.rlike(F.lower(F.concat_ws(" ", "h1", "title")), F.lit(words)), 8).otherwise(0)
         found.append(F.struct(F.when(deep, detail).otherwise(kind).alias("page_type"), F.when(hit, in_path + bonus).otherwise(0).alias("points"), F.lit(2 * i).alias("ord")))
         found.append(F.struct(F.lit(kind).alias("page_type"), F.when(F.rlike(heading, F.lit(words)), in_heading).otherwise(0).alias("points"), F.lit(100 + i).alias("ord")))
-    rows = docs.select("page_id", F.explode(F.array(*found)).alias("s")).select("page_id", "s.*")
-    best = rows.groupBy("page_id").agg(F.max_by(F.struct("page_type", "points"), F.struct("points", -F.col("ord"))).alias("b")).select("page_id", "b.*")
+    # All signals of a page are in its row: the greatest of them is found there, with no shuffle.
+    ranked = [F.struct(f["points"].alias("points"), (-f["ord"]).alias("ord"), f["page_type"].alias("page_type")) for f in found]
+    best = docs.select("page_id", F.array_max(F.array(*ranked)).alias("b")).select("page_id", "b.page_type", "b.points")
     confidence = F.when(F.col("points") == 0, 0.3).otherwise(F.least(F.lit(0.98), 0.5 + F.col("points") / 40))
     best = best.withColumn("page_type", F.when(F.col("points") == 0, "OTHER").otherwise(F.col("page_type"))).withColumn("confidence", confidence)
     return best.withColumn("band", confidence_band(F.col("confidence")))

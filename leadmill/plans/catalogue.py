@@ -255,13 +255,24 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(k.alias("ord"), F.concat(F.when(k % 9 == 0, "Ресторан ").when(k % 9 == 1, "Company ").otherwise("Ремонт "), (k % 30).cast("string")).alias("company_name"), F.when(k % 11 != 0, F.concat(F.lit("https://www.firm"), (k % 60).cast("string"), F.lit(".example.by/"), k.cast("string"))).when(k % 2 == 0, "https://vk.com/x").alias("website"), F.when(k % 3 != 0, F.concat(F.lit("+37529"), (k % 45).cast("string"))).alias("phone"), F.concat(F.lit("street "), (k % 20).cast("string")).alias("address"), F.array().cast("array<string>").alias("categories"))
 
 
-@query()
+_GATE_SQL = """RECURSIVE r AS (SELECT page_id AS ord, CASE page_id % 9 WHEN 0 THEN 'ресторан ' WHEN 1 THEN 'company ' ELSE 'ремонт ' END || CAST(page_id % 30 AS VARCHAR) AS name, CASE WHEN page_id % 11 <> 0 THEN 'firm' || CAST(page_id % 60 AS VARCHAR) || '.by' WHEN page_id % 2 = 0 THEN 'vk.com' END AS domain,
+    CASE WHEN page_id % 3 <> 0 THEN CAST(page_id % 45 AS VARCHAR) END AS phone, CAST(page_id % 20 AS VARCHAR) AS address FROM pages),
+  e AS (SELECT *, CASE WHEN domain IS NULL THEN 'NO_WEBSITE' WHEN domain = 'vk.com' THEN 'SOCIAL_NETWORK' WHEN ord % 9 = 0 THEN 'IRRELEVANT_BUSINESS_CATEGORY' WHEN ord % 9 = 1 THEN 'UNCERTAIN_RELEVANCE' END AS early FROM r),
+  c AS (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM e WHERE early IS NULL),
+  w AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(ord BIGINT, domain VARCHAR, name VARCHAR, phone VARCHAR, address VARCHAR)[]) AS acc, CAST(NULL AS BIGINT) AS ord, CAST(NULL AS VARCHAR) AS domain, CAST(NULL AS BIGINT) AS d, CAST(NULL AS BIGINT) AS o
+    UNION ALL SELECT n, CASE WHEN d IS NULL AND o IS NULL THEN list_append(acc, {'ord': ord, 'domain': domain, 'name': name, 'phone': phone, 'address': address}) ELSE acc END, ord, domain, d, o FROM (SELECT c.n, acc, c.ord, c.domain, c.name, c.phone, c.address,
+      list_min(list_transform(list_filter(acc, lambda x: x.domain = c.domain), lambda x: x.ord)) AS d, list_min(list_transform(list_filter(acc, lambda x: x.name = c.name AND CASE WHEN c.phone IS NOT NULL THEN coalesce(x.phone = c.phone, FALSE) ELSE x.address = c.address END), lambda x: x.ord)) AS o FROM w JOIN c ON c.n = w.n + 1)),
+  decided AS (SELECT ord, domain, CASE WHEN d IS NULL AND o IS NULL THEN 'ACCEPT' ELSE 'REJECT' END AS decision, CASE WHEN d IS NOT NULL THEN 'DUPLICATE_CANONICAL_DOMAIN' WHEN o IS NOT NULL THEN 'DUPLICATE_ORGANISATION' END AS reason, coalesce(d, o) AS of FROM w WHERE n > 0
+    UNION ALL SELECT ord, domain, CASE WHEN early = 'UNCERTAIN_RELEVANCE' THEN 'UNCERTAIN' ELSE 'REJECT' END, early, NULL FROM e WHERE early IS NOT NULL)"""
+
+
+@query(f"WITH {_GATE_SQL} SELECT ord, domain, decision, reason, of FROM decided")
 def discovery_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir).withColumn("website", F.regexp_replace("website", r"(firm\d+)\.example\.by", "$1.by"))
     return gate.run_gate(rows, "подряд ремонт").select("ord", "domain", "decision", "reason", "of")
 
 
-@query()
+@query(f"WITH {_GATE_SQL} SELECT count(*) AS collected, count(*) FILTER (decision = 'ACCEPT') AS created, count(of) AS duplicates, count(*) FILTER (decision = 'REJECT' AND of IS NULL) AS rejected, count(*) FILTER (decision = 'UNCERTAIN') AS uncertain FROM decided")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.run_counters(discovery_gate(spark, sf_dir))
 
@@ -358,14 +369,36 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.documents(table(spark, sf_dir, "pages"))
 
 
-@query()
+_TITLES_SQL = "[" + ", ".join(f"'{t}'" for t in ("About us", "Our services", "News", "Catalog of doors", "Kontakt", "Plain", "Terms", "Portfolio and reviews")) + "]"
+_TYPE_ROWS_SQL = " UNION ALL ".join(
+    f"SELECT page_id, CASE WHEN deep THEN '{detail}' ELSE '{kind}' END AS page_type, CASE WHEN regexp_matches(path, '/[^/]*({words})') THEN {in_path} + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, '{words}') THEN 8 ELSE 0 END ELSE 0 END AS points, {2 * i} AS ord FROM p"
+    f" UNION ALL SELECT page_id, '{kind}', CASE WHEN regexp_matches(heading, '{words}') THEN {in_heading} ELSE 0 END, {100 + i} FROM p"
+    for i, (kind, words, in_path, in_heading, detail) in enumerate(pages.PAGE_TYPES, 1)
+)
+
+
+@query(f"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/services/roof' WHEN 2 THEN '/blog' WHEN 3 THEN '/catalog/x/y' ELSE '/other' END AS path, page_id % 5 IN (1, 3) AS deep, page_id % 5 = 0 AS home, lower({_TITLES_SQL}[1 + page_id % 8]) AS heading FROM pages),
+  f AS (SELECT page_id, 'HOME' AS page_type, CASE WHEN home THEN 20 ELSE 0 END AS points, 0 AS ord FROM p UNION ALL {_TYPE_ROWS_SQL}),
+  b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY points DESC, ord) = 1), c AS (SELECT *, CASE WHEN points = 0 THEN 0.3::DOUBLE ELSE least(0.98::DOUBLE, 0.5::DOUBLE + points / 40) END AS confidence FROM b)
+  SELECT page_id, CASE WHEN points = 0 THEN 'OTHER' ELSE page_type END AS page_type, points, confidence, CASE WHEN confidence >= 0.8 THEN 'HIGH' WHEN confidence >= 0.6 THEN 'MEDIUM' WHEN confidence > 0.3 THEN 'LOW' ELSE 'UNKNOWN' END AS band FROM c""")
 def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.classify(pages.documents(table(spark, sf_dir, "pages")))
+    k = F.col("page_id")
+    url = F.concat(F.lit("https://x.by"), F.when(k % 5 == 0, "/").when(k % 5 == 1, "/services/roof").when(k % 5 == 2, "/blog").when(k % 5 == 3, "/catalog/x/y").otherwise("/other"))
+    title = F.get(F.array(*map(F.lit, ("About us", "Our services", "News", "Catalog of doors", "Kontakt", "Plain", "Terms", "Portfolio and reviews"))), (k % 8).cast("int"))
+    html = F.concat(F.lit("<title>"), title, F.lit("</title><body>"), "html")
+    # The start of each page is its own; what the page brings along stands behind it.
+    rows = pages.documents(table(spark, sf_dir, "pages").select("page_id", url.alias("url"), html.alias("html"))).select("page_id", "url", "title", F.lit(None).cast("string").alias("h1"), F.lit(None).cast("string").alias("meta_description"))
+    return pages.classify(rows)
 
 
-@query()
+@query("""WITH p AS (SELECT page_id AS id, page_id % 5 AS site FROM pages), l AS (SELECT id, site, CASE WHEN id % 10 = 0 THEN 'about' ELSE 'p' || CAST(id * 7 % 250 // 5 * 5 + site AS VARCHAR) END AS to_ FROM p UNION ALL SELECT id, site, 'p' || CAST(id * 3 % 250 // 5 * 5 + site AS VARCHAR) FROM p WHERE id % 10 <> 0)
+  SELECT t.id AS target_id, l.id AS source_id, count(*) AS n_links FROM l JOIN p t ON t.site = l.site AND 'p' || CAST(t.id AS VARCHAR) = to_ WHERE t.id <> l.id GROUP BY 1, 2""")
 def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.backlinks(table(spark, sf_dir, "pages"))
+    k = F.col("page_id")
+    site = F.concat(F.lit("s"), (k % 5).cast("string"), F.lit(".by/"))
+    to = lambda m: (F.floor(k * m % 250 / 5) * 5 + k % 5).cast("string")
+    html = F.when(k % 10 == 0, '<a href="/about">a</a>').otherwise(F.concat(F.lit('<p><a href="/p'), to(7), F.lit('">x</a><a class="b" href="https://www.'), site, F.lit("p"), to(3), F.lit('/#c">y</a>')))
+    return pages.backlinks(table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://"), site, F.lit("p"), k.cast("string")).alias("url"), html.alias("html")))
 
 
 @query()
