@@ -10,7 +10,8 @@ is longest.
 The vocabulary's file is a parameter. A BPE file holds merge ranks, not log-probabilities, so a piece's
 score is taken from its rank by Zipf's law, ``-log(rank + 2)``; ``scores`` may give others.
 
-The trie is emptied when it holds ``MOST_NODES`` nodes, which bounds memory and changes no count.
+The trie is emptied when it holds ``MOST_NODES`` nodes, and a word of over ``LONG_WORD`` letters is counted by the same
+rule without it, which bounds memory and changes no count.
 Defined results: null and empty texts count 0; repeated rows are counted each; an empty table
 gives no rows; other columns are ignored.
 """
@@ -18,6 +19,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_NODES = 2_000_000
+LONG_WORD = 10_000  # letters; longer words are counted beside the trie
 BYTE_SCORE = -14.0
 MARK = "▁"
 _SCORES: dict[str, dict[str, float]] = {}
@@ -57,6 +60,8 @@ class Trie:
         found = self.terminals.get(word)
         if found is not None:
             return found
+        if len(word) > LONG_WORD:
+            return self.count_alone(word)
         if len(self.best) > MOST_NODES:
             self.clear()
         path, children, best, counts, scores = [0], self.children, self.best, self.counts, self.scores
@@ -81,6 +86,23 @@ class Trie:
         return counts[path[-1]]
 
 
+    def count_alone(self, word: str) -> int:
+        """The same count for a very long word, from the last ``longest`` prefixes only; the trie does not keep it."""
+        held = deque([(0.0, 0)], maxlen=self.longest)  # best score and pieces of the prefixes that end before i
+        for i, char in enumerate(word):
+            high, pieces = -math.inf, 0
+            for back, (best, count) in enumerate(held):
+                score = self.scores.get(word[i + 1 - len(held) + back : i + 1])
+                if score is not None and best + score > high:
+                    high, pieces = best + score, count + 1
+            if char not in self.scores:
+                size = len(char.encode("utf-8", "replace"))
+                if held[-1][0] + size * BYTE_SCORE > high:
+                    high, pieces = held[-1][0] + size * BYTE_SCORE, held[-1][1] + size
+            held.append((high, pieces))
+        return held[-1][1]
+
+
 def _count(path: str | None, scores: dict[str, float] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(scores or piece_scores(path))

@@ -10,6 +10,7 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -333,6 +334,23 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontamination.contamination(no_docs, benchmark).count() == 0
 
 
+def test_very_long_words_count_the_same_without_the_trie():
+    rng = random.Random(9)
+    trie = token_counts.Trie({"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))): -rng.random() * 9 for _ in range(30)} | {"▁": -1.0})
+    for n in (1, 2, 7, 60, 400):
+        word = "▁" + "".join(rng.choice("abcé") for _ in range(n))
+        assert trie.count_alone(word) == trie.count(word)
+    assert trie.count("▁" + "ab" * 20_000) > 0 and len(trie.best) < 1000
+
+
+def test_encoders_agree_on_whole_texts(sf_dir):
+    texts = [t or "" for t in pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    rng = random.Random(13)
+    texts += ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(160, 0x2FFF), rng.randrange(0x1F300, 0x1F700), 10, 32, 160))) for _ in range(rng.randint(1, 80))) for _ in range(400)]
+    fast, plain = (packing.encoder(public_tokenizers.path(f"byte_bpe_50k.{kind}"))(texts) for kind in ("tiktoken", "json"))
+    assert all(a.tolist() == b.tolist() for a, b in zip(fast, plain, strict=True))
+
+
 def _plain_overlap(text, item):
     """Equal tokens of the best aligned stretch that is long and similar enough, by trying every one."""
     x, y = decontamination.tokens_of(text), decontamination.tokens_of(item)
