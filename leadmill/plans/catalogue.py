@@ -412,7 +412,7 @@ _CLAIM_SQL = "[" + ", ".join(f"'{c}'" for c in _CLAIMS) + "]"
 
 
 @query(f"""WITH d AS (SELECT doc_id, text || {_CLAIM_SQL}[1 + doc_id % 6] AS text FROM documents),
-  c AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?i)гаранти[0-9A-Za-z_]*[^.\n]{{0,40}}?([0-9]+)\s*(лет|года|год|months?|месяц[0-9A-Za-z_]*)', 1), regexp_extract_all(text, '(?i)гаранти[0-9A-Za-z_]*\s+до\s+([0-9]+)\s*(лет|года|год)', 1))) AS n FROM d),
+  c AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?i)гаранти[0-9A-Za-z_]*[^.\\n]{{0,40}}?([0-9]+)\\s*(лет|года|год|months?|месяц[0-9A-Za-z_]*)', 1), regexp_extract_all(text, '(?i)гаранти[0-9A-Za-z_]*\\s+до\\s+([0-9]+)\\s*(лет|года|год)', 1))) AS n FROM d),
   g AS (SELECT CAST(n AS BIGINT) AS duration, count(*) AS claims, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc FROM c GROUP BY 1) SELECT * FROM g WHERE (SELECT count(*) FROM g) > 1""")
 def editorial_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     claim = F.get(F.array(*map(F.lit, _CLAIMS)), (F.col("doc_id") % len(_CLAIMS)).cast("int"))

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from leadmill.plans import catalogue
+from leadmill.plans import catalogue, entity_catalogue, site_catalogue  # noqa: F401  (the others register in catalogue)
 
 #: Beside the driver's own check of all of them, one of each kind is held here.
-HELD = ("lead_page", "lead_search", "lead_funnel", "run_funnel", "security_gate", "child_counts", "latest_child_per_parent", "url_canonical", "site_eligibility", "lead_score_v1", "lead_score_v2", "duplicate_groups", "merge_plan", "repeated_sentences", "repeated_runs", "adjacent_duplicates", "technical_payloads", "fact_candidates", "page_signals", "activity_retention", "entity_latest_state", "label_quality", "coverage_missing", "upsert_by_key", "finding_reconciliation")
+HELD = ("lead_page", "lead_search", "lead_funnel", "run_funnel", "security_gate", "child_counts", "latest_child_per_parent", "url_canonical", "site_eligibility", "lead_score_v1", "lead_score_v2", "duplicate_groups", "merge_plan", "repeated_sentences", "repeated_runs", "adjacent_duplicates", "technical_payloads", "fact_candidates", "page_signals", "activity_retention", "entity_latest_state", "label_quality", "coverage_missing", "upsert_by_key", "finding_reconciliation", "discovery_gate", "page_classes", "backlinks", "editorial_conflicts", "next_actions", "stage_progress", "stage_gates", "canonical_entities", "dynamic_sections", "resolved_routes", "text_blocks", "website_ownership", "card_summaries", "public_brands", "theme_colours", "image_roles", "project_media", "site_permissions", "relation_edges", "grouped_sections", "graph_audit", "new_snapshots", "promotions")
 
 
 @pytest.fixture(scope="module")
