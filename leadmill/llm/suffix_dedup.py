@@ -319,7 +319,8 @@ def repeated_spans(docs: DataFrame, length: int, made: scratch) -> tuple[DataFra
     count, left, zero = F.shiftright("size", 32).cast("int"), F.col("size").bitwiseAND(0xFFFFFFFF).cast("int"), F.lit(0)
     side = lambda n, half, low, high: F.struct(F.xxhash64("key", F.lit(n), half).alias("group"), low.alias("low"), high.alias("high"))
     sides = F.filter(F.array(side(0, F.shiftright("halves", 32), zero, left), side(1, F.col("halves").bitwiseAND(0xFFFFFFFF), left, count)), lambda s: s["low"] < s["high"])
-    met = classes.select(F.explode(F.transform(sides, lambda s: s["group"])).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # All strings of a segment that stands twice are found by its copies: it is met for the sake of others only.
+    met = classes.select("twice", F.explode(F.transform(sides, lambda s: s["group"])).alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.bool_and("twice").alias("settled")).where("n > 1 and not settled")
     met = materialise(met.select("group", (F.col("n") > HOT).alias("hot")), "met")
     shared = classes.select("key", "a", "b", "one", F.inline(sides)).join(broadcast_if_small(met), "group").select("key", "a", "b", "one", "low", "high", "group", F.lit(False).alias("twice"), "hot")
     copied = classes.where("twice").select("key", "a", "b", "one", zero.alias("low"), count.alias("high"), F.xxhash64("key", "a", "b").alias("group"), "twice", F.lit(False).alias("hot"))
