@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.functions import markup, ownership, summaries
-from leadmill.operators import activity, audit, content, relations
+from leadmill.functions import markup, ownership, summaries, texts
+from leadmill.operators import activity, audit, content, leads, pages, relations, scoring, security
 from leadmill.plans.catalogue import AS_OF, _as_of, query
 from leadmill.sources.fixtures import LEADS_SQL, table
 from leadmill.sources.fixtures import leads as lead_table
@@ -350,4 +350,112 @@ def site_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.contacts(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("site"), k.alias("ord"), value.alias("value"))).withColumn("phones", F.array_join("phones", "|"))
 
 
+@query(f"""WITH {LEADS_SQL} SELECT id FROM leads WHERE merge_status = 'NONE' AND NOT archived AND coalesce(website_status = 'FOUND' AND audit_status = 'SUCCESS' AND lighthouse_status = 'SUCCESS' AND visual_status = 'SUCCESS' AND score_status = 'SUCCESS', FALSE)
+  ORDER BY created_at DESC NULLS FIRST, id LIMIT 100""")
+def ready_overrides_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In compatible mode READY replaces the statuses asked for."""
+    p = leads.LeadFilter(qualification="READY", website_status="NOT_FOUND", audit_status="FAILED", compat=True, sort="created_desc", limit=100)
+    return leads.lead_page(lead_table(spark, sf_dir), p).select("id")
+
+
+@query(f"""WITH {LEADS_SQL} SELECT id FROM leads WHERE merge_status = 'NONE' AND NOT archived AND (contains(lower(company_name), '7') OR contains(lower(website), '7') OR contains(lower(phone), '7') OR contains(lower(address), '7')) ORDER BY company_name NULLS LAST, id LIMIT 50""")
+def one_word_drops_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In compatible mode a search of one word takes the place of the FAILED conditions."""
+    return leads.lead_page(lead_table(spark, sf_dir), leads.LeadFilter(text="7", qualification="FAILED", compat=True, sort="company_asc")).select("id")
+
+
+@query(f"""WITH {LEADS_SQL} SELECT id, redesign_stage FROM leads WHERE merge_status = 'NONE' AND NOT archived AND website_status = 'FOUND' AND redesign_stage IN ({", ".join(f"'{x}'" for x in leads.GENERATION_STAGES[sorted(leads.GENERATION_STAGES)[0]])}) ORDER BY business_score DESC NULLS FIRST, lead_score_v2 DESC NULLS FIRST, id LIMIT 60""")
+def generation_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = leads.LeadFilter(generation=sorted(leads.GENERATION_STAGES)[0], qualification="ALL", sort="biz_desc", limit=60)
+    return leads.lead_page(lead_table(spark, sf_dir), p).select("id", "redesign_stage")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01 00:00:00' ORDER BY o_orderdate, o_orderkey LIMIT 200")
+def lead_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"))
+    return leads.lead_changes(rows, F.lit("1997-01-01").cast("timestamp")).select("id")
+
+
+@query("""WITH a AS (SELECT user_id AS id, string_agg(event_type, ',' ORDER BY event_type) AS operations FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 4 < 2) GROUP BY 1) SELECT c_custkey AS id, coalesce(operations, '') AS operations FROM customer LEFT JOIN a ON id = c_custkey""")
+def page_with_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    running = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("operation"), F.when(k == 0, "QUEUED").when(k == 1, "RUNNING").otherwise("DONE").alias("status")).distinct()
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return leads.with_operations(rows, running).select("id", F.array_join(F.array_distinct("operations"), ",").alias("operations"))
+
+
+_ADDRESSES = ("10.1.2.3", "8.8.8.8", "172.20.0.1", "172.32.0.1", "192.168.1.1", "169.254.0.9", "100.64.0.1", "100.128.0.1", "224.0.0.1", "300.1.1.1", "not an ip", "127.0.0.1", "0.1.2.3")
+
+
+@query(f"""WITH r AS (SELECT DISTINCT {_list_sql(_ADDRESSES)}[1 + event_id % 13] AS ip FROM events) SELECT ip, CASE WHEN ip IN ('300.1.1.1', 'not an ip') THEN NULL ELSE ip NOT IN ('8.8.8.8', '172.32.0.1', '100.128.0.1') END AS private FROM r""")
+def private_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(_pick(_ADDRESSES, F.col("event_id")).alias("ip")).distinct()
+    return rows.select("ip", security.private_address(F.col("ip")).alias("private"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 12 = 11 THEN NULL WHEN p_partkey % 12 >= 9 THEN 'CRITICAL' WHEN p_partkey % 12 >= 7 THEN 'HIGH' WHEN p_partkey % 12 >= 4 THEN 'MEDIUM' WHEN p_partkey % 12 > 0 THEN 'LOW' END AS severity,
+  CASE WHEN p_size % 3 = 0 THEN 'DEVELOPMENT' WHEN p_size % 5 = 0 THEN 'OPTIONAL' ELSE 'PRODUCTION' END AS environment, CASE WHEN p_partkey % 2 = 0 THEN 'DIRECT' ELSE 'TRANSITIVE' END AS reachability FROM part""")
+def dependency_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    score = F.when(k % 12 == 11, "none").otherwise((k % 12).cast("string"))
+    reach = security.reachable_environment(F.col("p_size") % 3 == 0, F.col("p_size") % 5 == 0, k % 2 == 0)
+    return table(spark, sf_dir, "part").select(k.alias("id"), security.severity_of(score).alias("severity"), reach.alias("r")).select("id", "severity", "r.*")
+
+
+@query("""SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'RESOLVED' ELSE 'FIXING' END AS status FROM events""")
+def failed_scan_resolves_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    findings = table(spark, sf_dir, "events").select(k.alias("id"), k.cast("string").alias("fingerprint"), F.lit("osv").alias("scanner"), F.when(k % 4 == 0, "OPEN").when(k % 4 == 1, "RESOLVED").otherwise("FIXING").alias("status"))
+    return security.reconcile(findings, findings.limit(0), "osv", ok=False).select("id", "status")
+
+
+@query("""SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 90 END, CASE WHEN c_custkey % 3 = 1 THEN CAST(floor((c_custkey % 80 + c_custkey % 70 + c_custkey % 60 + c_custkey % 50) / 4 + 0.5) AS BIGINT) END, 0) AS technical_quality,
+  coalesce(CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 100 END, CASE WHEN c_custkey % 4 = 1 THEN c_custkey % 10 * 10 END, 0) AS visual_quality, coalesce(CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 95 END, CASE WHEN c_custkey % 5 = 1 THEN c_custkey % 9 * 10 END, 0) AS business_confidence, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 * 10 END, 0) AS redesign_potential FROM customer""")
+def score_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    part = lambda m, rest, n: F.when(k % m == rest, k % n)
+    rows = table(spark, sf_dir, "customer").select(
+        k.alias("id"), part(3, 0, 90).alias("website_quality_score"), part(3, 1, 80).alias("performance"), (k % 70).alias("seo"), (k % 60).alias("accessibility"), (k % 50).alias("best_practices"), part(4, 0, 100).alias("visual_quality_score"), part(4, 1, 10).alias("overall_visual"), part(5, 0, 95).alias("business_score"), part(5, 1, 9).alias("trust"), part(2, 0, 10).alias("redesign_potential_score"),
+    )
+    return scoring.v2_inputs(rows).select("id", *(F.col(c).cast("long").alias(c) for c in ("technical_quality", "visual_quality", "business_confidence", "redesign_potential")))
+
+
+_NAMED = ("Двери & Окна -- 2024!", "  Über Größe  ", "---", "A b", "Наши РАБОТЫ: дома")
+
+
+@query(f"""WITH r AS (SELECT event_id AS id, {_list_sql(_NAMED)}[1 + event_id % 5] AS t FROM events), w AS (SELECT *, regexp_replace(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS w FROM r) SELECT id, CASE WHEN w = '' THEN substr(sha256(t), 1, 8) ELSE w END AS slug FROM w""")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), texts.slug(_pick(_NAMED, F.col("event_id"))).alias("slug"))
+
+
+@query("""WITH t AS (SELECT o_custkey % 100 AS site, '/p' || CAST(o_orderkey % 7 AS VARCHAR) AS url, sum(o_orderkey % 11) AS points, bool_or(o_orderstatus = 'F') AS crawled FROM orders GROUP BY 1, 2) SELECT site, url, points, crawled FROM t QUALIFY row_number() OVER (PARTITION BY site ORDER BY points DESC, crawled DESC, url) = 1""")
+def homepages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("site"), F.concat(F.lit("/p"), (k % 7).cast("string")).alias("url"), (k % 11).alias("points"), (F.col("o_orderstatus") == "F").alias("crawled"))
+    return pages.homepage(rows)
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 3 AS nth, page_id // 3 AS parent, CASE page_id % 4 WHEN 0 THEN 'NEWS_INDEX' WHEN 1 THEN 'OTHER' ELSE 'PROJECTS_INDEX' END AS t FROM pages) SELECT a.page_id, CASE WHEN a.nth > 0 THEN coalesce(b.t, a.t) ELSE a.t END AS page_type FROM p a LEFT JOIN p b ON b.parent = a.parent AND b.nth = 0""")
+def paginated_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    url = F.concat(F.lit("https://x.by/list"), F.floor(k / 3).cast("string"), F.when(k % 3 > 0, F.concat(F.lit("/page/"), (k % 3 + 1).cast("string"), F.lit("/"))).otherwise(""))
+    rows = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+    types = rows.select("page_id", F.when(k % 4 == 0, "NEWS_INDEX").when(k % 4 == 1, "OTHER").otherwise("PROJECTS_INDEX").alias("page_type"))
+    return pages.inherit_from_pagination(rows, types)
+
+
+_CRAWLED = {
+    "https://www.X.by/a/index.html?utm_source=1#x": ("https://www.x.by/a", False, False), "https://x.by/list?page=3&ref=2": ("https://x.by/list?page=3", True, True), "https://x.by/login/me": ("https://x.by/login/me", False, True),
+    "https://x.by/file.PDF": ("https://x.by/file.PDF", False, False), "http://x.by/b///": ("http://x.by/b/", True, False), "https://x.by/c?sort=asc&tag=q": ("https://x.by/c?tag=q", True, True), "https://x.by/news/page/12/": ("https://x.by/news/page/12/", True, True), "https://x.by": ("https://x.by/", True, False),
+}
+_CRAWLED_SQL = ", ".join(f"({i}, '{url}', '{kept}', {ok}, {low})" for i, (url, (kept, ok, low)) in enumerate(_CRAWLED.items()))
+
+
+@query(f"""WITH v(i, url, crawl_url, crawled, low_value) AS (VALUES {_CRAWLED_SQL}) SELECT v.url, crawl_url, crawled, low_value, count(*) AS n FROM events JOIN v ON i = event_id % {len(_CRAWLED)} GROUP BY ALL""")
+def crawl_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(_pick(tuple(_CRAWLED), F.col("event_id")).alias("url")).agg(F.count(F.lit(1)).alias("n"))
+    url = F.col("url")
+    return rows.select("url", pages.crawl_url(url).alias("crawl_url"), pages.should_crawl(url).alias("crawled"), pages.low_value(url).alias("low_value"), "n")
+
+
 NAMES = tuple(name for name, f in list(globals().items()) if getattr(f, "__module__", None) == __name__ and not name.startswith("_"))
