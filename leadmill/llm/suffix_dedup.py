@@ -3,12 +3,10 @@
 A byte goes if a string of ``length`` bytes covers it that also starts anywhere else. Strings are
 judged on the input; matches never cross documents.
 
-Equal strings must meet in one shard. Each string has a minimizer: of its pieces of an eighth of
-its bytes, the one
-of the smallest hash. Consecutive strings with one minimizer form a segment. Of the bytes before and
-behind the minimizer a string holds half of what is left of it on one side at least; the strings of a segment
-that hold them before it are its left side, the others its right side, and equal strings are on the same
-side with the same minimizer and the same half. Only keys, hashes of halves and 128-bit digests of segments
+Equal strings must meet in one shard. Each string has a minimizer: of its pieces of ``length // 8`` bytes, the
+one of the smallest hash. Consecutive strings with one minimizer form a segment. At least half of a string's
+other bytes stand on one side of its minimizer; the strings of a segment that have them before it are its left
+side, the others its right side, and equal strings are on the same side with the same minimizer and half. Only keys, hashes of halves and 128-bit digests of segments
 are shuffled at first. A side that shares minimizer and half with no other segment cannot repeat, unless the
 whole segment stands several times. What is left is fetched: sides that meet others, and segments that stand
 several times as two copies (neighbours as one piece). These are dealt into shards by minimizer and half, and

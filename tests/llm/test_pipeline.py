@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from leadmill.llm import decontamination, queries, toxicity
+from leadmill.llm import queries, toxicity
 
 from .test_corpus_operators import _groups, _removed
 from .test_text_operators import _plain_overlap
