@@ -171,7 +171,8 @@ class _Level:
 
     def _deal(self) -> None:
         """Symbols to buckets: one for each of a small alphabet; else some at a time, frequent ones alone."""
-        if self.symbols <= 512:
+        self.plain = self.symbols <= 512  # each symbol is its own bucket
+        if self.plain:
             self.bucket, self.alone = np.arange(self.symbols, dtype=np.uint16), np.ones(self.symbols, dtype=bool)
             return
         counts = np.zeros(self.symbols, dtype=np.int64)
@@ -215,18 +216,24 @@ class _Spread:
 
     def left(self, at: np.ndarray) -> np.ndarray:
         """Rows whose left neighbour is induced."""
-        return np.flatnonzero((at > 0) & (self.level.small[at - 1] == self.small))
+        own = self.level.small[at - 1]
+        if not self.small:
+            own = ~own
+        if not at.all():
+            own &= at > 0
+        return np.flatnonzero(own)
 
     def __call__(self, tuples: np.ndarray, own: int = -1) -> np.ndarray:
         """Returns the induced tuples that belong to the very bucket being served, ``own``."""
         at, prefix = tuples[:, 0], tuples[:, 1]
         rows = self.left(at)
-        target = self.level.text[at[rows] - 1].astype(np.int64)
-        bucket = self.level.bucket[target]
+        left = at[rows] - 1
+        target = self.level.text[left]
+        bucket = target if self.level.plain else self.level.bucket[target]
         order = np.argsort(bucket, kind="stable")
         rows, target, bucket = rows[order], target[order], bucket[order]
         out = np.zeros((len(rows), 2), dtype=np.int32)
-        out[:, 0] = at[rows] - 1
+        out[:, 0] = left[order]
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(rows) else np.zeros(0, dtype=np.int64)
         ends = np.append(cuts[1:], len(rows))
         if self.depth and len(tuples):  # buckets are single symbols then

@@ -335,35 +335,41 @@ def repeated_spans(docs: DataFrame, length: int, made: scratch) -> tuple[DataFra
     return rows, materialise(spans.groupBy("doc").agg(F.collect_set("span").alias("spans")), "spans")
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, "bytes"):
-        kept_rest = batch.drop_columns(["bytes", "spans"])
-        out = []
-        for text, spans in zip(batch.column("bytes").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            gone = _merged([(s["low"], s["high"]) for s in spans or []])
-            edges = [0, *(e for span in gone for e in span), len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append((len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([*kept_rest.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept_rest.schema.names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+_COUNTED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-_REMOVED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+def _remove(with_text: bool):
+    """What is left of each text: the text itself, or its figures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "bytes"):
+            kept_rest = batch.drop_columns(["bytes", "spans"])
+            out = []
+            for text, spans in zip(batch.column("bytes").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                gone = _merged([(s["low"], s["high"]) for s in spans or []])
+                edges = [0, *(e for span in gone for e in span), len(text)]
+                kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if gone else text
+                out.append((kept.decode("utf-8", "ignore"),) if with_text else (len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
+            names = ["kept_text"] if with_text else [c.split()[0] for c in _COUNTED.split(", ")]
+            types = [pa.string()] if with_text else [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*kept_rest.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[*kept_rest.schema.names, *names])
+
+    return run
 
 
-def _removed(docs: DataFrame, columns: list[str], length: int) -> DataFrame:
+def _removed(docs: DataFrame, columns: list[str], length: int, with_text: bool) -> DataFrame:
     with scratch(docs.sparkSession) as made:
         rows, spans = repeated_spans(docs, length, made)
         made.keep(spans)
     joined = rows.select(*columns, "bytes", "doc").join(spans, "doc", "left").select(*columns, "bytes", "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*columns).schema.fields)
-    return joined.mapInArrow(_remove, f"{fields}, {_REMOVED}")
+    return joined.mapInArrow(_remove(with_text), f"{fields}, {'kept_text string' if with_text else _COUNTED}")
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and shortened (something was removed) for each row of ``docs``."""
-    out = _removed(docs.select("doc_id", "text"), ["doc_id"], length)
+    out = _removed(docs.select("doc_id", "text"), ["doc_id"], length, False)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("shortened"))
 
 
@@ -375,6 +381,6 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept = [c for c in docs.columns if c != "text"]
     own = {c: f"own_{i}" for i, c in enumerate(kept)}
     held = docs.select("text", F.col("doc_id"), F.struct(*(F.col(c).alias(own[c]) for c in kept)).alias("held"), F.col("text").isNull().alias("no_text"))
-    out = _removed(held, ["held", "no_text"], length)
+    out = _removed(held, ["held", "no_text"], length, True)
     text = F.when(~F.col("no_text"), F.col("kept_text"))
     return out.select(*(text.alias("text") if c == "text" else F.col("held")[own[c]].alias(c) for c in docs.columns))
