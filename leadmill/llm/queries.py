@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import chat_format, decontamination, html_extract, minhash, packing, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from leadmill.llm import chat_format, decontamination, html_extract, manifest, minhash, packing, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 
 SHARDS = 24
 
@@ -66,6 +66,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(3)) == 0
+    lowered = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = manifest.manifest(_table(spark, sf_dir, "documents"), tampered=F.when(touched, manifest.leaf(lowered)))
+    out = out.withColumn("folded_root", manifest.fold(F.coalesce("tampered", "leaf"), F.col("siblings"), F.col("places")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_toxicity": op2_toxicity,
@@ -77,6 +85,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op12_manifest": op12_manifest,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -97,4 +106,57 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(chars)::BIGINT AS formatted_chars
         FROM marked GROUP BY conv_id""",
+    "op12_manifest": r"""
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, lang,
+                   CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END
+                   || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+                   || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END
+                   || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS head,
+                   text, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS said,
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+            FROM documents),
+        leaves AS (
+            SELECT doc_id, lang, sha256(head || said) AS leaf,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [1, 1, 1, 1, 1, 1, 1, 1]::BIGINT[]), lambda x, bit: xor(x >> 1, 3988292384 * (x & bit)))), 4294967295) AS crc,
+                   sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(lowered) || ':' || lowered END) AS lowered
+            FROM fields),
+        placed AS (
+            SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+            FROM leaves),
+        nodes(lvl, tree, i, digest) AS (
+            SELECT 0, tree, i, leaf FROM placed
+            UNION ALL
+            SELECT lvl + 1, tree, i // 8, sha256(string_agg(digest, '' ORDER BY i))
+            FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY lvl, tree, i // 8),
+        tops AS (SELECT tree, max(lvl) AS lvl, max_by(digest, lvl) AS subroot FROM nodes GROUP BY tree),
+        forest(lvl, i, digest) AS (
+            SELECT 0, tree, subroot FROM tops
+            UNION ALL
+            SELECT lvl + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i))
+            FROM (SELECT *, count(*) OVER () AS n FROM forest) WHERE n > 1 GROUP BY lvl, i // 8),
+        summit AS (SELECT max(lvl) AS lvl, max_by(digest, lvl) AS root FROM forest),
+        runs AS (
+            SELECT tree, lvl, i // 8 AS run, list(digest ORDER BY i) AS digests FROM nodes JOIN (SELECT tree, lvl AS top FROM tops) USING (tree) WHERE lvl < top GROUP BY tree, lvl, i // 8
+            UNION ALL
+            SELECT -1, lvl, i // 8, list(digest ORDER BY i) FROM forest WHERE lvl < (SELECT lvl FROM summit) GROUP BY lvl, i // 8),
+        steps AS (
+            SELECT p.tree, p.i, r.lvl, list_aggregate(r.digests[: (p.i // (8 ** r.lvl)::BIGINT) % 8], 'string_agg', '') AS ahead,
+                   list_aggregate(r.digests[(p.i // (8 ** r.lvl)::BIGINT) % 8 + 2 :], 'string_agg', '') AS behind
+            FROM placed p JOIN runs r ON r.tree = p.tree AND r.run = p.i // (8 ** (r.lvl + 1))::BIGINT
+            UNION ALL
+            SELECT p.tree, p.i, t.lvl + r.lvl, list_aggregate(r.digests[: (p.tree // (8 ** r.lvl)::BIGINT) % 8], 'string_agg', ''),
+                   list_aggregate(r.digests[(p.tree // (8 ** r.lvl)::BIGINT) % 8 + 2 :], 'string_agg', '')
+            FROM placed p JOIN tops t USING (tree) JOIN runs r ON r.tree = -1 AND r.run = p.tree // (8 ** (r.lvl + 1))::BIGINT),
+        proofs AS (SELECT tree, i, string_agg(coalesce(ahead, '') || coalesce(behind, ''), '' ORDER BY lvl) AS proof FROM steps GROUP BY tree, i),
+        folded(lvl, tree, i, node) AS (
+            SELECT 0, tree, i, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END FROM placed
+            UNION ALL
+            SELECT f.lvl + 1, f.tree, f.i, sha256(coalesce(ahead, '') || node || coalesce(behind, ''))
+            FROM folded f JOIN steps s ON s.tree = f.tree AND s.i = f.i AND s.lvl = f.lvl),
+        last AS (SELECT tree, i, max_by(node, lvl) AS folded_root FROM folded GROUP BY tree, i)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM placed JOIN tops USING (tree) JOIN last USING (tree, i) LEFT JOIN proofs USING (tree, i), summit""",
 }
