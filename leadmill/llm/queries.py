@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import chat_format, decontamination, html_extract, manifest, minhash, packing, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from leadmill.llm import chat_format, decontamination, html_extract, manifest, minhash, packing, quality_rules, sharding, suffix_dedup, token_counts, toxicity, whitening
 
 SHARDS = 24
 
@@ -66,6 +66,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    w = whitening.fit(table)
+    if w is None or not len(w.values):
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    error = whitening.identity_error(table, w)
+    rows = whitening.whiten(table, w).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*map(F.lit, w.explained.tolist()))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(w.n).cast("long").alias("n"), "deviation", "whitened", explained[F.col("at")].alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     touched = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(3)) == 0
     lowered = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -85,6 +96,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
     "op12_manifest": op12_manifest,
 }
 
