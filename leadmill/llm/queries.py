@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import chat_format, decontamination, html_extract, manifest, minhash, packing, quality_rules, sharding, suffix_dedup, token_counts, toxicity, whitening
+from leadmill.llm import chat_format, decontamination, html_extract, manifest, minhash, nn_descent, packing, quality_rules, sharding, suffix_dedup, token_counts, toxicity, whitening
 
 SHARDS = 24
 
@@ -85,6 +85,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_toxicity": op2_toxicity,
@@ -98,6 +102,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
     "op12_manifest": op12_manifest,
+    "op13_nn_descent": op13_nn_descent,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
