@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +44,17 @@ def holds(text: Column, token: str) -> Column:
 def yes(condition: Column) -> Column:
     """Two-valued: an unknown condition is false."""
     return F.coalesce(condition, F.lit(False))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, however often it is used.
+
+    An expression used several times is copied into the plan as often; a lambda's variable is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(value: Column, *names: str) -> Column:
+    """A generator of one row whose columns are the fields of the struct ``value``, all or those named.
+
+    The optimiser neither copies what a generator gives into later columns nor moves filters below it."""
+    return F.inline(F.array(value if not names else F.struct(*(value[n].alias(n) for n in names))))

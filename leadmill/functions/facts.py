@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.functions.compat import one_space, yes
+from leadmill.functions.compat import bound, once, one_space, yes
 
 # Contexts and forms that the cascades look for.
 YEAR_RANGE = r"(^|[^0-9])(18|19|20)[0-9]{2}\s*[-–—]\s*(18|19|20)[0-9]{2}([^0-9]|$)"
@@ -24,12 +24,14 @@ def _cascade(*steps: tuple[Column, str], value: Column) -> Column:
     reason = None
     for test, name in steps:
         reason = F.when(yes(test), name) if reason is None else reason.when(yes(test), name)
-    return F.struct(reason.isNull().alias("ok"), F.when(reason.isNull(), value).alias("value"), reason.alias("reason"))
+    return bound(reason, lambda r: F.struct(r.isNull().alias("ok"), F.when(r.isNull(), value).alias("value"), r.alias("reason")))
 
 
 def phone(raw: Column, context: Column) -> Column:
-    value, context = one_space(F.coalesce(raw, F.lit(""))), F.coalesce(context, F.lit(""))
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    return bound(one_space(F.coalesce(raw, F.lit(""))), lambda value: bound(F.length(F.regexp_replace(value, "[^0-9]", "")), lambda digits: _phone(value, digits, F.coalesce(context, F.lit("")))))
+
+
+def _phone(value: Column, digits: Column, context: Column) -> Column:
     labelled = F.rlike(context, F.lit(REGISTRATION))
     return _cascade(
         (value == "", "EMPTY"),
@@ -37,18 +39,20 @@ def phone(raw: Column, context: Column) -> Column:
         (F.rlike(value, F.lit(YEAR_RANGE)), "YEAR_RANGE"),
         (F.rlike(context, F.lit(BANK)) | F.rlike(value, F.lit(BANK)), "BANK_ACCOUNT"),
         (F.regexp_count(value, F.lit(r"[0-9][0-9\s()\-]{5,}[0-9]")) > 1, "CONCATENATED"),
-        (F.length(digits) < 7, "TOO_FEW_DIGITS"),
-        (F.length(digits) > 15, "TOO_MANY_DIGITS"),
-        ((F.length(digits) == 9) & labelled, "REGISTRATION_ID"),
-        ((F.length(digits) == 9) & ~F.rlike(value, F.lit("[+()]")), "AMBIGUOUS_NINE_DIGIT"),
+        (digits < 7, "TOO_FEW_DIGITS"),
+        (digits > 15, "TOO_MANY_DIGITS"),
+        ((digits == 9) & labelled, "REGISTRATION_ID"),
+        ((digits == 9) & ~F.rlike(value, F.lit("[+()]")), "AMBIGUOUS_NINE_DIGIT"),
         value=value,
     )
 
 
 def email(raw: Column) -> Column:
-    found = F.regexp_extract(F.coalesce(raw, F.lit("")), EMAIL, 0)
+    return bound(F.regexp_extract(F.coalesce(raw, F.lit("")), EMAIL, 0), lambda found: bound(F.regexp_replace(F.substring_index(found, "@", 1), r"^[0-9][0-9.\-_]{3,}(?=[A-Za-z])", ""), lambda rest: _email(found, rest)))
+
+
+def _email(found: Column, rest: Column) -> Column:
     local, domain = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
-    rest = F.regexp_replace(local, r"^[0-9][0-9.\-_]{3,}(?=[A-Za-z])", "")
     return _cascade(
         (found == "", "NOT_AN_EMAIL"),
         (F.rlike(found, F.lit(ASSET)), "IMAGE_FILENAME"),
@@ -60,8 +64,10 @@ def email(raw: Column) -> Column:
 
 
 def employees(raw: Column) -> Column:
-    value = one_space(F.coalesce(raw, F.lit("")))
-    number = F.regexp_replace(F.regexp_extract(value, r"[0-9][0-9\s]*", 0), r"\s", "")
+    return bound(one_space(F.coalesce(raw, F.lit(""))), lambda value: bound(F.regexp_replace(F.regexp_extract(value, r"[0-9][0-9\s]*", 0), r"\s", ""), lambda number: _employees(value, number)))
+
+
+def _employees(value: Column, number: Column) -> Column:
     n = F.try_to_number(number, F.lit("999999999999999")).cast("double")
     return _cascade((~F.rlike(value, F.lit(EMPLOYEES)), "NO_EMPLOYEE_CONTEXT"), (number == "", "NO_NUMBER"), (n == 0, "COUNTER_ZERO"), (n.isNull() | (n > 10_000_000), "IMPLAUSIBLE"), value=value)
 
@@ -90,4 +96,4 @@ def gate(found: DataFrame) -> DataFrame:
     """Adds ok, value, reason to candidates (kind, raw, optional context)."""
     context = F.col("context") if "context" in found.columns else F.lit("")
     verdict = F.when(F.col("kind") == "PHONE", phone(F.col("raw"), context)).when(F.col("kind") == "EMAIL", email(F.col("raw"))).when(F.col("kind") == "EMPLOYEE_COUNT", employees(F.col("raw"))).when(F.col("kind") == "REGISTRATION_ID", registration_id(F.col("raw"), context)).when(F.col("kind") == "FOUNDING_DATE", founding_date(F.col("raw"), F.current_timestamp()))
-    return found.withColumn("v", verdict).select(*found.columns, "v.*")
+    return found.select(*found.columns, once(verdict))

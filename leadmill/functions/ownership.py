@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadmill.functions import urls
+from leadmill.functions.compat import bound
 
 # Known hosts, patterns of paths and texts with their weights, and keywords of page kinds in their order.
 KNOWN = (("gmc.by", "AGGREGATOR"), ("deal.by", "MARKETPLACE"), ("rubrikator.by", "DIRECTORY"), ("minsk-city.by", "DIRECTORY"))
@@ -46,18 +47,26 @@ def ownership(url: Column, text: Column) -> Column:
     path alone uncertain too; what is left is the company's own site.
     """
     parts = urls.canonical(url)
-    host = F.coalesce(parts["domain"], parts["host"])
-    path = F.coalesce(F.regexp_extract(F.coalesce(parts["url"], url), r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), F.lit(""))
-    text = F.coalesce(text, F.lit(""))
+    where = bound(parts, lambda p: F.struct(F.coalesce(p["domain"], p["host"]).alias("host"), F.coalesce(F.regexp_extract(F.coalesce(p["url"], url), r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), F.lit("")).alias("path")))
+    return bound(where, lambda w: bound(_hits(w["path"], F.coalesce(text, F.lit(""))), lambda h: bound(_weighed(h), lambda s: _decided(w["host"], s["names"], s["weight"]))))
+
+
+def _hits(path: Column, text: Column) -> Column:
+    """array of struct(name, weight): the signals that show, each pattern tried once."""
     hit = lambda name, weight, found: F.when(found, F.struct(F.lit(name).alias("name"), F.lit(weight).alias("weight")))
     forms = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?iu)({ORG_FORMS})"), 1), F.lower))
-    hits = F.array_compact(F.array(
+    return F.array_compact(F.array(
         *(hit(name, 1, F.rlike(path, F.lit(pattern))) for name, pattern in PATHS),
         *(hit(name, weight, F.rlike(text, F.lit(f"(?iu){pattern}"))) for name, weight, pattern in TEXTS),
         hit("text:many-distinct-org-forms", 1, F.size(forms) >= 4),
     ))
-    weight = F.aggregate(hits, F.lit(0), lambda acc, h: acc + h["weight"])
-    names = F.transform(hits, lambda h: h["name"])
+
+
+def _weighed(hits: Column) -> Column:
+    return F.struct(F.transform(hits, lambda h: h["name"]).alias("names"), F.aggregate(hits, F.lit(0), lambda acc, h: acc + h["weight"]).alias("weight"))
+
+
+def _decided(host: Column, names: Column, weight: Column) -> Column:
     out = lambda decision, confidence, signals: F.struct(decision.alias("decision"), confidence.cast("double").alias("confidence"), signals.alias("signals"))
     known = None
     for domain, decision in KNOWN:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.functions.compat import one_space, yes
+from leadmill.functions.compat import bound, one_space, yes
 
 LEAST_SENTENCE = 8
 # How a warranty's length is claimed.
@@ -23,33 +23,56 @@ def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(key, F.posexplode(sentences(F.col(text))).alias("ord", "sentence"))
 
 
-def _again(items: Column) -> Column:
-    """Some item stands twice in an array; texts without repeats are passed over where they lie."""
-    return F.size(F.array_distinct(items)) < F.size(items)
+def _repeats(items: Column) -> Column:
+    """struct(item, ord) of the items that stand several times in an array without nulls: neighbours once sorted."""
+    sort = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("ord"))))
+
+    def alike(s: Column) -> Column:
+        after = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: yes(a["item"] == b["item"]))
+        return F.array_compact(F.zip_with(s, F.zip_with(after, F.concat(F.array(F.lit(False)), after), lambda a, b: yes(a) | yes(b)), lambda x, same: F.when(yes(same), x)))
+
+    return F.when(F.size(F.array_distinct(items)) < F.size(items), bound(sort, alike))
 
 
 def repeated_sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Sentences that a text says again: 20 characters or longer twice, any three times. Case is ignored."""
-    rows = docs.select(key, F.transform(sentences(F.col("text")), F.lower).alias("s")).where(_again(F.col("s")))
-    found = rows.select(key, F.posexplode("s").alias("ord", "sentence")).groupBy(key, "sentence").agg(F.count(F.lit(1)).alias("occurrences"), F.min("ord").alias("first_at"))
-    return found.where("occurrences > 1 and (length(sentence) >= 20 or occurrences >= 3)")
+    """Sentences that a text says again: 20 characters or longer twice, any three times. Case is ignored.
+
+    Repeats are found inside the row; only these are counted by key."""
+    found = docs.select(key, F.inline(bound(F.transform(sentences(F.col("text")), F.lower), _repeats)))
+    found = found.groupBy(key, F.col("item").alias("sentence")).agg(F.count(F.lit(1)).alias("occurrences"), F.min("ord").alias("first_at"))
+    return found.where("length(sentence) >= 20 or occurrences >= 3")
+
+
+def _joined(items: Column, n: int) -> Column:
+    """Every n neighbouring items joined by a space."""
+    later = [F.slice(items, k + 1, F.greatest(F.size(items) - (n - 1), F.lit(0))) for k in range(n)]
+    out = later[0]
+    for other in later[1:]:
+        out = F.zip_with(out, other, lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Runs of three sentences, or else of two, that a text repeats: key, run_length, occurrences, first_at, run.
 
-    Of a text's repeated runs of the greater length, the one that begins first is reported.
+    Of a text's repeated runs of the greater length, the one that begins first is reported. All is found
+    inside the row: there is no shuffle.
     """
-    joined = lambda a, b: F.concat(a, F.lit(" "), b)
-    later = lambda n: F.slice("s", n + 1, F.greatest(F.size("s") - n, F.lit(0)))
-    rows = docs.select(key, F.transform(sentences(F.col("text")), F.lower).alias("s"))
-    rows = rows.withColumn("two", F.zip_with("s", later(1), joined)).where(_again(F.array_compact("two")))
-    rows = rows.select(key, "two", F.zip_with("two", later(2), joined).alias("three"))
-    runs = rows.select(key, F.explode(F.array(F.struct(F.lit(3).alias("run_length"), F.col("three").alias("runs")), F.struct(F.lit(2).alias("run_length"), F.col("two").alias("runs")))).alias("r"))
-    runs = runs.select(key, "r.run_length", F.posexplode("r.runs").alias("ord", "run")).where("run is not null")
-    found = runs.groupBy(key, "run_length", "run").agg(F.count(F.lit(1)).alias("occurrences"), F.min("ord").alias("first_at")).where("occurrences > 1")
-    best = found.groupBy(key).agg(F.min_by(F.struct("run_length", "occurrences", "first_at", "run"), F.struct(-F.col("run_length"), "first_at")).alias("r"))
-    return best.select(key, "r.*")
+
+    def first(found: Column, length: int) -> Column:
+        """The repeated run that begins first, null if there is none."""
+        def told(run: Column) -> Column:
+            return F.struct(F.lit(length).alias("run_length"), F.size(F.filter(found, lambda r: r["item"] == run["item"])).cast("long").alias("occurrences"), run["ord"].alias("first_at"), run["item"].alias("run"))
+
+        return F.when(F.size(found) > 0, bound(F.array_min(F.transform(found, lambda r: F.struct(r["ord"].alias("ord"), r["item"].alias("item")))), told))
+
+    def longest(s: Column) -> Column:
+        two = bound(_joined(s, 2), _repeats)
+        # A repeated run of three begins with a repeated run of two.
+        return bound(two, lambda t: F.when(F.size(t) > 0, F.coalesce(bound(bound(_joined(s, 3), _repeats), lambda three: first(three, 3)), first(t, 2))))
+
+    rows = docs.select(key, F.explode(F.array_compact(F.array(bound(F.transform(sentences(F.col("text")), F.lower), longest)))).alias("r"))
+    return rows.select(key, "r.*")
 
 
 def adjacent_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:

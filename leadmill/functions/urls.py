@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leadmill.functions.compat import bound
+
 # Query parameters that never tell two websites apart.
 TRACKING = r"(?i)^(utm_|fbclid$|gclid$|yclid$|dclid$|mc_cid$|mc_eid$|igshid$|_ga$|_gl$|spm$|ref$|ref_|source$|campaign|medium$|sourceid$|from$|openstat|roistat|ymclid|erid$)"
 #: Suffixes under which names are registered one level deeper: a stated subset of the public list.
@@ -77,33 +79,30 @@ def host(raw: Column) -> Column:
 
 def registrable(name: Column) -> Column:
     """The registered domain of a host: the last two labels, three under a deep suffix."""
-    labels = F.split(name, r"\.")
-    two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    return F.when(two.isin(*DEEP_SUFFIXES), three).otherwise(two)
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(*DEEP_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def clean_path(raw: Column) -> Column:
     """The path with doubled slashes folded and no slash at its end; the root stays."""
     path = F.regexp_extract(with_scheme(raw), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    path = F.regexp_replace(path, "/{2,}", "/")
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
+    path = F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), "(?<=.)/$", "")
     return F.coalesce(F.nullif(path, F.lit("")), F.lit("/"))
 
 
 def clean_query(raw: Column) -> Column:
     """Parameters without those that only track, sorted by name; equal names keep their order."""
     query = F.regexp_extract(with_scheme(raw), r"^[^?#]*\?([^#]*)", 1)
-    parts = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.rlike(F.element_at(F.split(p, "=", 2), 1), F.lit(TRACKING)))
-    keyed = F.array_sort(F.transform(parts, lambda p, i: F.struct(F.element_at(F.split(p, "=", 2), 1).alias("name"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("part"))))
+    parts = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.rlike(F.substring_index(p, "=", 1), F.lit(TRACKING)))
+    keyed = F.array_sort(F.transform(parts, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("name"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("part"))))
     return F.array_join(F.transform(keyed, lambda k: k["part"]), "&")
 
 
 def canonical(raw: Column) -> Column:
     """struct(url, host, domain, url_key): what one website is known by; fields are null for no website."""
-    name, path, query = host(raw), clean_path(raw), clean_query(raw)
-    url = F.concat(F.lit("https://"), name, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.struct(url.alias("url"), name.alias("host"), registrable(name).alias("domain"), F.concat(registrable(name), path).alias("url_key"))
+    parts = F.struct(host(raw).alias("host"), clean_path(raw).alias("path"), F.regexp_replace(clean_query(raw), "^(?=.)", "?").alias("query"))
+    named = lambda p: F.struct(F.concat(F.lit("https://"), p["host"], p["path"], p["query"]).alias("url"), p["host"].alias("host"), registrable(p["host"]).alias("domain"), F.concat(registrable(p["host"]), p["path"]).alias("url_key"))
+    return bound(parts, named)
 
 
 def policy_table(spark: SparkSession) -> DataFrame:

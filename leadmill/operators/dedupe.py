@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import urls
-from leadmill.functions.compat import SPACE, yes
+from leadmill.functions.compat import SPACE, bound, yes
 from leadmill.storage import materialise
 
 # Legal forms. The Cyrillic ones are stripped in "fixed" mode only, because an ASCII
@@ -75,7 +75,8 @@ def with_namesake(members: DataFrame, key: str) -> DataFrame:
 
 def duplicate_groups(leads: DataFrame, mode: str = "strict") -> DataFrame:
     """id, group_key, kind (DOMAIN or PHONE_NAME), matched_key, org for each lead in a group of two or more."""
-    rows = leads.withColumns({"org": org_name(F.col("company_name"), mode), "domain": urls.registrable(urls.host(F.col("website"))), "digits": phone_digits(F.col("phone"))})
+    named = leads.select("id", org_name(F.col("company_name"), mode).alias("org"), bound(urls.host(F.col("website")), urls.registrable).alias("domain"), phone_digits(F.col("phone")).alias("digits"))
+    rows = materialise(named, "normalised_leads")  # read by each kind of group
     counted = rows.where("domain is not null").groupBy("domain").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("domain")
     by_domain = rows.join(counted, "domain", "left_semi").select("id", F.col("domain").alias("group_key"), F.lit("DOMAIN").alias("kind"), F.col("domain").alias("matched_key"), "org")
     left = rows.join(counted, "domain", "left_anti").where(F.length("digits") >= 9)

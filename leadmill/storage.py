@@ -6,15 +6,21 @@ setting is missing and the master is local (tests, a laptop) a local folder is m
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import weakref
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-_OPEN: list[scratch] = []
-_PATHS: dict[int, str] = {}
+#: The blocks of work that are open in this thread or task, outermost first.
+_OPEN: ContextVar[tuple[scratch, ...]] = ContextVar("open_blocks", default=())
+#: Where a table that was written lies, as long as the table itself is held.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: What no block deletes: results' tables, which go with the session.
+_LEFT: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,12 +41,28 @@ def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     schema = df.schema
     df.write.option("compression", compression).parquet(path)
     table = spark.read.schema(schema).parquet(path)
-    _PATHS[id(table)] = path
-    if _OPEN:
-        _OPEN[-1].paths.append(path)
+    _PATHS[table] = path
+    _owned(spark, path)
     return table
 
 
+def _owned(spark: SparkSession, path: str) -> None:
+    """A path belongs to the innermost open block, else to the session."""
+    if _OPEN.get():
+        _OPEN.get()[-1].paths.append(path)
+    else:
+        _LEFT[path] = spark
+
+
+@atexit.register
+def clear() -> None:
+    """Deletes the tables of finished results; runs by itself when Python ends, and may be called once all are read."""
+    for path, spark in list(_LEFT.items()):
+        _LEFT.pop(path)
+        if spark.sparkContext._jsc is not None:  # a stopped session's tables are left to the cluster's folder
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, in whatever file system it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,27 +80,26 @@ class scratch:
         self.spark, self.paths, self.kept = spark, [], set()
 
     def __enter__(self) -> scratch:
-        _OPEN.append(self)
+        self.token = _OPEN.set((*_OPEN.get(), self))
         return self
 
     def keep(self, table: DataFrame) -> DataFrame:
-        self.kept.add(_PATHS[id(table)])
+        self.kept.add(_PATHS[table])
         return table
 
     def drop(self, table: DataFrame) -> None:
         """Deletes a table before the end of the block, as all its readers have been written."""
-        path = _PATHS[id(table)]
+        path = _PATHS[table]
         self.paths.remove(path)
         remove(self.spark, path)
 
     def __exit__(self, *failure) -> None:
-        _OPEN.remove(self)
+        _OPEN.reset(self.token)
         for path in self.paths:
             if path in self.kept:
-                if _OPEN:
-                    _OPEN[-1].paths.append(path)
-                continue
-            remove(self.spark, path)
+                _owned(self.spark, path)
+            else:
+                remove(self.spark, path)
 
 
 def _bytes(df: DataFrame):
