@@ -58,6 +58,11 @@ def colour(text: Column) -> Column:
     )
 
 
+def plain_label(text: Column) -> Column:
+    """Lower-cased, with white space, hyphens and underscores as single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x{00A0}\-_]+", " "))
+
+
 def neutral(c: Column) -> Column:
     low, high = F.least(c["r"], c["g"], c["b"]), F.greatest(c["r"], c["g"], c["b"])
     return (high - low < 30) | (low > 240) | (high < 40)
@@ -81,8 +86,9 @@ def theme(marks: Column, html: Column) -> Column:
 
 
 def image_role(src: Column, alt: Column, selector: Column, width: Column, height: Column, is_logo: Column, is_hero: Column, section_order: Column) -> Column:
-    """struct(role, confidence): the first rule that fits. Words are sought in the alternative text and the classes only."""
-    alt, selector = F.coalesce(alt, F.lit("")), F.lower(F.coalesce(selector, F.lit("")))
+    """struct(role, confidence): the first rule that fits. Words are sought in the alternative text, lower-cased and
+    with hyphens and underscores as spaces, and in the image's own classes (``selector``) only."""
+    alt, selector = plain_label(alt), F.lower(F.coalesce(selector, F.lit("")))
     w, h = F.coalesce(width, F.lit(0)), F.coalesce(height, F.lit(0))
     label = F.concat_ws(" ", alt, selector)
     has = lambda x, pattern: F.rlike(x, F.lit(pattern))

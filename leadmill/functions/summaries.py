@@ -22,7 +22,7 @@ SECTION_KINDS = (
     ("PROMOTION", "акци|скидк|promo|promotion|спецпредлож"),
 )
 STATS = r"(?iu)([₽$€Br%]|\d+\s*\+?\s*(м2|м²|лет|год|проект|домов|объект|опыт))"
-PRICE = r"(?iu)(руб|₽|\$|€|br|р\.)"
+PRICE = r"(?iu)(руб|₽|\$|€|br(?![A-Za-z0-9_])|р\.)"
 GENERIC = r"(?iu)^\s*(home|about(?:\s+us)?|contacts?|services?|projects?|news|careers?|vacancies?|главная|о компании|о нас|контакты|услуги|проекты|новости|вакансии|о-нас|о-компании)\s*$"
 INTERNAL = r"(?i)(^|[^A-Za-z0-9_])(clean\s*room|qa\s*build|test\s*site|fixture|regen(?:erat[A-Za-z0-9_]*)?|generated\s*site|demo\s*site|smoke\s*test|e2e[-\s]?test|sandbox)($|[^A-Za-z0-9_])"
 

@@ -6,19 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions.compat import yes
+from leadmill.operators.leads import ready_for_review
 
 
 def broken_invariants(leads: DataFrame, active: DataFrame) -> DataFrame:
-    """rule, n: how many leads break each rule. ``active``: lead_id of operations that are queued or run."""
+    """rule, n, allowed: how many leads fall under each rule. ``active``: lead_id of operations that are queued or run.
+
+    A lead marked BAD must not be worked on. The others are counted only: a stage beyond the start without GOOD, and
+    a review before all automatic checks are through."""
     busy = active.select(F.col("lead_id").alias("id")).distinct().withColumn("busy", F.lit(True))
     rows = leads.join(busy, "id", "left")
     rules = {
         "bad-still-working": yes(F.col("manual_review_status") == "BAD") & yes(F.col("busy")),
         "pipeline-without-good": yes(F.col("redesign_stage") != "NOT_SELECTED") & ~yes(F.col("manual_review_status") == "GOOD"),
-        "survivor-of-itself": yes(F.col("merge_status") == "MERGED") & yes(F.col("archived")),
+        "early-reviewed": yes(F.col("manual_review_status") != "UNREVIEWED") & ~yes(ready_for_review()),
     }
     counts = rows.agg(*(F.count_if(test).alias(name) for name, test in rules.items()))
-    return counts.select(F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("n")) for name in rules))).alias("r")).select("r.*")
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("n"), F.lit(name != "bad-still-working").alias("allowed")) for name in rules))).alias("r")).select("r.*")
 
 
 def graph_audit(entities: DataFrame, rejected: DataFrame) -> DataFrame:

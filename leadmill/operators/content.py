@@ -149,12 +149,21 @@ def run_lengths(rows: DataFrame, key: str, flag: Column, least: int) -> DataFram
 def similar_sections(sections: DataFrame, least: float = 0.7) -> DataFrame:
     """Pairs of one document's sections, of different scope, whose items overlap by ``least`` of the smaller.
 
-    ``sections``: doc_id, section, scope, items array<string>. Joined on shared items, never on all pairs.
+    ``sections``: doc_id, section, scope, items array<string>. Of two alike sections the smaller one has a shared item
+    among its rarest: all but ``least`` of its items, and one more. Only these are joined, so an item that every
+    section has brings no pairs; what is left is compared in full.
     """
-    items = sections.select("doc_id", "section", "scope", F.size(F.array_distinct("items")).alias("size"), F.explode(F.array_distinct("items")).alias("item"))
+    rows = materialise(sections.select("doc_id", "section", "scope", F.array_distinct("items").alias("items")), "section_items")
+    items = rows.select("doc_id", "section", "scope", F.size("items").alias("size"), F.explode("items").alias("item"))
+    counts = items.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("doc_id", "section").orderBy("n", "item")
+    rare = items.join(counts, ["doc_id", "item"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
     other = items.select("doc_id", "item", F.col("section").alias("other"), F.col("scope").alias("other_scope"), F.col("size").alias("other_size"))
-    shared = items.join(other, ["doc_id", "item"]).where("section < other and scope <> other_scope").groupBy("doc_id", "section", "other").agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"), F.first("other_size").alias("other_size"))
-    return shared.withColumn("overlap", F.col("shared") / F.least("size", "other_size")).where(F.col("overlap") >= least).select("doc_id", "section", "other", "overlap")
+    met = rare.join(other, ["doc_id", "item"]).where("section <> other and scope <> other_scope and (size < other_size or size = other_size and section < other)")
+    pairs = met.select("doc_id", F.least("section", "other").alias("section"), F.greatest("section", "other").alias("other")).distinct()
+    pairs = pairs.join(rows.drop("scope"), ["doc_id", "section"]).join(rows.select("doc_id", F.col("section").alias("other"), F.col("items").alias("theirs")), ["doc_id", "other"])
+    overlap = F.size(F.array_intersect("items", "theirs")) / F.least(F.size("items"), F.size("theirs"))
+    return pairs.withColumn("overlap", overlap).where(F.col("overlap") >= least).select("doc_id", "section", "other", "overlap")
 
 
 def leaks(text: Column) -> Column:

@@ -45,17 +45,25 @@ def providers_with_counts(config: DataFrame, registry: DataFrame, recent: DataFr
     return out.withColumns({"known": F.col("title").isNotNull(), "runs": F.coalesce("runs", F.lit(0))})
 
 
-def allowed(users: DataFrame, assignments: DataFrame, grants: DataFrame, permission: str, sites: DataFrame) -> DataFrame:
-    """user_id, site: where a user may do something. A super administrator may anywhere, others through a
-    role's grant, for all sites if it is global, else for the site it is given on.
+def allowed(users: DataFrame, assignments: DataFrame, grants: DataFrame, permission: str) -> DataFrame:
+    """user_id, scope, site: where a user may do something; one row of scope GLOBAL (no site) stands for all sites. A
+    super administrator may anywhere, others through a role's grant, anywhere if it is global, else on the site it is given on.
 
     ``users``: user_id, global_role. ``assignments``: user_id, role, site (null: none). ``grants``: role, permission, scope.
     """
     roles = grants.where(F.col("permission") == permission).select("role", "scope").distinct()
     own = assignments.join(broadcast_if_small(roles), "role")
     everywhere = users.where("global_role = 'SUPER_ADMIN'").select("user_id").unionByName(own.where("scope = 'GLOBAL'").select("user_id")).distinct()
-    one = own.where("scope = 'SITE' and site is not null").select("user_id", "site").distinct().join(sites, "site", "left_semi").join(everywhere, "user_id", "left_anti")
-    return everywhere.crossJoin(broadcast_if_small(sites.select("site").distinct())).unionByName(one.select("user_id", "site"))
+    one = own.where("scope = 'SITE' and site is not null").select("user_id", "site").distinct().join(everywhere, "user_id", "left_anti")
+    return everywhere.select("user_id", F.lit("GLOBAL").alias("scope"), F.lit(None).cast("long").alias("site")).unionByName(one.select("user_id", F.lit("SITE").alias("scope"), F.col("site").cast("long").alias("site")))
+
+
+def may(requests: DataFrame, held: DataFrame) -> DataFrame:
+    """Adds ``allowed`` to requests (user_id, site): the user holds the permission everywhere, or on that site."""
+    anywhere = held.where("scope = 'GLOBAL'").select("user_id", F.lit(True).alias("anywhere"))
+    there = held.where("scope = 'SITE'").select("user_id", "site", F.lit(True).alias("there"))
+    out = requests.join(anywhere, "user_id", "left").join(there, ["user_id", "site"], "left")
+    return out.withColumn("allowed", yes(F.col("anywhere")) | yes(F.col("there"))).drop("anywhere", "there")
 
 
 def shown_sites(sites: DataFrame, settings: str = "settings") -> DataFrame:
@@ -68,7 +76,9 @@ def key_states(rows: DataFrame, column: str, key: str) -> DataFrame:
     value = F.get_json_object(column, f"$.{key}")
     has = F.array_contains(F.json_object_keys(column), F.lit(key))
     state = F.when(~F.coalesce(has, F.lit(False)), "missing").when(value.isNull(), "null").when(value.isin("", "[]", "{}"), "empty").otherwise("present")
-    return rows.withColumn("state", state)
+    stated = rows.withColumn("state", state)
+    any_present = stated.agg(F.coalesce(F.bool_or(F.col("state") == "present"), F.lit(False)).alias("any_present"))
+    return stated.crossJoin(F.broadcast(any_present))  # one row
 
 
 def published(rows: DataFrame, as_of: Column) -> DataFrame:

@@ -192,15 +192,17 @@ def discovery_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.providers_with_counts(config, registry, recent)
 
 
-@query("""WITH u AS (SELECT c_custkey AS user_id, c_custkey % 50 = 0 AS super FROM customer), g(role, scope) AS (VALUES ('F', 'GLOBAL'), ('O', 'SITE')), s AS (SELECT DISTINCT s_nationkey AS site FROM supplier),
-  a AS (SELECT o_custkey AS user_id, o_orderstatus AS role, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 25 END AS site FROM orders WHERE o_orderkey % 5 = 0)
-  SELECT user_id, site FROM u, s WHERE super UNION SELECT a.user_id, s.site FROM a JOIN g ON g.role = a.role AND scope = 'GLOBAL', s UNION SELECT a.user_id, a.site FROM a JOIN g ON g.role = a.role AND scope = 'SITE' JOIN s ON s.site = a.site""")
+@query("""WITH u AS (SELECT c_custkey AS user_id, c_custkey % 50 = 0 AS super FROM customer), g(role, scope) AS (VALUES ('F', 'GLOBAL'), ('O', 'SITE')),
+  a AS (SELECT o_custkey AS user_id, o_orderstatus AS role, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 25 END AS site FROM orders),
+  may AS (SELECT a.user_id, CASE WHEN scope = 'GLOBAL' THEN -1 ELSE a.site END AS site FROM a JOIN g ON g.role = a.role UNION SELECT user_id, -1 FROM u WHERE super)
+  SELECT o_orderkey AS id, o_custkey AS user_id, o_orderkey % 23 AS site, EXISTS (SELECT 1 FROM may m WHERE m.user_id = o_custkey AND (m.site = -1 OR m.site = o_orderkey % 23)) AS allowed FROM orders""")
 def site_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 50 == 0, "SUPER_ADMIN").otherwise("USER").alias("global_role"))
-    assigned = table(spark, sf_dir, "orders").where(k % 5 == 0).select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("role"), F.when(k % 3 > 0, k % 25).alias("site"))
+    assigned = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("role"), F.when(k % 3 > 0, k % 25).alias("site"))
     grants = spark.createDataFrame([("F", "publish", "GLOBAL"), ("O", "publish", "SITE"), ("P", "read", "GLOBAL")], "role string, permission string, scope string")
-    return relations.allowed(users, assigned, grants, "publish", table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("site")))
+    requests = table(spark, sf_dir, "orders").select(k.alias("id"), F.col("o_custkey").alias("user_id"), (k % 23).alias("site"))
+    return relations.may(requests, relations.allowed(users, assigned, grants, "publish")).select("id", "user_id", "site", "allowed")
 
 
 _SETTINGS = ('{"fixture": true}', '{"fixture": false}', '{"fixture": null}', "{}", None, '{"other": [], "fixture": "true"}', '{"other": ""}')
@@ -211,10 +213,10 @@ def shown_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.shown_sites(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _pick(_SETTINGS, F.col("event_id")).alias("settings"))).select("id")
 
 
-@query("""SELECT CASE WHEN event_id % 7 IN (3, 4, 6) THEN 'missing' WHEN event_id % 7 = 2 THEN 'null' ELSE 'present' END AS state, count(*) AS n FROM events GROUP BY 1""")
+@query("""SELECT CASE WHEN event_id % 7 IN (3, 4, 6) THEN 'missing' WHEN event_id % 7 = 2 THEN 'null' ELSE 'present' END AS state, TRUE AS any_present, count(*) AS n FROM events GROUP BY 1""")
 def key_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(_pick(_SETTINGS, F.col("event_id")).alias("settings"))
-    return relations.key_states(rows, "settings", "fixture").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return relations.key_states(rows, "settings", "fixture").groupBy("state", "any_present").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT event_id AS id FROM events WHERE event_type = 'view' AND (event_id % 4 = 0 OR ts <= TIMESTAMP '{AS_OF}')")
@@ -256,11 +258,11 @@ def relation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _section_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
-    items = F.transform(F.sequence(p % 60, p % 60 + 4), lambda i: F.concat(F.lit("i"), i.cast("string")))
-    return table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_size").alias("doc_id"), p.alias("section"), (p % 3).alias("scope"), items.alias("items"))
+    items = F.transform(F.sequence(p * 7 % 60, p * 7 % 60 + 4), lambda i: F.concat(F.lit("i"), i.cast("string")))
+    return table(spark, sf_dir, "part").select(F.floor(p / 40).alias("doc_id"), p.alias("section"), (p % 3).alias("scope"), items.alias("items"))
 
 
-_SECTION_PAIRS_SQL = """s AS (SELECT p_size AS doc_id, p_partkey AS section, p_partkey % 3 AS scope, p_partkey % 60 AS low FROM part WHERE p_partkey < 400),
+_SECTION_PAIRS_SQL = """s AS (SELECT p_partkey // 40 AS doc_id, p_partkey AS section, p_partkey % 3 AS scope, p_partkey * 7 % 60 AS low FROM part),
   pairs AS (SELECT a.doc_id, a.section, b.section AS other, (5 - abs(a.low - b.low)) / 5 AS overlap FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.section < b.section AND a.scope <> b.scope WHERE 5 - abs(a.low - b.low) >= 2)"""
 
 
@@ -278,8 +280,9 @@ def grouped_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.grouped_sections(content.similar_sections(rows, 0.4), rows.select("doc_id", "section", (s % 4).alias("scope_rank"), (s % 7).alias("px"), s.alias("ord")))
 
 
-@query(f"""WITH {LEADS_SQL} SELECT 'bad-still-working' AS rule, count(*) FILTER (manual_review_status = 'BAD' AND id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS n FROM leads
-  UNION ALL SELECT 'pipeline-without-good', count(*) FILTER (redesign_stage <> 'NOT_SELECTED' AND manual_review_status <> 'GOOD') FROM leads UNION ALL SELECT 'survivor-of-itself', count(*) FILTER (merge_status = 'MERGED' AND archived) FROM leads""")
+@query(f"""WITH {LEADS_SQL} SELECT 'bad-still-working' AS rule, count(*) FILTER (manual_review_status = 'BAD' AND id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS n, FALSE AS allowed FROM leads
+  UNION ALL SELECT 'pipeline-without-good', count(*) FILTER (redesign_stage <> 'NOT_SELECTED' AND manual_review_status <> 'GOOD'), TRUE FROM leads
+  UNION ALL SELECT 'early-reviewed', count(*) FILTER (manual_review_status <> 'UNREVIEWED' AND NOT coalesce(website_status = 'FOUND' AND audit_status = 'SUCCESS' AND lighthouse_status = 'SUCCESS' AND visual_status = 'SUCCESS' AND score_status = 'SUCCESS', FALSE)), TRUE FROM leads""")
 def broken_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.broken_invariants(lead_table(spark, sf_dir), table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("lead_id")))
 

@@ -134,14 +134,14 @@ def distinct_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT l_suppkey AS site, l_orderkey AS ord, '/p' || CAST(l_orderkey % 9 AS VARCHAR) AS url, ['SERVICES', 'REVIEWS', 'NEWS'][1 + l_orderkey % 3] AS kind, 'Heading ' || CAST(l_orderkey % 2 AS VARCHAR) AS heading, list('Title ' || CAST(l_partkey % 30 AS VARCHAR) ORDER BY l_partkey, l_linenumber) AS titles
-    FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 5 = 0) GROUP BY 1, 2),
+    FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey, l_linenumber FROM lineitem) GROUP BY 1, 2),
   k AS (SELECT *, kind || '|' || lower(heading) || '|' || array_to_string(list_sort(list_transform(titles, lambda t: lower(t))), '|') AS key, list_filter(titles, lambda t: t NOT LIKE 'none%') AS items FROM s),
   o AS (SELECT site, kind, key, min(ord) AS ord, arg_min(heading, ord) AS heading, arg_min(items, ord) AS items, string_agg(DISTINCT url, ',' ORDER BY url) AS source_pages FROM k GROUP BY 1, 2, 3),
   b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY site, kind ORDER BY len(items) DESC, ord) = 1)
   SELECT site, kind, heading, array_to_string(items, ',') AS items, source_pages FROM b WHERE len(items) >= CASE WHEN kind = 'REVIEWS' THEN 1 ELSE 2 END""")
 def dynamic_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_orderkey")
-    lines = table(spark, sf_dir, "lineitem").where(k % 5 == 0).select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").distinct()
     lines = lines.groupBy("l_suppkey", "l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber"))).alias("all"))
     titles = F.transform("all", lambda x: F.concat(F.lit("Title "), (x["l_partkey"] % 30).cast("string")))
     rows = lines.select(F.col("l_suppkey").alias("site"), k.alias("ord"), F.concat(F.lit("/p"), (k % 9).cast("string")).alias("url"), F.get(F.array(*map(F.lit, ("SERVICES", "REVIEWS", "NEWS"))), (k % 3).cast("int")).alias("kind"), F.concat(F.lit("Heading "), (k % 2).cast("string")).alias("heading"), titles.alias("titles"))
