@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|object|noscript|math|canvas|textarea|select)\b.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
+    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)",
     re.S | re.I,
 )
+_UNQUOTED = re.compile(_TOKEN.pattern.replace(r"""((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)""", "([^>]*)"), re.S | re.I)
+_TAG = re.compile(r"</?[a-zA-Z]")
+_REST = re.compile(r"()()()()((?:[^<]|<(?![!?]|(?:script|style|template|svg|iframe|object|noscript|math|canvas|textarea|select)\b))*)", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -41,6 +45,22 @@ def _element(tag: str, attributes: str) -> str:
     return " ".join((tag, *dict.fromkeys(words)))
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """The page's tokens in one pass: what follows the last ">" is no tag (a comment or script begun there is dropped), and once a quote never closes,
+    tags are read without quotes, so no stretch is scanned again and again."""
+    at, pattern, last = 0, _TOKEN, page.rfind(">")
+    while at < len(page):
+        if at > last:
+            yield _REST.match(page, at)
+            return
+        token = pattern.match(page, at)
+        if pattern is _TOKEN and token.group(5) == "<" and _TAG.match(page, at):
+            pattern = _UNQUOTED
+            continue
+        yield token
+        at = token.end()
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The blocks that hold text, in page order."""
     blocks: list[Block] = []
@@ -61,7 +81,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     def pop_to(depth: int) -> None:
         del stack[depth:], tags[depth:]
 
-    for token in _TOKEN.finditer(page or ""):
+    for token in _tokens(page or ""):
         text = token.group(5)
         if text is not None:
             held.append(text)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -15,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leadmill.llm import chat_format, decontamination, html_extract, html_pages, packing, quality_rules, token_counts, toxicity
+from leadmill.llm import chat_format, decontamination, html_blocks, html_extract, html_pages, packing, quality_rules, token_counts, toxicity
 from leadmill.llm.html_blocks import leaf_blocks
 from leadmill.llm.html_crf import decode
 
@@ -410,3 +411,19 @@ def test_masks_hit_whatever_tokens_are_replaced():
 
 def test_hash_of_kept_bytes_is_plain_sha():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_hostile_markup_is_read_in_linear_time():
+    began = time.perf_counter()
+    for page in ('<a "' * 262_144, '<a "' * 262_145 + ">", "<p a='\"" * 150_000 + ">", "<" * 1_000_000, "</script " * 100_000, "<b x=" * 200_000 + "'>"):
+        html_blocks.leaf_blocks(page)
+    assert time.perf_counter() - began < 4
+
+
+def test_ends_of_pages_that_stop_anywhere():
+    read = lambda page: [b.text for b in html_blocks.leaf_blocks(page)]
+    assert read("<p>one</p>two <!-- three") == ["one", "two"]
+    assert read("<p>one</p>two <script src") == ["one", "two"]
+    assert read("<p>one</p>two < three <b") == ["one", "two < three <b"]
+    assert read('<p title="a > b">one</p>') == ["one"]
+    assert read("<p title='>one</p><p>two</p>") == ["one", "two"]
