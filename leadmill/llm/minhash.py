@@ -303,6 +303,10 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     # No pair is similar enough if its sets differ too much in size.
     sized = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     agree = percent / 100 + (1 - percent / 100) * 0.5**BITS
+    # A doc_id that has several texts is one document: it is linked with the representative of each of them.
+    several = materialise(full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several_texts")
+    own = full.join(broadcast_if_small(several), "doc_id").select("doc_id", "set_a", "set_b").distinct()
+    own = materialise(own.join(same.select("set_a", "set_b", "id"), ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")), "links_of_ids")
     margin = percent / 100 - 4.5 * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - 0.5**BITS)
 
     pairs = groups.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
@@ -315,7 +319,7 @@ def _linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     if again.limit(1).count():
         sets = materialise(sets.join(again, "id", "left_anti").unionByName(sets.join(again, "id", "left_semi").distinct()), "distinct_sets")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_y")), "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_x")), "a")
-    links = materialise(both.mapInArrow(_compare(percent), "a long, b long, linked boolean").where("linked").select("a", "b"), "links_to_hubs")
+    links = materialise(both.mapInArrow(_compare(percent), "a long, b long, linked boolean").where("linked").select("a", "b").unionByName(own), "links_to_hubs")
     found = components(links)
     # Groups that still hold several components: who may have a partner, then who has.
     named = groups.join(found, "id", "left").select("hub", "id", F.coalesce("component", "id").alias("component"))

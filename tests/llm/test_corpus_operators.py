@@ -189,3 +189,10 @@ def test_shards_are_even_and_gapless(spark, odd_docs, no_docs):
     odd = sharding.shard_by_bytes(odd_docs, 24).toPandas()
     assert len(odd) == 11 and not odd.duplicated(["shard", "slot"]).any() and odd[odd.doc_id == 1]["size"].tolist() == [8]
     assert sharding.shard_by_bytes(no_docs, 24).count() == 0
+
+
+def test_an_id_with_several_texts_joins_their_components(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, a), (8, c), (8, c), (7, c + " more"), (7, "else entirely here now and then")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
+    assert got == {(5, 3, False), (3, 3, True), (9, 3, False), (8, 7, False), (7, 7, True)}
