@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from leadmill.llm.hashing import Running, mix
 from leadmill.llm.slices import by_bytes
-from leadmill.storage import broadcast_if_small, materialise
+from leadmill.storage import broadcast_if_small, materialise, scratch
 
 #: Fixed masks for items of STRETCH tokens or more, and for those of more than WHOLE.
 MASKS = ("111011", "10010111", "111000101", "11111")
@@ -184,18 +184,6 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block(held)
 
 
-def _search(shared):
-    """Findings of a block beside the first columns of the rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            found = shared.value.best(batch.column("text").to_pylist())
-            columns = [[f and f[i] for f in found] for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "items", "item_id", "same"])
-
-    return run
-
-
 def _digests(shared, nth: int):
     """Findings of a block as (digest of the text, number of the block, finding), one for each text of a slice."""
 
@@ -209,45 +197,38 @@ def _digests(shared, nth: int):
     return run
 
 
-def _found_in_blocks(rows: DataFrame, shared: list) -> DataFrame:
-    """(digest, items, item_id, same) of the texts in which some block found something."""
-    every = None
-    for nth, one in enumerate(shared):
-        part = rows.select("text").mapInArrow(_digests(one, nth), "digest binary, block long, items long, item_id long, same long")
-        every = part if every is None else every.unionByName(part)
-    best = F.max(F.struct("same", (-F.col("item_id")).alias("item"), "items"))
-    every = every.groupBy("digest", "block").agg(best.alias("best"), F.max("items").alias("items")).groupBy("digest").agg(F.sum("items").alias("items"), F.max("best").alias("best"))
-    return materialise(every.select("digest", "items", (-F.col("best.item")).alias("item_id"), F.col("best.same").alias("same")), "findings")
+def _findings(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(digest, items, item_id, same) of the texts in which something was found.
+
+    The blocks of the benchmark are taken one after the other: one is broadcast, all texts are searched for it, its
+    findings are written, and it is gone before the next. So neither the driver nor an executor ever holds more than a
+    block, of BLOCK_TOKENS tokens, however large the benchmark is."""
+    spark = rows.sparkSession
+    kind = "digest binary, block long, items long, item_id long, same long"
+    with scratch(spark) as made:
+        every = spark.createDataFrame([], kind)
+        for nth, block in enumerate(blocks(benchmark)):
+            shared = spark.sparkContext.broadcast(block)
+            every = every.unionByName(materialise(rows.select("text").mapInArrow(_digests(shared, nth), kind), f"findings_{nth}"))
+            shared.destroy()
+        best = F.max(F.struct("same", (-F.col("item_id")).alias("item"), "items"))
+        every = every.groupBy("digest", "block").agg(best.alias("best"), F.max("items").alias("items")).groupBy("digest").agg(F.sum("items").alias("items"), F.max("best").alias("best"))
+        return made.keep(materialise(every.select("digest", "items", (-F.col("best.item")).alias("item_id"), F.col("best.same").alias("same")), "findings"))
 
 
 def _digest():
     return F.unhex(F.md5(F.encode("text", "UTF-8")))
 
 
-def _broadcast(docs: DataFrame, benchmark: DataFrame) -> list:
-    return [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items (benchmark items found), item_id (the one that shares most), n_same."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = _broadcast(docs, benchmark)
-    if not shared:
-        found = rows.select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("items", "item_id", "same")))
-    elif len(shared) == 1:
-        found = rows.mapInArrow(_search(shared[0]), "doc_id long, items long, item_id long, same long")
-    else:
-        every = _found_in_blocks(rows, shared)
-        found = rows.select("doc_id", _digest().alias("digest")).join(broadcast_if_small(every), "digest", "left").select("doc_id", "items", "item_id", "same")
+    found = rows.select("doc_id", _digest().alias("digest")).join(broadcast_if_small(_findings(rows, benchmark)), "digest", "left")
     return found.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), "item_id", F.coalesce("same", F.lit(0)).cast("long").alias("n_same"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` (text and any others) in which nothing of the benchmark is found."""
-    shared = _broadcast(docs, benchmark)
-    if not shared:
-        return docs
-    rows = docs.select(F.col("text").cast("string").alias("text"))
-    every = _found_in_blocks(rows, shared).select("digest")
+    found = _findings(docs.select(F.col("text").cast("string").alias("text")), benchmark).select("digest")
     held = docs.withColumn("own_digest", _digest())
-    return held.join(broadcast_if_small(every), held["own_digest"] == every["digest"], "left_anti").drop("own_digest")
+    return held.join(broadcast_if_small(found), held["own_digest"] == found["digest"], "left_anti").drop("own_digest")
