@@ -21,7 +21,7 @@ from leadmill import storage
 from leadmill.llm import decontamination, minhash, packing, suffix_dedup, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-PASSAGE_BYTES = 256  # of a repeated passage at least: over fifty words of four letters and a space
+PASSAGE_BYTES = 200  # of a repeated passage at least: over fifty words of three letters and a space
 
 
 def _columns(docs: DataFrame) -> DataFrame:
