@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.operators import dom
+from leadmill.operators import dom, repairs, semantics
 from leadmill.plans.catalogue import query
 from leadmill.sources.fixtures import table
 
@@ -28,7 +28,7 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     json_ld = F.when(k % 3 == 0, text('{"@graph": [', json_ld, ', {"@type": "Thing", "legalName": "Shop ', key, '"}]}')).when(k % 3 == 1, text("[", json_ld, "]")).otherwise(text(json_ld, F.when(k % 5 == 0, ",").otherwise("")))
     page = text(
         "<!DOCTYPE html><html><head><title>Order ", key, ' | Shop</title><script type="application/ld+json">', json_ld, '</script><meta property="article:published_time" content="', date, 'T00:00:00"></head>',
-        '<body><header class="top"><nav><ul><li><a href="/">Home</a><li><a href="/news">News</a></ul></nav></header><main><h1>Order ', key, "</h1><section><h2>Lines</h2>", '<div class="products">', F.array_join(F.transform("lines", card), ""), "</div></section>",
+        '<body><header class="top"><nav><ul><li><a href="/">Home</a><li><a href="/news">News</a></ul></nav></header><main><h1>Order ', key, "</h1><section><h2>", F.when(F.col("o_orderstatus") == "F", "Our services").when(F.col("o_orderstatus") == "O", "Completed projects").otherwise("Latest news"), "</h2>", '<div class="products">', F.array_join(F.transform("lines", card), ""), "</div></section>",
         '<ul class="items"><li><a href="/priority/', F.substring("o_orderpriority", 1, 1), '">Same priority</a><li><a href="/status/', F.col("o_orderstatus"), '">Same status</a></ul>',
         "<details><summary>When was it placed?</summary>On ", date, ".</details>", F.when(k % 2 == 0, "<details open><summary>WHEN WAS IT PLACED?</summary>Long ago.</details>").otherwise(""),
         '<button aria-controls="who">Who wrote it?</button><button data-target="#menu">Menu</button><div id="who">', clerk, '</div><div id="menu">Nothing</div>',
@@ -88,3 +88,41 @@ def chrome_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dated_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the shop's pages: the crawled ones state a title only."""
     return dom.evidence(dom.trees(shop_pages(spark, sf_dir)))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+  k AS (SELECT doc_id, i, trim(l) AS t, CASE WHEN length(trim(l)) >= 8 THEN lower(trim(l)) END AS key FROM l), f AS (SELECT * FROM k QUALIFY key IS NULL OR row_number() OVER (PARTITION BY doc_id, key ORDER BY i) = 1)
+  SELECT d.doc_id, f.lines, f.hash FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS lines, md5(string_agg(t, chr(10) ORDER BY i)) AS hash FROM f GROUP BY 1) f USING (doc_id)""")
+def single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", repairs.deduplicated_lines(F.col("text")).alias("kept"))
+    return rows.select("doc_id", F.size(F.split("kept", "\n")).cast("long").alias("lines"), F.md5("kept").alias("hash"))
+
+
+@query()
+def text_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, step, ord, kind, start, length, replacement: the log of all repairs of all texts, whose first sentence stands for a summary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repairs.repair(docs, summary=F.regexp_extract("text", r"^([^.!?]{12,})[.!?]", 1)).select("doc_id", F.inline("log"))
+
+
+@query("""WITH shop AS (SELECT o.*, count(*) AS n, count(*) FILTER (l_linenumber % 3 = 1) AS c1, bool_or(l_linenumber % 3 = 0) AS img, bool_or(l_linenumber % 3 <> 2) AS told, bool_or(l_linenumber % 3 = 0 AND l_partkey BETWEEN 1900 AND 2099) AS url_year,
+    CASE WHEN o_orderkey BETWEEN 1900 AND 2099 THEN 1 ELSE 0 END AS year FROM orders o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+  s AS (SELECT 1000000000 + o_orderkey AS page_id, 0 AS place, n >= 2 AS shown, CASE WHEN img THEN 2 ELSE 0 END AS pic, CASE WHEN c1 > 0 THEN 1 ELSE 0 END AS d, c1, o_orderstatus AS status, year + CASE WHEN url_year THEN 1 ELSE 0 END AS years, 2 AS sel, img OR told AS body, img AS urls FROM shop
+    UNION ALL SELECT 1000000000 + o_orderkey, 1, TRUE, 0, 0, 0, o_orderstatus, year, 0, FALSE, TRUE FROM shop),
+  t AS (SELECT *, pic + CASE WHEN status = 'F' THEN 8 ELSE 0 END AS services, pic + CASE WHEN status = 'O' THEN 16 ELSE 0 END AS projects, pic + years + CASE WHEN status NOT IN ('F', 'O') THEN 8 ELSE 0 END AS news, pic AS vacancies,
+    pic + 3 + 2 * d + sel + c1 + 2 + 2 * d + 2 * c1 AS products FROM s WHERE shown),
+  b AS (SELECT *, greatest(services, projects, news, products) AS best FROM t),
+  r AS (SELECT *, CASE WHEN NOT (body OR urls) THEN NULL ELSE list_max(list_filter([CASE WHEN status = 'F' AND services >= 6 AND services >= 0.7 * best THEN {'score': services, 'place': 0, 'kind': 'SERVICES'} END, CASE WHEN status = 'O' AND projects >= 6 AND projects >= 0.7 * best AND projects > products THEN {'score': projects, 'place': -1, 'kind': 'PROJECTS'} END,
+      CASE WHEN status NOT IN ('F', 'O') AND news >= 6 AND news >= 0.7 * best THEN {'score': news, 'place': -2, 'kind': 'NEWS'} END, CASE WHEN c1 > 0 AND products >= 6 AND products >= 0.7 * best AND products > projects THEN {'score': products, 'place': -4, 'kind': 'PRODUCTS'} END], lambda x: x IS NOT NULL)) END AS hit FROM b)
+  SELECT page_id, place, CASE WHEN hit IS NOT NULL OR body THEN 'CONTENT_COLLECTION' ELSE 'UNKNOWN' END AS type, CASE WHEN hit IS NOT NULL THEN hit.kind WHEN body THEN 'OTHER' END AS subtype,
+    CASE WHEN hit IS NOT NULL THEN least(CASE WHEN hit.kind IN ('NEWS', 'PRODUCTS') THEN 0.88::DOUBLE ELSE 0.9::DOUBLE END, 0.55::DOUBLE + hit.score::DOUBLE / 30) WHEN body THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS confidence, services, projects, news, vacancies, products FROM r""")
+def collection_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = semantics.collection_types(semantics.page_collections(_trees(spark, sf_dir)))
+    named = found.join(_own_list(spark, sf_dir), ["page_id", "collection"])
+    return named.select("page_id", "place", "type", "subtype", "confidence", "scores.*")
+
+
+def _own_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, collection, place: 0 for the list of lines, 1 for the list of links."""
+    rows = dom.elements(dom.trees(shop_pages(spark, sf_dir)), F.col("tag").isin("ul", "div") & dom.has_class("items", "products"))
+    return rows.select("page_id", F.col("node").alias("collection"), (F.col("tag") == "ul").cast("int").alias("place"))
