@@ -327,7 +327,7 @@ _FACTS_SQL = r"""cand AS (SELECT doc_id, 'PHONE' AS kind, list_distinct(regexp_e
   one AS (SELECT doc_id, kind, unnest(raws) AS raw FROM cand),
   d AS (SELECT *, regexp_replace(raw, '\s+', ' ', 'g') AS v, length(regexp_replace(raw, '[^0-9]', '', 'g')) AS digits, split_part(raw, '@', 1) AS local, split_part(raw, '@', 2) AS domain FROM one),
   e AS (SELECT *, regexp_replace(local, '^[0-9][0-9._-]{3,}([A-Za-z])', '\1') AS rest FROM d),
-  f AS (SELECT *, CASE WHEN kind = 'PHONE' THEN CASE WHEN regexp_matches(v, '(^|[^0-9])(18|19|20)[0-9]{2}\s*[-–—]\s*(18|19|20)[0-9]{2}([^0-9]|$)') THEN 'YEAR_RANGE'
+  f AS (SELECT *, CASE WHEN kind = 'PHONE' THEN CASE WHEN regexp_matches(v, '(^|[^\p{L}\p{N}])(18|19|20)[0-9]{2}\s*[-–—/]\s*((18|19|20)[0-9]{2}|[0-9]{2})($|[^\p{L}\p{N}])') THEN 'YEAR_RANGE'
       WHEN len(regexp_extract_all(v, '[0-9][0-9\s()\-]{5,}[0-9]')) > 1 THEN 'CONCATENATED' WHEN digits < 7 THEN 'TOO_FEW_DIGITS' WHEN digits > 15 THEN 'TOO_MANY_DIGITS' WHEN digits = 9 AND NOT regexp_matches(v, '[+()]') THEN 'AMBIGUOUS_NINE_DIGIT' END
     ELSE CASE WHEN regexp_matches(raw, '(?i)\.(png|jpe?g|gif|svg|webp|css|js|woff2?|ico)$') THEN 'IMAGE_FILENAME' WHEN regexp_matches(local, '^[0-9._-]+$') THEN 'NUMERIC_LOCAL' WHEN rest <> local AND length(rest) < 2 THEN 'NOISY_PREFIX'
       WHEN regexp_matches(domain, '(?i)^(example|test|email|domain|your-?mail|sample|placeholder)\.[a-z]{2,}$') THEN 'PLACEHOLDER' END END AS reason FROM e)"""
