@@ -34,6 +34,13 @@ def page(events: DataFrame, before: Column | None = None, level: str | None = No
     return newest.orderBy("ts", "event_id")
 
 
+def replay(events: DataFrame, last_id: int | None = None, most: int = 50) -> DataFrame:
+    """What a reader that comes back gets, oldest first: all rows after the last one it saw, else the ``most`` newest."""
+    if last_id is not None:
+        return events.where(F.col("event_id") > last_id).orderBy("event_id")
+    return events.orderBy(F.col("event_id").desc()).limit(most).orderBy("event_id")
+
+
 def retained(events: DataFrame, as_of: Column, most: int = KEPT_ROWS) -> DataFrame:
     """What retention leaves: no row past its level's age, and of the rest the ``most`` newest.
 

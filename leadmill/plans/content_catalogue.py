@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.functions import facts, ledes
-from leadmill.operators import blocks, media
+from leadmill.operators import activity, blocks, media
 from leadmill.plans.catalogue import query
 from leadmill.sources.fixtures import table
 
@@ -63,3 +63,13 @@ def edited_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(k.alias("id"), block.alias("block"), edits.alias("edits"))
     state = blocks.editor_state(rows, "id").select("id", "unsupported", F.size("fields").alias("known"))
     return blocks.apply_edits(rows, "id").join(state, "id")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
+def replay_of_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.replay(table(spark, sf_dir, "events")).select("event_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id > 1000")
+def replay_after_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.replay(table(spark, sf_dir, "events"), last_id=1000).select("event_id", "event_type")

@@ -29,13 +29,13 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     held = state.get if state.exists else None
     best = None
     for frame in frames:
-        for row in frame.itertuples():
-            mark = (row.ts.to_pydatetime(), row.event_id)
-            if held is None or mark > (held[0], held[1]):
-                held, best = mark, row
+        row = frame.sort_values(["ts", "event_id"]).iloc[-1]
+        mark = (row["ts"].to_pydatetime(), int(row["event_id"]))
+        if held is None or mark > (held[0], held[1]):
+            held, best = mark, row
     if best is not None:
         state.update(held)
-        yield pd.DataFrame([{"user_id": key[0], "event_id": best.event_id, "revision": best.ts, "event_type": best.event_type}])
+        yield pd.DataFrame([{"user_id": key[0], "event_id": best["event_id"], "revision": best["ts"], "event_type": best["event_type"]}])
 
 
 def latest_state(events: DataFrame) -> DataFrame:
