@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.functions import facts, ledes
-from leadmill.operators import activity, blocks, media
+from leadmill.operators import activity, blocks, media, quality
 from leadmill.plans.catalogue import query
 from leadmill.sources.fixtures import table
 
@@ -73,3 +73,46 @@ def replay_of_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type FROM events WHERE event_id > 1000")
 def replay_after_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.replay(table(spark, sf_dir, "events"), last_id=1000).select("event_id", "event_type")
+
+
+_NORM_SQL = "lower(trim(regexp_replace(coalesce({0}, ''), '[\\s\\x{{A0}}]+', ' ', 'g')))"
+_LINT_SQL = """list_concat(list_filter([
+    CASE WHEN length(trim({0})) >= 6 AND (length(trim({0})) >= 8 AND regexp_matches(trim({0}), '(?s)^[\\[{{].*[\\]}}]$') AND json_valid(trim({0}))
+      OR regexp_matches(trim({0}), '^[\\[{{<]') AND len(regexp_extract_all({0}, '"[A-Za-z0-9_.-]+"\\s*:')) + len(regexp_extract_all({0}, '&quot;[A-Za-z0-9_.-]+&quot;\\s*:')) >= 3
+      OR regexp_matches({0}, '(?i)(^|[^A-Za-z0-9_])(li_type|li_ph|li_mask|li_nm|li_req|li_parent_id|lid|formservices|dataLayer|gtag|ym\\s*\\(|_tmr|fbq\\s*\\(|tildaspec|recid|tn-atom__inputs|data-field-type|data-input-lid)($|[^A-Za-z0-9_])')
+      OR regexp_matches({0}, '(?i)(mail@example\\.(com|ru|net)|\\+375\\s*\\(99\\)\\s*999-99-99|\\+7\\s*\\(9[0-9][0-9]\\)\\s*9[0-9][0-9]-[0-9][0-9]-[0-9][0-9]|example\\.(com|org|net)/)')
+      OR regexp_matches({0}, '([.#][A-Za-z0-9_-]+\\s*\\{{[^}}]*:)|((^|[^A-Za-z0-9_])function\\s*\\()|((^|[^A-Za-z0-9_])var\\s+[A-Za-z0-9_]+\\s*=)|(\\.push\\s*\\(\\s*\\{{)|(\\}}\\)\\s*;\\s*$)') AND len(regexp_extract_all({0}, '[{{}}();]')) >= 4) THEN 'technical-payload' END,
+    CASE WHEN regexp_matches({0}, '(?i)mail@example\\.|example\\.(com|org|ru|by|net)|\\+375\\s*\\(99\\)\\s*999-99-99|999-99-99|xxx+') THEN 'placeholder-contact' END,
+    CASE WHEN length({0}) >= 60 AND list_max(list_transform(string_split({0}, chr(10)), lambda p: len(regexp_extract_all(p, '[а-яёa-z][ ]+[А-ЯЁA-Z][а-яёa-z]')))) >= 3 THEN 'glued-description' END,
+    CASE WHEN regexp_matches({0}, '(?m)  |\\t| $|^ ') THEN 'whitespace' END, CASE WHEN length({0}) > 3000 THEN 'oversized-content' END], lambda x: x IS NOT NULL),
+  list_transform(list_filter(range(2, 1 + len(paras)), lambda i: paras[i] = paras[i - 1]), lambda i: 'duplicate-adjacent-paragraph'))"""
+
+
+@query(f"""WITH e AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'news' ELSE 'service' END AS kind, source, text, substr(text, 1, 400) AS summary, CASE WHEN doc_id % 5 > 0 THEN TIMESTAMP '2024-01-31' + to_minutes(doc_id % 40 - 20) END AS day FROM documents),
+  s AS (SELECT doc_id, kind || '.summary' AS field, CASE WHEN trim(summary) <> '' THEN {_LINT_SQL.format('summary')} ELSE [] END AS kinds FROM (SELECT *, list_filter(list_transform(string_split(summary, chr(10)), lambda p: {_NORM_SQL.format('p')}), lambda p: p <> '') AS paras FROM e)),
+  b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents),
+  c AS (SELECT doc_id, ord, CASE ord % 3 WHEN 0 THEN 'richText' WHEN 1 THEN 'richText' ELSE 'list' END AS type, CASE WHEN ord % 7 = 0 THEN trim(substr(line, 1, 30)) ELSE '' END AS heading, CASE WHEN ord % 3 < 2 THEN trim(line) ELSE '' END AS body, CASE WHEN ord % 3 = 2 THEN line ELSE '' END AS item FROM b),
+  parts AS (SELECT doc_id, 'block.' || type || '.heading' AS field, heading AS t FROM c UNION ALL SELECT doc_id, 'block.' || type || '.content', body FROM c UNION ALL SELECT doc_id, 'block.' || type || '.items', item FROM c),
+  p AS (SELECT doc_id, field, CASE WHEN trim(t) <> '' THEN {_LINT_SQL.format('t')} ELSE [] END AS kinds FROM (SELECT *, [{_NORM_SQL.format('t')}] AS paras FROM parts)),
+  w AS (SELECT *, nullif({_NORM_SQL.format("heading || ' ' || body || ' ' || item")}, '') AS whole, type = 'richText' AND heading = '' AS anon FROM c),
+  x AS (SELECT *, last_value(whole IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lag(type) OVER (PARTITION BY doc_id ORDER BY ord) AS type_before, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - row_number() OVER (PARTITION BY doc_id, anon ORDER BY ord) AS island FROM w),
+  y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, anon, island ORDER BY ord) AS run FROM x),
+  z AS (SELECT doc_id, 'block.' || type AS field, list_filter([CASE WHEN heading <> '' AND body <> '' AND {_NORM_SQL.format('heading')} = {_NORM_SQL.format('body')} THEN 'duplicate-heading-body' END, CASE WHEN heading <> '' AND body = '' AND item = '' AND type = 'richText' THEN 'empty-heading' END, CASE WHEN item <> '' AND heading = '' THEN 'orphan-list' END,
+    CASE WHEN whole = before THEN CASE WHEN type = type_before THEN 'duplicate-responsive-section' ELSE 'duplicate-adjacent-paragraph' END END, CASE WHEN anon AND run = 4 THEN 'excessive-fragmentation' END, CASE WHEN length(body) > 12000 THEN 'oversized-content' END], lambda k: k IS NOT NULL) AS kinds FROM y),
+  o AS (SELECT doc_id, kind AS field, list_filter([CASE WHEN trim(coalesce(source, '')) = '' THEN 'empty-title' END, CASE WHEN kind = 'news' AND day IS NULL THEN 'missing-date' END, CASE WHEN day > TIMESTAMP '2024-01-31' THEN 'suspicious-date' WHEN kind = 'news' AND day > TIMESTAMP '2024-01-31' - INTERVAL 10 MINUTE THEN 'fabricated-date' END], lambda k: k IS NOT NULL) AS kinds FROM e),
+  d AS (SELECT doc_id, kind || '.source_url' AS field, ['duplicate-entity'] AS kinds FROM (SELECT *, row_number() OVER (PARTITION BY kind, md5(text) ORDER BY doc_id) AS n FROM e WHERE text IS NOT NULL) WHERE n > 1),
+  h AS (SELECT doc_id, 'hero' AS field, ['invalid-hero-media'] AS kinds FROM documents WHERE n_chars % 3 = 0),
+  a AS (SELECT doc_id, field, unnest(kinds) AS kind FROM (SELECT * FROM s UNION ALL SELECT * FROM p UNION ALL SELECT * FROM z UNION ALL SELECT * FROM o UNION ALL SELECT * FROM d UNION ALL SELECT * FROM h))
+  SELECT doc_id, field, kind, CASE WHEN kind IN ('whitespace', 'orphan-list', 'missing-date') THEN 'info' WHEN kind IN ('technical-payload', 'placeholder-contact', 'duplicate-responsive-section', 'empty-title', 'suspicious-date', 'fabricated-date', 'duplicate-entity', 'invalid-hero-media') THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM a GROUP BY ALL""")
+def content_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entities, their lines as blocks in turn of text and list."""
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    day = F.lit("2024-01-31").cast("timestamp")
+    entities = docs.select(k.alias("entity_id"), k.alias("ord"), F.when(F.col("lang") == "en", "news").otherwise("service").alias("kind"), F.lit(None).cast("string").alias("slug"), F.col("source").alias("title"), F.substring("text", 1, 400).alias("summary"), F.md5("text").alias("source_url"), F.array(F.when(k % 5 > 0, day + F.make_dt_interval(mins=(k % 40 - 20).cast("int")))).alias("dates"))
+    lines = docs.select(k.alias("entity_id"), F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    place = F.col("ord")
+    rows = lines.select("entity_id", "ord", F.when(place % 3 < 2, "richText").otherwise("list").alias("type"), F.when(place % 7 == 0, F.substring("line", 1, 30)).alias("heading"), F.when(place % 3 < 2, F.col("line")).alias("body"), F.when(place % 3 == 2, F.array("line")).alias("items"))
+    hero = docs.select(k.alias("entity_id"), F.concat(F.lit("/img/"), (F.col("n_chars") % 3).cast("string")).alias("src"))
+    media_ = docs.select(F.concat(F.lit("/img/"), (F.col("n_chars") % 3).cast("string")).alias("src"), (F.col("n_chars") % 3 > 0).alias("suitable")).distinct()
+    found = quality.content_findings(entities, rows, day, day, hero=hero, media=media_)
+    return found.groupBy(F.col("entity_id").alias("doc_id"), "field", "kind", "severity").agg(F.count(F.lit(1)).alias("n"))
