@@ -33,7 +33,8 @@ def record_keys(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the long ``key`` that orders the records."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     high = F.shiftleft(F.xxhash64(text), _TIE_BITS)
-    low = F.xxhash64(F.col("doc_id"), F.lit(7)).bitwiseAND((1 << _TIE_BITS) - 1)
+    # Rows equal in text and id are told apart by their place, so that any number of them can be subdivided.
+    low = F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id(), F.lit(7)).bitwiseAND((1 << _TIE_BITS) - 1)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),

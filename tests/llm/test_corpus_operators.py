@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -196,3 +198,34 @@ def test_an_id_with_several_texts_joins_their_components(spark):
     rows = [(5, a), (5, b), (3, b), (9, a), (8, c), (8, c), (7, c + " more"), (7, "else entirely here now and then")]
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
     assert got == {(5, 3, False), (3, 3, True), (9, 3, False), (8, 7, False), (7, 7, True)}
+
+
+def test_shards_of_repeated_rows_hold_near_equal_bytes(spark):
+    """A third of the rows equal in text and id, a third copies under other ids; each record once, whatever the method."""
+    rng = random.Random(8)
+    rows = [(7, "the same row " * 4)] * 1500 + [(i, "a copy of one text " * 3) for i in range(1500)] + [(rng.choice((None, i)), rng.choice((None, "", "ü" * rng.randrange(200)))) for i in range(1500)]
+    rng.shuffle(rows)
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 24).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"], r["text_crc32"]) for r in got) == sorted((i if i is not None else -1, size(t), zlib.crc32((t or "").encode())) for i, t in rows)
+    loads, slots = Counter(), {}
+    for r in got:
+        loads[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert set(loads) == set(range(24)) and max(loads.values()) - min(loads.values()) <= 2 * max(size(t) for _, t in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_small_tables_are_dealt_as_evenly_as_by_trying_all(spark):
+    from itertools import product
+
+    rng = random.Random(9)
+    for n in (1, 2, 5, 6):
+        rows = [(i, "x" * rng.randrange(1, 60)) for i in range(n)]
+        loads = Counter()
+        for r in sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect():
+            loads[r["shard"]] += r["size"]
+        sizes = [len(t) + 8 for _, t in rows]
+        best = min(max(sum(s for s, w in zip(sizes, where) if w == k) for k in range(3)) for where in product(range(3), repeat=n))
+        # Largest first to the emptiest shard is never more than 4/3 of the best.
+        assert max(loads.values()) <= best * 4 / 3
