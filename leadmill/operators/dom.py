@@ -176,9 +176,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trees(pages: DataFrame) -> DataFrame:
     """page_id, url, content (text of the page), json_ld and elements; other columns are left out.
 
-    Written once, as what reads it joins it with itself."""
+    Written once, as what reads it joins it with itself. Parsing takes far longer than moving a page, so pages are dealt
+    evenly over as many tasks as the session's shuffles have, however few files they come in."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return materialise(pages.select("page_id", "url", "html").mapInArrow(_parsed, f"page_id {kinds['page_id']}, url {kinds['url']}, {_KIND}"), "trees")
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(pages.select("page_id", "url", "html").repartition(tasks).mapInArrow(_parsed, f"page_id {kinds['page_id']}, url {kinds['url']}, {_KIND}"), "trees")
 
 
 def elements(tree: DataFrame, where: Column | str = "true") -> DataFrame:
