@@ -137,7 +137,52 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.col("c.url").alias("canonical_url"), F.col("c.host").alias("canonical_host"), F.col("c.domain").alias("registrable_domain"), F.col("c.url_key").alias("url_key"))
 
 
-_POLICY_SQL = ", ".join(f"({i}, '{kind}', '{name}', '{reason}', '{kind}:{name} ({category})')" for i, (kind, name, reason, category) in enumerate(urls.POLICY))
+_POLICY_SQL = r"""(0, 'suffix', 'ibiz.by', 'DIRECTORY', 'suffix:ibiz.by (AGGREGATOR)'),
+  (1, 'suffix', 'jsprav.ru', 'DIRECTORY', 'suffix:jsprav.ru (AGGREGATOR)'),
+  (2, 'suffix', 'spr.by', 'DIRECTORY', 'suffix:spr.by (AGGREGATOR)'),
+  (3, 'suffix', 'spisok.by', 'DIRECTORY', 'suffix:spisok.by (AGGREGATOR)'),
+  (4, 'suffix', 'rubrikator.org', 'DIRECTORY', 'suffix:rubrikator.org (AGGREGATOR)'),
+  (5, 'suffix', 'by.spr.ru', 'DIRECTORY', 'suffix:by.spr.ru (AGGREGATOR)'),
+  (6, 'suffix', 'cataloxy-by.ru', 'DIRECTORY', 'suffix:cataloxy-by.ru (AGGREGATOR)'),
+  (7, 'suffix', 'cataloxy.ru', 'DIRECTORY', 'suffix:cataloxy.ru (AGGREGATOR)'),
+  (8, 'exact', 'yell.ru', 'DIRECTORY', 'exact:yell.ru (AGGREGATOR)'),
+  (9, 'exact', 'yell.by', 'DIRECTORY', 'exact:yell.by (AGGREGATOR)'),
+  (10, 'exact', 'zoon.ru', 'DIRECTORY', 'exact:zoon.ru (AGGREGATOR)'),
+  (11, 'suffix', 'gmc.by', 'DIRECTORY', 'suffix:gmc.by (AGGREGATOR)'),
+  (12, 'suffix', 'deal.by', 'MARKETPLACE', 'suffix:deal.by (MARKETPLACE)'),
+  (13, 'suffix', 'rubrikator.by', 'DIRECTORY', 'suffix:rubrikator.by (AGGREGATOR)'),
+  (14, 'suffix', 'minsk-city.by', 'DIRECTORY', 'suffix:minsk-city.by (AGGREGATOR)'),
+  (15, 'suffix', 'domovita.by', 'DIRECTORY', 'suffix:domovita.by (AGGREGATOR)'),
+  (16, 'suffix', 'gov.by', 'GOVERNMENT', 'suffix:gov.by (GOVERNMENT)'),
+  (17, 'suffix', '2gis.ru', 'MAP_PROVIDER', 'suffix:2gis.ru (MAP_PROVIDER)'),
+  (18, 'suffix', '2gis.by', 'MAP_PROVIDER', 'suffix:2gis.by (MAP_PROVIDER)'),
+  (19, 'suffix', '2gis.com.by', 'MAP_PROVIDER', 'suffix:2gis.com.by (MAP_PROVIDER)'),
+  (20, 'suffix', '2gis.kz', 'MAP_PROVIDER', 'suffix:2gis.kz (MAP_PROVIDER)'),
+  (21, 'suffix', '2gis.com', 'MAP_PROVIDER', 'suffix:2gis.com (MAP_PROVIDER)'),
+  (22, 'exact', 'yandex.ru', 'SEARCH_ENGINE', 'exact:yandex.ru (SEARCH_ENGINE)'),
+  (23, 'exact', 'yandex.by', 'SEARCH_ENGINE', 'exact:yandex.by (SEARCH_ENGINE)'),
+  (24, 'exact', 'yandex.com', 'SEARCH_ENGINE', 'exact:yandex.com (SEARCH_ENGINE)'),
+  (25, 'suffix', 'yandex.ru', 'SEARCH_ENGINE', 'suffix:yandex.ru (SEARCH_ENGINE)'),
+  (26, 'suffix', 'yandex.by', 'SEARCH_ENGINE', 'suffix:yandex.by (SEARCH_ENGINE)'),
+  (27, 'suffix', 'yandex.com', 'SEARCH_ENGINE', 'suffix:yandex.com (SEARCH_ENGINE)'),
+  (28, 'exact', 'google.com', 'SEARCH_ENGINE', 'exact:google.com (SEARCH_ENGINE)'),
+  (29, 'suffix', 'google.com', 'SEARCH_ENGINE', 'suffix:google.com (SEARCH_ENGINE)'),
+  (30, 'exact', 'vk.com', 'SOCIAL_NETWORK', 'exact:vk.com (SOCIAL_NETWORK)'),
+  (31, 'exact', 'facebook.com', 'SOCIAL_NETWORK', 'exact:facebook.com (SOCIAL_NETWORK)'),
+  (32, 'exact', 'instagram.com', 'SOCIAL_NETWORK', 'exact:instagram.com (SOCIAL_NETWORK)'),
+  (33, 'exact', 'linkedin.com', 'SOCIAL_NETWORK', 'exact:linkedin.com (SOCIAL_NETWORK)'),
+  (34, 'exact', 'ok.ru', 'SOCIAL_NETWORK', 'exact:ok.ru (SOCIAL_NETWORK)'),
+  (35, 'exact', 'youtube.com', 'SOCIAL_NETWORK', 'exact:youtube.com (SOCIAL_NETWORK)'),
+  (36, 'exact', 'tiktok.com', 'SOCIAL_NETWORK', 'exact:tiktok.com (SOCIAL_NETWORK)'),
+  (37, 'exact', 'wildberries.ru', 'MARKETPLACE', 'exact:wildberries.ru (MARKETPLACE)'),
+  (38, 'exact', 'ozon.ru', 'MARKETPLACE', 'exact:ozon.ru (MARKETPLACE)'),
+  (39, 'exact', 'aliexpress.com', 'MARKETPLACE', 'exact:aliexpress.com (MARKETPLACE)'),
+  (40, 'exact', 'market.yandex.ru', 'MARKETPLACE', 'exact:market.yandex.ru (MARKETPLACE)'),
+  (41, 'exact', 'minsk.jsprav.ru', 'DIRECTORY', 'exact:minsk.jsprav.ru (AGGREGATOR)'),
+  (42, 'exact', 'rubrikator.org', 'DIRECTORY', 'exact:rubrikator.org (AGGREGATOR)'),
+  (43, 'exact', 'spisok.by', 'DIRECTORY', 'exact:spisok.by (AGGREGATOR)'),
+  (44, 'exact', 'spr.by', 'DIRECTORY', 'exact:spr.by (AGGREGATOR)'),
+  (45, 'exact', 'by.spr.ru', 'DIRECTORY', 'exact:by.spr.ru (AGGREGATOR)')"""
 _SITES_SQL = """sites AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://www.shop.deal.by/x' WHEN 1 THEN 'vk.com/club' WHEN 2 THEN 'm.vk.com' WHEN 3 THEN '' WHEN 4 THEN 'localhost' ELSE url END AS website FROM pages)"""
 
 
@@ -370,11 +415,51 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TITLES_SQL = "[" + ", ".join(f"'{t}'" for t in ("About us", "Our services", "News", "Catalog of doors", "Kontakt", "Plain", "Terms", "Portfolio and reviews")) + "]"
-_TYPE_ROWS_SQL = " UNION ALL ".join(
-    f"SELECT page_id, CASE WHEN deep THEN '{detail}' ELSE '{kind}' END AS page_type, CASE WHEN regexp_matches(path, '/[^/]*({words})') THEN {in_path} + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, '{words}') THEN 8 ELSE 0 END ELSE 0 END AS points, {2 * i} AS ord FROM p"
-    f" UNION ALL SELECT page_id, '{kind}', CASE WHEN regexp_matches(heading, '{words}') THEN {in_heading} ELSE 0 END, {100 + i} FROM p"
-    for i, (kind, words, in_path, in_heading, detail) in enumerate(pages.PAGE_TYPES, 1)
-)
+_TYPE_ROWS_SQL = r"""SELECT page_id,
+  CASE WHEN deep THEN 'ABOUT' ELSE 'ABOUT' END AS page_type,
+  CASE WHEN regexp_matches(path, '/[^/]*(about|company)') THEN 5 + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, 'about|company') THEN 8 ELSE 0 END ELSE 0 END AS points, 2 AS ord FROM p
+  UNION ALL SELECT page_id, 'ABOUT',
+  CASE WHEN regexp_matches(heading, 'about|company') THEN 6 ELSE 0 END, 101 FROM p
+  UNION ALL SELECT page_id,
+  CASE WHEN deep THEN 'SERVICE_DETAIL' ELSE 'SERVICES_INDEX' END AS page_type,
+  CASE WHEN regexp_matches(path, '/[^/]*(service|leistung|servic)') THEN 6 + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, 'service|leistung|servic') THEN 8 ELSE 0 END ELSE 0 END AS points, 4 AS ord FROM p
+  UNION ALL SELECT page_id, 'SERVICES_INDEX',
+  CASE WHEN regexp_matches(heading, 'service|leistung|servic') THEN 7 ELSE 0 END, 102 FROM p
+  UNION ALL SELECT page_id,
+  CASE WHEN deep THEN 'PROJECT_DETAIL' ELSE 'PROJECTS_INDEX' END AS page_type,
+  CASE WHEN regexp_matches(path, '/[^/]*(project|portfolio)') THEN 6 + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, 'project|portfolio') THEN 8 ELSE 0 END ELSE 0 END AS points, 6 AS ord FROM p
+  UNION ALL SELECT page_id, 'PROJECTS_INDEX',
+  CASE WHEN regexp_matches(heading, 'project|portfolio') THEN 7 ELSE 0 END, 103 FROM p
+  UNION ALL SELECT page_id,
+  CASE WHEN deep THEN 'NEWS_DETAIL' ELSE 'NEWS_INDEX' END AS page_type,
+  CASE WHEN regexp_matches(path, '/[^/]*(news|blog|article)') THEN 7 + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, 'news|blog|article') THEN 8 ELSE 0 END ELSE 0 END AS points, 8 AS ord FROM p
+  UNION ALL SELECT page_id, 'NEWS_INDEX',
+  CASE WHEN regexp_matches(heading, 'news|blog|article') THEN 8 ELSE 0 END, 104 FROM p
+  UNION ALL SELECT page_id,
+  CASE WHEN deep THEN 'VACANCY_DETAIL' ELSE 'VACANCIES_INDEX' END AS page_type,
+  CASE WHEN regexp_matches(path, '/[^/]*(vacanc|career|jobs)') THEN 6 + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, 'vacanc|career|jobs') THEN 8 ELSE 0 END ELSE 0 END AS points, 10 AS ord FROM p
+  UNION ALL SELECT page_id, 'VACANCIES_INDEX',
+  CASE WHEN regexp_matches(heading, 'vacanc|career|jobs') THEN 7 ELSE 0 END, 105 FROM p
+  UNION ALL SELECT page_id,
+  CASE WHEN deep THEN 'PRODUCT_DETAIL' ELSE 'PRODUCTS_INDEX' END AS page_type,
+  CASE WHEN regexp_matches(path, '/[^/]*(product|catalog|shop)') THEN 6 + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, 'product|catalog|shop') THEN 8 ELSE 0 END ELSE 0 END AS points, 12 AS ord FROM p
+  UNION ALL SELECT page_id, 'PRODUCTS_INDEX',
+  CASE WHEN regexp_matches(heading, 'product|catalog|shop') THEN 7 ELSE 0 END, 106 FROM p
+  UNION ALL SELECT page_id,
+  CASE WHEN deep THEN 'REVIEW_DETAIL' ELSE 'REVIEWS_INDEX' END AS page_type,
+  CASE WHEN regexp_matches(path, '/[^/]*(review|testimonial)') THEN 6 + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, 'review|testimonial') THEN 8 ELSE 0 END ELSE 0 END AS points, 14 AS ord FROM p
+  UNION ALL SELECT page_id, 'REVIEWS_INDEX',
+  CASE WHEN regexp_matches(heading, 'review|testimonial') THEN 7 ELSE 0 END, 107 FROM p
+  UNION ALL SELECT page_id,
+  CASE WHEN deep THEN 'CONTACTS' ELSE 'CONTACTS' END AS page_type,
+  CASE WHEN regexp_matches(path, '/[^/]*(contact|kontakt)') THEN 8 + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, 'contact|kontakt') THEN 8 ELSE 0 END ELSE 0 END AS points, 16 AS ord FROM p
+  UNION ALL SELECT page_id, 'CONTACTS',
+  CASE WHEN regexp_matches(heading, 'contact|kontakt') THEN 9 ELSE 0 END, 108 FROM p
+  UNION ALL SELECT page_id,
+  CASE WHEN deep THEN 'LEGAL' ELSE 'LEGAL' END AS page_type,
+  CASE WHEN regexp_matches(path, '/[^/]*(privacy|terms|legal|impressum)') THEN 9 + CASE WHEN deep THEN 10 ELSE 0 END + CASE WHEN regexp_matches(heading, 'privacy|terms|legal|impressum') THEN 8 ELSE 0 END ELSE 0 END AS points, 18 AS ord FROM p
+  UNION ALL SELECT page_id, 'LEGAL',
+  CASE WHEN regexp_matches(heading, 'privacy|terms|legal|impressum') THEN 10 ELSE 0 END, 109 FROM p"""
 
 
 @query(f"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/' WHEN 1 THEN '/services/roof' WHEN 2 THEN '/blog' WHEN 3 THEN '/catalog/x/y' ELSE '/other' END AS path, page_id % 5 IN (1, 3) AS deep, page_id % 5 = 0 AS home, lower({_TITLES_SQL}[1 + page_id % 8]) AS heading FROM pages),

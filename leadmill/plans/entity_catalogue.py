@@ -22,9 +22,28 @@ def _list_sql(values: tuple) -> str:
 
 _URLS = ("https://www.deal.by/cs/12/x", "https://firma.by/companies/azhur", "https://site.by/16851-flaydero.html", "https://good.by/catalog/doors", "https://shop.rubrikator.by/place/x", "not a url", "https://news.by/tag/stroika")
 _BODIES = ("Добавить компанию. Каталог организаций", "Мы строим дома", "Продавец: ООО Ромашка, бесплатное размещение", None, "ООО, ОАО, ЗАО и ЧТУП рядом", "Add your company to the business directory", "Поиск компании по городам")
-_PATHS_SQL = ", ".join(f"CASE WHEN regexp_matches(path, '{pattern}') THEN '{name}' END" for name, pattern in ownership.PATHS)
-_TEXTS_SQL = ", ".join(f"CASE WHEN regexp_matches(body, '(?i){pattern}') THEN '{name}' END" for name, _, pattern in ownership.TEXTS)
-_WEIGHTS_SQL = " ".join(f"WHEN '{name}' THEN {weight}" for name, weight, _ in ownership.TEXTS)
+_PATHS_SQL = r"""CASE WHEN regexp_matches(path, '(?i)/(companies|company|firms?|org|orgs|organizations|place|places|catalog-companies|spravochnik|katalog-kompanij)/[\w-]+') THEN 'url:company-listing-pattern' END,
+  CASE WHEN regexp_matches(path, '(?i)/\d{3,}-[\w-]+\.(html?|php)$') THEN 'url:numbered-company-page' END,
+  CASE WHEN regexp_matches(path, '(?i)/cs/\d+/') THEN 'url:seller-storefront' END,
+  CASE WHEN regexp_matches(path, '(?i)/(tag|tags|rubric|rubrics|category-directory|razdel)/[\w-]+') THEN 'url:tag-directory' END"""
+_TEXTS_SQL = r"""CASE WHEN regexp_matches(body, '(?i)добавить\s+(компанию|организацию|фирму|предприятие)') THEN 'text:add-company-flow' END,
+  CASE WHEN regexp_matches(body, '(?i)добавить\s+(товар|услугу|объявление|продукцию)') THEN 'text:add-product-service-flow' END,
+  CASE WHEN regexp_matches(body, '(?i)каталог\s+(компаний|организаций|предприятий|фирм)') THEN 'text:company-catalog' END,
+  CASE WHEN regexp_matches(body, '(?i)справочник\s+(организаций|предприятий|компаний)') THEN 'text:org-directory' END,
+  CASE WHEN regexp_matches(body, '(?i)(разместить|зарегистрировать)\s+(компанию|организацию|свою фирму)') THEN 'text:business-registration-flow' END,
+  CASE WHEN regexp_matches(body, '(?i)(все|поиск)\s+(компании|организации|поставщики|продавцы)\s+(в|по)\s+(рубрик|категор|город)') THEN 'text:directory-search' END,
+  CASE WHEN regexp_matches(body, '(?i)бесплатн[0-9A-Za-z_]*\s+(размещени|добавлени)[0-9A-Za-z_]*') THEN 'text:free-listing-offer' END,
+  CASE WHEN regexp_matches(body, '(?i)organizations?\s+catalog|business\s+directory|add\s+(your\s+)?(company|business|listing)') THEN 'text:en-directory' END,
+  CASE WHEN regexp_matches(body, '(?i)(поставщик|продавец|компания|организация|смотреть все (товары|услуги) (компании|продавца))\s*[::]') THEN 'text:seller-attribution' END"""
+_WEIGHTS_SQL = r"""WHEN 'text:add-company-flow' THEN 3
+  WHEN 'text:add-product-service-flow' THEN 2
+  WHEN 'text:company-catalog' THEN 3
+  WHEN 'text:org-directory' THEN 3
+  WHEN 'text:business-registration-flow' THEN 3
+  WHEN 'text:directory-search' THEN 2
+  WHEN 'text:free-listing-offer' THEN 2
+  WHEN 'text:en-directory' THEN 3
+  WHEN 'text:seller-attribution' THEN 2"""
 
 
 @query(f"""WITH r AS (SELECT event_id AS id, {_list_sql(_URLS)}[1 + event_id % 7] AS url, coalesce({_list_sql(_BODIES)}[1 + event_id // 7 % 7], '') AS body FROM events),
@@ -39,7 +58,13 @@ def website_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", ownership.ownership(F.col("url"), F.col("body")).alias("o")).select("id", "o.decision", "o.confidence", F.array_join("o.signals", ",").alias("signals"))
 
 
-_KINDS_SQL = " ".join("WHEN " + " OR ".join(f"contains(u, '{w}') OR contains(t, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in ownership.PAGE_KINDS)
+_KINDS_SQL = r"""WHEN contains(u, 'vacancies') OR contains(t, 'vacancies') OR contains(u, 'vacancy') OR contains(t, 'vacancy') OR contains(u, 'career') OR contains(t, 'career') OR contains(u, 'careers') OR contains(t, 'careers') OR contains(u, 'job') OR contains(t, 'job') OR contains(u, 'jobs') OR contains(t, 'jobs') OR contains(u, 'вакансии') OR contains(t, 'вакансии') OR contains(u, 'вакансия') OR contains(t, 'вакансия') OR contains(u, 'rabota') OR contains(t, 'rabota') OR contains(u, 'работа') OR contains(t, 'работа') OR contains(u, 'vakansii') OR contains(t, 'vakansii') THEN 'vacancies'
+  WHEN contains(u, 'contact') OR contains(t, 'contact') OR contains(u, 'contacts') OR contains(t, 'contacts') OR contains(u, 'контакты') OR contains(t, 'контакты') OR contains(u, 'контакт') OR contains(t, 'контакт') OR contains(u, 'kontakty') OR contains(t, 'kontakty') OR contains(u, 'kontakt') OR contains(t, 'kontakt') THEN 'contacts'
+  WHEN contains(u, 'about') OR contains(t, 'about') OR contains(u, 'about-us') OR contains(t, 'about-us') OR contains(u, 'о компании') OR contains(t, 'о компании') OR contains(u, 'о нас') OR contains(t, 'о нас') OR contains(u, 'о предприятии') OR contains(t, 'о предприятии') OR contains(u, 'o-kompanii') OR contains(t, 'o-kompanii') OR contains(u, 'o-nas') OR contains(t, 'o-nas') THEN 'about'
+  WHEN contains(u, 'news') OR contains(t, 'news') OR contains(u, 'blog') OR contains(t, 'blog') OR contains(u, 'press') OR contains(t, 'press') OR contains(u, 'новости') OR contains(t, 'новости') OR contains(u, 'новость') OR contains(t, 'новость') OR contains(u, 'novosti') OR contains(t, 'novosti') OR contains(u, 'novost') OR contains(t, 'novost') THEN 'news'
+  WHEN contains(u, 'service') OR contains(t, 'service') OR contains(u, 'услуга') OR contains(t, 'услуга') OR contains(u, 'usluga') OR contains(t, 'usluga') OR contains(u, 'прайс') OR contains(t, 'прайс') OR contains(u, 'preiskurant') OR contains(t, 'preiskurant') THEN 'service'
+  WHEN contains(u, 'services') OR contains(t, 'services') OR contains(u, 'catalog') OR contains(t, 'catalog') OR contains(u, 'all-services') OR contains(t, 'all-services') OR contains(u, 'услуги') OR contains(t, 'услуги') OR contains(u, 'каталог') OR contains(t, 'каталог') OR contains(u, 'каталог услуг') OR contains(t, 'каталог услуг') OR contains(u, 'uslugi') OR contains(t, 'uslugi') THEN 'services'
+  WHEN contains(u, 'project') OR contains(t, 'project') OR contains(u, 'portfolio') OR contains(t, 'portfolio') OR contains(u, 'object') OR contains(t, 'object') OR contains(u, 'objects') OR contains(t, 'objects') OR contains(u, 'проект') OR contains(t, 'проект') OR contains(u, 'проекты') OR contains(t, 'проекты') OR contains(u, 'объект') OR contains(t, 'объект') OR contains(u, 'объекты') OR contains(t, 'объекты') OR contains(u, 'портфолио') OR contains(t, 'портфолио') OR contains(u, 'proekty') OR contains(t, 'proekty') OR contains(u, 'obekty') OR contains(t, 'obekty') THEN 'project'"""
 
 
 @query(f"""WITH r AS (SELECT p_partkey AS id, lower('https://x.by/' || {_list_sql(('services/roof', 'o-kompanii', 'blog/1', 'a/b', '%D0%BD%D0%BE%D0%B2%D0%BE%D1%81%D1%82%D0%B8', '', 'kontakt'))}[1 + p_partkey % 7]) AS v, lower({_list_sql(('Наши объекты', 'Прайс', 'Дом', 'Вакансия сварщика', 'О нас'))}[1 + p_partkey % 5] || ' ' || p_name) AS t FROM part),
@@ -92,7 +117,14 @@ def card_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HEADINGS = ("Частые ВОПРОСЫ", "Отзывы клиентов", "Наш прайс", "Этапы работ", "Команда", "Партнеры", "Почему мы", "Скидки", "Разное", None)
-_SECTION_SQL = " ".join(f"WHEN regexp_matches(coalesce(heading, ''), '(?i){pattern}') THEN '{kind}'" for kind, pattern in summaries.SECTION_KINDS)
+_SECTION_SQL = r"""WHEN regexp_matches(coalesce(heading, ''), '(?i)вопрос|часто спрашивают|faq|q&a') THEN 'FAQ'
+  WHEN regexp_matches(coalesce(heading, ''), '(?i)отзыв|review|testimonial') THEN 'REVIEWS'
+  WHEN regexp_matches(coalesce(heading, ''), '(?i)цен|прайс|стоимост|тариф|price|pricing|cost') THEN 'PRICING'
+  WHEN regexp_matches(coalesce(heading, ''), '(?i)этап|как мы работаем|порядок|процесс|стадии|process|how we work') THEN 'PROCESS'
+  WHEN regexp_matches(coalesce(heading, ''), '(?i)команда|сотрудник|team') THEN 'TEAM'
+  WHEN regexp_matches(coalesce(heading, ''), '(?i)партнер|partner|клиенты') THEN 'PARTNERS'
+  WHEN regexp_matches(coalesce(heading, ''), '(?i)преимуществ|почему мы|advantage|benefit|наши плюсы') THEN 'ADVANTAGES'
+  WHEN regexp_matches(coalesce(heading, ''), '(?i)акци|скидк|promo|promotion|спецпредлож') THEN 'PROMOTION'"""
 
 
 @query(f"""WITH r AS (SELECT event_id AS id, {_list_sql(_HEADINGS)}[1 + event_id % 10] AS heading, event_id // 10 % 5 AS k FROM events)

@@ -43,7 +43,7 @@ def stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualification.stage_rows(lead_table(spark, sf_dir)).withColumn("waiting_for", F.array_join("waiting_for", ","))
 
 
-_PIPELINE_SQL = ", ".join(f"'{s}'" for s in qualification.PIPELINE)
+_PIPELINE_SQL = r"""'CRAWLED', 'EXTRACTED', 'CONTENT_VALIDATED', 'GRAPH_BUILT', 'CMS_IMPORT_READY', 'CMS_IMPORTED', 'RENDERED', 'RENDER_VALIDATED', 'VISUAL_VALIDATED', 'PREVIEW_PUBLISHED', 'HUMAN_REVIEW_READY'"""
 
 
 @query(f"""WITH r AS (SELECT o_custkey AS run_id, [{_PIPELINE_SQL}][1 + o_orderkey % 11] AS stage, o_orderkey AS finished_at, o_orderstatus = 'F' AS bad, o_orderpriority LIKE '5%' AS warned FROM orders),
@@ -76,7 +76,16 @@ def first_eligible_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MESSAGES = ("page.goto: Timeout 30000ms exceeded", "getaddrinfo ENOTFOUND host", "Chrome binary not found, no chrome binary here", "429 Too Many Requests", "fetch of image failed: download fail", "render has failed", "connect ECONNREFUSED 127.0.0.1:5432", "something else", "browserType.launch: no", "cms import broke")
 _MESSAGES_SQL = "[" + ", ".join(f"'{m}'" for m in _MESSAGES) + "]"
-_ERRORS_SQL = " ".join(f"WHEN regexp_matches(m, '{pattern.replace(chr(39), chr(39) * 2)}') THEN '{code}'" for code, pattern in qualification.ERRORS)
+_ERRORS_SQL = r"""WHEN regexp_matches(m, '(?i)Executable doesn''t exist at|chromium.*not.*install|playwright.*chromium|browserType\.launch') THEN 'PLAYWRIGHT_BROWSER_MISSING'
+  WHEN regexp_matches(m, '(?i)chrome.*not.*found|chromium.*lighthouse|no.*chrome.*binary') THEN 'LIGHTHOUSE_BROWSER_MISSING'
+  WHEN regexp_matches(m, '(?i)page\.goto.*timeout|navigation.*timeout|net::ERR_CONNECTION_TIMED_OUT|ETIMEDOUT') THEN 'SOURCE_TIMEOUT'
+  WHEN regexp_matches(m, '(?i)net::ERR_NAME_NOT_RESOLVED|getaddrinfo.*ENOTFOUND|DNS.*lookup') THEN 'SOURCE_DNS_FAILED'
+  WHEN regexp_matches(m, '(?i)rate limit|too many requests|429|insufficient_quota') THEN 'AI_RATE_LIMIT'
+  WHEN regexp_matches(m, '(?i)ai.*provider|gemini.*error|openai.*error|vision.*provider') THEN 'AI_PROVIDER_ERROR'
+  WHEN regexp_matches(m, '(?i)download.*fail|media.*download|fetch.*image') THEN 'MEDIA_DOWNLOAD_FAILED'
+  WHEN regexp_matches(m, '(?i)cms.*import|importToCms|import.*fail') THEN 'CMS_IMPORT_FAILED'
+  WHEN regexp_matches(m, '(?i)render.*fail|showcase.*render|site.*render') THEN 'RENDER_FAILED'
+  WHEN regexp_matches(m, '(?i)database.*connect|prisma.*connect|ECONNREFUSED.*5432|connection.*postgres') THEN 'DATABASE_UNAVAILABLE'"""
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
