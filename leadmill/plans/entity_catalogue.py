@@ -46,8 +46,9 @@ _WEIGHTS_SQL = r"""WHEN 'text:add-company-flow' THEN 3
   WHEN 'text:seller-attribution' THEN 2"""
 
 
-@query(f"""WITH r AS (SELECT event_id AS id, {_list_sql(_URLS)}[1 + event_id % 7] AS url, coalesce({_list_sql(_BODIES)}[1 + event_id // 7 % 7], '') AS body FROM events),
-  h AS (SELECT *, CASE WHEN contains(url, '://') THEN array_to_string(list_slice(string_split(regexp_extract(url, '^[a-z]+://(?:www[.])?([^/]+)', 1), '.'), -2, -1), '.') END AS host, regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1) AS path FROM r),
+@query(f"""WITH r AS (SELECT event_id AS id, {_list_sql(_URLS)}[1 + event_id % 7] AS url, coalesce({_list_sql(_BODIES)}[1 + event_id // 7 % 7], '') AS body FROM events
+    UNION ALL SELECT 1000000000 + page_id, url, coalesce(html, '') FROM pages UNION ALL SELECT 2000000000 + doc_id, 'https://site.by/text/' || doc_id, coalesce(text, '') FROM documents),
+  h AS (SELECT *, CASE WHEN contains(url, '://') THEN array_to_string(list_slice(string_split(regexp_extract(url, '^[a-z]+://(?:www[.])?([^/]+)', 1), '.'), -2, -1), '.') END AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM r),
   s AS (SELECT *, list_filter([{_PATHS_SQL}, {_TEXTS_SQL}, CASE WHEN len(list_distinct(list_transform(regexp_extract_all(body, '(?i)оао|ооо|зао|ип\\s|чтуп|уп\\s|llc|ltd'), lambda x: lower(x)))) >= 4 THEN 'text:many-distinct-org-forms' END], lambda x: x IS NOT NULL) AS signals FROM h),
   w AS (SELECT *, CAST(coalesce(list_sum(list_transform(signals, lambda x: CASE x {_WEIGHTS_SQL} ELSE 1 END)), 0) AS INT) AS w, CASE host WHEN 'deal.by' THEN 'MARKETPLACE' WHEN 'rubrikator.by' THEN 'DIRECTORY' END AS known FROM s)
   SELECT id, CASE WHEN known IS NOT NULL THEN known WHEN w >= 4 THEN CASE WHEN list_has_any(signals, ['url:seller-storefront', 'text:seller-attribution']) THEN 'MARKETPLACE' ELSE 'DIRECTORY' END WHEN w >= 2 OR len(list_filter(signals, lambda x: prefix(x, 'url:'))) > 0 THEN 'UNCERTAIN' ELSE 'DIRECT_COMPANY_SITE' END AS decision,
@@ -55,6 +56,8 @@ _WEIGHTS_SQL = r"""WHEN 'text:add-company-flow' THEN 3
     CASE WHEN known IS NOT NULL THEN 'policy:' || host ELSE array_to_string(signals, ',') END AS signals FROM w""")
 def website_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _pick(_URLS, F.col("event_id")).alias("url"), _pick(_BODIES, F.floor(F.col("event_id") / 7)).alias("body"))
+    rows = rows.unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1_000_000_000).alias("id"), "url", F.col("html").alias("body")))
+    rows = rows.unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 2_000_000_000).alias("id"), F.concat(F.lit("https://site.by/text/"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("body")))
     return rows.select("id", ownership.ownership(F.col("url"), F.col("body")).alias("o")).select("id", "o.decision", "o.confidence", F.array_join("o.signals", ",").alias("signals"))
 
 
