@@ -100,23 +100,26 @@ def repeated_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TITLES = ("«Дом»  Ёлка - Пазл Хаус", "от Дизайнера Кухня", "ЖК Минска Маяк | Пазл Хаус", "Тренды лета", "Пазл Хаус", "Баня—Пазл хаус")
 
 
-@query(f"""WITH r AS (SELECT event_id AS id, {_list_sql(_TITLES)}[1 + event_id % 6] AS title FROM events), n AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(title), 'ё', 'е'), '[«»"“”''‘’`]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM r)
+@query(f"""WITH r AS (SELECT event_id AS id, {_list_sql(_TITLES)}[1 + event_id % 6] AS title FROM events UNION ALL SELECT 1000000000 + page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) FROM pages), n AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(title), 'ё', 'е'), '[«»"“”''‘’`]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM r)
   SELECT id, t AS plain, regexp_replace(regexp_replace(t, '[\\s\\-–—|]+пазл хаус$', ''), '^(от\\s+\\S+\\s+|жк\\s+\\S+\\s+|тренды\\s+)', '') AS bare FROM n""")
 def bare_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = _pick(_TITLES, F.col("event_id"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), summaries.plain_title(title).alias("plain"), summaries.without_brand(title, F.lit("Пазл Хаус")).alias("bare"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _pick(_TITLES, F.col("event_id")).alias("title"))
+    rows = rows.unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1_000_000_000).alias("id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")))
+    return rows.select("id", summaries.plain_title(F.col("title")).alias("plain"), summaries.without_brand(F.col("title"), F.lit("Пазл Хаус")).alias("bare"))
 
 
 _CARDS = ("Строим дома из бруса. Звоните нам прямо сейчас! Гарантия десять лет на все работы.", "1. теплая встреча\n2) договор\nСрок строительства три месяца от начала работ", "Заказать", "Дом Ёлка это дом для семьи. Площадь сто двадцать метров. Этажей два и мансарда. Еще текст тут есть.", None, "Телефон +375 29 123-45-67 для связи. Монтаж кровли под ключ, подробнее на сайте")
 _CUT_SQL = "trim(regexp_replace(trim(s), '(?i)(получить консультац\\S*|заказать|закажите|узнать (цену|стоимость)|оставить заявку|подробнее|читать далее|✔|➔|✓|тариф\\s*«[^»]*»).*$', ''))"
 
 
-@query(f"""WITH r AS (SELECT event_id AS id, coalesce({_list_sql(_CARDS).replace(chr(10), "' || chr(10) || '")}[1 + event_id % 6], '') AS raw FROM events),
+@query(f"""WITH r AS (SELECT event_id AS id, coalesce({_list_sql(_CARDS).replace(chr(10), "' || chr(10) || '")}[1 + event_id % 6], '') AS raw FROM events UNION ALL SELECT 1000000000 + doc_id, coalesce(text, '') FROM documents),
   s AS (SELECT id, unnest(regexp_split_to_array(regexp_replace(raw, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')) AS s, generate_subscripts(regexp_split_to_array(regexp_replace(raw, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), 1) AS i FROM r),
   c AS (SELECT id, i, {_CUT_SQL} AS s FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM c WHERE length(s) >= 12 AND NOT regexp_matches(s, '{summaries.JUNK.replace("(?iu)", "(?i)")}') AND NOT regexp_matches(s, '{summaries.PHONE}') AND NOT contains(replace(lower(s), 'ё', 'е'), 'дом елка') AND NOT regexp_matches(s, '^\\d+\\s*[.)]')),
   o AS (SELECT r.id, coalesce(string_agg(s, ' ' ORDER BY i) FILTER (n <= 2), '') AS o FROM r LEFT JOIN k ON k.id = r.id GROUP BY 1) SELECT id, CASE WHEN length(o) >= 20 THEN substr(o, 1, 200) END AS summary FROM o""")
 def card_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), summaries.card_summary(_pick(_CARDS, F.col("event_id")), F.lit("Дом «Ёлка»")).alias("summary"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _pick(_CARDS, F.col("event_id")).alias("raw"))
+    rows = rows.unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1_000_000_000).alias("id"), F.col("text").alias("raw")))
+    return rows.select("id", summaries.card_summary(F.col("raw"), F.lit("Дом «Ёлка»")).alias("summary"))
 
 
 _HEADINGS = ("Частые ВОПРОСЫ", "Отзывы клиентов", "Наш прайс", "Этапы работ", "Команда", "Партнеры", "Почему мы", "Скидки", "Разное", None)

@@ -206,11 +206,12 @@ _PROBES = ("price is undefined", "[object Object] here", "plain", "Lorem Ipsum d
 _PROBES_SQL = "[" + ", ".join(f"'{m}'" for m in _PROBES) + "]"
 
 
-@query(f"""WITH t AS (SELECT {_PROBES_SQL}[1 + event_id % {len(_PROBES)}] AS text FROM events), l AS (SELECT text, unnest(['undefined', '[object Object]', 'NaN', 'lorem ipsum', '{{{{', 'TODO']) AS leak FROM t)
+@query(f"""WITH t AS (SELECT {_PROBES_SQL}[1 + event_id % {len(_PROBES)}] AS text FROM events UNION ALL SELECT text FROM documents UNION ALL SELECT html FROM pages), l AS (SELECT text, unnest(['undefined', '[object Object]', 'NaN', 'lorem ipsum', '{{{{', 'TODO']) AS leak FROM t)
   SELECT leak, count(*) AS n FROM l WHERE contains(lower(text), lower(leak)) GROUP BY 1""")
 def leaked_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.get(F.array(*map(F.lit, _PROBES)), (F.col("event_id") % len(_PROBES)).cast("int"))
-    return table(spark, sf_dir, "events").select(F.explode(content.leaks(text)).alias("leak")).groupBy("leak").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "events").select(text.alias("text")).unionByName(table(spark, sf_dir, "documents").select("text")).unionByName(table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    return rows.select(F.explode(content.leaks(F.col("text"))).alias("leak")).groupBy("leak").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 4 OR (o_orderkey % 5 = 3 AND month(o_orderdate) = 2 AND day(o_orderdate) > 31) THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS found_at FROM orders""")
