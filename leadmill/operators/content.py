@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from leadmill.functions.compat import one_space, yes
 from leadmill.operators.store import weighted_vote
-from leadmill.storage import materialise, scratch
+from leadmill.storage import broadcast_if_small, materialise, scratch
 
 # What a catalogue entry says, marks of chrome in titles, patterns of leaks.
 CATALOGUE = r"(?iu)(площадь|м2|м²|цен|стоимост|price|area|срок|размер|этаж)"
@@ -100,7 +100,7 @@ def resolve_routes(routes: DataFrame, entities: DataFrame, pages: DataFrame, hin
     rank = F.array_position(F.array(*map(F.lit, DETAIL_KINDS)), F.col("kind"))
     detail = keyed.join(entities, ["site", "slug"]).select("site", "asked", (F.lit(10) + rank).alias("precedence"), "tail", F.concat(F.upper("kind"), F.lit("_DETAIL")).alias("kind"), F.col("id").cast("string").alias("target"))
     page = keyed.join(pages, ["site", "slug"]).select("site", "asked", F.lit(50).alias("precedence"), "tail", F.when(yes(F.col("is_homepage")), "HOME").otherwise("PAGE").alias("kind"), F.col("id").cast("string").alias("target"))
-    hinted = keyed.where("tail = 0").join(F.broadcast(hints), "slug").select("site", "asked", F.lit(60).alias("precedence"), "tail", F.lit("COLLECTION").alias("kind"), F.col("collection").alias("target"))  # a fixed list
+    hinted = keyed.where("tail = 0").join(broadcast_if_small(hints), "slug").select("site", "asked", F.lit(60).alias("precedence"), "tail", F.lit("COLLECTION").alias("kind"), F.col("collection").alias("target"))  # a fixed list
     home = rows.where(F.col("full").isin("", "index", "home")).select("site", "asked", F.lit(0).alias("precedence"), F.lit(0).alias("tail"), F.lit("HOME").alias("kind"), F.lit(None).cast("string").alias("target"))
     every = detail.unionByName(page).unionByName(hinted).unionByName(home)
     best = every.groupBy("site", "asked").agg(F.min_by(F.struct("kind", "target"), F.struct("precedence", "tail", "target")).alias("hit"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from leadmill.storage import broadcast_if_small
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
     """``old`` with the rows of ``new`` put in by key, and ``action``: created, updated or kept.
@@ -57,7 +59,7 @@ def child_counts(parents: DataFrame, key: str, **children: DataFrame) -> DataFra
 
 def missing_combinations(wanted: list[DataFrame], present: DataFrame) -> DataFrame:
     """Combinations of small lists that a table lacks."""
-    every = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), wanted)  # lists of settings, a few rows each
+    every = reduce(lambda a, b: a.crossJoin(broadcast_if_small(b)), wanted)  # what is wanted is all of these
     return every.join(present, every.columns, "left_anti")
 
 
