@@ -25,7 +25,7 @@ def residue(line: Column, tokens: Column) -> Column:
 def content_lines(text: Column, tokens: Column, machine_text: bool = False) -> Column:
     """The lines of a text that are not of the frame: three characters or more are left of them, and they are neither a
     contact nor, unless that is wanted, machine text."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     own = lambda x: (F.length(residue(x, tokens)) >= 3) & ~F.rlike(F.lower(x), F.lit(CONTACT_LINE))
     return F.filter(lines, own if machine_text else lambda x: own(x) & ~technical_payload(x)["technical"])
 

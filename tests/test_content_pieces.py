@@ -121,3 +121,8 @@ def test_edits_equal_those_of_a_parsed_block():
         for part in parts:
             if json.loads("{" + part + "}").keys().isdisjoint(edits):
                 assert part in out
+
+
+def test_lines_lose_spaces_and_no_digits_at_their_ends(spark):
+    lines = ledes.content_lines(F.lit("0 lines end in 0\n 1 in one 1 \n"), F.array().cast("array<string>"))
+    assert spark.range(1).select(lines).first()[0] == ["0 lines end in 0", "1 in one 1"]
