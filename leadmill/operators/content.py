@@ -127,7 +127,7 @@ def pruned_menu(items: DataFrame) -> DataFrame:
 
 def paragraph_blocks(text: Column, most: int = BLOCK_CHARS) -> Column:
     """Paragraphs gathered into blocks of about ``most`` characters; one paragraph is never cut."""
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n+"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
     none = F.array().cast("array<string>")
     return F.aggregate(
         paragraphs,

@@ -28,7 +28,7 @@ def leads_from_items(items: DataFrame) -> DataFrame:
 def manual_leads(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file: name, website, phone, address split at tabs, bars or semicolons; the id hashes the line."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parts = F.transform(F.split("value", r"[\t|;]"), F.trim)
+    parts = F.transform(F.split("value", r"[\t|;]"), lambda p: F.trim(p))
     field = lambda i: F.nullif(F.get(parts, i), F.lit(""))
     return lines.select(F.substring(F.sha1("value"), 1, 16).alias("source_id"), field(0).alias("company_name"), field(1).alias("website"), field(2).alias("phone"), field(3).alias("address"))
 

@@ -167,3 +167,9 @@ def test_files(spark, tmp_path):
     files.write_csv(table, f"{tmp_path}/csv")
     back = {r.id: (r.t, r.c) for r in spark.read.option("header", True).option("escape", '"').option("inferSchema", True).csv(f"{tmp_path}/csv").collect()}
     assert back == {1: ('say "hi", all', "a"), 2: (None, None)}
+
+
+def test_paragraphs_and_lists_lose_spaces_and_no_digits_at_their_ends(spark, tmp_path):
+    assert _one(spark, content.paragraph_blocks(F.lit("0 first 0\n 1 second 1 "), 8)) == ["0 first 0", "1 second 1"]
+    (tmp_path / "manual.txt").write_text("Firm 2000; 1acme.by |+375 22\n")
+    assert [(r.company_name, r.website, r.phone) for r in files.manual_leads(spark, str(tmp_path / "manual.txt")).collect()] == [("Firm 2000", "1acme.by", "+375 22")]
