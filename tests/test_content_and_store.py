@@ -1,10 +1,12 @@
 import json
 from datetime import datetime
 
+import duckdb
 from pyspark.sql import functions as F
 
 from leadmill.functions import facts, texts
 from leadmill.operators import activity, content, pages, security, store
+from leadmill.plans import catalogue
 from leadmill.sources import files
 from leadmill.streaming import events as stream
 
@@ -173,3 +175,9 @@ def test_paragraphs_and_lists_lose_spaces_and_no_digits_at_their_ends(spark, tmp
     assert _one(spark, content.paragraph_blocks(F.lit("0 first 0\n 1 second 1 "), 8)) == ["0 first 0", "1 second 1"]
     (tmp_path / "manual.txt").write_text("Firm 2000; 1acme.by |+375 22\n")
     assert [(r.company_name, r.website, r.phone) for r in files.manual_leads(spark, str(tmp_path / "manual.txt")).collect()] == [("Firm 2000", "1acme.by", "+375 22")]
+
+
+def test_backlinks_equal_their_sql_on_more_pages(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS page_id", "'u' AS url", "'' AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    expected = duckdb.sql(catalogue.ORACLE_SQL["backlinks"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert len(expected) > 1000 and sorted((r.target_id, r.source_id, r.n_links) for r in catalogue.QUERIES["backlinks"](spark, str(tmp_path)).collect()) == sorted(expected)
