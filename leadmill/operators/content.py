@@ -153,7 +153,7 @@ def similar_sections(sections: DataFrame, least: float = 0.7) -> DataFrame:
     among its rarest: all but ``least`` of its items, and one more. Only these are joined, so an item that every
     section has brings no pairs; what is left is compared in full.
     """
-    rows = materialise(sections.select("doc_id", "section", "scope", F.array_distinct("items").alias("items")), "section_items")
+    rows = materialise(sections.select("doc_id", "section", "scope", F.array_distinct("items").alias("items")), "section_items").hint("merge")  # its files are far smaller than its rows, which must not be broadcast
     items = rows.select("doc_id", "section", "scope", F.size("items").alias("size"), F.explode("items").alias("item"))
     counts = items.groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("doc_id", "section").orderBy("n", "item")

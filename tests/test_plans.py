@@ -22,3 +22,9 @@ def test_texts_are_split_once(spark, sf_dir, name, replaced, exchanges):
     held = plan(spark, sf_dir, name)
     assert len(re.findall("regexp_replace", held)) <= replaced
     assert len(re.findall(r"Exchange ", held)) <= exchanges
+
+
+@pytest.mark.parametrize("name", ["similar_sections", "grouped_sections"])
+def test_written_sections_are_not_broadcast(spark, sf_dir, name):
+    held = plan(spark, sf_dir, name)
+    assert "SortMergeJoin" in held and "Broadcast" not in held
