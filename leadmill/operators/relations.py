@@ -122,15 +122,17 @@ def grouped_sections(pairs: DataFrame, sections: DataFrame) -> DataFrame:
     pairs until none changes, one written table a round. Best: the smallest rank, most pixels, first.
     """
     with scratch(pairs.sparkSession) as made:
-        both = materialise(pairs.select("doc_id", "section", "other").unionByName(pairs.select("doc_id", F.col("other").alias("section"), F.col("section").alias("other"))).distinct(), "section_pairs")
-        named = materialise(sections.select("doc_id", "section", F.col("section").alias("name")), "section_names")
+        # Files of numbers are far smaller than their rows, which must not be broadcast.
+        ways = F.inline(F.array(F.struct(F.col("section"), F.col("other")), F.struct(F.col("other").alias("section"), F.col("section").alias("other"))))
+        both = materialise(pairs.select("doc_id", ways).distinct(), "section_pairs").hint("merge")
+        named = materialise(sections.select("doc_id", "section", F.col("section").alias("name")), "section_names").hint("merge")
         while True:
             heard = both.join(named.select("doc_id", F.col("section").alias("other"), F.col("name").alias("heard")), ["doc_id", "other"]).groupBy("doc_id", "section").agg(F.min("heard").alias("heard"))
             # The name's own name is followed too, which halves the rounds of long chains.
             after = named.join(heard, ["doc_id", "section"], "left").select("doc_id", "section", F.col("name").alias("before"), F.least("name", F.coalesce("heard", "name")).alias("name"))
-            further = after.select("doc_id", F.col("section").alias("name"), F.col("name").alias("further"))
+            further = after.hint("merge").select("doc_id", F.col("section").alias("name"), F.col("name").alias("further"))
             after = materialise(after.join(further, ["doc_id", "name"], "left").select("doc_id", "section", "before", F.least("name", F.coalesce("further", "name")).alias("name")), "section_names")
-            named = after.select("doc_id", "section", "name")
+            named = after.select("doc_id", "section", "name").hint("merge")
             if not after.where("name <> before").limit(1).count():
                 break
         made.keep(after)
