@@ -77,15 +77,15 @@ def dynamic_sections(sections: DataFrame) -> DataFrame:
 
     ``sections``: site, url, kind, heading, titles array<string>, ord. Equal ones (kind, heading, sorted
     titles) are one with several pages; of a kind the one with most usable titles stays, the first on ties, if
-    it has two of them (reviews: one).
+    it has two of them (reviews: one). Sections that lie together by site are not shuffled again.
     """
     titles = F.filter("titles", title_ok)
-    key = F.sha2(F.concat_ws("|", "kind", F.lower(one_space(F.coalesce("heading", F.lit("")))), F.array_join(F.array_sort(F.transform("titles", lambda t: F.lower(one_space(t)))), "|")), 256)
+    key = F.unhex(F.sha2(F.concat_ws("|", "kind", F.lower(one_space(F.coalesce("heading", F.lit("")))), F.array_join(F.array_sort(F.transform("titles", lambda t: F.lower(one_space(t)))), "|")), 256))
     rows = sections.withColumns({"key": key, "items": titles})
-    one = rows.groupBy("site", "kind", "key").agg(F.min("ord").alias("ord"), F.min_by("heading", "ord").alias("heading"), F.min_by("items", "ord").alias("items"), F.array_sort(F.collect_set("url")).alias("source_pages"))
-    order = Window.partitionBy("site", "kind").orderBy(F.size("items").desc(), "ord")
-    best = one.withColumn("n", F.row_number().over(order)).where("n = 1")
-    return best.where(F.size("items") >= F.when(F.col("kind") == "REVIEWS", 1).otherwise(2)).select("site", "kind", "heading", "items", "source_pages")
+    first = F.min_by(F.struct("heading", "items"), "ord").alias("first")
+    one = rows.groupBy("site", "kind", "key").agg(F.min("ord").alias("ord"), first, F.array_sort(F.collect_set("url")).alias("source_pages"))
+    best = one.groupBy("site", "kind").agg(F.min_by(F.struct("first.heading", "first.items", "source_pages"), F.struct(-F.size("first.items"), "ord")).alias("best")).select("site", "kind", "best.*")
+    return best.where(F.size("items") >= F.when(F.col("kind") == "REVIEWS", 1).otherwise(2))
 
 
 def resolve_routes(routes: DataFrame, entities: DataFrame, pages: DataFrame, hints: DataFrame) -> DataFrame:

@@ -150,8 +150,9 @@ def distinct_products(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT site, kind, heading, array_to_string(items, ',') AS items, source_pages FROM b WHERE len(items) >= CASE WHEN kind = 'REVIEWS' THEN 1 ELSE 2 END""")
 def dynamic_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_orderkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").distinct()
-    lines = lines.groupBy("l_suppkey", "l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber"))).alias("all"))
+    # Every step groups by the site and more, so lines are dealt once, by site.
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber").repartition("l_suppkey")
+    lines = lines.groupBy("l_suppkey", "l_orderkey").agg(F.array_sort(F.collect_set(F.struct("l_partkey", "l_linenumber"))).alias("all"))
     titles = F.transform("all", lambda x: F.concat(F.lit("Title "), (x["l_partkey"] % 30).cast("string")))
     rows = lines.select(F.col("l_suppkey").alias("site"), k.alias("ord"), F.concat(F.lit("/p"), (k % 9).cast("string")).alias("url"), F.get(F.array(*map(F.lit, ("SERVICES", "REVIEWS", "NEWS"))), (k % 3).cast("int")).alias("kind"), F.concat(F.lit("Heading "), (k % 2).cast("string")).alias("heading"), titles.alias("titles"))
     return content.dynamic_sections(rows).withColumns({"items": F.array_join("items", ","), "source_pages": F.array_join("source_pages", ",")})

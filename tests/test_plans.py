@@ -5,7 +5,7 @@ import re
 import pytest
 
 from leadmill.functions import ownership
-from leadmill.plans import catalogue, entity_catalogue  # noqa: F401
+from leadmill.plans import catalogue, entity_catalogue, site_catalogue  # noqa: F401
 
 
 def plan(spark, sf_dir, name):
@@ -28,3 +28,7 @@ def test_texts_are_split_once(spark, sf_dir, name, replaced, exchanges):
 def test_written_sections_are_not_broadcast(spark, sf_dir, name):
     held = plan(spark, sf_dir, name)
     assert "SortMergeJoin" in held and "Broadcast" not in held
+
+
+def test_sections_of_sites_are_dealt_once(spark, sf_dir):
+    assert len(re.findall(r"Exchange ", plan(spark, sf_dir, "dynamic_sections"))) == 1
