@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leadmill.functions.compat import one_space
+from leadmill.functions.compat import bound, one_space
 
 # What a card's summary must not hold, words of section headings, marks of internal names.
 JUNK = r"(?iu)запросить|оставьте заявку|позвоните|звоните|закажите|заказать|записаться|получить консультац|узнать (цену|стоимость)|подробнее|читать далее|порядок выполнения|наши контакты|все права|последние (выполненные |реализованные )?(работы|проекты)|другие (проекты|работы)|cookie|карта сайта|политика конфиденциальности|✔|➔|✓|тариф|menu|меню|наверх|call us|order now|read more"
@@ -62,9 +62,11 @@ def without_brand(title: Column, brand: Column) -> Column:
 def card_summary(raw: Column, title: Column) -> Column:
     """Two clean sentences at most, 200 characters; null if fewer than 20 are left."""
     cut = F.split(F.regexp_replace(F.coalesce(raw, F.lit("")), r"([.!?])\s+", "$1\n"), "\n+")
-    cut = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.trim(s), TAIL, "")))
-    clean = lambda s: (F.length(s) >= 12) & ~F.rlike(s, F.lit(JUNK)) & ~F.rlike(s, F.lit(PHONE)) & ~F.contains(plain_title(s), plain_title(title)) & ~F.rlike(s, F.lit(r"^\d+\s*[.)]"))
-    out = F.array_join(F.slice(F.filter(cut, clean), 1, 2), " ")
+    whole = plain_title(title)
+    clean = lambda s: (F.length(s) >= 12) & ~F.rlike(s, F.lit(JUNK)) & ~F.rlike(s, F.lit(PHONE)) & ~F.contains(plain_title(s), whole) & ~F.rlike(s, F.lit(r"^\d+\s*[.)]"))
+    taken = lambda held, s: bound(F.trim(F.regexp_replace(F.trim(s), TAIL, "")), lambda c: F.when(clean(c), F.concat(held, F.array(c))).otherwise(held))
+    # What stands behind the second clean sentence is not looked at.
+    out = F.array_join(F.aggregate(cut, F.array().cast("array<string>"), lambda held, s: F.when(F.size(held) >= 2, held).otherwise(taken(held, s))), " ")
     return F.when(F.length(out) >= 20, F.substring(out, 1, 200))
 
 

@@ -1,5 +1,7 @@
 """Kinds of lists from small pages, one rule each."""
 
+import time
+
 import pytest
 
 from leadmill.functions import facts, markup, summaries
@@ -74,3 +76,16 @@ def test_facts_are_bound_once_and_say_the_same(spark):
     rows = spark.createDataFrame([("PHONE", "+375 (29) 123-45-67"), ("PHONE", "1999-2004"), ("PHONE", "123456789"), ("PHONE", None), ("EMAIL", "0101.sales@firm.by"), ("EMAIL", "a@example.com"), ("EMAIL", "logo@2x.png"), ("FOUNDING_DATE", "с 1998 года"), ("EMPLOYEE_COUNT", "0 сотрудников"), ("REGISTRATION_ID", "12 345 678 9"), ("OTHER", "x")], "kind string, raw string")
     got = [(r["ok"], r["value"], r["reason"]) for r in facts.gate(rows).collect()]
     assert got == [(True, "+375 (29) 123-45-67", None), (False, None, "YEAR_RANGE"), (False, None, "AMBIGUOUS_NINE_DIGIT"), (False, None, "EMPTY"), (True, "sales@firm.by", None), (False, None, "PLACEHOLDER"), (False, None, "IMAGE_FILENAME"), (True, "1998", None), (False, None, "COUNTER_ZERO"), (False, None, "REGISTRATION_WITHOUT_LABEL"), (None, None, None)]
+
+
+def test_summaries_stop_at_the_second_clean_sentence(spark):
+    clean, junk = "A first clean sentence. A second clean sentence. ", "Call us about sentence number n, and order now. " * 30_000
+
+    def took(text):
+        rows = spark.createDataFrame([(text,)], "raw string").select(summaries.card_summary(F.col("raw"), F.lit("Some title")).alias("s"))
+        began = time.perf_counter()
+        assert rows.first().s == clean.strip()
+        return time.perf_counter() - began
+
+    took(clean + junk)
+    assert 1.5 * min(took(clean + junk), took(clean + junk)) < took(junk + clean)
