@@ -98,8 +98,8 @@ def technical_payload(text: Column) -> Column:
         ("json-payload", 0.97, json),
         ("config-kv-density", 0.9, F.rlike(t, F.lit(r"^[\[{<]")) & (pairs >= 3)),
         ("config-key-vocabulary", 0.9, F.rlike(t, F.lit(CONFIG_KEYS))),
-        ("placeholder-contact", 0.75, F.rlike(t, F.lit(PLACEHOLDER_CONTACTS))),
-        ("code-fragment", 0.8, F.rlike(t, F.lit(CODE_FRAGMENT)) & F.rlike(t, F.lit(r"[{};]")) & (F.regexp_count(t, F.lit(r"[{}();]")) >= 4)),
+        ("placeholder-contact", 0.75, F.rlike(t, F.lit("[@(/]")) & F.rlike(t, F.lit(PLACEHOLDER_CONTACTS))),  # none is without one of these
+        ("code-fragment", 0.8, F.rlike(t, F.lit(r"[{};]")) & (F.regexp_count(t, F.lit(r"[{}();]")) >= 4) & F.rlike(t, F.lit(CODE_FRAGMENT))),  # the cheap tests first
     )
     rule, confidence = None, None
     for name, value, test in rules:

@@ -52,23 +52,26 @@ def block_findings(blocks: DataFrame) -> DataFrame:
     said = rows.select("entity_id", "type", F.inline(F.transform(texts, lambda x: F.struct(x["part"].alias("part"), text_findings(x["t"]).alias("kinds"))))).select("entity_id", field(F.col("part")).alias("field"), F.explode("kinds").alias("kind"))
 
     order = Window.partitionBy("entity_id").orderBy("ord")
-    # The whole block in one form; long ones as digests, since they only meet their neighbour.
+    # The whole block in one form, as a digest, since blocks only meet their neighbour; what a block's own texts tell is told
+    # before blocks are shuffled, so that no text is.
     whole = F.nullif(_plain(F.concat_ws(" ", "heading", "body", F.array_join("items", " "))), F.lit(""))
-    near = rows.select("entity_id", "ord", "type", "heading", "body", "items", F.sha2(whole, 256).alias("whole"))
-    near = near.withColumns({"before": F.last("whole", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "type_before": F.lag("type").over(order), "anonymous": (F.col("type") == "richText") & (F.col("heading") == "")})
-    island = F.row_number().over(order) - F.row_number().over(Window.partitionBy("entity_id", "anonymous").orderBy("ord"))
-    near = near.withColumn("island", island).withColumn("run", F.row_number().over(Window.partitionBy("entity_id", "anonymous", "island").orderBy("ord")))
     empty = (F.col("body") == "") & (F.size("items") == 0)
-    same = yes(F.col("whole") == F.col("before"))
-    kinds = _listed(
+    own = _listed(
         ("duplicate-heading-body", (F.col("heading") != "") & (F.col("body") != "") & (_plain(F.col("heading")) == _plain(F.col("body")))),
         ("empty-heading", (F.col("heading") != "") & empty & (F.col("type") == "richText")),
         ("orphan-list", (F.size("items") > 0) & (F.col("heading") == "") & (F.col("type") != "gallery")),
+        ("oversized-content", F.length("body") > MOST_BLOCK),
+    )
+    near = rows.select("entity_id", "ord", "type", own.alias("own"), F.unhex(F.sha2(whole, 256)).alias("whole"), ((F.col("type") == "richText") & (F.col("heading") == "")).alias("anonymous"))
+    near = near.withColumns({"before": F.last("whole", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "type_before": F.lag("type").over(order)})
+    island = F.row_number().over(order) - F.row_number().over(Window.partitionBy("entity_id", "anonymous").orderBy("ord"))
+    near = near.withColumn("island", island).withColumn("run", F.row_number().over(Window.partitionBy("entity_id", "anonymous", "island").orderBy("ord")))
+    same = yes(F.col("whole") == F.col("before"))
+    kinds = F.concat("own", _listed(
         ("duplicate-responsive-section", same & yes(F.col("type") == F.col("type_before"))),
         ("duplicate-adjacent-paragraph", same & ~yes(F.col("type") == F.col("type_before"))),
         ("excessive-fragmentation", F.col("anonymous") & (F.col("run") == ANONYMOUS_RUN)),
-        ("oversized-content", F.length("body") > MOST_BLOCK),
-    )
+    ))
     return said.unionByName(near.select("entity_id", F.concat(F.lit("block."), "type").alias("field"), F.explode(kinds).alias("kind")))
 
 

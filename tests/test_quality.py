@@ -1,6 +1,7 @@
 """The nineteen checks of content, each on a small case."""
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
@@ -52,3 +53,9 @@ def test_pictures_and_dropped_sources(spark):
     dropped = spark.createDataFrame([("Gone",), (None,)], "title string")
     assert run(spark, hero=hero, media=media, dropped=dropped) == [("Gone", "source", "dropped-entity"), ("home", "hero", "invalid-hero-media"), ("unknown", "source", "dropped-entity")]
     assert set(quality.SEVERITY) >= {"technical-payload", "invalid-hero-media"} and len(quality.SEVERITY) == 19
+
+
+def test_no_text_of_a_block_is_shuffled(spark):
+    plan = quality.block_findings(spark.createDataFrame([], BLOCK))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", plan)
+    assert dealt and not any(re.search("heading|body|items", columns) for columns in dealt)
