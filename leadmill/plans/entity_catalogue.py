@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.functions import markup, ownership, summaries, texts
+from leadmill.functions.compat import once
 from leadmill.operators import activity, audit, content, leads, pages, relations, scoring, security
 from leadmill.plans.catalogue import AS_OF, _as_of, query
 from leadmill.sources.fixtures import LEADS_SQL, table
@@ -58,7 +59,8 @@ def website_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _pick(_URLS, F.col("event_id")).alias("url"), _pick(_BODIES, F.floor(F.col("event_id") / 7)).alias("body"))
     rows = rows.unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1_000_000_000).alias("id"), "url", F.col("html").alias("body")))
     rows = rows.unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 2_000_000_000).alias("id"), F.concat(F.lit("https://site.by/text/"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("body")))
-    return rows.select("id", ownership.ownership(F.col("url"), F.col("body")).alias("o")).select("id", "o.decision", "o.confidence", F.array_join("o.signals", ",").alias("signals"))
+    # A plain column would be copied into each branch of the union.
+    return rows.select("id", once(ownership.ownership(F.col("url"), F.col("body")))).select("id", "decision", "confidence", F.array_join("signals", ",").alias("signals"))
 
 
 _KINDS_SQL = r"""WHEN contains(u, 'vacancies') OR contains(t, 'vacancies') OR contains(u, 'vacancy') OR contains(t, 'vacancy') OR contains(u, 'career') OR contains(t, 'career') OR contains(u, 'careers') OR contains(t, 'careers') OR contains(u, 'job') OR contains(t, 'job') OR contains(u, 'jobs') OR contains(t, 'jobs') OR contains(u, 'вакансии') OR contains(t, 'вакансии') OR contains(u, 'вакансия') OR contains(t, 'вакансия') OR contains(u, 'rabota') OR contains(t, 'rabota') OR contains(u, 'работа') OR contains(t, 'работа') OR contains(u, 'vakansii') OR contains(t, 'vakansii') THEN 'vacancies'
