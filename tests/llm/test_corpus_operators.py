@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leadmill.llm import components, induced_sort, minhash, sharding, suffix_dedup
@@ -48,6 +49,35 @@ def test_a_shard_of_many_times_the_memory_is_sorted_on_disk(monkeypatch):
     assert none == 0 and len(whole) == len(order)
 
 
+def test_names_of_small_texts_take_no_induction(monkeypatch):
+    rng = np.random.default_rng(6)
+    for k in range(60):
+        text = rng.integers(1, 4, 90)
+        text = np.append(np.where(text == 1, 300, np.tile(text[:8], 12)[:90] if k % 2 else text), 0).astype(np.uint16)
+        for memory, more in ((8, 1), (1 << 20, 0)):
+            runs, levels, real, level = [], [], induced_sort._induce, induced_sort._Level
+            with monkeypatch.context() as m:
+                m.setattr(induced_sort, "_induce", lambda *a: runs.append(1) or real(*a))
+                m.setattr(induced_sort, "_Level", lambda *a: levels.append(1) or level(*a))
+                order, prefix, _ = induced_sort.suffix_order(text, 301, 40, memory)
+            _assert_sorted(text, 40, order, prefix)
+            assert len(runs) > len(levels) if more else len(runs) == len(levels)
+
+
+def test_common_prefixes_of_long_repeats():
+    rng = np.random.default_rng(7)
+    for kind in (np.uint8, np.int32):
+        n = 900
+        text = np.zeros(n + induced_sort.AHEAD, dtype=kind)
+        text[:n] = np.tile(rng.integers(1, 9, 300), 3)
+        text[rng.integers(0, n, 3)] = 9
+        a, b, most = rng.integers(0, n, 400), rng.integers(0, 3, 400) * 300, rng.integers(0, 500, 400)
+        b = (a + b) % n
+        for x, y, k, found in zip(a, b, most, induced_sort.common_prefix(text, n, a, b, most)):
+            limit = min(k, n - max(x, y))
+            assert found == next((i for i in range(limit) if text[x + i] != text[y + i]), limit)
+
+
 def _removed(texts, length):
     counts = {}
     for t in texts:
@@ -78,6 +108,23 @@ def test_repeated_passages_against_brute_force(spark, monkeypatch):
         assert {r[0]: tuple(r[1:5]) for r in suffix_dedup.removals(docs).collect()} == want
 
 
+def test_neighbouring_sides_are_sorted_as_one_piece(spark):
+    # Three near copies: both sides of a segment are met, and without a common home each side brings 399 bytes of its own.
+    sides = [(doc, 10 * doc + part, bytes([doc]) * 16 + b"\0\0\0\0", 100 * part, 100 * part + 100, 70 - 10 * part, 3) for doc in (1, 2, 3) for part in (0, 1, 2, 3)]
+    sides += [(4, 1, b"\4" * 16 + b"\0\0\0\0", 500, 600, 40, 3), (4, 2, b"\4" * 16 + b"\0\0\0\0", 600, 700, 5, 900)]
+    frame = spark.createDataFrame(sides, "a long, b long, one binary, low int, high int, group long, n int").withColumn("first", F.lit(0))
+    homes = {(r.a, r.low): (r.group, r.new) for r in suffix_dedup._homes(frame).collect()}
+    assert [homes[2, low] for low in (0, 100, 200, 300)] == [(50, True), (40, False), (40, False), (40, False)]
+    assert homes[4, 500] == (40, True) and homes[4, 600] == (5, False)  # the common one neither moves nor leads
+    text = bytes(range(250)) * 5
+    side = {"key": 7, "a": 1, "b": 2, "first": 20, "low": 0, "high": 100, "group": 40, "hot": False, "twice": False}
+    wanted = [side | {"low": 100, "high": 150}, side, side | {"b": 3, "first": 170, "high": 30}, side | {"b": 4, "first": 200, "high": 30, "group": 41}, side | {"high": 150, "twice": True}]
+    batch = pa.RecordBatch.from_pylist([{"bytes": text, "wanted": wanted}])
+    out = [r for b in suffix_dedup._fetch(400)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["key"], r["twice"], r["piece"] == text[low:high]) for r, (low, high) in zip(out, ((20, 599), (200, 629), (20, 569)), strict=True)] == [(40, False, True), (41, False, True), (40, True, True)]
+    assert [(m["b"], m["low"], m["count"]) for m in out[0]["members"]] == [(2, 0, 100), (2, 100, 50), (3, 0, 30)]
+
+
 def test_deduplicated_keeps_columns_and_odd_rows(spark, odd_docs, no_docs):
     out = suffix_dedup.deduplicated(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == 11
